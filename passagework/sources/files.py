@@ -100,9 +100,22 @@ def pdf_loader(read_pages: Callable[[bytes], list[str]]) -> Loader:
     return paged_loader("pdf", ".pdf", "application/pdf", read_pages)
 
 
-def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, content) of the files directly inside each folder, or of the files themselves."""
-    return spark.read.format("binaryFile").load(list(paths)).select(local_path(F.col("path")).alias("path"), "content")
+def scan_files(spark: SparkSession, *paths: str, include_empty: bool = False) -> DataFrame:
+    """(path, content) of the files directly inside each folder, or of the files themselves.
+
+    Spark's file index skips files of zero bytes and names that start with "." or "_".
+    ``include_empty`` lists the folders once more on the driver to add the former.
+    """
+    files = spark.read.format("binaryFile").load(list(paths)).select(local_path(F.col("path")).alias("path"), "content")
+    if not include_empty:
+        return files
+    hadoop = spark._jsc.hadoopConfiguration()
+    found = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    listed = [s for p in found for s in p.getFileSystem(hadoop).listStatus(p)]
+    empty = [(s.getPath().toString(), bytearray()) for s in listed
+             if s.isFile() and s.getLen() == 0 and s.getPath().getName()[0] not in "._"]
+    more = spark.createDataFrame(empty, "path string, content binary")
+    return files.unionByName(more.withColumn("path", local_path(F.col("path"))))
 
 
 def with_display_names(files: DataFrame, names: DataFrame) -> DataFrame:
