@@ -54,13 +54,6 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> D
     return F.broadcast(df) if size <= max_bytes else df
 
 
-def broadcast_if_bounded(df: DataFrame, rows: int | None, row_bytes: int) -> DataFrame:
-    """Hint a broadcast when a row bound known beforehand (say queries * k) keeps it small."""
-    if rows is not None and rows * row_bytes <= MAX_BROADCAST_BYTES:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame, bytes_per_task: int = 32 << 20) -> DataFrame:
     """Rebalance a scan that is too small to fill the cores before CPU-heavy work.
 

@@ -8,7 +8,7 @@ its weights on first call, so that each Python worker loads them once.
 from __future__ import annotations
 
 import hashlib
-import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +18,27 @@ from pyspark.sql import types as T
 from passagework.config import VECTOR_DIM
 from passagework.functions.chunking import vectors_to_arrow
 
-# fixed value: what counts as a token
-TOKEN_PATTERN = "[A-Za-z0-9]+"
+# fixed value: tokens are runs of ASCII letters and digits, in lower case
+_TOKEN_BYTES = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else ord(" ") for b in range(256))
 
-_CACHE_LIMIT = 1_000_000
 _ROWS_PER_CALL = 4096
+_CACHE_LIMIT = 1_000_000
+
+
+def tokens_of(text: str) -> list[bytes]:
+    return text.encode("ascii", "replace").translate(_TOKEN_BYTES).split()
+
+
+class _Bins(dict):
+    """Bin of a token, hashed on first sight."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: bytes) -> int:
+        digest = hashlib.md5(token, usedforsecurity=False)
+        found = self[token] = int(digest.hexdigest()[:8], 16) % self.dim
+        return found
 
 
 class HashingEncoder:
@@ -34,32 +50,25 @@ class HashingEncoder:
 
     def __init__(self, dim: int = VECTOR_DIM):
         self.dim = dim
-        self._bins: dict[str, int] = {}
+        self._bins = _Bins(dim)
 
     def __getstate__(self):
-        return {"dim": self.dim, "_bins": {}}
-
-    def _bin(self, token: str) -> int:
-        digest = hashlib.md5(token.lower().encode("ascii"), usedforsecurity=False)
-        found = int(digest.hexdigest()[:8], 16) % self.dim
-        if len(self._bins) >= _CACHE_LIMIT:
-            self._bins.clear()
-        self._bins[token] = found
-        return found
+        return {"dim": self.dim}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        tokens = re.compile(TOKEN_PATTERN).findall
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        out = np.empty((len(texts), self.dim), dtype=np.float32)
         for at in range(0, len(texts), _ROWS_PER_CALL):
-            cells: list[int] = []
-            part = texts[at : at + _ROWS_PER_CALL]
-            for i, text in enumerate(part):
-                base, known = i * self.dim, self._bins
-                for token in tokens(text or ""):
-                    found = known.get(token)
-                    cells.append(base + (self._bin(token) if found is None else found))
-            counts = np.bincount(np.array(cells, dtype=np.int64), minlength=len(part) * self.dim)
-            out[at : at + len(part)] = counts.reshape(len(part), self.dim)
+            tokens = [tokens_of(t or "") for t in texts[at : at + _ROWS_PER_CALL]]
+            n = len(tokens)
+            if len(self._bins) > _CACHE_LIMIT:
+                self._bins.clear()
+            total = sum(map(len, tokens))
+            bins = np.fromiter(map(self._bins.__getitem__, chain.from_iterable(tokens)), np.int64, total)
+            rows = np.repeat(np.arange(n) * self.dim, list(map(len, tokens)))
+            out[at : at + n] = np.bincount(rows + bins, minlength=n * self.dim).reshape(n, self.dim)
         return out
 
 

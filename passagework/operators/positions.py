@@ -11,20 +11,21 @@ from passagework.config import ensure_checkpoint_dir
 def dense_positions(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
     """Number the rows of each group 0, 1, ... by ``order``, which must be unique in the group.
 
-    Rows are range-partitioned on group and order, so one group that holds most of the rows is
-    spread over many ranges. A row's position is its place in its range plus the group's rows in
-    earlier ranges. The ranges are written once: a second sampling could draw other bounds.
+    Only the keys are range-partitioned, so one group that holds most of the rows is spread over
+    many ranges. A row's position is its place in its range plus the group's rows in earlier
+    ranges. The ranges are written once, because a second sampling could draw other bounds; the
+    rows themselves meet their position in one join on unique keys.
     """
     ensure_checkpoint_dir(df.sparkSession)
     keys = [*group, *order]
-    ranged = df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()).checkpoint()
+    ranged = df.select(*keys).repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
     within = Window.partitionBy(*group, "__range").orderBy(*order)
-    return (
+    numbered = (
         ranged.withColumn("__at", F.row_number().over(within) - 1)
         .join(offsets, [*group, "__range"])
-        .withColumn(out, (F.col("__at") + F.col("__offset")).cast("bigint"))
-        .drop("__range", "__at", "__offset")
+        .select(*keys, (F.col("__at") + F.col("__offset")).cast("bigint").alias(out))
     )
+    return df.join(numbered, keys)

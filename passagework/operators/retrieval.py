@@ -1,7 +1,8 @@
 """From hits to pages, documents, context and sources.
 
-Hits number at most queries * k, so where that bound is known the hit side is broadcast and the
-page and document tables are neither shuffled nor sorted; beyond the bound both sides shuffle.
+Hits should be written (checkpointed) before they are looked up: their keys are then measured for
+free and broadcast if small, so that the page and document tables are neither shuffled nor sorted.
+Beyond the bound both sides shuffle. Metadata of any length never travels in a broadcast.
 """
 
 from __future__ import annotations
@@ -9,25 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.config import broadcast_if_bounded
-
-# ids, positions and a chunk of 200 characters of up to 4 bytes, with room to spare
-HIT_BYTES = 2048
+from passagework.config import broadcast_if_small
 
+HIT_KEY = ["query_id", "rank"]
 PAGE_FIELDS = ["page", "title", "language", "source"]
 DOC_FIELDS = ["source", "ingest_date", "filename", "media_type", "extension"]
 
 
-def hits_with_pages(hits: DataFrame, pages: DataFrame, max_hits: int | None = None) -> DataFrame:
+def hits_with_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """Each hit with its page's metadata as ``page_metadata``."""
-    looked_up = pages.select("type", "page_id", F.struct("doc_id", "type", *PAGE_FIELDS).alias("page_metadata"))
-    return looked_up.join(broadcast_if_bounded(hits, max_hits, HIT_BYTES), ["type", "page_id"])
+    wanted = pages.select("type", "page_id", F.struct("doc_id", "type", *PAGE_FIELDS).alias("page_metadata"))
+    return _look_up(hits, hits, wanted, ["type", "page_id"], "page_metadata")
+
+
+def hits_with_documents(hits: DataFrame, documents: DataFrame, written_hits: DataFrame | None = None) -> DataFrame:
+    """Each hit with its document's metadata as ``doc_metadata``. ``written_hits`` are the hits
+    whose keys to look up, where ``hits`` itself is not written."""
+    wanted = documents.select("type", "doc_id", F.struct("doc_id", "type", *DOC_FIELDS).alias("doc_metadata"))
+    return _look_up(hits, hits if written_hits is None else written_hits, wanted, ["type", "doc_id"], "doc_metadata")
 
 
-def hits_with_documents(hits: DataFrame, documents: DataFrame, max_hits: int | None = None) -> DataFrame:
-    """Each hit with its document's metadata as ``doc_metadata``."""
-    looked_up = documents.select("type", "doc_id", F.struct("doc_id", "type", *DOC_FIELDS).alias("doc_metadata"))
-    return looked_up.join(broadcast_if_bounded(hits, max_hits, 2 * HIT_BYTES), ["type", "doc_id"])
+def _look_up(hits: DataFrame, written_hits: DataFrame, wanted: DataFrame, key: list[str], field: str) -> DataFrame:
+    keys = broadcast_if_small(written_hits.select(*HIT_KEY, *key))
+    return hits.join(wanted.join(keys, key).select(*HIT_KEY, field), HIT_KEY)
 
 
 def orphan_chunks(chunks: DataFrame, pages: DataFrame) -> DataFrame:

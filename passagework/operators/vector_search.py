@@ -27,6 +27,8 @@ from passagework.config import MAX_BROADCAST_BYTES, MIN_SCORE, REFERENCE_LIMIT,
 
 _CHUNKS_PER_BLOCK = 2048
 _QUERIES_PER_BLOCK = 1024
+_PAIRS_AT_ONCE = 8192
+_ROWS_PER_BUCKETING = 65_536
 _BLOCK_SCHEMA = "keys array<int>, block binary"
 
 
@@ -42,18 +44,19 @@ def top_k_similar(
     dim: int,
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
-    n_queries: int | None = None,
+    measured: tuple[int, int] | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Exact search: per query the best ``k`` chunks with ``(1 + cosine) / 2 >= min_score``.
 
     Ranked by score, ties by ``chunk_key``. Returns query id, rank, score, key and ``carry``.
+    ``measured`` is the result of ``measure`` where the caller has it already.
     """
-    n_queries = queries.count() if n_queries is None else n_queries
-    passes = _passes(n_queries, dim, 1, max_broadcast_bytes)
+    n_queries, id_bytes = measured or measure(queries, query_id)
+    passes = _passes(n_queries, id_bytes, dim, 1, max_broadcast_bytes)
     per_pass = math.ceil(n_queries / passes)
     n_blocks = max(1, math.ceil(per_pass / _QUERIES_PER_BLOCK))
-    packed = _pack_chunks(chunks, chunk_key, chunk_vector, carry or [], lambda m: None, n_blocks)
+    packed = _pack_chunks(chunks, chunk_key, chunk_vector, carry or [], None, n_blocks)
     found = []
     for i in range(passes):
         part = _pass_of(queries, query_id, i, passes).select(query_id, query_vector)
@@ -78,7 +81,7 @@ def top_k_similar_lsh(
     bits: int = 8,
     radius: int = 3,
     seed: int = 7,
-    n_queries: int | None = None,
+    measured: tuple[int, int] | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Approximate search: random-hyperplane buckets, queries probe all buckets that differ in
@@ -93,8 +96,8 @@ def top_k_similar_lsh(
     def bucket(matrix):
         return (matrix @ planes > 0) @ (1 << np.arange(bits))
 
-    n_queries = queries.count() if n_queries is None else n_queries
-    passes = _passes(n_queries, dim, len(flips), max_broadcast_bytes)
+    n_queries, id_bytes = measured or measure(queries, query_id)
+    passes = _passes(n_queries, id_bytes, dim, len(flips), max_broadcast_bytes)
     packed = _pack_chunks(chunks, chunk_key, chunk_vector, carry or [], bucket, None)
     probe_schema = T.StructType([queries.schema[query_id], queries.schema[query_vector],
                                  T.StructField("probe", T.IntegerType(), False)])
@@ -120,9 +123,15 @@ def top_k_similar_lsh(
     return _rank(found, query_id, chunk_key, k)
 
 
-def _passes(n_queries: int, dim: int, copies: int, max_bytes: int) -> int:
-    row_bytes = dim * 4 + 64
-    return max(1, math.ceil(n_queries * copies * row_bytes / max_bytes))
+def measure(queries: DataFrame, query_id: str = "query_id") -> tuple[int, int]:
+    """Number of queries and bytes of their ids: with the dimension, the size of their blocks."""
+    length = F.octet_length(F.col(query_id).cast("string"))
+    return tuple(queries.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first())
+
+
+def _passes(n_queries: int, id_bytes: int, dim: int, copies: int, max_bytes: int) -> int:
+    """Passes over the chunks that keep each pass's query blocks within ``max_bytes``."""
+    return max(1, math.ceil(copies * (n_queries * (dim * 4 + 16) + id_bytes) / max_bytes))
 
 
 def _pass_of(queries: DataFrame, query_id: str, i: int, passes: int) -> DataFrame:
@@ -151,15 +160,34 @@ def _block_rows(batch: pa.RecordBatch, keys: list[list[int]], slices) -> pa.Reco
     )
 
 
+def _gathered(batches):
+    """Larger batches, so that the blocks of a bucket are worth a matrix product."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _ROWS_PER_BUCKETING:
+            yield _concat(held)
+            held, rows = [], 0
+    if held:
+        yield _concat(held)
+
+
+def _concat(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns],
+                                      schema=table.schema)
+
+
 def _pack_chunks(chunks, chunk_key, chunk_vector, carry, bucket, n_blocks) -> DataFrame:
     """Blocks of chunks ordered by key; join key = every query block, or the block's own bucket."""
     columns = list(dict.fromkeys([*chunk_key, *carry]))
 
     def run(batches):
-        for batch in batches:
+        for batch in batches if bucket is None else _gathered(batches):
             if not batch.num_rows:
                 continue
-            found = bucket(_matrix(batch.column(chunk_vector), batch.num_rows).astype(np.float64))
+            found = bucket and bucket(_matrix(batch.column(chunk_vector), batch.num_rows).astype(np.float64))
             order = pa.table({c: batch.column(c) for c in chunk_key})
             sort = [(c, "ascending") for c in chunk_key]
             if found is not None:
@@ -240,20 +268,55 @@ def _score(query_blocks, chunk_blocks, queries, chunks, query_id, query_vector,
 
 
 def _best(chunk: np.ndarray, query: np.ndarray, k: int, min_score: float):
-    """(chunk row, query row, score) of the best ``k`` per query; ties keep the block's key order."""
-    chunk, query = chunk.astype(np.float64), query.astype(np.float64)
-    norms = np.outer(np.einsum("ij,ij->i", chunk, chunk), np.einsum("ij,ij->i", query, query))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.round((1.0 + (chunk @ query.T) / np.sqrt(norms)) / 2.0, SCORE_DIGITS)
-    ci, qi = np.nonzero(score >= min_score)
+    """(chunk row, query row, score) of the best ``k`` per query; ties keep the block's key order.
+
+    A single-precision product of unit vectors finds the pairs that can reach the threshold: its
+    error is below dim * 2^-24 per pair, and twice that is allowed for. Only those pairs are scored
+    in double precision, so the result is that of a double-precision product over all pairs.
+    """
+    norm_c, norm_q = _squared_norms(chunk), _squared_norms(query)
+    slack = (chunk.shape[1] + 16) * 2.0**-23 + 10.0**-SCORE_DIGITS
+    near = _unit(chunk, norm_c) @ _unit(query, norm_q).T
+    ci, qi = np.nonzero(near >= np.float32(2 * min_score - 1 - slack))
     if not len(ci):
         return ci, qi, np.empty(0)
-    values = score[ci, qi]
-    order = np.lexsort((ci, -values, qi))
-    ci, qi, values = ci[order], qi[order], values[order]
+    ci, qi = _contenders(ci, qi, near[ci, qi], k, 2 * slack)
+    if len(ci) * 16 > near.size:
+        dots = (chunk.astype(np.float64) @ query.astype(np.float64).T)[ci, qi]
+    else:
+        dots = np.concatenate([
+            np.einsum("ij,ij->i", chunk[ci[at:at + _PAIRS_AT_ONCE]].astype(np.float64),
+                      query[qi[at:at + _PAIRS_AT_ONCE]].astype(np.float64))
+            for at in range(0, len(ci), _PAIRS_AT_ONCE)
+        ])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.round((1.0 + dots / np.sqrt(norm_c[ci] * norm_q[qi])) / 2.0, SCORE_DIGITS)
+    enough = score >= min_score
+    ci, qi, score = ci[enough], qi[enough], score[enough]
+    order = np.lexsort((ci, -score, qi))
+    ci, qi, score = ci[order], qi[order], score[order]
+    keep = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
+    return ci[keep], qi[keep], score[keep]
+
+
+def _contenders(ci, qi, near, k: int, margin: float):
+    """Drop pairs that k others of the same query beat by more than the error of both."""
+    order = np.lexsort((-near, qi))
+    ci, qi, near = ci[order], qi[order], near[order]
     first = np.searchsorted(qi, qi, side="left")
-    keep = np.arange(len(qi)) - first < k
-    return ci[keep], qi[keep], values[keep]
+    kth = np.minimum(first + k - 1, np.searchsorted(qi, qi, side="right") - 1)
+    keep = near >= near[kth] - np.float32(margin)
+    return ci[keep], qi[keep]
+
+
+def _squared_norms(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.float64)
+    return np.einsum("ij,ij->i", rows, rows)
+
+
+def _unit(rows: np.ndarray, squared_norms: np.ndarray) -> np.ndarray:
+    scale = np.sqrt(np.where(squared_norms > 0, squared_norms, 1.0))
+    return (rows / scale[:, None]).astype(np.float32)
 
 
 def _rank(found: list[DataFrame], query_id: str, chunk_key: list[str], k: int) -> DataFrame:

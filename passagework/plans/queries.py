@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.config import NO_SOURCES_MESSAGE, PAGE_OVERLAP, PAGE_SIZE, stable_id
+from passagework.config import NO_SOURCES_MESSAGE, PAGE_OVERLAP, PAGE_SIZE, ensure_checkpoint_dir, stable_id
 from passagework.functions import citations as C
 from passagework.functions.chunking import explode_chunks
 from passagework.functions.embedding import add_vectors
@@ -50,7 +50,7 @@ def corpus_path(source="source", doc_id="doc_id"):
 
 def corpus_files(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_for_compute(spark, sf, "documents", ["doc_id", "source", "text"])
-    return docs.select(corpus_path().alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return docs.select(corpus_path().alias("path"), F.col("text").cast("binary").alias("content"))
 
 
 def corpus(spark, sf) -> DataFrame:
@@ -133,6 +133,11 @@ def hits(spark, sf) -> DataFrame:
     return S.semantic_search(user_inputs(spark, sf), corpus_chunks(spark, sf))
 
 
+def written_hits(spark, sf) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return hits(spark, sf).checkpoint()
+
+
 def retrieved(spark, sf) -> DataFrame:
     return S.retrieve(user_inputs(spark, sf), corpus_chunks(spark, sf), corpus_pages(spark, sf),
                       I.documents_of(corpus(spark, sf)))
@@ -153,7 +158,7 @@ def loader_dispatch(spark, sf):
     docs = read_for_compute(spark, sf, "documents", ["doc_id", "source", "lang", "text"])
     files = docs.select(
         F.when(french, F.regexp_replace(corpus_path(), "[.]txt$", ".pdf")).otherwise(corpus_path()).alias("path"),
-        F.encode(F.when(french, F.translate("text", "\n", "\f")).otherwise(F.col("text")), "UTF-8").alias("content"),
+        F.when(french, F.replace("text", F.lit("\n"), F.lit("\f"))).otherwise(F.col("text")).cast("binary").alias("content"),
     )
     parsed = files_source.load_files(
         files, [files_source.pdf_loader(read_pages), files_source.text_loader()], COLLECTION, INGEST_DATE)
@@ -261,7 +266,7 @@ def path_parts(spark, sf):
 
 def is_text_content(spark, sf):
     """German bytes get a NUL in front, Spanish ones a byte that is not UTF-8 at the end."""
-    data = F.encode("text", "UTF-8")
+    data = F.col("text").cast("binary")
     docs = read_table(spark, sf, "documents").select(
         "doc_id",
         F.when(F.col("lang") == "de", F.concat(F.unhex(F.lit("00")), data))
@@ -323,14 +328,12 @@ def knn_lsh(spark, sf):
 
 
 def hits_with_pages(spark, sf):
-    n = user_inputs(spark, sf).count()
-    found = R.hits_with_pages(hits(spark, sf), corpus_pages(spark, sf), n * S.REFERENCE_LIMIT)
+    found = R.hits_with_pages(written_hits(spark, sf), corpus_pages(spark, sf))
     return found.select("query_id", "rank", "page_id", "chunk_no", F.col("page_metadata.doc_id").alias("page_doc_id"))
 
 
 def hits_with_documents(spark, sf):
-    n = user_inputs(spark, sf).count()
-    found = R.hits_with_documents(hits(spark, sf), I.documents_of(corpus(spark, sf)), n * S.REFERENCE_LIMIT)
+    found = R.hits_with_documents(written_hits(spark, sf), I.documents_of(corpus(spark, sf)))
     return found.select("query_id", "rank", "doc_id", "chunk_no", F.col("doc_metadata.source").alias("source"),
                         F.col("doc_metadata.filename").alias("filename"))
 

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.config import MIN_SCORE, NO_SOURCES_MESSAGE, REFERENCE_LIMIT
+from passagework.config import MIN_SCORE, NO_SOURCES_MESSAGE, REFERENCE_LIMIT, ensure_checkpoint_dir
 from passagework.functions.citations import page_link
 from passagework.functions.embedding import add_vectors
 from passagework.operators.generate import generate
 from passagework.operators.prompts import attach_templates, prepare_prompt
 from passagework.operators.retrieval import hits_with_documents, hits_with_pages, retrieval_sources
-from passagework.operators.vector_search import top_k_similar
+from passagework.operators.vector_search import measure, top_k_similar
 from passagework.plans.ingest import DEFAULT_ENCODER
 from passagework.schemas import CHUNK_KEY
 
@@ -27,7 +27,6 @@ def semantic_search(
     encoder=DEFAULT_ENCODER,
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
-    n_queries: int | None = None,
     search: Callable[..., DataFrame] = top_k_similar,
     **options,
 ) -> DataFrame:
@@ -35,23 +34,25 @@ def semantic_search(
 
     ``queries`` has query_id and user_input; ``search`` may be the exact or the hashed search.
     """
-    n_queries = queries.count() if n_queries is None else n_queries
     vectors = add_vectors(queries.select("query_id", "user_input"), "user_input", encoder, "query_vector")
     return search(
         vectors, chunks, chunk_key=CHUNK_KEY, carry=["page_id", "text"], dim=encoder.dim,
-        k=k, min_score=min_score, n_queries=n_queries, **options,
+        k=k, min_score=min_score, measured=measure(queries), **options,
     )
 
 
 def retrieve(
     queries: DataFrame, chunks: DataFrame, pages: DataFrame, documents: DataFrame, encoder=DEFAULT_ENCODER,
-    k: int = REFERENCE_LIMIT, min_score: float = MIN_SCORE, n_queries: int | None = None, **options,
+    k: int = REFERENCE_LIMIT, min_score: float = MIN_SCORE, **options,
 ) -> DataFrame:
-    """Context and sources per query; only queries with hits."""
-    n_queries = queries.count() if n_queries is None else n_queries
-    hits = semantic_search(queries, chunks, encoder, k, min_score, n_queries, **options)
-    with_pages = hits_with_pages(hits, pages, n_queries * k)
-    return retrieval_sources(hits_with_documents(with_pages, documents, n_queries * k))
+    """Context and sources per query; only queries with hits.
+
+    The hits (at most queries * k rows, found at great cost) are written once; both lookups and
+    the texts read them from there.
+    """
+    ensure_checkpoint_dir(queries.sparkSession)
+    hits = semantic_search(queries, chunks, encoder, k, min_score, **options).checkpoint()
+    return retrieval_sources(hits_with_documents(hits_with_pages(hits, pages), documents, hits))
 
 
 def search_task(queries: DataFrame, retrieved: DataFrame, collection: str) -> DataFrame:

@@ -77,7 +77,7 @@ def crawl(
     """
     spark = stored.sparkSession
     ensure_checkpoint_dir(spark)
-    known = stored.select("url").distinct()
+    known = stored.select("url")
     edges = page_links(stored).join(known.withColumnRenamed("url", "target"), "target", "left_semi").checkpoint()
     frontier = (
         roots.select(F.col("url").alias("root")).distinct()
