@@ -54,15 +54,15 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> D
     return F.broadcast(df) if size <= max_bytes else df
 
 
-def spread(df: DataFrame, bytes_per_task: int = 32 << 20) -> DataFrame:
-    """Rebalance a scan that is too small to fill the cores before CPU-heavy work.
+def spread(df: DataFrame, key: str, bytes_per_task: int = 32 << 20) -> DataFrame:
+    """Rebalance a scan that is too small to fill the cores before CPU-heavy work, by a unique key.
 
     Large tables already split by row group and are left alone, so nothing is shuffled at scale.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     scan_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if scan_bytes < cores * bytes_per_task else df
+    return df.repartition(cores, key) if scan_bytes < cores * bytes_per_task else df
 
 
 def stable_id(*parts: Column | str) -> Column:

@@ -22,7 +22,7 @@ from passagework.plans import ingest as I
 from passagework.sources import files as files_source
 from passagework.sources import web as web_source
 
-_MARKER = "_collection"
+_MARKER = "catalog"
 
 
 def _path(spark: SparkSession, path: str):
@@ -133,7 +133,7 @@ class Collection:
         parsed = files_source.load_files(files, loaders, self.name, date)
         staged = self._stage(parsed, batch)
         kept = files_source.loaded(staged)
-        pages = I.pages_of(spread(kept))
+        pages = I.pages_of(spread(kept, "doc_id"))
         counts = self._write(batch, I.documents_of(kept), pages, I.binaries_of(kept))
         counts["rejected"] = files_source.rejected(staged).count()
         self._unstage(batch)
@@ -159,7 +159,7 @@ class Collection:
             urls = reached.select(F.col("root").alias("url")).distinct()
         staged = self._stage(I.web_pages_of(web_source.load_web(stored, self.name, date, reached)), batch)
         documents = urls.select(*web_source.web_documents(F.col("url"), self.name, date))
-        counts = self._write(batch, documents, spread(staged), None)
+        counts = self._write(batch, documents, spread(staged, "page_id"), None)
         self._unstage(batch)
         return counts
 

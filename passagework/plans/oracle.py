@@ -221,7 +221,56 @@ counted AS (
 )"""
 _LISTING_BASE = f"{_ALL_BASE}, {_TEXT_CHUNK.lstrip()}, {_WEB_CHUNK.lstrip()}, {_LISTED}"
 
+_ALL_HITS = f"""
+{_ALL_BASE}, {_TEXT_CHUNK.lstrip()}, {_WEB_CHUNK.lstrip()},
+every_chunk AS (
+  SELECT 'plaintext' AS type, key AS doc_id, 0 AS page_no, no AS chunk_no, part FROM chunk
+  UNION ALL SELECT 'web', split_part(key, '/', 1), split_part(key, '/', 2)::BIGINT, no, part FROM web_chunk
+),
+query AS ({_INPUTS}),
+{_bins("qbin", "query", "query_id", "user_input").lstrip()},
+{_bins("cbin", "every_chunk", "doc_id, page_no, chunk_no", "part").lstrip()},
+qnorm AS (SELECT query_id, sum(n * n) AS q2 FROM qbin GROUP BY query_id),
+cnorm AS (SELECT doc_id, page_no, chunk_no, sum(n * n) AS c2 FROM cbin GROUP BY ALL),
+dot AS (SELECT query_id, doc_id, page_no, chunk_no, sum(q.n * c.n) AS d FROM qbin q JOIN cbin c USING (bin) GROUP BY ALL),
+scored AS (
+  SELECT query_id, doc_id, page_no, chunk_no, round((1 + d::DOUBLE / sqrt((c2 * q2)::DOUBLE)) / 2, 9) AS score
+  FROM dot JOIN qnorm USING (query_id) JOIN cnorm USING (doc_id, page_no, chunk_no)
+),
+hit AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, type, doc_id, page_no, chunk_no) AS rank
+    FROM scored JOIN all_doc USING (doc_id) WHERE score >= {MIN_SCORE}
+  ) WHERE rank <= {REFERENCE_LIMIT}
+)"""
+
 ORACLES = {
+    "collection_listing": f"""WITH {_LISTING_BASE}
+SELECT doc_id, index, source, page_count, vector_count FROM counted WHERE doc_id NOT IN ({_keys('toxic')})""",
+    "stored_search": f"""WITH {_ALL_HITS},
+cited AS (
+  SELECT query_id, count(*) AS n, string_agg(CASE WHEN hit.type = 'web' THEN 'Web page: <' || hit.source
+      || '>{{target="_blank"}} scraped {DATE} from parent URL <' || hit.source || '>{{target="_blank"}}'
+      ELSE '.txt file [' || filename || '](</files/corpus/plaintext/' || doc_id || '>){{target="_blank"}}' END || {_NL2}, ''
+      ORDER BY rank) AS links FROM hit GROUP BY query_id
+)
+SELECT query_id, coalesce(n, 0) AS source_count,
+  CASE WHEN n > 0 THEN '{SOURCES_HEADING}' || {_NL2} || links ELSE '{NO_SOURCES}' END AS answer
+FROM query LEFT JOIN cited USING (query_id)""",
+    "collections": f"""
+SELECT 'texts' AS collection, 'document_vector' AS vector_column, {VECTOR_DIM} AS dim, count(*) AS documents FROM documents
+UNION ALL SELECT 'sites', 'document_vector', {VECTOR_DIM}, count(*) FROM pages""",
+    "stream_ingest": f"""WITH {_LISTING_BASE}
+SELECT doc_id, source, page_count, vector_count FROM counted WHERE type = 'plaintext'""",
+    "stream_prompts": f"""WITH {_HITS}, {_ANSWER}, {_REQUEST}
+SELECT query_id, source_count, CASE WHEN source_count > 0 THEN {_prompt("context", "task_prompt")} END AS prompt
+FROM answer a JOIN request r USING (query_id)""",
+    "rag_answers": f"""WITH {_HITS}, {_ANSWER}, {_REQUEST},
+asked AS (SELECT query_id, answer, CASE WHEN source_count > 0 THEN length({_prompt("context", "task_prompt")}) END AS n
+          FROM answer a JOIN request r USING (query_id))
+SELECT query_id, CASE WHEN n < 1500 THEN 200 WHEN n >= 1500 THEN 413 END AS status,
+  answer || CASE WHEN n < 1500 THEN n || ' characters' WHEN n >= 1500 THEN 'ollama status: 413' ELSE '' END AS answer
+FROM asked""",
     "loader_dispatch": f"""
 WITH file AS (
   SELECT *, lang = 'fr' AND contains(text, chr(10)) AS paged,

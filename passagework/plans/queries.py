@@ -7,6 +7,8 @@ for the choice of documents to fetch or delete.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,12 @@ from passagework.operators.prompts import attach_templates, prepare_prompt
 from passagework.operators.vector_search import top_k_similar, top_k_similar_lsh
 from passagework.plans import ingest as I
 from passagework.plans import search as S
+from passagework.plans.collection import Collection, list_collections
 from passagework.sources import files as files_source
 from passagework.sources import web as web_source
 from passagework.sources.tables import read_for_compute, read_table
+from passagework.streaming.ingest import start_ingest
+from passagework.streaming.prompts import start_prompts
 
 COLLECTION = "corpus"
 INGEST_DATE = 1_700_000_000_000
@@ -105,9 +110,14 @@ def user_turns(spark, sf) -> DataFrame:
 
 
 def requests(spark, sf) -> DataFrame:
+    return with_requests(user_inputs(spark, sf))
+
+
+def with_requests(inputs: DataFrame) -> DataFrame:
+    """A task, persona, enhancers and source file for every input."""
     n, none = F.col("query_id"), F.lit(None).cast("string")
     concern, cheer = F.lit("concern"), F.lit("encouragement")
-    return user_inputs(spark, sf).select(
+    return inputs.select(
         "query_id", "user_input",
         F.element_at(F.array(F.lit("question"), F.lit("summary"), F.lit("search")), (n % 3 + 1).cast("int")).alias("task"),
         F.when(n % 2 == 0, "formal").alias("persona"),
@@ -450,7 +460,87 @@ def delete_count(spark, sf):
         I.chunks_of(I.pages_of(parsed), encoder=None), I.binaries_of(parsed))
 
 
+# ---- stored collections and streams -------------------------------------------------------
+
+
+def scratch(spark) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/passagework-{uuid.uuid4().hex}"
+
+
+def stored_corpus(spark, sf, root: str) -> Collection:
+    collection = Collection(spark, root, COLLECTION).create()
+    collection.ingest_files(corpus_files(spark, sf), [files_source.text_loader()], "files", INGEST_DATE)
+    collection.ingest_web(stored_pages(spark, sf), "web", ingest_date=INGEST_DATE)
+    return collection
+
+
+def collection_listing(spark, sf):
+    """Ingest files and web pages into a stored collection, delete the toxic documents, list the rest."""
+    collection = stored_corpus(spark, sf, scratch(spark))
+    collection.delete_documents(labelled_keys(spark, sf, "toxic"))
+    return collection.list_documents().select("doc_id", "index", "source", "page_count", "vector_count")
+
+
+def stored_search(spark, sf):
+    """Search a stored collection of files and web pages, cite pages and documents."""
+    collection = stored_corpus(spark, sf, scratch(spark))
+    found = S.retrieve(user_inputs(spark, sf), collection.chunks(), collection.pages(), collection.documents())
+    return S.search_task(user_inputs(spark, sf), found, COLLECTION).select("query_id", "source_count", "answer")
+
+
+def collections(spark, sf):
+    """A collection of text files and one of web pages, as the catalog lists them."""
+    root = scratch(spark)
+    texts, sites = Collection(spark, root, "texts"), Collection(spark, root, "sites")
+    texts.ingest_files(corpus_files(spark, sf), [files_source.text_loader()], "files", INGEST_DATE)
+    sites.ingest_web(stored_pages(spark, sf), "web", ingest_date=INGEST_DATE)
+    held = M.union_rows(*[c.documents().withColumn("collection", F.lit(c.name)) for c in (texts, sites)])
+    return list_collections(spark, root).join(M.collection_sizes(held, "collection"), "collection")
+
+
+def stream_ingest(spark, sf):
+    """The documents table as a stream of files into a stored collection."""
+    root = scratch(spark)
+    collection = Collection(spark, root, COLLECTION).create()
+    schema = read_table(spark, sf, "documents").schema
+    files = spark.readStream.schema(schema).parquet(f"{sf}/documents*.parquet").select(
+        corpus_path().alias("path"), F.col("text").cast("binary").alias("content"))
+    query = start_ingest(files, collection, [files_source.text_loader()], f"{root}/_checkpoint", ingest_date=INGEST_DATE)
+    query.awaitTermination()
+    return collection.list_documents().select("doc_id", "source", "page_count", "vector_count")
+
+
+def stream_prompts(spark, sf):
+    """User inputs as a stream against a stored collection."""
+    root = scratch(spark)
+    collection = Collection(spark, root, COLLECTION).create()
+    collection.ingest_files(corpus_files(spark, sf), [files_source.text_loader()], "files", INGEST_DATE)
+    schema = read_table(spark, sf, "benchmark").schema
+    asked = with_requests(spark.readStream.schema(schema).parquet(f"{sf}/benchmark*.parquet").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("user_input")))
+    query = start_prompts(asked, collection, templates(spark), f"{root}/answers", f"{root}/_checkpoint")
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/answers").select("query_id", "source_count", "prompt")
+
+
+def rag_answers(spark, sf):
+    """Prompts sent to a stand-in generator that refuses long ones."""
+
+    def make_client():
+        return lambda prompt: (200, f"{len(prompt)} characters") if len(prompt) < 1500 else (413, "too long")
+
+    prompts = S.rag_prompts(requests(spark, sf), retrieved(spark, sf), templates(spark), COLLECTION)
+    return S.answers(prompts, make_client).select("query_id", "status", "answer")
+
+
 QUERIES = {
+    "collection_listing": collection_listing,
+    "stored_search": stored_search,
+    "collections": collections,
+    "stream_ingest": stream_ingest,
+    "stream_prompts": stream_prompts,
+    "rag_answers": rag_answers,
     "loader_dispatch": loader_dispatch,
     "load_plaintext": load_plaintext,
     "load_web_pages": load_web_pages,

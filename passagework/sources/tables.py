@@ -12,5 +12,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_for_compute(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
-    """Pruned scan that fills the cores; only a table too small to split is rebalanced."""
-    return spread(read_table(spark, folder, name).select(*columns))
+    """Pruned scan that fills the cores; only a table too small to split is rebalanced, by its
+    first column."""
+    return spread(read_table(spark, folder, name).select(*columns), columns[0])

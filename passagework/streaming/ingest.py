@@ -23,32 +23,32 @@ def file_stream(spark: SparkSession, folder: str, max_files: int | None = None)
 
 
 def start_ingest(
-    spark: SparkSession,
-    folder: str,
+    files: DataFrame,
     collection: Collection,
     loaders: list[Loader],
     checkpoint: str,
     *,
     stream_name: str = "files",
-    max_files: int | None = None,
+    ingest_date: int | None = None,
     processing_time: str | None = None,
     on_batch: Callable[[str, dict[str, int]], None] | None = None,
 ) -> StreamingQuery:
-    """Ingest what is new in ``folder`` and stop, or keep polling with ``processing_time``.
+    """Ingest what is new in a stream of (path, content) and stop, or keep polling with
+    ``processing_time``.
 
     The checkpoint remembers the files taken. A batch replayed after a failure overwrites its own
     folder, so nothing is stored twice. ``on_batch`` receives the rows written per table.
     """
 
-    def store(files: DataFrame, batch_id: int) -> None:
+    def store(batch: DataFrame, batch_id: int) -> None:
         name = f"{stream_name}-{batch_id}"
-        counts = collection.ingest_files(files, loaders, name)
+        counts = collection.ingest_files(batch, loaders, name, ingest_date)
         if on_batch is not None:
             on_batch(name, counts)
 
     trigger = {"processingTime": processing_time} if processing_time else {"availableNow": True}
     return (
-        file_stream(spark, folder, max_files).writeStream.foreachBatch(store)
+        files.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 

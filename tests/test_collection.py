@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from passagework.plans import ingest as I
 from passagework.plans.collection import Collection, list_collections
 from passagework.sources import files as S
-from passagework.streaming.ingest import progress, start_ingest
+from passagework.streaming.ingest import file_stream, progress, start_ingest
 from passagework.streaming.prompts import start_prompts
 from tests.test_sources import LOADERS, site
 
@@ -93,7 +93,7 @@ def test_stream_equals_batch_and_replays_nothing(spark, tmp_path, folder):
     seen = []
 
     def run():
-        q = start_ingest(spark, str(folder), c, LOADERS, str(tmp_path / "ckpt"), on_batch=lambda b, n: seen.append((b, n)))
+        q = start_ingest(file_stream(spark, str(folder)), c, LOADERS, str(tmp_path / "ckpt"), on_batch=lambda b, n: seen.append((b, n)))
         assert q.awaitTermination(300)
         return progress(q)
 
