@@ -32,9 +32,11 @@ MAX_BROADCAST_BYTES = 128 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; in local mode a scratch one if unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="passagework-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -42,16 +44,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def is_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether all rows together fit a broadcast: one aggregate over ``df``."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    return df.select(size.alias("bytes")).first()["bytes"] <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast after measuring the rows; above the bound Spark shuffles both sides.
 
-    Meant for dimensions that can be scanned on their own (templates, display names,
-    delete keys): the measure is one aggregate over ``df``.
+    Meant for dimensions that can be scanned on their own: display names, delete keys, hit keys.
     """
-    size = df.select(
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")
-    ).first()["b"]
-    return F.broadcast(df) if size <= max_bytes else df
+    return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
 def spread(df: DataFrame, key: str, bytes_per_task: int = 32 << 20) -> DataFrame:

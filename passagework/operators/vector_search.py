@@ -14,6 +14,7 @@ bounded broadcast, and the passes are unioned. No query or chunk is dropped.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -28,7 +29,7 @@ from passagework.config import MAX_BROADCAST_BYTES, MIN_SCORE, REFERENCE_LIMIT,
 _CHUNKS_PER_BLOCK = 2048
 _QUERIES_PER_BLOCK = 1024
 _PAIRS_AT_ONCE = 8192
-_ROWS_PER_BUCKETING = 65_536
+_ROWS_PER_BUCKETING = 32_768
 _BLOCK_SCHEMA = "keys array<int>, block binary"
 
 
@@ -80,7 +81,6 @@ def top_k_similar_lsh(
     min_score: float = MIN_SCORE,
     bits: int = 8,
     radius: int = 3,
-    seed: int = 7,
     measured: tuple[int, int] | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
@@ -90,7 +90,7 @@ def top_k_similar_lsh(
     Each chunk sits in one bucket, so no pair is scored twice and chunks are not replicated.
     With ``radius == bits`` the result equals the exact search.
     """
-    planes = np.random.default_rng(seed).standard_normal((dim, bits))
+    planes = _planes(dim, bits)
     flips = np.array([b for b in range(1 << bits) if b.bit_count() <= radius], dtype=np.int64)
 
     def bucket(matrix):
@@ -123,6 +123,13 @@ def top_k_similar_lsh(
     return _rank(found, query_id, chunk_key, k)
 
 
+def _planes(dim: int, bits: int) -> np.ndarray:
+    """Normals of random hyperplanes with entries +1 and -1, drawn from the hash of their place."""
+    signs = [[hashlib.md5(f"{d}:{b}".encode(), usedforsecurity=False).digest()[0] < 128 for b in range(bits)]
+             for d in range(dim)]
+    return np.where(np.array(signs), 1.0, -1.0)
+
+
 def measure(queries: DataFrame, query_id: str = "query_id") -> tuple[int, int]:
     """Number of queries and bytes of their ids: with the dimension, the size of their blocks."""
     length = F.octet_length(F.col(query_id).cast("string"))

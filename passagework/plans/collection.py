@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagework import schemas
 from passagework.config import CRAWL_DEPTH, ensure_checkpoint_dir, spread
@@ -54,9 +55,18 @@ def list_collections(spark: SparkSession, root: str) -> DataFrame:
 class Collection:
     """One named collection. Methods that read return DataFrames; methods that write run jobs."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str, encoder=I.DEFAULT_ENCODER):
+    def __init__(
+        self, spark: SparkSession, root: str, name: str, encoder=I.DEFAULT_ENCODER,
+        document_fields: T.StructType | None = None, page_fields: T.StructType | None = None,
+    ):
         self.spark, self.root, self.name = spark, root.rstrip("/"), check_collection_name(name)
         self.encoder = encoder
+        # fields that the collection's loaders add; NULL for rows of other loaders
+        self.schemas = {
+            **schemas.TABLES,
+            "documents": schemas.extend(schemas.DOCUMENTS, document_fields),
+            "pages": schemas.extend(schemas.PAGES, page_fields),
+        }
         self.path = f"{self.root}/{self.name}"
 
     # ---- catalog
@@ -87,10 +97,10 @@ class Collection:
 
     def table(self, name: str) -> DataFrame:
         """Live rows of documents, pages, chunks or binaries."""
-        schema = schemas.TABLES[name]
+        schema = self.schemas[name]
         base = f"{self.path}/{name}"
-        paths = [f"{base}/batch={b}" for b in self.batches()]
-        paths = [p for p in paths if _exists(self.spark, p)]
+        written = {p.rsplit("/", 1)[1]: p for p in _glob(self.spark, f"{base}/batch=*")}
+        paths = [written[f"batch={b}"] for b in self.batches() if f"batch={b}" in written]
         if not paths:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.names)
@@ -173,7 +183,8 @@ class Collection:
 
     def copy_to(self, name: str, batch: str = "copy") -> Collection:
         """Write the live rows into another collection as one batch."""
-        other = Collection(self.spark, self.root, name, self.encoder).create()
+        other = Collection(self.spark, self.root, name, self.encoder)
+        other.schemas = self.schemas
         for table in ("chunks", "pages", "binaries", "documents"):
             other._save(self.table(table), table, batch)
         return other
@@ -206,8 +217,10 @@ class Collection:
     def _save(self, rows: DataFrame, table: str, batch: str) -> int:
         self.create()
         seen = Observation()
+        rows = rows.withColumns({
+            f.name: F.lit(None).cast(f.dataType) for f in self.schemas[table] if f.name not in rows.columns})
         (
-            rows.select(*schemas.TABLES[table].names).observe(seen, F.count(F.lit(1)).alias("rows"))
+            rows.select(*self.schemas[table].names).observe(seen, F.count(F.lit(1)).alias("rows"))
             .write.mode("overwrite").partitionBy("type").parquet(f"{self.path}/{table}/batch={batch}")
         )
         return seen.get.get("rows", 0)

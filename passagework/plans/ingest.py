@@ -18,15 +18,16 @@ DEFAULT_ENCODER = HashingEncoder()
 
 
 def documents_of(parsed: DataFrame) -> DataFrame:
-    """One row per document, also for those without pages."""
-    return parsed.select(*schemas.DOCUMENTS.names)
+    """One row per document, also for those without pages; fields that loaders add come last."""
+    known = schemas.DOCUMENTS.names
+    return parsed.select(*known, *[c for c in parsed.columns if c not in {*known, "pages", "content"}])
 
 
 def pages_of(parsed: DataFrame) -> DataFrame:
     """One row per page with its position; ``content`` travels along for chunking."""
     return parsed.select("doc_id", "type", F.posexplode("pages").alias("page_no", "p")).select(
         F.concat_ws("/", "doc_id", "page_no").alias("page_id"), "doc_id", "type",
-        F.col("page_no").cast("bigint").alias("page_no"), *[f"p.{f}" for f in schemas.PAGE.names],
+        F.col("page_no").cast("bigint").alias("page_no"), "p.*",
     )
 
 

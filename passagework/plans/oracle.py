@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from passagework.config import (
-    CHUNK_OVERLAP, CHUNK_SIZE, MIN_SCORE, PAGE_OVERLAP, PAGE_SIZE, REFERENCE_LIMIT, VECTOR_DIM,
+    LISTING_CAP, CHUNK_OVERLAP, CHUNK_SIZE, MIN_SCORE, PAGE_OVERLAP, PAGE_SIZE, REFERENCE_LIMIT, VECTOR_DIM,
 )
 
 # fixed value: code points that strip() removes
@@ -356,6 +356,21 @@ scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, round((1 + list_inner_product(q.e, c.e) / sqrt(c.s * q.s)) / 2, 9) AS score
   FROM n q, n c
 )
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+               FROM scored WHERE score >= 0.65) WHERE rank <= 5""",
+    "knn_lsh": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+entry AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS d FROM v),
+side AS (
+  SELECT vec_id, b, sum(CASE WHEN substr(md5(d || ':' || b), 1, 1) < '8' THEN x ELSE -x END) > 0 AS up
+  FROM entry, range(8) t(b) GROUP BY vec_id, b
+),
+bucket AS (SELECT vec_id, sum(CASE WHEN up THEN 1 << b ELSE 0 END)::BIGINT AS code FROM side GROUP BY vec_id),
+n AS (SELECT vec_id, e, code, list_inner_product(e, e) AS s FROM v JOIN bucket USING (vec_id)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, round((1 + list_inner_product(q.e, c.e) / sqrt(c.s * q.s)) / 2, 9) AS score
+  FROM n q, n c WHERE bit_count(xor(q.code, c.code)) <= 3
+)
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
                FROM scored WHERE score >= 0.65) WHERE rank <= 5""",
     "hits_with_pages": f"""WITH {_HITS}
@@ -383,7 +398,7 @@ SELECT query_id, '{NO_SOURCES}' AS answer FROM query WHERE query_id NOT IN (SELE
 SELECT doc_id, index, page_count, vector_count, 'id: ' || doc_id || ', source: ' || source || ', type: ' || type
   || ', pages: ' || page_count || ', vectors: ' || vector_count AS line FROM counted""",
     "list_documents_limited": f"""WITH {_LISTING_BASE}
-SELECT doc_id, source, page_count, vector_count FROM counted ORDER BY source, doc_id LIMIT 100""",
+SELECT doc_id, source, page_count, vector_count FROM counted ORDER BY source, doc_id LIMIT {LISTING_CAP}""",
     "page_counts": f"WITH {_ALL_BASE} SELECT type, doc_id, count(*) AS page_count FROM all_page GROUP BY ALL",
     "vector_counts": f"""WITH {_ALL_BASE}, {_TEXT_CHUNK.lstrip()}, {_WEB_CHUNK.lstrip()}
 SELECT type, doc_id, count(*) AS vector_count FROM (SELECT 'plaintext' AS type, key AS doc_id FROM chunk

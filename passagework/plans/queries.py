@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.config import NO_SOURCES_MESSAGE, PAGE_OVERLAP, PAGE_SIZE, ensure_checkpoint_dir, stable_id
+from passagework.config import LISTING_CAP, NO_SOURCES_MESSAGE, PAGE_OVERLAP, PAGE_SIZE, ensure_checkpoint_dir, stable_id
 from passagework.functions import citations as C
 from passagework.functions.chunking import explode_chunks
 from passagework.functions.embedding import add_vectors
@@ -34,7 +34,6 @@ COLLECTION = "corpus"
 INGEST_DATE = 1_700_000_000_000
 DENSE_MIN_SCORE = 0.65
 DENSE_DIM = 64
-LISTING_LIMIT = 100
 
 TEMPLATES = [
     ("task", "question", "What would you like to know?", "Answer the user input from the context alone."),
@@ -400,7 +399,7 @@ def list_documents(spark, sf):
 
 def list_documents_limited(spark, sf):
     listed = M.list_documents(all_documents(spark, sf), all_pages(spark, sf), all_plain_chunks(spark, sf),
-                              COLLECTION, LISTING_LIMIT)
+                              COLLECTION, LISTING_CAP)
     return listed.select("doc_id", "source", "page_count", "vector_count")
 
 

@@ -7,6 +7,11 @@ from pyspark.sql import types as T
 _S, _L = T.StringType(), T.LongType()
 
 
+def extend(schema: T.StructType, fields: T.StructType | None) -> T.StructType:
+    """``schema`` with the further fields that loaders declare."""
+    return T.StructType([*schema.fields, *(f for f in fields or [] if f.name not in schema.names)])
+
+
 def _struct(**fields) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields.items()])
 

@@ -22,7 +22,6 @@ from passagework.functions.chunking import split_text
 from passagework.functions.paths import base_name, extension, local_path
 
 _HEAD_BYTES = 1024
-PAGES_TYPE = T.ArrayType(schemas.PAGE)
 
 
 @dataclass(frozen=True)
@@ -31,7 +30,8 @@ class Loader:
     can_load: Callable[[Column, Column], Column]  # (path, content) -> boolean
     extract: Callable[[Column, Column], Column]  # (path, content or NULL) -> array of pages or NULL
     media_type: str | None = None
-    extra: dict[str, Callable[[Column], Column]] = field(default_factory=dict)  # document column -> of path
+    extra: dict[str, Callable[[Column], Column]] = field(default_factory=dict)  # string document column -> of path
+    page_fields: T.StructType = field(default_factory=T.StructType)  # of a page, besides the usual ones
 
 
 def is_text_content(content: Column) -> Column:
@@ -66,32 +66,37 @@ def paged_loader(
     doc_type: str,
     suffix: str,
     media_type: str,
-    read_pages: Callable[[bytes], list[str]],
+    read_pages: Callable[[bytes], list[str] | list[dict]],
+    page_fields: T.StructType | None = None,
     size: int = PAGE_SIZE,
     overlap: int = PAGE_OVERLAP,
 ) -> Loader:
-    """Files that a user-given decoder turns into page texts. Long pages are split into several
-    rows that keep the 1-based page number; a decoder that raises lets the next loader try."""
+    """Files that a user-given decoder turns into page texts, or into dicts of ``content`` and
+    further ``page_fields``. Long pages are split into several rows that keep the 1-based page
+    number; a decoder that raises lets the next loader try."""
+    page_type = schemas.extend(schemas.PAGE, page_fields)
+    blank = dict.fromkeys(page_type.names)
 
-    @F.pandas_udf(PAGES_TYPE)
+    @F.pandas_udf(T.ArrayType(page_type))
     def extract_pages(content: pd.Series) -> pd.Series:
         def one(data):
             if data is None:
                 return None
             try:
-                texts = read_pages(bytes(data))
+                pages = [p if isinstance(p, dict) else {"content": p} for p in read_pages(bytes(data))]
             except Exception:
                 return None
             return [
-                {"page": n, "title": None, "language": None, "source": None, "content": part}
-                for n, text in enumerate(texts, 1)
-                for part in split_text(text, size, overlap)
+                {**blank, "page": n, **page, "content": part}
+                for n, page in enumerate(pages, 1)
+                for part in split_text(page["content"], size, overlap)
             ]
 
         return content.map(one, na_action=None)
 
     return Loader(doc_type, lambda path, content: path.endswith(suffix),
-                  lambda path, content: extract_pages(content), media_type)
+                  lambda path, content: extract_pages(content), media_type,
+                  page_fields=page_fields or T.StructType())
 
 
 def pdf_loader(read_pages: Callable[[bytes], list[str]]) -> Loader:
@@ -121,6 +126,17 @@ def with_display_names(files: DataFrame, names: DataFrame) -> DataFrame:
     return files.join(broadcast_if_small(names.select("path", "name")), "path", "left")
 
 
+def _common_pages(pages: Column, loader: Loader, fields: T.StructType) -> Column:
+    """A loader's pages with the fields of all loaders, so that they fit one column."""
+    if set(loader.page_fields.names) >= set(fields.names):
+        return pages
+    own = {*schemas.PAGE.names, *loader.page_fields.names}
+    return F.transform(pages, lambda p: F.struct(*[
+        (p[f.name] if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schemas.extend(schemas.PAGE, fields)
+    ]))
+
+
 def load_files(files: DataFrame, loaders: list[Loader], collection: str, ingest_date: Column | int) -> DataFrame:
     """Documents with their pages: one row per file, ``type`` NULL where no loader succeeded.
 
@@ -128,9 +144,13 @@ def load_files(files: DataFrame, loaders: list[Loader], collection: str, ingest_
     """
     path, content = F.col("path"), F.col("content")
     date = F.lit(ingest_date) if isinstance(ingest_date, int) else ingest_date
+    page_fields = T.StructType(list({f.name: f for ld in loaders for f in ld.page_fields}.values()))
+    extras = list(dict.fromkeys(["extension", *(name for ld in loaders for name in ld.extra)]))
     # an extractor sees only the bytes its predicate lets through
     tried = files.withColumns({
-        f"__pages{i}": ld.extract(path, F.when(ld.can_load(path, content), content)) for i, ld in enumerate(loaders)
+        f"__pages{i}": _common_pages(
+            ld.extract(path, F.when(ld.can_load(path, content), content)), ld, page_fields)
+        for i, ld in enumerate(loaders)
     })
 
     def by_loader(value: Callable[[Loader], Column | None]) -> Column:
@@ -148,7 +168,7 @@ def load_files(files: DataFrame, loaders: list[Loader], collection: str, ingest_
         date.cast("bigint").alias("ingest_date"),
         shown.alias("filename"),
         by_loader(lambda ld: F.lit(ld.media_type).cast("string")).alias("media_type"),
-        by_loader(lambda ld: ld.extra["extension"](path) if "extension" in ld.extra else None).alias("extension"),
+        *[by_loader(lambda ld, x=x: ld.extra[x](path) if x in ld.extra else None).alias(x) for x in extras],
         F.coalesce(*[F.col(f"__pages{i}") for i in range(len(loaders))]).alias("pages"),
         content,
     )

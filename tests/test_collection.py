@@ -1,7 +1,9 @@
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagework.plans import ingest as I
 from passagework.plans.collection import Collection, list_collections
@@ -76,6 +78,28 @@ def test_uncommitted_batch_is_not_seen(spark, tmp_path, folder):
     assert c.pages().count() == 3
 
 
+def test_loaders_may_add_fields(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "talk.srt").write_bytes(b"anna:hello there\nbob:good day")
+    (src / "a.txt").write_text("plain")
+    fields = T.StructType([T.StructField("speaker", T.StringType())])
+
+    def read_turns(data):
+        return [dict(zip(("speaker", "content"), line.split(":"))) for line in data.decode().splitlines()]
+
+    talk = replace(S.paged_loader("talk", ".srt", "text/srt", read_turns, fields),
+                   extra={"folder": lambda path: F.regexp_extract(path, "([^/]+)/[^/]+$", 1)})
+    c = Collection(spark, str(tmp_path / "root"), "c", document_fields=T.StructType([T.StructField("folder", T.StringType())]),
+                   page_fields=fields)
+    c.ingest_folder(str(src), [talk, S.text_loader()], "1", DATE)
+    assert rows(c.pages().select("type", "page", "speaker").fillna("-").fillna(0)) == [
+        ("plaintext", 0, "-"), ("talk", 1, "anna"), ("talk", 2, "bob")]
+    assert rows(c.documents().select("type", "folder", "extension").fillna("-")) == [
+        ("plaintext", "-", ".txt"), ("talk", "src", "-")]
+    assert rows(c.chunks().select("text")) == [("good day",), ("hello there",), ("plain",)]
+
+
 def test_web_ingest(spark, tmp_path):
     c = Collection(spark, str(tmp_path / "root"), "web")
     roots = spark.createDataFrame([("http://s.example/",), ("",)], "url string")
