@@ -50,20 +50,20 @@ def top_k_similar(
 ) -> DataFrame:
     """Exact search: per query the best ``k`` chunks with ``(1 + cosine) / 2 >= min_score``.
 
-    Ranked by score, ties by ``chunk_key``. Returns query id, rank, score, key and ``carry``.
+    ``query_id`` is unique; NULL vectors match nothing. Ranked by score, ties by ``chunk_key``. Returns query id, rank, score, key and ``carry``.
     ``measured`` is the result of ``measure`` where the caller has it already.
     """
     n_queries, id_bytes = measured or measure(queries, query_id)
     passes = _passes(n_queries, id_bytes, dim, 1, max_broadcast_bytes)
     per_pass = math.ceil(n_queries / passes)
     n_blocks = max(1, math.ceil(per_pass / _QUERIES_PER_BLOCK))
-    packed = _pack_chunks(chunks, chunk_key, chunk_vector, carry or [], None, n_blocks)
+    packed = _pack_chunks(chunks, chunk_key, chunk_vector, carry or [], dim, None, n_blocks)
     found = []
     for i in range(passes):
-        part = _pass_of(queries, query_id, i, passes).select(query_id, query_vector)
+        part = _pass_of(queries, query_id, query_vector, i, passes).select(query_id, query_vector)
         blocks = part.repartition(n_blocks, query_id).mapInArrow(_pack_queries(query_vector), _BLOCK_SCHEMA)
         found.append(_score(blocks, packed, queries, chunks, query_id, query_vector, chunk_key, chunk_vector,
-                            carry or [], k, min_score))
+                            carry or [], dim, k, min_score))
     return _rank(found, query_id, chunk_key, k)
 
 
@@ -98,13 +98,13 @@ def top_k_similar_lsh(
 
     n_queries, id_bytes = measured or measure(queries, query_id)
     passes = _passes(n_queries, id_bytes, dim, len(flips), max_broadcast_bytes)
-    packed = _pack_chunks(chunks, chunk_key, chunk_vector, carry or [], bucket, None)
+    packed = _pack_chunks(chunks, chunk_key, chunk_vector, carry or [], dim, bucket, None)
     probe_schema = T.StructType([queries.schema[query_id], queries.schema[query_vector],
                                  T.StructField("probe", T.IntegerType(), False)])
 
     def probe(batches):
         for batch in batches:
-            home = bucket(_matrix(batch.column(query_vector), batch.num_rows).astype(np.float64))
+            home = bucket(_matrix(batch.column(query_vector), batch.num_rows, dim).astype(np.float64))
             rows = np.repeat(np.arange(batch.num_rows), len(flips))
             probes = (home[:, None] ^ flips[None, :]).ravel().astype(np.int32)
             taken = batch.select([query_id, query_vector]).take(pa.array(rows))
@@ -112,14 +112,14 @@ def top_k_similar_lsh(
 
     found = []
     for i in range(passes):
-        part = _pass_of(queries, query_id, i, passes).select(query_id, query_vector)
+        part = _pass_of(queries, query_id, query_vector, i, passes).select(query_id, query_vector)
         probes = part.mapInArrow(probe, probe_schema)
         blocks = (
             probes.repartition("probe").sortWithinPartitions("probe", query_id)
             .mapInArrow(_pack_queries(query_vector, "probe"), _BLOCK_SCHEMA)
         )
         found.append(_score(blocks, packed, queries, chunks, query_id, query_vector, chunk_key, chunk_vector,
-                            carry or [], k, min_score))
+                            carry or [], dim, k, min_score))
     return _rank(found, query_id, chunk_key, k)
 
 
@@ -141,12 +141,16 @@ def _passes(n_queries: int, id_bytes: int, dim: int, copies: int, max_bytes: int
     return max(1, math.ceil(copies * (n_queries * (dim * 4 + 16) + id_bytes) / max_bytes))
 
 
-def _pass_of(queries: DataFrame, query_id: str, i: int, passes: int) -> DataFrame:
+def _pass_of(queries: DataFrame, query_id: str, query_vector: str, i: int, passes: int) -> DataFrame:
+    queries = queries.filter(F.col(query_vector).isNotNull())
     return queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(passes)) == i)
 
 
-def _matrix(vectors: pa.Array, rows: int) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+def _matrix(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    if flat.size != rows * dim:
+        raise ValueError(f"vectors must have {dim} dimensions")
+    return flat.reshape(rows, dim)
 
 
 def _to_bytes(batch: pa.RecordBatch) -> bytes:
@@ -186,7 +190,7 @@ def _concat(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
                                       schema=table.schema)
 
 
-def _pack_chunks(chunks, chunk_key, chunk_vector, carry, bucket, n_blocks) -> DataFrame:
+def _pack_chunks(chunks, chunk_key, chunk_vector, carry, dim, bucket, n_blocks) -> DataFrame:
     """Blocks of chunks ordered by key; join key = every query block, or the block's own bucket."""
     columns = list(dict.fromkeys([*chunk_key, *carry]))
 
@@ -194,7 +198,7 @@ def _pack_chunks(chunks, chunk_key, chunk_vector, carry, bucket, n_blocks) -> Da
         for batch in batches if bucket is None else _gathered(batches):
             if not batch.num_rows:
                 continue
-            found = bucket and bucket(_matrix(batch.column(chunk_vector), batch.num_rows).astype(np.float64))
+            found = bucket and bucket(_matrix(batch.column(chunk_vector), batch.num_rows, dim).astype(np.float64))
             order = pa.table({c: batch.column(c) for c in chunk_key})
             sort = [(c, "ascending") for c in chunk_key]
             if found is not None:
@@ -214,7 +218,7 @@ def _pack_chunks(chunks, chunk_key, chunk_vector, carry, bucket, n_blocks) -> Da
                     yield _block_rows(batch, [key], [(at, min(_CHUNKS_PER_BLOCK, hi - at))])
 
     return (
-        chunks.select(*columns, chunk_vector)
+        chunks.filter(F.col(chunk_vector).isNotNull()).select(*columns, chunk_vector)
         .mapInArrow(run, _BLOCK_SCHEMA)
         .select(F.explode("keys").alias("key"), F.col("block").alias("chunk_block"))
     )
@@ -245,7 +249,7 @@ def _pack_queries(query_vector: str, bucket: str | None = None):
 
 
 def _score(query_blocks, chunk_blocks, queries, chunks, query_id, query_vector, chunk_key, chunk_vector,
-           carry, k, min_score) -> DataFrame:
+           carry, dim, k, min_score) -> DataFrame:
     columns = list(dict.fromkeys([*chunk_key, *carry]))
     schema = T.StructType([
         queries.schema[query_id], T.StructField("score", T.DoubleType(), False),
@@ -259,8 +263,8 @@ def _score(query_blocks, chunk_blocks, queries, chunks, query_id, query_vector,
                 chunk = _from_bytes(chunk_col[i].as_buffer())
                 query = _from_bytes(query_col[i].as_buffer())
                 ci, qi, score = _best(
-                    _matrix(chunk.column(chunk_vector), chunk.num_rows),
-                    _matrix(query.column(query_vector), query.num_rows), k, min_score)
+                    _matrix(chunk.column(chunk_vector), chunk.num_rows, dim),
+                    _matrix(query.column(query_vector), query.num_rows, dim), k, min_score)
                 if len(ci):
                     chunk = chunk.select(columns).take(pa.array(ci))
                     ids = query.column(query_id).take(pa.array(qi))

@@ -20,6 +20,7 @@ from passagework.config import CRAWL_DEPTH, ensure_checkpoint_dir, spread
 from passagework.functions.paths import check_collection_name
 from passagework.operators import management as M
 from passagework.plans import ingest as I
+from passagework.plans import search as S
 from passagework.sources import files as files_source
 from passagework.sources import web as web_source
 
@@ -96,7 +97,8 @@ class Collection:
         return sorted(p.split("/batch=")[1].split("/")[0] for p in done)
 
     def table(self, name: str) -> DataFrame:
-        """Live rows of documents, pages, chunks or binaries."""
+        """Live rows of documents, pages, chunks or binaries: committed batches without deleted
+        documents."""
         schema = self.schemas[name]
         base = f"{self.path}/{name}"
         written = {p.rsplit("/", 1)[1]: p for p in _glob(self.spark, f"{base}/batch=*")}
@@ -129,6 +131,16 @@ class Collection:
     def fetch_binary(self, doc_type: str, doc_id: str) -> DataFrame:
         return M.fetch_binary(self.binaries(), doc_type, doc_id)
 
+    # ---- searching
+
+    def search(self, queries: DataFrame, **options) -> DataFrame:
+        """Context and sources of every query that has hits."""
+        return S.retrieve(queries, self.chunks(), self.pages(), self.documents(), self.encoder, **options)
+
+    def prompts(self, queries: DataFrame, templates: DataFrame, on_empty: str = "message", **options) -> DataFrame:
+        """Citations and prompt of every query; ``queries`` as for ``rag_prompts``."""
+        return S.rag_prompts(queries, self.search(queries, **options), templates, self.name, on_empty)
+
     # ---- writing
 
     def ingest_files(
@@ -195,7 +207,7 @@ class Collection:
         path = f"{self.path}/deletions"
         if not _exists(self.spark, path):
             return None
-        return self.spark.read.schema(schemas.DELETIONS).parquet(path).distinct()
+        return self.spark.read.schema(schemas.DELETIONS).parquet(path)
 
     def _stage(self, rows: DataFrame, batch: str) -> DataFrame:
         """Parsed rows, written once: the tables read back only the columns they need."""

@@ -484,7 +484,7 @@ def collection_listing(spark, sf):
 def stored_search(spark, sf):
     """Search a stored collection of files and web pages, cite pages and documents."""
     collection = stored_corpus(spark, sf, scratch(spark))
-    found = S.retrieve(user_inputs(spark, sf), collection.chunks(), collection.pages(), collection.documents())
+    found = collection.search(user_inputs(spark, sf))
     return S.search_task(user_inputs(spark, sf), found, COLLECTION).select("query_id", "source_count", "answer")
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.config import CRAWL_DEPTH, PAGE_OVERLAP, PAGE_SIZE, ensure_checkpoint_dir, stable_id
+from passagework.config import (
+    CRAWL_DEPTH, PAGE_OVERLAP, PAGE_SIZE, broadcast_if_small, ensure_checkpoint_dir, stable_id,
+)
 from passagework.functions import html as H
 from passagework.functions.chunking import explode_chunks
 from passagework.operators.positions import dense_positions
@@ -22,7 +24,7 @@ def load_web(stored: DataFrame, collection: str, ingest_date: int, reached: Data
     if reached is None:
         rows = stored.select(F.col("url").alias("root"), F.lit(0).alias("depth"), "url", "html")
     else:
-        rows = reached.join(stored.select("url", "html"), "url").select("root", "depth", "url", "html")
+        rows = stored.select("url", "html").join(broadcast_if_small(reached), "url").select("root", "depth", "url", "html")
     described = rows.select(
         "root", "depth", F.col("url").alias("source"),
         H.title(F.col("html")).alias("title"), H.language(F.col("html")).alias("language"), "html",
@@ -60,20 +62,17 @@ def url_list(urls: DataFrame) -> DataFrame:
 
 
 def page_links(stored: DataFrame) -> DataFrame:
-    """Edges (url, target) of a stored page table, each once per page."""
-    found = stored.select("url", F.explode(H.links(F.col("html"))).alias("link"))
-    resolved = found.select("url", H.resolve(F.col("url"), F.col("link")).alias("target"))
-    return resolved.distinct()
+    """Edges (url, target) of a stored page table, each once per page; nothing is shuffled."""
+    targets = F.transform(H.links(F.col("html")), lambda link: H.resolve(F.col("url"), link))
+    return stored.select("url", F.explode(F.array_distinct(targets)).alias("target"))
 
 
-def crawl(
-    stored: DataFrame, roots: DataFrame, max_depth: int = CRAWL_DEPTH, checkpoint_every: int = 1
-) -> DataFrame:
+def crawl(stored: DataFrame, roots: DataFrame, max_depth: int = CRAWL_DEPTH) -> DataFrame:
     """(root, url, depth): stored pages reachable from each root by links that stay under it.
 
     A breadth-first frontier: each round joins the pages found last to the edges, keeps targets
-    that start with the root, and anti-joins what was seen. Pages found are written to the
-    checkpoint folder every round, so neither lineage nor recomputation grows with depth.
+    that start with the root, and anti-joins what was seen. The pages a round finds are written
+    to the checkpoint folder; what was seen is the union of these, so no round is computed twice.
     """
     spark = stored.sparkSession
     ensure_checkpoint_dir(spark)
@@ -97,6 +96,4 @@ def crawl(
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-        if depth % checkpoint_every == 0:
-            seen = seen.checkpoint()
     return seen

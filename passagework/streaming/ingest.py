@@ -54,7 +54,7 @@ def start_ingest(
 
 
 def progress(query: StreamingQuery) -> dict[str, int]:
-    """Batches finished and rows read by a stream so far."""
+    """Batches finished and rows read, over the progress reports that Spark retains."""
     seen = query.recentProgress
     return {
         "batches": len({p["batchId"] for p in seen if p["numInputRows"]}),

@@ -31,10 +31,7 @@ def start_prompts(
     def answer(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            found = S.retrieve(
-                batch, collection.chunks(), collection.pages(), collection.documents(),
-                collection.encoder, **search_options)
-            result = S.rag_prompts(batch, found, templates, collection.name)
+            result = collection.prompts(batch, templates, **search_options)
             if make_client is not None:
                 result = S.answers(result, make_client)
             result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

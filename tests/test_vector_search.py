@@ -65,6 +65,16 @@ def test_zero_vectors_and_low_scores_are_no_hits(spark):
     assert search(top_k_similar, q, c, min_score=0.1).count() == 0
 
 
+def test_null_vectors_match_nothing_and_wrong_dimensions_fail(spark):
+    one = [1.0] + [0.0] * (DIM - 1)
+    df = spark.createDataFrame([(1, one), (2, None)], "id long, v array<float>")
+    assert collect(search(top_k_similar, df, df)) == {1: [(1, 1.0)]}
+    assert collect(search(top_k_similar_lsh, df, df)) == {1: [(1, 1.0)]}
+    bad = spark.createDataFrame([(1, one), (2, [1.0])], "id long, v array<float>")
+    with pytest.raises(Exception, match="must have 16 dimensions"):
+        search(top_k_similar, df, bad).collect()
+
+
 def test_empty_sides(spark):
     _, q = make(spark, 5, 1)
     assert search(top_k_similar, q.limit(0), q).count() == 0
