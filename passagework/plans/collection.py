@@ -153,11 +153,13 @@ class Collection:
         """
         date = files_source.current_millis() if ingest_date is None else ingest_date
         parsed = files_source.load_files(files, loaders, self.name, date)
-        staged = self._stage(parsed, batch)
+        refused = Observation()
+        unloaded = F.coalesce(F.sum(F.col("type").isNull().cast("bigint")), F.lit(0))
+        staged = self._stage(parsed.observe(refused, unloaded.alias("rows")), batch)
         kept = files_source.loaded(staged)
         pages = I.pages_of(spread(kept, "doc_id"))
         counts = self._write(batch, I.documents_of(kept), pages, I.binaries_of(kept))
-        counts["rejected"] = files_source.rejected(staged).count()
+        counts["rejected"] = refused.get.get("rows", 0)
         self._unstage(batch)
         return counts
 

@@ -257,7 +257,7 @@ cited AS (
 SELECT query_id, coalesce(n, 0) AS source_count,
   CASE WHEN n > 0 THEN '{SOURCES_HEADING}' || {_NL2} || links ELSE '{NO_SOURCES}' END AS answer
 FROM query LEFT JOIN cited USING (query_id)""",
-    "collections": f"""
+    "list_collections": f"""
 SELECT 'texts' AS collection, 'document_vector' AS vector_column, {VECTOR_DIM} AS dim, count(*) AS documents FROM documents
 UNION ALL SELECT 'sites', 'document_vector', {VECTOR_DIM}, count(*) FROM pages""",
     "stream_ingest": f"""WITH {_LISTING_BASE}

@@ -488,7 +488,7 @@ def stored_search(spark, sf):
     return S.search_task(user_inputs(spark, sf), found, COLLECTION).select("query_id", "source_count", "answer")
 
 
-def collections(spark, sf):
+def list_collections_query(spark, sf):
     """A collection of text files and one of web pages, as the catalog lists them."""
     root = scratch(spark)
     texts, sites = Collection(spark, root, "texts"), Collection(spark, root, "sites")
@@ -534,12 +534,6 @@ def rag_answers(spark, sf):
 
 
 QUERIES = {
-    "collection_listing": collection_listing,
-    "stored_search": stored_search,
-    "collections": collections,
-    "stream_ingest": stream_ingest,
-    "stream_prompts": stream_prompts,
-    "rag_answers": rag_answers,
     "loader_dispatch": loader_dispatch,
     "load_plaintext": load_plaintext,
     "load_web_pages": load_web_pages,
@@ -585,4 +579,10 @@ QUERIES = {
     "fetch_binary": fetch_binary,
     "delete_documents": delete_documents,
     "delete_count": delete_count,
+    "collection_listing": collection_listing,
+    "stored_search": stored_search,
+    "list_collections": list_collections_query,
+    "stream_ingest": stream_ingest,
+    "stream_prompts": stream_prompts,
+    "rag_answers": rag_answers,
 }

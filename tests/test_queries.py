@@ -25,5 +25,11 @@ def test_query(spark, con, name):
     assert diff is None and n > 0
 
 
+def test_functions_travel_with_their_tasks():
+    from pyspark import cloudpickle
+
+    assert "passagework" in cloudpickle.list_registry_pickle_by_value()
+
+
 def test_entry(spark):
     assert E.entry(spark).count() > 0
