@@ -45,15 +45,14 @@ def top_k_similar(
     dim: int,
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
-    measured: tuple[int, int] | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Exact search: per query the best ``k`` chunks with ``(1 + cosine) / 2 >= min_score``.
 
-    ``query_id`` is unique; NULL vectors match nothing. Ranked by score, ties by ``chunk_key``. Returns query id, rank, score, key and ``carry``.
-    ``measured`` is the result of ``measure`` where the caller has it already.
+    ``query_id`` is unique; NULL vectors match nothing. Ranked by score, ties by ``chunk_key``.
+    Returns query id, rank, score, key and ``carry``.
     """
-    n_queries, id_bytes = measured or measure(queries, query_id)
+    n_queries, id_bytes = _measure(queries, query_id)
     passes = _passes(n_queries, id_bytes, dim, 1, max_broadcast_bytes)
     per_pass = math.ceil(n_queries / passes)
     n_blocks = max(1, math.ceil(per_pass / _QUERIES_PER_BLOCK))
@@ -81,7 +80,6 @@ def top_k_similar_lsh(
     min_score: float = MIN_SCORE,
     bits: int = 8,
     radius: int = 3,
-    measured: tuple[int, int] | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Approximate search: random-hyperplane buckets, queries probe all buckets that differ in
@@ -96,7 +94,7 @@ def top_k_similar_lsh(
     def bucket(matrix):
         return (matrix @ planes > 0) @ (1 << np.arange(bits))
 
-    n_queries, id_bytes = measured or measure(queries, query_id)
+    n_queries, id_bytes = _measure(queries, query_id)
     passes = _passes(n_queries, id_bytes, dim, len(flips), max_broadcast_bytes)
     packed = _pack_chunks(chunks, chunk_key, chunk_vector, carry or [], dim, bucket, None)
     probe_schema = T.StructType([queries.schema[query_id], queries.schema[query_vector],
@@ -130,7 +128,7 @@ def _planes(dim: int, bits: int) -> np.ndarray:
     return np.where(np.array(signs), 1.0, -1.0)
 
 
-def measure(queries: DataFrame, query_id: str = "query_id") -> tuple[int, int]:
+def _measure(queries: DataFrame, query_id: str) -> tuple[int, int]:
     """Number of queries and bytes of their ids: with the dimension, the size of their blocks."""
     length = F.octet_length(F.col(query_id).cast("string"))
     return tuple(queries.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first())

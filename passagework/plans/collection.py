@@ -25,6 +25,11 @@ from passagework.sources import files as files_source
 from passagework.sources import web as web_source
 
 _MARKER = "catalog"
+# ids are hashes, so row groups have no useful ranges: lookups of one document skip by Bloom filter
+_DOC_ID_FILTERS = {
+    "parquet.bloom.filter.enabled#doc_id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
 
 
 def _path(spark: SparkSession, path: str):
@@ -235,6 +240,7 @@ class Collection:
             f.name: F.lit(None).cast(f.dataType) for f in self.schemas[table] if f.name not in rows.columns})
         (
             rows.select(*self.schemas[table].names).observe(seen, F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite").partitionBy("type").parquet(f"{self.path}/{table}/batch={batch}")
+            .write.mode("overwrite").partitionBy("type").options(**_DOC_ID_FILTERS)
+            .parquet(f"{self.path}/{table}/batch={batch}")
         )
         return seen.get.get("rows", 0)

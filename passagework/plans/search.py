@@ -13,7 +13,7 @@ from passagework.functions.embedding import add_vectors
 from passagework.operators.generate import generate
 from passagework.operators.prompts import attach_templates, prepare_prompt
 from passagework.operators.retrieval import hits_with_documents, hits_with_pages, retrieval_sources
-from passagework.operators.vector_search import measure, top_k_similar
+from passagework.operators.vector_search import top_k_similar
 from passagework.plans.ingest import DEFAULT_ENCODER
 from passagework.schemas import CHUNK_KEY
 
@@ -33,11 +33,15 @@ def semantic_search(
     """Ranked hits of every query: query_id, rank, score, chunk key, page_id, text.
 
     ``queries`` has query_id and user_input; ``search`` may be the exact or the hashed search.
+    The query vectors are written once: a slow encoder runs neither inside a broadcast nor again
+    for every pass over the chunks.
     """
+    ensure_checkpoint_dir(queries.sparkSession)
     vectors = add_vectors(queries.select("query_id", "user_input"), "user_input", encoder, "query_vector")
+    vectors = vectors.select("query_id", "query_vector").checkpoint()
     return search(
         vectors, chunks, chunk_key=CHUNK_KEY, carry=["page_id", "text"], dim=encoder.dim,
-        k=k, min_score=min_score, measured=measure(queries), **options,
+        k=k, min_score=min_score, **options,
     )
 
 

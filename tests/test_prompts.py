@@ -6,6 +6,7 @@ from passagework.config import NO_SOURCES_MESSAGE
 from passagework.operators import retrieval as R
 from passagework.operators.generate import generate
 from passagework.operators.prompts import attach_templates, prepare_prompt
+from passagework.operators.vector_search import top_k_similar_lsh
 from passagework.plans import search as S
 
 TEMPLATES = [
@@ -101,6 +102,19 @@ def test_limit_threshold_and_orphans(spark):
     assert unbounded.count() == 3
 
 
+def test_search_kinds_agree(spark):
+    _, _, chunks = corpus(spark)
+    rows = [(i, t) for i, t in enumerate(["red", "blue green", "red blue green", "other", "", "words red"])]
+    q = spark.createDataFrame(rows, "query_id int, user_input string")
+
+    def run(**options):
+        return sorted((r.query_id, r["rank"], r.doc_id, r.chunk_no, r.score) for r in S.semantic_search(q, chunks, min_score=0.6, **options).collect())
+
+    exact = run()
+    assert exact and exact == run(search=top_k_similar_lsh, bits=4, radius=4)
+    assert exact == run(max_broadcast_bytes=4000)
+
+
 def test_generate_calls_each_prompt_once_in_order(spark):
     df = spark.range(500).select(F.col("id"), F.when(F.col("id") % 10 != 0, F.concat(F.lit("p"), "id")).alias("prompt"))
     got = generate(df, lambda: lambda p: (200, p.upper()), rows_per_call=7).collect()
