@@ -98,11 +98,11 @@ LEFT JOIN (SELECT a, count(*) AS n FROM edges GROUP BY a) c ON c.a = v.vec_id"""
     "op4_minhash_dedup": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}'), x -> x <> '') AS w FROM documents),
+    'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}'), lambda x: x <> '') AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, sh FROM (
     SELECT doc_id, unnest(list_transform(range(1, greatest(len(w), 2)),
-      i -> array_to_string(w[i:i + 1], ' '))) AS sh FROM w WHERE len(w) > 0)),
+      lambda i: array_to_string(w[i:i + 1], ' '))) AS sh FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id
           GROUP BY ALL),
@@ -114,7 +114,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN lowest ON lowest.node = d.doc_id""",
     "op9_substring_dedup": f"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}'), lambda x: x <> '') AS w FROM documents),
 windows AS (
   SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM
     (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
