@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from passagework.llm.shared import Scratch, arrow_rows, components, mix, ngram_hashes, text_slices, word_hashes
 
-BANDS = 56
+BANDS = 40
 ROWS_PER_BAND = 5
 MANTISSA_BITS = 10
 # a canopy links from LOOSE on, and a member leaves the round from TIGHT on; the gap is the distance that a pair at the
@@ -108,14 +108,23 @@ def candidate_edges(classes: DataFrame, bands: int, rows: int, canopy_rows: int)
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                        lambda i: F.xxhash64(i, F.substr("registers", i * size + 1, F.lit(size))))
     keyed = classes.select("id", F.explode(keys).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("lowest")).filter("members > 1")
+    shared = keyed.groupBy("key").agg(
+        F.count("*").alias("members"), F.min("id").alias("lowest"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("members > 1")
+    # keys with the very same members ask the same question
+    shared = shared.groupBy("members", "lowest", "who").agg(F.min("key").alias("key")).drop("who")
     met = keyed.join(shared, "key")
     large = met.filter((F.col("members") > canopy_rows) & (F.col("id") != F.col("lowest"))).select(
         F.col("lowest").alias("a"), F.col("id").alias("b"))
     small = met.filter(F.col("members") <= canopy_rows).select("key", "id", "members")
     with_sketch = small.join(classes.select("id", "n", "registers"), "id")
     dealt = with_sketch.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "n", "registers")
-    return dealt.mapInArrow(_canopies, "a long, b long").unionAll(large).distinct()
+    near = dealt.mapInArrow(_canopies, "a long, b long")
+    # a member has few centres, at most some per band: it stays with the lowest one, which the others join
+    centres = near.unionAll(large).groupBy("b").agg(F.collect_set("a").alias("centres"))
+    lowest = F.array_min("centres")
+    return centres.select(lowest.alias("a"), F.explode(F.concat("centres", F.array("b"))).alias("b")).filter(
+        "a <> b").distinct()
 
 
 def _canopies(batches):
