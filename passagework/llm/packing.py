@@ -9,6 +9,7 @@ size of the input, and no group depends on a document, source or key.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -22,9 +23,11 @@ from passagework.llm.shared import Scratch, arrow_rows, file_bytes, text_slices
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 GROUP_PIECES = 32_768
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CACHED_LENGTH = 64
-# fixed values: characters that Python splits at, but that are not white space to the tokenizer
+# letters whose lower case and composed form are one Latin-1 letter each, then marks that no contraction starts with
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|]*)").fullmatch
+# characters that Python splits at, but that are not white space to the tokenizer
 _CONTROL_BREAKS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -43,10 +46,45 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
 
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.cores: dict[str, bytes] = {}
+
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [array("I", f.ids).tobytes() for f in found]
 
+    def _pieces(self, pieces: list[str]) -> None:
+        """Ids of letter runs and of punctuation runs, many in one text; each ends with the one id that ends a word."""
+        for lo in range(0, len(pieces), 4096):
+            some = pieces[lo:lo + 4096]
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+            raw = ids.tobytes()
+            if len(cuts) == len(some) and (not len(cuts) or cuts[-1] == len(raw)):
+                found = [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+            else:
+                found = self._library(some)
+            self.cores.update(zip(some, found))
+
+    def _learn(self, words: list[str]) -> None:
+        """Put words into the cache. A word of Latin-1 letters and then punctuation has the ids of its lower-case letters
+        and of its punctuation; every other word goes through the library as it is."""
+        simple, other = [], []
+        for word in words:
+            m = _SIMPLE(word)
+            if m:
+                simple.append((word, m[1].lower(), m[2]))
+            else:
+                other.append(word)
+        known = self.cores
+        self._pieces([p for p in {p for _, core, tail in simple for p in (core, tail)} if p and p not in known])
+        known[""] = b""
+        self.cache.update((word, known[core] + known[tail]) for word, core, tail in simple)
+        self.cache.update(zip(other, self._library(other)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not any(c in t for c in _CONTROL_BREAKS) for t in texts]
         parts = [t.split() if ok else [] for t, ok in zip(texts, plain)]
@@ -54,9 +92,9 @@ class WordEncoder:
         new = set().union(*parts).difference(known)
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
+            self.cores.clear()
             new = set().union(*parts)
-        new = list(new)
-        known.update(zip(new, self._library(new)))
+        self._learn(list(new))
         out = [b"".join(map(known.__getitem__, p)) if ok else self._library([t])[0]
                for t, p, ok in zip(texts, parts, plain)]
         for word in new:
