@@ -2,10 +2,10 @@
 
 1. Every window of words names its smallest 5-word hash (its minimizer), so equal windows of two documents name the same
    one. Minimizers that occur in more than one document are found by one aggregate over (hash, document) rows, a fifth of
-   the words; a bitmap of fixed size keeps them for the next scan. A wrong bit only costs work.
-2. The next scan writes fragments: runs of windows with a marked minimizer, with the words they cover. Fragments are
-   dealt by their smallest and largest 5-word hash, so a common 5-word phrase in many contexts does not meet in one task;
-   equal fragments are one row with the first and last document that hold them.
+   the words; a bitmap of fixed size keeps them for the next scan. That scan does the same with the hashes of the windows
+   that name them. A wrong bit only costs work.
+2. The next scan writes fragments: runs of marked windows with one minimizer, with the words they cover. Fragments are
+   dealt by that minimizer; equal fragments are one row with the first and last document that hold them.
 3. Each shard of fragments confirms the windows that occur in two documents, compiles them into an Aho-Corasick automaton
    over words and streams its fragments through it to locate every occurrence.
 4. Locations go back to the documents that hold the fragment, and each word covered by a window that starts in an earlier
@@ -41,29 +41,41 @@ def _sliding(values: np.ndarray, width: int, smaller=np.minimum) -> np.ndarray:
 
 
 def window_keys(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minimizer and routing key of every window of ``words``."""
+    """Minimizer and hash of every window of ``words``; the hash is made of phrases that cover the window."""
     if len(words) < window:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     size = min(PHRASE, window)
     phrases = ngram_hashes(word_hashes(words), size)
     low = _sliding(phrases, window - size + 1)
-    return low, mix(low) ^ _sliding(phrases, window - size + 1, np.maximum)
+    whole = np.zeros(len(low), np.uint64)
+    for at in [*range(0, window - size, size), window - size]:
+        with np.errstate(over="ignore"):
+            whole = mix(whole * np.uint64(0x9E3779B97F4A7C15) + phrases[at:at + len(low)])
+    return low, whole
+
+
+def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(BITMAP_BITS - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def recurring_bitmap(rows: DataFrame, window: int) -> np.ndarray:
-    """Bits of the minimizers that more than one document holds; its size is fixed, whatever the input."""
+def recurring_bitmap(rows: DataFrame, window: int, marked: np.ndarray | None = None) -> np.ndarray:
+    """Bits of the minimizers that more than one document holds, or of the windows whose minimizer is ``marked``. Its size
+    is fixed, whatever the input."""
+    marked = None if marked is None else rows.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches):
         for batch in text_slices(batches):
             found, owner = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                low = np.unique(window_keys(_words(text), window)[0])
-                found.append(low)
-                owner.append(np.full(len(low), i))
+                low, whole = window_keys(_words(text), window)
+                own = np.unique(low if marked is None else whole[_marked(marked.value, low)])
+                found.append(own)
+                owner.append(np.full(len(own), i))
             yield arrow_rows(["h", "doc"], [pa.array(np.concatenate(found).view(np.int64)),
                                             batch.column(0).take(pa.array(np.concatenate(owner)))])
 
@@ -78,7 +90,7 @@ def recurring_bitmap(rows: DataFrame, window: int) -> np.ndarray:
 
 
 def fragments(rows: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
-    """``(doc, text_hash, start, route, fragment)``: runs of marked windows that share a routing key."""
+    """``(doc, text_hash, start, route, fragment)``: runs of marked windows that share a minimizer."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
     names = ["doc", "text_hash", "start", "route", "fragment"]
 
@@ -88,9 +100,8 @@ def fragments(rows: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
             row, start, route, out = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = _words(text)
-                low, key = window_keys(words, window)
-                at = low & np.uint64(BITMAP_BITS - 1)
-                marked = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+                key, whole = window_keys(words, window)
+                marked = _marked(bits, whole)
                 if not marked.any():
                     continue
                 where = np.flatnonzero(marked)
@@ -157,7 +168,8 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     """``(doc, text_hash, starts)``: starts of windows that also start in a document with a smaller id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("text_hash")).filter("doc is not null")
-    found = scratch.write(fragments(rows, recurring_bitmap(rows, window), window).select(
+    windows = recurring_bitmap(rows, window, recurring_bitmap(rows, window))
+    found = scratch.write(fragments(rows, windows, window).select(
         "*", F.xxhash64("fragment").alias("f1"), F.xxhash64(F.lit("second"), "fragment").alias("f2")))
     shards = max(1, -(-found.count() // SHARD_FRAGMENTS))
     distinct = found.groupBy("route", "f1", "f2", "fragment").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
