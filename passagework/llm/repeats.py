@@ -28,6 +28,7 @@ WINDOW = 13
 PHRASE = 5
 BITMAP_BITS = 1 << 27
 SHARD_FRAGMENTS = 20_000
+_BLOCK_CELLS = 4096
 
 
 def _sliding(values: np.ndarray, width: int, smaller=np.minimum) -> np.ndarray:
@@ -83,9 +84,18 @@ def recurring_bitmap(rows: DataFrame, window: int, marked: np.ndarray | None = N
         F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
     bit = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
     cells = met.groupBy(F.shiftright(bit, 6).alias("cell")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toPandas()
+        F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        block = np.zeros(_BLOCK_CELLS, np.uint64)
+        cell = table.column("cell").to_numpy()
+        block[cell % _BLOCK_CELLS] = table.column("bits").to_numpy().view(np.uint64)
+        return pa.table({"block": pa.array(cell[:1] // _BLOCK_CELLS), "bits": pa.array([block.tobytes()], pa.binary())})
+
+    blocks = cells.groupBy(F.expr(f"cell div {_BLOCK_CELLS}").alias("b")).applyInArrow(pack, "block long, bits binary")
     bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
-    bitmap[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    for row in blocks.collect():
+        bitmap[row["block"] * _BLOCK_CELLS:(row["block"] + 1) * _BLOCK_CELLS] = np.frombuffer(row["bits"], np.uint64)
     return bitmap
 
 
