@@ -179,18 +179,18 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("text_hash")).filter("doc is not null")
     windows = recurring_bitmap(rows, window, recurring_bitmap(rows, window))
-    found = scratch.write(fragments(rows, windows, window).select(
-        "*", F.xxhash64("fragment").alias("f1"), F.xxhash64(F.lit("second"), "fragment").alias("f2")))
+    found = scratch.write(fragments(rows, windows, window))
+    named = [F.xxhash64("fragment").alias("f1"), F.xxhash64(F.lit("second"), "fragment").alias("f2")]
     shards = max(1, -(-found.count() // SHARD_FRAGMENTS))
-    distinct = found.groupBy("route", "f1", "f2", "fragment").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    distinct = found.groupBy("route", "fragment").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
 
     def locate(batches):
         yield from _locate(batches, window)
 
-    located = distinct.repartition(shards, "route").mapInArrow(
+    located = distinct.select("*", *named).repartition(shards, "route").mapInArrow(
         locate, "f1 long, f2 long, offsets array<long>, earliest array<long>")
     # one place of a fragment has all its windows, so it is enough to join by the fragment
-    held = found.select("doc", "text_hash", "start", "f1", "f2").join(located, ["f1", "f2"])
+    held = found.select("doc", "text_hash", "start", *named).join(located, ["f1", "f2"])
     earlier = F.filter(F.arrays_zip("offsets", "earliest"), lambda o: o["earliest"] < F.col("doc"))
     starts = F.transform(earlier, lambda o: o["offsets"] + F.col("start"))
     return (held.select("doc", "text_hash", starts.alias("starts")).filter(F.size("starts") > 0)

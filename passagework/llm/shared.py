@@ -53,7 +53,7 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table.scratch_path = path
         return table
