@@ -15,8 +15,6 @@ PAGE_OVERLAP = 200
 VECTOR_DIM = 384
 REFERENCE_LIMIT = 5
 MIN_SCORE = 0.8
-CRAWL_DEPTH = 50
-LISTING_CAP = 10_000
 DEFAULT_MEDIA_TYPE = "text/plain"
 NO_SOURCES_MESSAGE = (
     "No sources were found matching your query. Please refine your request to closer match "

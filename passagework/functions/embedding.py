@@ -8,6 +8,7 @@ its weights on first call, so that each Python worker loads them once.
 from __future__ import annotations
 
 import hashlib
+import re
 from itertools import chain
 
 import numpy as np
@@ -18,15 +19,15 @@ from pyspark.sql import types as T
 from passagework.config import VECTOR_DIM
 from passagework.functions.chunking import vectors_to_arrow
 
-# fixed value: tokens are runs of ASCII letters and digits, in lower case
-_TOKEN_BYTES = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else ord(" ") for b in range(256))
+# fixed value: tokens are runs of letters and digits of any script, in lower case
+_TOKENS = re.compile(r"[^\W_]+").findall
 
 _ROWS_PER_CALL = 4096
 _CACHE_LIMIT = 1_000_000
 
 
-def tokens_of(text: str) -> list[bytes]:
-    return text.encode("ascii", "replace").translate(_TOKEN_BYTES).split()
+def tokens_of(text: str) -> list[str]:
+    return _TOKENS(text.lower())
 
 
 class _Bins(dict):
@@ -35,8 +36,8 @@ class _Bins(dict):
     def __init__(self, dim: int):
         self.dim = dim
 
-    def __missing__(self, token: bytes) -> int:
-        digest = hashlib.md5(token, usedforsecurity=False)
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode(), usedforsecurity=False)
         found = self[token] = int(digest.hexdigest()[:8], 16) % self.dim
         return found
 

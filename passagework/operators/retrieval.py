@@ -32,7 +32,11 @@ def hits_with_documents(hits: DataFrame, documents: DataFrame, written_hits: Dat
 
 def _look_up(hits: DataFrame, written_hits: DataFrame, wanted: DataFrame, key: list[str], field: str) -> DataFrame:
     keys = broadcast_if_small(written_hits.select(*HIT_KEY, *key))
-    return hits.join(wanted.join(keys, key).select(*HIT_KEY, field), HIT_KEY)
+    found = hits.join(wanted.join(keys, key).select(*HIT_KEY, field), HIT_KEY, "left")
+    # a hit without its page or document is damage; it must not read as fewer sources
+    lost = F.raise_error(F.concat(F.lit(f"{field} is missing for "), F.concat_ws(" ", *key)))
+    kind = found.schema[field].dataType
+    return found.withColumn(field, F.when(F.col(field).isNull(), lost.cast(kind)).otherwise(F.col(field)))
 
 
 def orphan_chunks(chunks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework import schemas
-from passagework.config import CRAWL_DEPTH, ensure_checkpoint_dir, spread
+from passagework.config import ensure_checkpoint_dir, spread
 from passagework.functions.paths import check_collection_name
 from passagework.operators import management as M
 from passagework.plans import ingest as I
@@ -175,7 +175,7 @@ class Collection:
 
     def ingest_web(
         self, stored: DataFrame, batch: str, roots: DataFrame | None = None,
-        max_depth: int = CRAWL_DEPTH, ingest_date: int | None = None,
+        max_depth: int | None = None, ingest_date: int | None = None,
     ) -> dict[str, int]:
         """Ingest stored pages (url, html). With ``roots(url)`` a document is a root URL and all
         pages reached from it; without, every stored page is a document."""

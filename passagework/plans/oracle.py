@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from passagework.config import (
-    LISTING_CAP, CHUNK_OVERLAP, CHUNK_SIZE, MIN_SCORE, PAGE_OVERLAP, PAGE_SIZE, REFERENCE_LIMIT, VECTOR_DIM,
+    CHUNK_OVERLAP, CHUNK_SIZE, MIN_SCORE, PAGE_OVERLAP, PAGE_SIZE, REFERENCE_LIMIT, VECTOR_DIM,
 )
 
 # fixed value: code points that strip() removes
@@ -137,7 +137,7 @@ def _bins(name: str, source: str, keys: str, text: str) -> str:
     return f"""
 {name} AS (
   SELECT {keys}, ('0x' || substr(md5(lower(tok)), 1, 8))::UBIGINT % {VECTOR_DIM} AS bin, count(*) AS n
-  FROM (SELECT {keys}, unnest(regexp_extract_all({text}, '[A-Za-z0-9]+')) AS tok FROM {source})
+  FROM (SELECT {keys}, unnest(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+')) AS tok FROM {source})
   GROUP BY ALL
 )"""
 
@@ -184,13 +184,13 @@ answer AS (
 _REQUEST = """
 request AS (
   SELECT item_id AS query_id, text AS user_input,
-    CASE item_id % 3 WHEN 0 THEN 'question' WHEN 1 THEN 'summary' ELSE 'search' END AS task,
-    CASE item_id % 3 WHEN 0 THEN 'Answer the user input from the context alone.'
-                     WHEN 1 THEN 'Sum up what the context says about the user input.' END AS task_prompt,
-    CASE WHEN item_id % 2 = 0 THEN 'use a formal tone.' || chr(10) || chr(10) ELSE '' END AS persona,
-    CASE item_id % 4 WHEN 0 THEN chr(10) || chr(10) || 'Then name one concern.'
-      WHEN 1 THEN chr(10) || chr(10) || 'Then name one concern.' || chr(10) || chr(10) || 'Then add one encouraging sentence.'
-      WHEN 2 THEN chr(10) || chr(10) || 'Then add one encouraging sentence.' || chr(10) || chr(10) || 'Then name one concern.'
+    CASE item_id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'digest' ELSE 'locate' END AS task,
+    CASE item_id % 3 WHEN 0 THEN 'State the requested fact with the passage that proves it.'
+                     WHEN 1 THEN 'Condense the passages in three lines.' END AS task_prompt,
+    CASE WHEN item_id % 2 = 0 THEN 'write as an archivist would.' || chr(10) || chr(10) ELSE '' END AS persona,
+    CASE item_id % 4 WHEN 0 THEN chr(10) || chr(10) || 'List every date that is mentioned.'
+      WHEN 1 THEN chr(10) || chr(10) || 'List every date that is mentioned.' || chr(10) || chr(10) || 'Say what the passages leave open.'
+      WHEN 2 THEN chr(10) || chr(10) || 'Say what the passages leave open.' || chr(10) || chr(10) || 'List every date that is mentioned.'
       ELSE '' END AS enhancers,
     CASE WHEN item_id % 5 = 0 THEN chr(10) || chr(10) || 'Source file: About: ' || upper(text) ELSE '' END AS file
   FROM benchmark
@@ -206,7 +206,7 @@ def _keys(label: str) -> str:
     return f"SELECT doc_id FROM doc WHERE n IN (SELECT doc_id FROM labels WHERE {label} = 1)"
 
 
-_USED_BINS = f"""len(list_distinct(list_transform(regexp_extract_all(part, '[A-Za-z0-9]+'),
+_USED_BINS = f"""len(list_distinct(list_transform(regexp_extract_all(part, '[\\p{{L}}\\p{{N}}]+'),
   lambda t: ('0x' || substr(md5(lower(t)), 1, 8))::UBIGINT % {VECTOR_DIM}))) AS used_bins"""
 
 _DOC_COLUMNS = "doc_id, type, source, ingest_date, filename, media_type, extension"
@@ -307,7 +307,7 @@ WITH RECURSIVE site AS (SELECT page_id FROM pages),
 reach AS (
   SELECT 0::BIGINT AS n, 1 AS depth FROM site WHERE page_id = 0
   UNION ALL
-  SELECT t.page_id, depth + 1 FROM reach JOIN site t ON t.page_id IN (2 * n + 1, 2 * n + 2) WHERE depth < 49
+  SELECT t.page_id, depth + 1 FROM reach JOIN site t ON t.page_id IN (2 * n + 1, 2 * n + 2)
 )
 SELECT 'http://site.example/p/' AS root, 'http://site.example/p/' AS url, 0 AS depth
 UNION ALL SELECT 'http://site.example/p/', 'http://site.example/p/' || n, depth FROM reach""",
@@ -333,7 +333,7 @@ WITH p AS (SELECT regexp_extract(url, '^([^?#]*)', 1) AS path FROM pages
            UNION ALL SELECT '/corpus/' || source || '/' || doc_id || '.txt' FROM documents)
 SELECT path, regexp_extract(path, '([^/]+)/*$', 1) AS name,
   regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^[.]*[^.].*([.][^.]*)$', 1) AS extension FROM p""",
-    "is_text_content": "SELECT doc_id, lang NOT IN ('de', 'es') AS is_text FROM documents",
+    "is_text_content": "SELECT doc_id, lang NOT IN ('de', 'es', 'fr') AS is_text FROM documents",
     "valid_names": """
 WITH n AS (SELECT c_name AS name FROM customer UNION SELECT source FROM documents
            UNION SELECT '_' || lang FROM documents UNION SELECT '-' || role FROM conversations)
@@ -397,8 +397,6 @@ SELECT query_id, '{NO_SOURCES}' AS answer FROM query WHERE query_id NOT IN (SELE
     "list_documents": f"""WITH {_LISTING_BASE}
 SELECT doc_id, index, page_count, vector_count, 'id: ' || doc_id || ', source: ' || source || ', type: ' || type
   || ', pages: ' || page_count || ', vectors: ' || vector_count AS line FROM counted""",
-    "list_documents_limited": f"""WITH {_LISTING_BASE}
-SELECT doc_id, source, page_count, vector_count FROM counted ORDER BY source, doc_id LIMIT {LISTING_CAP}""",
     "page_counts": f"WITH {_ALL_BASE} SELECT type, doc_id, count(*) AS page_count FROM all_page GROUP BY ALL",
     "vector_counts": f"""WITH {_ALL_BASE}, {_TEXT_CHUNK.lstrip()}, {_WEB_CHUNK.lstrip()}
 SELECT type, doc_id, count(*) AS vector_count FROM (SELECT 'plaintext' AS type, key AS doc_id FROM chunk

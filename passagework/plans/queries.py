@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.config import LISTING_CAP, NO_SOURCES_MESSAGE, PAGE_OVERLAP, PAGE_SIZE, ensure_checkpoint_dir, stable_id
+from passagework.config import NO_SOURCES_MESSAGE, PAGE_OVERLAP, PAGE_SIZE, ensure_checkpoint_dir, stable_id
 from passagework.functions import citations as C
 from passagework.functions.chunking import explode_chunks
 from passagework.functions.embedding import add_vectors
@@ -36,12 +36,12 @@ DENSE_MIN_SCORE = 0.65
 DENSE_DIM = 64
 
 TEMPLATES = [
-    ("task", "question", "What would you like to know?", "Answer the user input from the context alone."),
-    ("task", "summary", "What shall be summed up?", "Sum up what the context says about the user input."),
-    ("task", "search", "What do you look for?", None),
-    ("persona", "formal", None, "use a formal tone."),
-    ("enhancer", "concern", None, "Then name one concern."),
-    ("enhancer", "encouragement", None, "Then add one encouraging sentence."),
+    ("task", "fact", "Which fact is missing?", "State the requested fact with the passage that proves it."),
+    ("task", "digest", "Which topic is to be condensed?", "Condense the passages in three lines."),
+    ("task", "locate", "Which document is wanted?", None),
+    ("persona", "archivist", None, "write as an archivist would."),
+    ("enhancer", "dates", None, "List every date that is mentioned."),
+    ("enhancer", "gaps", None, "Say what the passages leave open."),
 ]
 
 
@@ -115,13 +115,13 @@ def requests(spark, sf) -> DataFrame:
 def with_requests(inputs: DataFrame) -> DataFrame:
     """A task, persona, enhancers and source file for every input."""
     n, none = F.col("query_id"), F.lit(None).cast("string")
-    concern, cheer = F.lit("concern"), F.lit("encouragement")
+    dates, gaps = F.lit("dates"), F.lit("gaps")
     return inputs.select(
         "query_id", "user_input",
-        F.element_at(F.array(F.lit("question"), F.lit("summary"), F.lit("search")), (n % 3 + 1).cast("int")).alias("task"),
-        F.when(n % 2 == 0, "formal").alias("persona"),
-        F.when(n % 4 == 0, F.array(concern)).when(n % 4 == 1, F.array(concern, cheer))
-        .when(n % 4 == 2, F.array(cheer, concern)).otherwise(F.array().cast("array<string>")).alias("enhancers"),
+        F.element_at(F.array(F.lit("fact"), F.lit("digest"), F.lit("locate")), (n % 3 + 1).cast("int")).alias("task"),
+        F.when(n % 2 == 0, "archivist").alias("persona"),
+        F.when(n % 4 == 0, F.array(dates)).when(n % 4 == 1, F.array(dates, gaps))
+        .when(n % 4 == 2, F.array(gaps, dates)).otherwise(F.array().cast("array<string>")).alias("enhancers"),
         F.when(n % 5 == 0, F.concat(F.lit("About: "), F.upper("user_input"))).otherwise(none).alias("source_file"),
     )
 
@@ -274,11 +274,12 @@ def path_parts(spark, sf):
 
 
 def is_text_content(spark, sf):
-    """German bytes get a NUL in front, Spanish ones a byte that is not UTF-8 at the end."""
+    """German bytes get a NUL in front, French ones a NUL at the end, Spanish ones a byte that is not UTF-8 there."""
     data = F.col("text").cast("binary")
     docs = read_table(spark, sf, "documents").select(
         "doc_id",
         F.when(F.col("lang") == "de", F.concat(F.unhex(F.lit("00")), data))
+        .when(F.col("lang") == "fr", F.concat(data, F.unhex(F.lit("00"))))
         .when(F.col("lang") == "es", F.concat(data, F.unhex(F.lit("FF")))).otherwise(data).alias("content"),
     )
     return docs.select("doc_id", files_source.is_text_content(F.col("content")).alias("is_text"))
@@ -397,12 +398,6 @@ def list_documents(spark, sf):
     return listed.select("doc_id", "index", "page_count", "vector_count", C.listing_line(F.col).alias("line"))
 
 
-def list_documents_limited(spark, sf):
-    listed = M.list_documents(all_documents(spark, sf), all_pages(spark, sf), all_plain_chunks(spark, sf),
-                              COLLECTION, LISTING_CAP)
-    return listed.select("doc_id", "source", "page_count", "vector_count")
-
-
 def page_counts(spark, sf):
     return M.page_counts(all_pages(spark, sf))
 
@@ -568,7 +563,6 @@ QUERIES = {
     "rag_prompts": rag_prompts,
     "no_source_queries": no_source_queries,
     "list_documents": list_documents,
-    "list_documents_limited": list_documents_limited,
     "page_counts": page_counts,
     "vector_counts": vector_counts,
     "all_documents": all_documents_query,

@@ -21,8 +21,6 @@ from passagework.config import PAGE_OVERLAP, PAGE_SIZE, broadcast_if_small, stab
 from passagework.functions.chunking import split_text
 from passagework.functions.paths import base_name, extension, local_path
 
-_HEAD_BYTES = 1024
-
 
 @dataclass(frozen=True)
 class Loader:
@@ -35,9 +33,8 @@ class Loader:
 
 
 def is_text_content(content: Column) -> Column:
-    """Bytes that read as text: UTF-8 throughout, no NUL near the start."""
-    head = F.substring(content, 1, _HEAD_BYTES)
-    return F.is_valid_utf8(content.cast("string")) & ~F.contains(head, F.lit(b"\x00"))
+    """Bytes that read as text: UTF-8 throughout and no NUL anywhere."""
+    return F.is_valid_utf8(content.cast("string")) & ~F.contains(content, F.lit(b"\x00"))
 
 
 def decode_text(content: Column) -> Column:

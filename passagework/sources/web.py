@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.config import (
-    CRAWL_DEPTH, PAGE_OVERLAP, PAGE_SIZE, broadcast_if_small, ensure_checkpoint_dir, stable_id,
+    PAGE_OVERLAP, PAGE_SIZE, broadcast_if_small, ensure_checkpoint_dir, stable_id,
 )
 from passagework.functions import html as H
 from passagework.functions.chunking import explode_chunks
@@ -67,8 +69,9 @@ def page_links(stored: DataFrame) -> DataFrame:
     return stored.select("url", F.explode(F.array_distinct(targets)).alias("target"))
 
 
-def crawl(stored: DataFrame, roots: DataFrame, max_depth: int = CRAWL_DEPTH) -> DataFrame:
+def crawl(stored: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, url, depth): stored pages reachable from each root by links that stay under it.
+    Rounds go on until one finds nothing new, or up to ``max_depth`` if the caller sets it.
 
     A breadth-first frontier: each round joins the pages found last to the edges, keeps targets
     that start with the root, and anti-joins what was seen. The pages a round finds are written
@@ -84,7 +87,7 @@ def crawl(stored: DataFrame, roots: DataFrame, max_depth: int = CRAWL_DEPTH) ->
         .select("root", F.col("root").alias("url"), F.lit(0).alias("depth")).checkpoint()
     )
     seen = frontier
-    for depth in range(1, max_depth):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth):
         found = (
             frontier.join(edges, "url")
             .filter(F.col("target").startswith(F.col("root")))

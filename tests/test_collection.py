@@ -138,9 +138,9 @@ def test_stream_of_prompts(spark, tmp_path, folder):
     c.ingest_folder(str(folder), LOADERS, "1", DATE)
     schema = "query_id string, user_input string, task string, persona string, enhancers array<string>, source_file string"
     drop = str(tmp_path / "in")
-    ask = [("q1", "red blue green", "question", None, [], None), ("q2", "nothing alike", "question", None, [], None)]
+    ask = [("q1", "red blue green", "fact", None, [], None), ("q2", "nothing alike", "fact", None, [], None)]
     spark.createDataFrame(ask, schema).coalesce(1).write.parquet(drop)
-    templates = spark.createDataFrame([("task", "question", "TASK")], "kind string, name string, prompt string")
+    templates = spark.createDataFrame([("task", "fact", "TASK")], "kind string, name string, prompt string")
     q = start_prompts(spark.readStream.schema(schema).parquet(drop), c, templates, str(tmp_path / "out"), str(tmp_path / "ckpt"))
     assert q.awaitTermination(300)
     got = {r.query_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}

@@ -10,7 +10,7 @@ from passagework.operators.vector_search import top_k_similar_lsh
 from passagework.plans import search as S
 
 TEMPLATES = [
-    ("task", "question", "hi", "TASK"), ("task", "search", "hi", None), ("persona", "calm", None, "CALM"),
+    ("task", "fact", "hi", "TASK"), ("task", "locate", "hi", None), ("persona", "terse", None, "TERSE"),
     ("enhancer", "one", None, "E1"), ("enhancer", "two", None, "E2"),
 ]
 REQUEST = "query_id int, user_input string, task string, persona string, enhancers array<string>, source_file string"
@@ -27,18 +27,18 @@ GOLDEN = {
     (0, 1, 1): "TASK\n\nE1\n\nContext: C\n\nUser input: U\n\nSource file: F",
     (0, 2, 0): "TASK\n\nE2\n\nE1\n\nContext: C\n\nUser input: U",
     (0, 2, 1): "TASK\n\nE2\n\nE1\n\nContext: C\n\nUser input: U\n\nSource file: F",
-    (1, 0, 0): "CALM\n\nTASK\n\nContext: C\n\nUser input: U",
-    (1, 0, 1): "CALM\n\nTASK\n\nContext: C\n\nUser input: U\n\nSource file: F",
-    (1, 1, 0): "CALM\n\nTASK\n\nE1\n\nContext: C\n\nUser input: U",
-    (1, 1, 1): "CALM\n\nTASK\n\nE1\n\nContext: C\n\nUser input: U\n\nSource file: F",
-    (1, 2, 0): "CALM\n\nTASK\n\nE2\n\nE1\n\nContext: C\n\nUser input: U",
-    (1, 2, 1): "CALM\n\nTASK\n\nE2\n\nE1\n\nContext: C\n\nUser input: U\n\nSource file: F",
+    (1, 0, 0): "TERSE\n\nTASK\n\nContext: C\n\nUser input: U",
+    (1, 0, 1): "TERSE\n\nTASK\n\nContext: C\n\nUser input: U\n\nSource file: F",
+    (1, 1, 0): "TERSE\n\nTASK\n\nE1\n\nContext: C\n\nUser input: U",
+    (1, 1, 1): "TERSE\n\nTASK\n\nE1\n\nContext: C\n\nUser input: U\n\nSource file: F",
+    (1, 2, 0): "TERSE\n\nTASK\n\nE2\n\nE1\n\nContext: C\n\nUser input: U",
+    (1, 2, 1): "TERSE\n\nTASK\n\nE2\n\nE1\n\nContext: C\n\nUser input: U\n\nSource file: F",
 }
 
 
 def test_golden_prompts(spark):
     cases = list(itertools.product((0, 1), (0, 1, 2), (0, 1)))
-    rows = [(i, "U", "question", "calm" if p else "None", ["two", "one"][2 - e:], "F" if f else "")
+    rows = [(i, "U", "fact", "terse" if p else "None", ["two", "one"][2 - e:], "F" if f else "")
             for i, (p, e, f) in enumerate(cases)]
     asked = attach_templates(spark.createDataFrame(rows, REQUEST), templates(spark))
     prompt = prepare_prompt(F.lit("C"), F.col("task_prompt"), F.col("user_input"), F.col("persona_prompt"),
@@ -48,7 +48,7 @@ def test_golden_prompts(spark):
 
 
 def test_missing_templates_are_named(spark):
-    rows = [(1, "U", "nope", "calm", ["one"], None), (2, "U", "search", "rude", ["x", "one"], None), (3, "U", "search", None, None, None)]
+    rows = [(1, "U", "nope", "terse", ["one"], None), (2, "U", "locate", "rude", ["x", "one"], None), (3, "U", "locate", None, None, None)]
     got = {r.query_id: sorted(r.missing_templates) for r in attach_templates(spark.createDataFrame(rows, REQUEST), templates(spark)).collect()}
     assert got == {1: ["nope"], 2: ["rude", "x"], 3: []}
 
@@ -68,7 +68,7 @@ def corpus(spark):
 
 def test_search_and_answer(spark):
     docs, pages, chunks = corpus(spark)
-    rows = [(1, "green red blue", "question", None, [], None), (2, "zzz", "question", None, [], None), (3, "blue red", "search", None, [], None)]
+    rows = [(1, "green red blue", "fact", None, [], None), (2, "zzz", "fact", None, [], None), (3, "blue red", "locate", None, [], None)]
     queries = spark.createDataFrame(rows, REQUEST)
     found = S.retrieve(queries, chunks, pages, docs)
     got = {r.query_id: r for r in S.rag_prompts(queries, found, templates(spark), "c").collect()}

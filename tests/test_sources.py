@@ -171,9 +171,9 @@ def test_templates(spark):
     folders = {"task": f"{here}/tasks", "persona": f"{here}/personas", "enhancer": f"{here}/enhancers"}
     got = {(r.kind, r.name): (r.greeting, r.prompt) for r in scan_templates(spark, folders, ".prompt").collect()}
     assert got == {
-        ("task", "question"): ("What would you like to know?", "Answer from the context.\n         Stay within it."),
-        ("task", "search"): ("What do you look for?", None),
-        ("persona", "calm"): (None, "use a calm tone."),
+        ("task", "fact"): ("Which fact is missing?", "State the requested fact.\n         Name the passage."),
+        ("task", "locate"): ("Which document is wanted?", None),
+        ("persona", "archivist"): (None, "write as an archivist would."),
         ("enhancer", "risk"): (None, "Name one risk."), ("enhancer", "hint"): (None, "Add a hint."),
     }
 
@@ -218,3 +218,15 @@ def test_citations(spark):
     }
     own = {"feed": lambda c, doc: F.concat(F.lit("Feed "), doc("source"))}
     assert df.filter("type = 'feed'").select(C.doc_link(F.lit("c"), F.col, own)).first()[0] == "Feed src"
+
+
+def test_text_is_judged_by_all_its_bytes(spark):
+    rows = spark.createDataFrame([(1, b"a" * 5000), (2, b"a" * 5000 + b"\0"), (3, b"")], "n int, content binary")
+    assert [r.t for r in rows.orderBy("n").select(S.is_text_content(rows.content).alias("t")).collect()] == [True, False, True]
+
+
+def test_a_crawl_ends_where_nothing_new_is_found(spark):
+    rows = [(f"http://s.ex/{i}", f'<a href="http://s.ex/{i + 1}">next</a>') for i in range(6)]
+    stored = spark.createDataFrame([("http://s.ex/", '<a href="/0">in</a>'), *rows], "url string, html string")
+    found = crawl(stored, spark.createDataFrame([("http://s.ex/",)], "url string"))
+    assert found.count() == 7 and found.agg({"depth": "max"}).first()[0] == 6
