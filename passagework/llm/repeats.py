@@ -179,7 +179,9 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("text_hash")).filter("doc is not null")
     windows = recurring_bitmap(rows, window, recurring_bitmap(rows, window))
+    scratch.release()
     found = scratch.write(fragments(rows, windows, window))
+    scratch.release()
     named = [F.xxhash64("fragment").alias("f1"), F.xxhash64(F.lit("second"), "fragment").alias("f2")]
     shards = max(1, -(-found.count() // SHARD_FRAGMENTS))
     distinct = found.groupBy("route", "fragment").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -58,6 +59,11 @@ class Scratch:
         table.scratch_path = path
         return table
 
+    def release(self) -> None:
+        """Let the cluster delete shuffle files of finished plans now: it does so once the driver forgets the plans."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, table: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
