@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,14 +22,26 @@ def local_path(uri: Column) -> Column:
     return F.regexp_replace(uri, "^file:(//)?", "")
 
 
+# names become folders, so path separators, glob characters and names that readers skip are refused
+_NAME = r"""[^_\-+.\s/\\*?"<>|,#:@\[\]{}=][^\s/\\*?"<>|,#:@\[\]{}=]*"""
+
+
 def is_valid_collection_name(name: Column) -> Column:
-    """Lower case, not empty, no leading underscore or hyphen."""
-    return (name == F.lower(name)) & (name != "") & ~name.rlike("^[_-]")
+    """Lower case, not empty, starting with none of ``_ - + .``, without white space and ``/ \\ * ? " < > | , # : @ [ ] { } =``."""
+    return (name == F.lower(name)) & name.rlike(rf"\A{_NAME}\z")
 
 
 def check_collection_name(name: str) -> str:
-    if not name or name != name.lower() or name[0] in "_-" or "/" in name:
-        raise ValueError(f"invalid collection name {name!r}: use lower case, no leading '_' or '-'")
+    """The same rule for a name at hand."""
+    if name != name.lower() or not re.fullmatch(_NAME, name, re.ASCII):
+        raise ValueError(f"invalid collection name {name!r}: see is_valid_collection_name")
+    return name
+
+
+def check_batch_name(name: str) -> str:
+    """As for collections, upper case allowed."""
+    if not re.fullmatch(_NAME, name, re.ASCII):
+        raise ValueError(f"invalid batch name {name!r}")
     return name
 
 

@@ -1,23 +1,28 @@
 """Collections: named sets of Parquet tables under one root folder.
 
-    <root>/<name>/<table>/batch=<id>/type=<type>/*.parquet
-
-A batch is written table by table with ``documents`` last; a batch is visible once its documents
-are committed, so readers never meet a document whose chunks are missing. Writing a batch again
-replaces it, which makes retries and streaming replays harmless. Deleted documents are recorded
-as keys and anti-joined on read, so a delete costs a small append however large the tables are;
-``copy_to`` writes the live rows of a collection into a new one.
+    <root>/<name>/<table>/batch=<id>/attempt=<id>/type=<type>/*.parquet
+    <root>/<name>/commits/<batch>@<number>@<attempt>
+
+Every write of a batch is an attempt in folders of its own. The empty file under ``commits`` makes
+it visible, all tables at once; of several the highest number counts. Writing a batch again
+replaces it, which makes retries and streaming replays harmless: until the new attempt is committed
+readers see the old one, whose folders go afterwards. A plan made before a replacement has to be
+made again. Deleted documents are recorded as keys and anti-joined on read, so a delete costs a
+small append however large the tables are, and a deleted id stays deleted; ``copy_to`` writes the
+live rows of a collection into a new one.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework import schemas
 from passagework.config import ensure_checkpoint_dir, spread
-from passagework.functions.paths import check_collection_name
+from passagework.functions.paths import check_batch_name, check_collection_name
 from passagework.operators import management as M
 from passagework.plans import ingest as I
 from passagework.plans import search as S
@@ -49,6 +54,17 @@ def _glob(spark: SparkSession, pattern: str) -> list[str]:
     return [s.getPath().toString() for s in found] if found else []
 
 
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names directly inside a folder, none if it is absent."""
+    if not _exists(spark, folder):
+        return []
+    return [s.getPath().getName() for s in _fs(spark, folder).listStatus(_path(spark, folder))]
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    return bool(_fs(spark, path).delete(_path(spark, path), True))
+
+
 def list_collections(spark: SparkSession, root: str) -> DataFrame:
     """(collection, vector_column, dim) of every collection under ``root``."""
     marks = _glob(spark, f"{root}/*/{_MARKER}")
@@ -92,26 +108,24 @@ class Collection:
         """Remove the collection with all its tables; False if there was none."""
         if not self.exists():
             return False
-        return bool(_fs(self.spark, self.path).delete(_path(self.spark, self.path), True))
+        return _delete(self.spark, self.path)
 
     # ---- reading
 
     def batches(self) -> list[str]:
         """Committed batches."""
-        done = _glob(self.spark, f"{self.path}/documents/batch=*/_SUCCESS")
-        return sorted(p.split("/batch=")[1].split("/")[0] for p in done)
+        return sorted(self._commits())
 
     def table(self, name: str) -> DataFrame:
-        """Live rows of documents, pages, chunks or binaries: committed batches without deleted
-        documents."""
+        """Live rows of documents, pages, chunks, binaries or rejected: committed batches without
+        deleted documents."""
         schema = self.schemas[name]
         base = f"{self.path}/{name}"
-        written = {p.rsplit("/", 1)[1]: p for p in _glob(self.spark, f"{base}/batch=*")}
-        paths = [written[f"batch={b}"] for b in self.batches() if f"batch={b}" in written]
+        paths = [f"{base}/batch={b}/attempt={a}" for b, (_, a) in sorted(self._commits().items())]
         if not paths:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.names)
-        gone = self._deleted()
+        gone = self._deleted() if "doc_id" in schema.names else None
         return rows if gone is None else M.without_documents(rows, gone).select(*schema.names)
 
     def documents(self) -> DataFrame:
@@ -126,6 +140,10 @@ class Collection:
     def binaries(self) -> DataFrame:
         return self.table("binaries")
 
+    def rejected(self) -> DataFrame:
+        """(source, reason) of the files that no loader took."""
+        return self.table("rejected")
+
     def rows(self) -> DataFrame:
         """Rows of all tables together."""
         return M.union_rows(self.documents(), self.pages(), self.chunks(), self.binaries())
@@ -153,20 +171,20 @@ class Collection:
     ) -> dict[str, int]:
         """Load, chunk, encode and store (path, content[, name]) rows as one batch.
 
-        Returns the rows written per table, counted while writing, and the number of files no
-        loader took.
+        Returns the rows written per table, counted while writing; ``rejected`` are the files no
+        loader took. A source that comes twice in a batch is an error: both would share their id.
         """
         date = files_source.current_millis() if ingest_date is None else ingest_date
         parsed = files_source.load_files(files, loaders, self.name, date)
-        refused = Observation()
-        unloaded = F.coalesce(F.sum(F.col("type").isNull().cast("bigint")), F.lit(0))
-        staged = self._stage(parsed.observe(refused, unloaded.alias("rows")), batch)
-        kept = files_source.loaded(staged)
-        pages = I.pages_of(spread(kept, "doc_id"))
-        counts = self._write(batch, I.documents_of(kept), pages, I.binaries_of(kept))
-        counts["rejected"] = refused.get.get("rows", 0)
-        self._unstage(batch)
-        return counts
+
+        def tables(staged: DataFrame) -> dict[str, DataFrame]:
+            kept = files_source.loaded(staged)
+            _refuse_repeats(kept, "doc_id", "source")
+            pages = I.pages_of(spread(kept, "doc_id"))
+            return {"chunks": I.chunks_of(pages, self.encoder), "pages": pages, "binaries": I.binaries_of(kept),
+                    "documents": I.documents_of(kept), "rejected": files_source.rejected(staged)}
+
+        return self._ingest(batch, parsed, tables)
 
     def ingest_folder(self, folder: str, loaders: list[files_source.Loader], batch: str,
                       ingest_date: int | None = None) -> dict[str, int]:
@@ -178,19 +196,31 @@ class Collection:
         max_depth: int | None = None, ingest_date: int | None = None,
     ) -> dict[str, int]:
         """Ingest stored pages (url, html). With ``roots(url)`` a document is a root URL and all
-        pages reached from it; without, every stored page is a document."""
+        pages reached from it, none if the root is not stored; without, every stored page is a
+        document. A URL that comes twice in ``stored`` is an error."""
         date = files_source.current_millis() if ingest_date is None else ingest_date
         if roots is None:
             urls, reached = stored.select("url"), None
         else:
             urls = web_source.url_list(roots).select("url").distinct()
             reached = web_source.crawl(stored, urls, max_depth)
-            urls = reached.select(F.col("root").alias("url")).distinct()
-        staged = self._stage(I.web_pages_of(web_source.load_web(stored, self.name, date, reached)), batch)
         documents = urls.select(*web_source.web_documents(F.col("url"), self.name, date))
-        counts = self._write(batch, documents, spread(staged, "page_id"), None)
-        self._unstage(batch)
-        return counts
+
+        def tables(staged: DataFrame) -> dict[str, DataFrame]:
+            _refuse_repeats(staged, "page_id", "source")
+            pages = spread(staged, "page_id")
+            return {"chunks": I.chunks_of(pages, self.encoder), "pages": pages, "documents": documents}
+
+        return self._ingest(batch, I.web_pages_of(web_source.load_web(stored, self.name, date, reached)), tables)
+
+    def batch_time(self, batch: str) -> int:
+        """Ingest time of a batch, chosen when it is first asked for and kept for all retries."""
+        folder = f"{self.path}/times/{check_batch_name(batch)}"
+        if not (kept := _names(self.spark, folder)):
+            mark = f"{folder}/{files_source.current_millis()}"
+            _fs(self.spark, mark).createNewFile(_path(self.spark, mark))
+            kept = _names(self.spark, folder)
+        return min(int(n) for n in kept if n.isdigit())
 
     def delete_documents(self, keys: DataFrame) -> DataFrame:
         """Delete the documents in ``keys(type, doc_id)``; returns how many rows went with each."""
@@ -204,8 +234,7 @@ class Collection:
         """Write the live rows into another collection as one batch."""
         other = Collection(self.spark, self.root, name, self.encoder)
         other.schemas = self.schemas
-        for table in ("chunks", "pages", "binaries", "documents"):
-            other._save(self.table(table), table, batch)
+        other._store(check_batch_name(batch), uuid.uuid4().hex, {t: self.table(t) for t in self.schemas})
         return other
 
     # ---- parts
@@ -216,31 +245,63 @@ class Collection:
             return None
         return self.spark.read.schema(schemas.DELETIONS).parquet(path)
 
-    def _stage(self, rows: DataFrame, batch: str) -> DataFrame:
-        """Parsed rows, written once: the tables read back only the columns they need."""
-        path = f"{self.path}/_staging/{batch}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def _unstage(self, batch: str) -> None:
-        path = f"{self.path}/_staging/{batch}"
-        _fs(self.spark, path).delete(_path(self.spark, path), True)
-
-    def _write(self, batch: str, documents: DataFrame, pages: DataFrame, binaries: DataFrame | None) -> dict[str, int]:
-        counts = {"chunks": self._save(I.chunks_of(pages, self.encoder), "chunks", batch)}
-        counts["pages"] = self._save(pages, "pages", batch)
-        counts["binaries"] = 0 if binaries is None else self._save(binaries, "binaries", batch)
-        counts["documents"] = self._save(documents, "documents", batch)
+    def _commits(self) -> dict[str, tuple[int, str]]:
+        """Number and attempt that count, by batch: one listing of small names."""
+        latest: dict[str, tuple[int, str]] = {}
+        for name in _names(self.spark, f"{self.path}/commits"):
+            # file systems may keep checksums of the marks beside them
+            if name.count("@") == 2 and not name.startswith("."):
+                batch, number, attempt = name.split("@")
+                latest[batch] = max(latest.get(batch, (-1, "")), (int(number), attempt))
+        return latest
+
+    def _ingest(self, batch: str, parsed: DataFrame, tables) -> dict[str, int]:
+        """Write ``parsed`` once, derive the tables from that with column pruning and commit them."""
+        attempt = uuid.uuid4().hex
+        staging = f"{self.path}/_staging/{check_batch_name(batch)}-{attempt}"
+        try:
+            parsed.write.parquet(staging)
+            return self._store(batch, attempt, tables(self.spark.read.schema(parsed.schema).parquet(staging)))
+        finally:
+            _delete(self.spark, staging)
+
+    def _store(self, batch: str, attempt: str, tables: dict[str, DataFrame]) -> dict[str, int]:
+        """Write all tables of a batch, commit them together, then remove other attempts."""
+        none = {t: self.spark.createDataFrame([], self.schemas[t]) for t in self.schemas if t not in tables}
+        counts = {name: self._save(rows, name, batch, attempt) for name, rows in {**tables, **none}.items()}
+        number = self._commits().get(batch, (-1, ""))[0] + 1
+        mark = f"{self.path}/commits/{batch}@{number}@{attempt}"
+        if not _fs(self.spark, mark).createNewFile(_path(self.spark, mark)):
+            raise RuntimeError(f"cannot commit batch {batch!r}")
+        self._clean(batch)
         return counts
 
-    def _save(self, rows: DataFrame, table: str, batch: str) -> int:
+    def _clean(self, batch: str) -> None:
+        """Remove what is not committed or was replaced; the marks go last, so that nothing is forgotten."""
+        number, attempt = self._commits()[batch]
+        for table in self.schemas:
+            folder = f"{self.path}/{table}/batch={batch}"
+            for name in _names(self.spark, folder):
+                if name != f"attempt={attempt}":
+                    _delete(self.spark, f"{folder}/{name}")
+        for name in _names(self.spark, f"{self.path}/commits"):
+            if name.startswith(f"{batch}@") and name != f"{batch}@{number}@{attempt}":
+                _delete(self.spark, f"{self.path}/commits/{name}")
+
+    def _save(self, rows: DataFrame, table: str, batch: str, attempt: str) -> int:
         self.create()
         seen = Observation()
-        rows = rows.withColumns({
-            f.name: F.lit(None).cast(f.dataType) for f in self.schemas[table] if f.name not in rows.columns})
-        (
-            rows.select(*self.schemas[table].names).observe(seen, F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite").partitionBy("type").options(**_DOC_ID_FILTERS)
-            .parquet(f"{self.path}/{table}/batch={batch}")
-        )
+        fields = self.schemas[table]
+        rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in fields if f.name not in rows.columns})
+        out = rows.select(*fields.names).observe(seen, F.count(F.lit(1)).alias("rows")).write
+        if "type" in fields.names:
+            out = out.partitionBy("type").options(**_DOC_ID_FILTERS)
+        out.parquet(f"{self.path}/{table}/batch={batch}/attempt={attempt}")
         return seen.get.get("rows", 0)
+
+
+def _refuse_repeats(staged: DataFrame, key: str, shown: str) -> None:
+    """Raise if a key comes twice: rows that share an id would multiply in every later join."""
+    twice = staged.groupBy(key).agg(F.count("*").alias("n"), F.min(shown).alias("shown")).filter("n > 1")
+    if found := [r["shown"] for r in twice.limit(5).collect()]:
+        raise ValueError(f"sources that come more than once in a batch: {', '.join(map(str, found))}")

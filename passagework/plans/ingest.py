@@ -20,7 +20,7 @@ DEFAULT_ENCODER = HashingEncoder()
 def documents_of(parsed: DataFrame) -> DataFrame:
     """One row per document, also for those without pages; fields that loaders add come last."""
     known = schemas.DOCUMENTS.names
-    return parsed.select(*known, *[c for c in parsed.columns if c not in {*known, "pages", "content"}])
+    return parsed.select(*known, *[c for c in parsed.columns if c not in {*known, "pages", "content", "failed"}])
 
 
 def pages_of(parsed: DataFrame) -> DataFrame:

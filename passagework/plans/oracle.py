@@ -260,6 +260,11 @@ FROM query LEFT JOIN cited USING (query_id)""",
     "list_collections": f"""
 SELECT 'texts' AS collection, 'document_vector' AS vector_column, {VECTOR_DIM} AS dim, count(*) AS documents FROM documents
 UNION ALL SELECT 'sites', 'document_vector', {VECTOR_DIM}, count(*) FROM pages""",
+    "batch_replace": f"""WITH {_LISTING_BASE}
+SELECT doc_id, source, page_count, vector_count FROM counted WHERE type = 'plaintext'""",
+    "rejected_files": """
+SELECT '/corpus/' || source || '/' || doc_id || '.txt' AS source, 'no loader takes such a file' AS reason
+FROM documents WHERE lang = 'de'""",
     "stream_ingest": f"""WITH {_LISTING_BASE}
 SELECT doc_id, source, page_count, vector_count FROM counted WHERE type = 'plaintext'""",
     "stream_prompts": f"""WITH {_HITS}, {_ANSWER}, {_REQUEST}
@@ -336,8 +341,10 @@ SELECT path, regexp_extract(path, '([^/]+)/*$', 1) AS name,
     "is_text_content": "SELECT doc_id, lang NOT IN ('de', 'es', 'fr') AS is_text FROM documents",
     "valid_names": """
 WITH n AS (SELECT c_name AS name FROM customer UNION SELECT source FROM documents
-           UNION SELECT '_' || lang FROM documents UNION SELECT '-' || role FROM conversations)
-SELECT name, name = lower(name) AND name <> '' AND left(name, 1) NOT IN ('_', '-') AS valid FROM n""",
+           UNION SELECT '_' || lang FROM documents UNION SELECT '-' || role FROM conversations
+           UNION SELECT lower(url) FROM pages)
+SELECT name, name = lower(name) AND name <> '' AND left(name, 1) NOT IN ('_', '-', '+', '.')
+  AND NOT regexp_matches(name, '[\\s/\\\\*?"<>|,#:@\\[\\]{}=]') AS valid FROM n""",
     "doc_links": f"""WITH {_CORPUS}
 SELECT doc_id, '/files/corpus/plaintext/' || doc_id AS url, {_DOC_LINK} AS link FROM doc
 UNION ALL SELECT id, '/files/corpus/web/' || id, 'Web page: <' || url || '>{{target="_blank"}}'

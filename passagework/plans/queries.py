@@ -292,6 +292,7 @@ def valid_names(spark, sf):
         .unionByName(read_table(spark, sf, "documents").select(F.concat(F.lit("_"), F.col("lang")).alias("name")))
         .unionByName(read_table(spark, sf, "conversations").select(F.concat(F.lit("-"), F.col("role")).alias("name")))
     )
+    names = names.unionByName(read_table(spark, sf, "pages").select(F.lower("url").alias("name")))
     return names.distinct().select("name", is_valid_collection_name(F.col("name")).alias("valid"))
 
 
@@ -493,6 +494,26 @@ def list_collections_query(spark, sf):
     return list_collections(spark, root).join(M.collection_sizes(held, "collection"), "collection")
 
 
+def batch_replace(spark, sf):
+    """A batch of drafts, replaced by the real texts under the same name."""
+    collection = Collection(spark, scratch(spark), COLLECTION).create()
+    files, loaders = corpus_files(spark, sf), [files_source.text_loader()]
+    drafts = files.withColumn("content", F.concat(F.encode(F.lit("draft "), "UTF-8"), F.repeat(F.col("content").cast("string"), 2).cast("binary")))
+    collection.ingest_files(drafts, loaders, "files", INGEST_DATE)
+    collection.ingest_files(files, loaders, "files", INGEST_DATE)
+    return collection.list_documents().select("doc_id", "source", "page_count", "vector_count")
+
+
+def rejected_files(spark, sf):
+    """German texts end in a NUL, so no loader takes them; the collection keeps their names and why."""
+    files = read_table(spark, sf, "documents").select(
+        corpus_path().alias("path"),
+        F.when(F.col("lang") == "de", F.concat("text", F.chr(F.lit(0)))).otherwise(F.col("text")).cast("binary").alias("content"))
+    collection = Collection(spark, scratch(spark), COLLECTION).create()
+    collection.ingest_files(files, [files_source.text_loader()], "files", INGEST_DATE)
+    return collection.rejected()
+
+
 def stream_ingest(spark, sf):
     """The documents table as a stream of files into a stored collection."""
     root = scratch(spark)
@@ -576,6 +597,8 @@ QUERIES = {
     "collection_listing": collection_listing,
     "stored_search": stored_search,
     "list_collections": list_collections_query,
+    "batch_replace": batch_replace,
+    "rejected_files": rejected_files,
     "stream_ingest": stream_ingest,
     "stream_prompts": stream_prompts,
     "rag_answers": rag_answers,

@@ -25,9 +25,10 @@ CHUNKS = _struct(
     page_id=_S, doc_id=_S, type=_S, page_no=_L, chunk_no=_L, text=_S, document_vector=T.ArrayType(T.FloatType(), True)
 )
 BINARIES = _struct(doc_id=_S, type=_S, data=T.BinaryType(), media_type=_S)
+REJECTED = _struct(source=_S, reason=_S)
 DELETIONS = _struct(doc_id=_S, type=_S)
 
-TABLES = {"documents": DOCUMENTS, "pages": PAGES, "chunks": CHUNKS, "binaries": BINARIES}
+TABLES = {"documents": DOCUMENTS, "pages": PAGES, "chunks": CHUNKS, "binaries": BINARIES, "rejected": REJECTED}
 
 # what identifies a chunk, and breaks ties between equal scores
 CHUNK_KEY = ["type", "doc_id", "page_no", "chunk_no"]

@@ -168,6 +168,9 @@ def load_files(files: DataFrame, loaders: list[Loader], collection: str, ingest_
         *[by_loader(lambda ld, x=x: ld.extra[x](path) if x in ld.extra else None).alias(x) for x in extras],
         F.coalesce(*[F.col(f"__pages{i}") for i in range(len(loaders))]).alias("pages"),
         content,
+        F.concat_ws(", ", *[
+            F.when(F.col(f"__pages{i}").isNull() & ld.can_load(path, content), ld.type) for i, ld in enumerate(loaders)
+        ]).alias("failed"),
     )
     return parsed.withColumn("doc_id", stable_id(F.lit(collection), "type", "source", "ingest_date"))
 
@@ -177,7 +180,9 @@ def loaded(parsed: DataFrame) -> DataFrame:
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("type").isNull()).select("source")
+    """(source, reason) of the files that no loader took."""
+    reason = F.when(F.col("failed") == "", "no loader takes such a file").otherwise(F.concat(F.lit("cannot be read as "), "failed"))
+    return parsed.filter(F.col("type").isNull()).select("source", reason.alias("reason"))
 
 
 def current_millis() -> int:

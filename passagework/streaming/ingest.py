@@ -36,13 +36,13 @@ def start_ingest(
     """Ingest what is new in a stream of (path, content) and stop, or keep polling with
     ``processing_time``.
 
-    The checkpoint remembers the files taken. A batch replayed after a failure overwrites its own
-    folder, so nothing is stored twice. ``on_batch`` receives the rows written per table.
+    The checkpoint remembers the files taken. A batch replayed after a failure replaces itself and
+    keeps the time of its first attempt, so nothing is stored twice and ids stay. ``on_batch`` receives the rows written per table.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         name = f"{stream_name}-{batch_id}"
-        counts = collection.ingest_files(batch, loaders, name, ingest_date)
+        counts = collection.ingest_files(batch, loaders, name, collection.batch_time(name) if ingest_date is None else ingest_date)
         if on_batch is not None:
             on_batch(name, counts)
 

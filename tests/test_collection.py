@@ -30,6 +30,10 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def rows_of_all(collection):
+    return [tuple(r) for r in collection.rows().collect()]
+
+
 def test_life_of_a_collection(spark, tmp_path, folder):
     root = str(tmp_path / "root")
     assert list_collections(spark, root).count() == 0
@@ -48,7 +52,8 @@ def test_life_of_a_collection(spark, tmp_path, folder):
     assert c.fetch_binary("pdf", listed["none.pdf"].doc_id).count() == 0
     assert c.fetch_binary("plaintext", listed["a.txt"].doc_id).first().media_type == "text/plain"
     assert c.list_documents(limit=1).count() == 1
-    assert not os.path.exists(f"{c.path}/_staging/1")
+    assert not os.listdir(f"{c.path}/_staging")
+    assert [(os.path.basename(r.source), r.reason) for r in c.rejected().collect()] == [("c.bin", "no loader takes such a file")]
 
     # the same source again is another document; the same batch again is not
     c.ingest_folder(str(folder), LOADERS, "2", DATE + 1)
@@ -74,10 +79,53 @@ def test_uncommitted_batch_is_not_seen(spark, tmp_path, folder):
     c = Collection(spark, str(tmp_path / "root"), "c").create()
     c.ingest_folder(str(folder), LOADERS, "1", DATE)
     parsed = S.loaded(S.load_files(S.scan_files(spark, str(folder)), LOADERS, "c", DATE + 9))
-    c._save(I.pages_of(parsed), "pages", "broken")
+    c._save(I.pages_of(parsed), "pages", "broken", "1")
     assert c.pages().count() == 3
 
 
+def test_a_failed_rewrite_leaves_the_batch_as_it_was(spark, tmp_path, folder):
+    class Failing(type(I.DEFAULT_ENCODER)):
+        def __call__(self, texts):
+            raise RuntimeError("no vectors")
+
+    root = str(tmp_path / "root")
+    c = Collection(spark, root, "c")
+    c.ingest_folder(str(folder), LOADERS, "1", DATE)
+    before = sorted(map(repr, rows_of_all(c)))
+    with pytest.raises(Exception, match="no vectors"):
+        Collection(spark, root, "c", Failing()).ingest_folder(str(folder), LOADERS, "1", DATE)
+    assert sorted(map(repr, rows_of_all(c))) == before and not os.listdir(f"{c.path}/_staging")
+    (folder / "a.txt").write_text("other words")
+    c.ingest_folder(str(folder), LOADERS, "1", DATE)
+    assert c.batches() == ["1"] and [r.text for r in c.chunks().filter("type = 'plaintext'").collect()] == ["other words"]
+    for table in ("documents", "pages", "chunks", "binaries", "rejected"):
+        assert len(os.listdir(f"{c.path}/{table}/batch=1")) == 1
+
+
+def test_equal_sources_in_a_batch_are_refused(spark, tmp_path, folder):
+    c = Collection(spark, str(tmp_path / "root"), "c")
+    files = S.scan_files(spark, str(folder))
+    with pytest.raises(ValueError, match="a.txt"):
+        c.ingest_files(files.unionAll(files), LOADERS, "1", DATE)
+    with pytest.raises(ValueError, match="s.example"):
+        c.ingest_web(site(spark).unionAll(site(spark)), "w", ingest_date=DATE)
+    assert c.batches() == [] and c.rows().count() == 0
+    with pytest.raises(ValueError):
+        c.ingest_files(files, LOADERS, "a/b", DATE)
+
+
+def test_a_batch_keeps_its_time(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "root"), "c")
+    assert c.batch_time("files-0") == c.batch_time("files-0") > DATE
+
+
+def test_absent_roots_keep_their_document(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "root"), "c")
+    roots = spark.createDataFrame([("http://s.example/",), ("http://absent.example/",)], "url string")
+    c.ingest_web(site(spark), "w", roots, ingest_date=DATE)
+    assert rows(c.list_documents().select("source", "page_count")) == [("http://absent.example/", 0), ("http://s.example/", 5)]
+
+
 def test_loaders_may_add_fields(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()

@@ -54,6 +54,9 @@ def test_dispatch_falls_through_and_rejects(spark, tmp_path):
     assert got["empty.txt"].pages[0].content == ""
     assert "deep.txt" not in got
     assert {os.path.basename(r.source) for r in S.rejected(parsed).collect()} == {"nul.bin", "latin.txt"}
+    broken = S.load_files(S.scan_files(spark, str(tmp_path)), [S.pdf_loader(read_pages)], "c", DATE)
+    reasons = {os.path.basename(r.source): r.reason for r in S.rejected(broken).collect()}
+    assert reasons["fake.pdf"] == "cannot be read as pdf" and reasons["nul.bin"] == "no loader takes such a file"
 
 
 def test_long_pages_keep_their_number(spark):
@@ -84,10 +87,10 @@ def test_paths(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("ok",), ("Bad",), ("_x",), ("-x",), ("",), ("a_b-c",)], "n string")
+    df = spark.createDataFrame([("ok",), ("Bad",), ("_x",), ("-x",), ("",), ("a_b-c",), ("..",), ("a*b",), ("a/b",), ("a b",), ("ä",)], "n string")
     valid = {r.n for r in df.filter(is_valid_collection_name(F.col("n"))).collect()}
-    assert valid == {"ok", "a_b-c"}
-    for name in ("Bad", "_x", "-x", "", "a/b"):
+    assert valid == {"ok", "a_b-c", "ä"}
+    for name in ("Bad", "_x", "-x", "", "a/b", "..", "a*b", "a b"):
         try:
             check_collection_name(name)
             raise AssertionError(name)
