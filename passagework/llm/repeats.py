@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.shared import Scratch, arrow_rows, mix, ngram_hashes, text_slices, word_hashes
+from passagework.llm.shared import Scratch, arrow_rows, column_hashes, mix, ngram_hashes, split_words, text_slices
 
 WINDOW = 13
 PHRASE = 5
@@ -41,18 +41,21 @@ def _sliding(values: np.ndarray, width: int, smaller=np.minimum) -> np.ndarray:
     return out
 
 
-def window_keys(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minimizer and hash of every window of ``words``; the hash is made of phrases that cover the window."""
-    if len(words) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+def window_keys(hashes: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, minimizer and hash of every window of word hashes that lies in one text; the hash is made of phrases that
+    cover the window."""
+    if len(hashes) < window:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     size = min(PHRASE, window)
-    phrases = ngram_hashes(word_hashes(words), size)
+    phrases = ngram_hashes(hashes, size)
     low = _sliding(phrases, window - size + 1)
     whole = np.zeros(len(low), np.uint64)
-    for at in [*range(0, window - size, size), window - size]:
-        with np.errstate(over="ignore"):
-            whole = mix(whole * np.uint64(0x9E3779B97F4A7C15) + phrases[at:at + len(low)])
-    return low, whole
+    with np.errstate(over="ignore"):
+        for at in [*range(0, window - size, size), window - size]:
+            whole *= np.uint64(0x9E3779B97F4A7C15)
+            whole += phrases[at:at + len(low)]
+    place = np.flatnonzero(owner[:len(low)] == owner[window - 1:])
+    return place, low[place], whole[place]
 
 
 def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -71,14 +74,17 @@ def recurring_bitmap(rows: DataFrame, window: int, marked: np.ndarray | None = N
 
     def run(batches):
         for batch in text_slices(batches):
-            found, owner = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                low, whole = window_keys(_words(text), window)
-                own = np.unique(low if marked is None else whole[_marked(marked.value, low)])
-                found.append(own)
-                owner.append(np.full(len(own), i))
-            yield arrow_rows(["h", "doc"], [pa.array(np.concatenate(found).view(np.int64)),
-                                            batch.column(0).take(pa.array(np.concatenate(owner)))])
+            words, owner = split_words(batch.column(1))
+            place, low, whole = window_keys(column_hashes(words), owner, window)
+            if marked is None:
+                # neighbours mostly name the same minimizer
+                keep = np.flatnonzero((np.diff(low, prepend=~low[:1]) != 0) | (np.diff(owner[place], prepend=-1) != 0))
+                found = low[keep]
+            else:
+                keep = np.flatnonzero(_marked(marked.value, low))
+                found = whole[keep]
+            yield arrow_rows(["h", "doc"], [pa.array(found.view(np.int64)),
+                                            batch.column(0).take(pa.array(owner[place[keep]]))])
 
     met = rows.select("doc", "text").mapInArrow(run, "h long, doc long").groupBy("h").agg(
         F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
@@ -107,25 +113,24 @@ def fragments(rows: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
     def run(batches):
         bits = shared.value
         for batch in text_slices(batches):
-            row, start, route, out = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = _words(text)
-                key, whole = window_keys(words, window)
-                marked = _marked(bits, whole)
-                if not marked.any():
-                    continue
-                where = np.flatnonzero(marked)
-                fresh = np.flatnonzero((np.diff(where, prepend=-2) > 1) | (np.diff(key[where], prepend=key[where[0]]) != 0))
-                for lo, hi in zip(where[fresh].tolist(), where[np.append(fresh[1:], len(where)) - 1].tolist()):
-                    row.append(i)
-                    start.append(lo)
-                    route.append(key[lo])
-                    out.append(b" ".join(words[lo:hi + window]))
-            if row:
-                index = pa.array(row, pa.int64())
-                yield arrow_rows(names, [batch.column(0).take(index), batch.column(2).take(index),
-                                         pa.array(start, pa.int64()), pa.array(np.array(route, np.uint64).view(np.int64)),
-                                         pa.array(out, pa.binary())])
+            words, owner = split_words(batch.column(1))
+            place, low, whole = window_keys(column_hashes(words), owner, window)
+            keep = np.flatnonzero(_marked(bits, whole))
+            if not len(keep):
+                continue
+            place, low = place[keep], low[keep]
+            fresh = np.flatnonzero((np.diff(place, prepend=-2) > 1) | (np.diff(low, prepend=low[:1]) != 0)
+                                   | (np.diff(owner[place], prepend=-1) != 0))
+            lo, route = place[fresh], low[fresh]
+            sizes = place[np.append(fresh[1:], len(place)) - 1] - lo + window
+            begins = np.cumsum(sizes) - sizes
+            taken = words.take(pa.array(np.arange(sizes.sum()) + np.repeat(lo - begins, sizes)))
+            runs = pa.LargeListArray.from_arrays(pa.array(np.append(begins, sizes.sum())), taken)
+            index = pa.array(owner[lo])
+            yield arrow_rows(names, [batch.column(0).take(index), batch.column(2).take(index),
+                                     pa.array(lo - np.searchsorted(owner, owner[lo])),
+                                     pa.array(route.view(np.int64)),
+                                     pa.compute.binary_join(runs, pa.scalar(b" ", pa.large_binary())).cast(pa.binary())])
 
     return rows.select("doc", "text", "text_hash").mapInArrow(
         run, "doc long, text_hash long, start long, route long, fragment binary")
@@ -138,20 +143,25 @@ def _locate(batches, window):
         return
     table = pa.Table.from_batches(table)
     low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-    number: dict[bytes, int] = {}
-    texts = [tuple(number.setdefault(w, len(number)) for w in f.split()) for f in table.column("fragment").to_pylist()]
-    spread = mix(np.arange(len(number), dtype=np.uint64))
-    hashes = [ngram_hashes(spread[list(t)], window) for t in texts]
-    counts = np.array([len(h) for h in hashes])
-    owner = np.repeat(np.arange(len(texts)), counts)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    kinds, kind = np.unique(np.concatenate(hashes), return_inverse=True)
-    first, last = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
+    words, owner = split_words(table.column("fragment").combine_chunks().cast(pa.string(), safe=False))
+    numbers = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.searchsorted(owner, np.arange(len(table)), side="right").tolist()
+    flat = tuple(numbers.tolist())
+    texts = [flat[lo:hi] for lo, hi in zip([0, *ends], ends)]
+    hashes = ngram_hashes(mix(numbers.astype(np.uint64)), window)
+    place = np.flatnonzero(owner[:len(hashes)] == owner[window - 1:])
+    owner = owner[place]
+    _, one, kind = np.unique(hashes[place], return_index=True, return_inverse=True)
+    first, last = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
     np.minimum.at(first, kind, low[owner])
     np.maximum.at(last, kind, high[owner])
+    # different windows of one hash are patterns of their own
+    other = np.zeros(len(place), bool)
+    for i in range(window):
+        other |= numbers[place + i] != numbers[place[one[kind]] + i]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i in np.flatnonzero((first < last)[kind]).tolist():
-        pattern = texts[owner[i]][place[i]:place[i] + window]
+    for at in place[np.concatenate([one[first < last], np.flatnonzero(other & (first < last)[kind])])].tolist():
+        pattern = flat[at:at + window]
         if pattern not in automaton:
             automaton.add_word(pattern, len(automaton))
     if not len(automaton):
@@ -178,7 +188,9 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     """``(doc, text_hash, starts)``: starts of windows that also start in a document with a smaller id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("text_hash")).filter("doc is not null")
-    windows = recurring_bitmap(rows, window, recurring_bitmap(rows, window))
+    windows = recurring_bitmap(rows, window)
+    scratch.release()
+    windows = recurring_bitmap(rows, window, windows)
     scratch.release()
     found = scratch.write(fragments(rows, windows, window))
     scratch.release()
@@ -195,8 +207,12 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     held = found.select("doc", "text_hash", "start", *named).join(located, ["f1", "f2"])
     earlier = F.filter(F.arrays_zip("offsets", "earliest"), lambda o: o["earliest"] < F.col("doc"))
     starts = F.transform(earlier, lambda o: o["offsets"] + F.col("start"))
-    return (held.select("doc", "text_hash", starts.alias("starts")).filter(F.size("starts") > 0)
-            .groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    repeated = scratch.write(held.select("doc", "text_hash", starts.alias("starts")).filter(F.size("starts") > 0)
+                             .groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    scratch.drop(found)
+    del distinct, located, held
+    scratch.release()
+    return repeated
 
 
 def _kept(text: str | None, starts, window: int) -> tuple[list[bytes], int]:

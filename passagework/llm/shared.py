@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from passagework.config import ensure_checkpoint_dir
 
 SLICE_BYTES = 4 << 20
+_POLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,15 +88,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def ngram_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` consecutive word hashes."""
+    """Hashes of all runs of ``width`` consecutive word hashes: one polynomial, mixed once."""
     if len(h) < width:
         return np.empty(0, np.uint64)
     n = len(h) - width + 1
     out = np.full(n, width, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(width):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n])
-    return out
+            out *= _POLY
+            out += h[i:i + n]
+    return mix(out)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words ``[^\\x20\\x09-\\x0D]+`` of a column of texts (null: none), and the position of the text of each."""
+    parts = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
+    owner = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(parts).to_numpy(zero_copy_only=False))
+    words = parts.flatten().cast(pa.large_binary())
+    full = pa.compute.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    return (words, owner) if full.all() else (words.filter(pa.array(full)), owner[full])
+
+
+def column_hashes(words: pa.Array) -> np.ndarray:
+    """``word_hashes`` of a column of words, each distinct word hashed once."""
+    coded = words.dictionary_encode()
+    return word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
