@@ -6,8 +6,9 @@
    that name them. A wrong bit only costs work.
 2. The next scan writes fragments: runs of marked windows with one minimizer, with the words they cover. Fragments are
    dealt by that minimizer; equal fragments are one row with the first and last document that hold them.
-3. Each shard of fragments confirms the windows that occur in two documents, compiles them into an Aho-Corasick automaton
-   over words and streams its fragments through it to locate every occurrence.
+3. Each shard of fragments confirms the windows that occur in two documents, joins those that always occur in one row to
+   passages, compiles the passages into an Aho-Corasick automaton over words and streams its fragments through it to
+   locate every occurrence.
 4. Locations go back to the documents that hold the fragment, and each word covered by a window that starts in an earlier
    document is removed.
 """
@@ -136,8 +137,24 @@ def fragments(rows: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
         run, "doc long, text_hash long, start long, route long, fragment binary")
 
 
+def _inner(kind: np.ndarray, owner: np.ndarray, kinds: int) -> np.ndarray:
+    """Windows that follow one and the same window wherever they occur, which nothing else follows."""
+    same = owner[1:] == owner[:-1]
+    before, after = np.full(len(kind), -1), np.full(len(kind), -1)
+    before[1:][same], after[:-1][same] = kind[:-1][same], kind[1:][same]
+    ranges = []
+    for near in (before, after):
+        least, most = np.full(kinds, kinds), np.full(kinds, -1)
+        np.minimum.at(least, kind, near)
+        np.maximum.at(most, kind, near)
+        ranges.append(np.where(least == most, least, -1))
+    only_before, only_after = ranges
+    return (only_before >= 0) & (only_after[only_before] == np.arange(kinds))
+
+
 def _locate(batches, window):
-    """Locate the confirmed windows of one shard in all its fragments."""
+    """Locate the recurring passages of one shard in all its fragments: confirmed windows, those that always occur in one
+    row joined to one pattern."""
     table = [b for b in batches if b.num_rows]
     if not table:
         return
@@ -152,27 +169,34 @@ def _locate(batches, window):
     place = np.flatnonzero(owner[:len(hashes)] == owner[window - 1:])
     owner = owner[place]
     _, one, kind = np.unique(hashes[place], return_index=True, return_inverse=True)
+    if any((numbers[place + i] != numbers[place[one[kind]] + i]).any() for i in range(window)):
+        # two windows share a hash: compare the words themselves
+        whole = np.lib.stride_tricks.sliding_window_view(numbers, window)[place]
+        _, one, kind = np.unique(whole, axis=0, return_index=True, return_inverse=True)
     first, last = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
     np.minimum.at(first, kind, low[owner])
     np.maximum.at(last, kind, high[owner])
-    # different windows of one hash are patterns of their own
-    other = np.zeros(len(place), bool)
-    for i in range(window):
-        other |= numbers[place + i] != numbers[place[one[kind]] + i]
+    begins = np.flatnonzero(~_inner(kind, owner, len(one))[kind])
+    lengths = np.zeros(len(place), np.int64)
+    lengths[begins] = np.diff(np.append(begins, len(place)))
+    one = one[(first < last) & (lengths[one] > 0)]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for at in place[np.concatenate([one[first < last], np.flatnonzero(other & (first < last)[kind])])].tolist():
-        pattern = flat[at:at + window]
-        if pattern not in automaton:
-            automaton.add_word(pattern, len(automaton))
+    for p, (at, more) in enumerate(zip(place[one].tolist(), lengths[one].tolist())):
+        automaton.add_word(flat[at:at + window + more - 1], p)
     if not len(automaton):
         return
     automaton.make_automaton()
-    hits = [(i, end - window + 1, p) for i, text in enumerate(texts) for end, p in automaton.iter(text)]
-    fragment, offset, pattern = (np.array(c, np.int64) for c in zip(*hits))
-    earliest = np.full(len(automaton), np.iinfo(np.int64).max)
+    hits = [(i, end, p) for i, text in enumerate(texts) for end, p in automaton.iter(text)]
+    fragment, end, pattern = (np.array(c, np.int64) for c in zip(*hits))
+    earliest = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(earliest, pattern, low[fragment])
     useful = earliest[pattern] < high[fragment]
-    fragment, offset, earliest = fragment[useful], offset[useful], earliest[pattern[useful]]
+    fragment, end, earliest, held = (fragment[useful], end[useful], earliest[pattern[useful]],
+                                     lengths[one][pattern[useful]])
+    # a passage starts as many windows as it has words beyond the first window
+    step = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+    offset = np.repeat(end - (window + held - 1) + 1, held) + step
+    fragment, earliest = np.repeat(fragment, held), np.repeat(earliest, held)
     edges = np.flatnonzero(np.diff(fragment, prepend=-1))
     ends = np.append(edges[1:], len(fragment))
     index = pa.array(fragment[edges])
