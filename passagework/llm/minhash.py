@@ -6,8 +6,8 @@
 2. Bands of registers give bucket keys. Keys held by one class only are dropped by a count, so only (key, id) rows of
    classes that meet another are joined with their sketches.
 3. Inside a key, canopies around hashed centres link what may belong together: a member loosely similar to a centre (by
-   the collision-corrected estimate) gets an edge to it, and only members well above that leave the round, so a pair at
-   the threshold shares a canopy. A key with very many members is linked without estimates. No pairs are emitted.
+   the collision-corrected estimate) is joined to it, and only members well above that leave the round, so a pair at
+   the threshold shares a canopy. What a batch of keys joins is passed on as one edge per member. A key with very many members is linked without estimates. No pairs are emitted.
 4. The connected candidates are dealt into blocks of bounded size, their sets travel once, and a search from set to set
    confirms links exactly. Blocks of one candidate component meet in pairs; a task returns one row per document.
 """
@@ -167,7 +167,26 @@ def _canopy_edges(table: pa.Table):
             b.append(ids[order[near]])
             left = left[(like < TIGHT) & (left != centre)]
     if a:
-        yield arrow_rows(["a", "b"], [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))])
+        yield arrow_rows(["a", "b"], _hung_together(np.concatenate(a), np.concatenate(b)))
+
+
+def _hung_together(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    """What the edges connect, as one edge from the smallest id of each component to every other member."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = ends[:len(a)], ends[len(a):]
+    root = np.arange(len(ids))
+    while True:
+        least = np.minimum(root[one], root[two])
+        new = root.copy()
+        for end in (one, two):
+            np.minimum.at(new, end, least)
+            np.minimum.at(new, root[end], least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    return [pa.array(ids[root[other]]), pa.array(ids[other])]
 
 
 def confirm(docs: DataFrame, groups: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, width: int,
