@@ -1,8 +1,10 @@
 """Approximate nearest neighbours: one navigable graph per shard, every query block meets every shard.
 
-The index is a written table with one row per shard: ids, vectors and flat neighbour arrays. Shards are dealt by the hash
-of the id, so neither labels nor copies make one large. Query blocks are matched with shards by an equi-join on the shard
-number; a task searches one block in one graph and keeps k rows per query, which are ranked at the end.
+Equal vectors are one class, a single node with its k + 1 smallest ids: no query needs more of them, as one may be its
+own. The index is a written table with one row per shard of classes: ids, vectors and flat neighbour arrays. Shards are
+dealt by the hash of the smallest id, so neither labels nor copies make one large. Query blocks are matched with shards by
+an equi-join on the shard number; a task searches one block in one graph, puts the ids in place of the classes found and
+keeps k rows per query, which are ranked at the end.
 """
 
 from __future__ import annotations
@@ -44,23 +46,40 @@ def dealt(rows: DataFrame, key: list[str], shard_rows: int) -> DataFrame:
     return rows.join(sizes, key).withColumn("_shard", F.pmod(F.xxhash64("_id"), F.col("_shards")).cast("int"))
 
 
-def build_index(vectors: DataFrame, scratch: Scratch, *, id_col: str, vector_col: str,
+def classes(vectors: DataFrame, *, id_col: str, vector_col: str, most_ids: int) -> DataFrame:
+    """``(_dim, _id, _ids, _vector)`` per distinct vector: its smallest id, and at most ``most_ids`` of the smallest.
+
+    Larger ids of a class are dropped before the shuffle (a partial group limit), so many copies don't gather in a task.
+    """
+    good = one_per_id(vectors.filter(usable(vector_col)), id_col, [vector_col]).withColumns({
+        "_dim": F.size(vector_col), "_h1": F.xxhash64(vector_col), "_h2": F.xxhash64(F.lit("second"), vector_col)})
+    same = ["_dim", "_h1", "_h2"]
+    smallest = good.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy("_id")))
+    return (smallest.filter(F.col("_n") <= most_ids).groupBy(*same)
+            .agg(F.array_sort(F.collect_list("_id")).alias("_ids"), F.min(vector_col).alias("_vector"))
+            .select("_dim", F.col("_ids")[0].alias("_id"), "_ids", "_vector"))
+
+
+def build_index(vectors: DataFrame, scratch: Scratch, *, id_col: str, vector_col: str, k: int,
                 shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Written table ``(_dim, _shard, _shards, _ids, _graph)``, a row per shard."""
-    good = one_per_id(vectors.filter(usable(vector_col)), id_col, [vector_col])
-    good = dealt(good.withColumn("_dim", F.size(vector_col)), ["_dim"], shard_rows)
+    """Written table ``(_dim, _shard, _shards, _ids, _ends, _graph)``, a row per shard; the ids of class ``i`` are those
+    before ``_ends[i]``."""
+    good = scratch.write(classes(vectors, id_col=id_col, vector_col=vector_col, most_ids=k + 1))
+    good = dealt(good, ["_dim"], shard_rows)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_id")
-        dim, ids = table.column("_dim")[0].as_py(), table.column("_id").to_numpy()
-        graph = hnsw.build(matrix(table.column(vector_col), dim), ids)
+        table = table.sort_by("_id").combine_chunks()
+        dim, ids = table.column("_dim")[0].as_py(), table.column("_ids")
+        ends = np.cumsum(pa.compute.list_value_length(ids).to_numpy())
+        graph = hnsw.build(matrix(table.column("_vector"), dim), table.column("_id").to_numpy())
         return pa.table({"_dim": pa.array([dim], pa.int32()), "_shard": table.column("_shard")[:1].combine_chunks(),
                          "_shards": table.column("_shards")[:1].combine_chunks(),
-                         "_ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
+                         "_ids": pa.array([pa.compute.list_flatten(ids).to_numpy().astype("<i8").tobytes()], pa.binary()),
+                         "_ends": pa.array([ends.astype("<i8").tobytes()], pa.binary()),
                          "_graph": pa.array([graph.to_bytes()], pa.binary())})
 
     return scratch.write(good.groupBy("_dim", "_shard").applyInArrow(
-        run, "_dim int, _shard int, _shards int, _ids binary, _graph binary"))
+        run, "_dim int, _shard int, _shards int, _ids binary, _ends binary, _graph binary"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
@@ -72,7 +91,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     ``query_id, rank, <id>, score``; an empty table gives no rows.
     """
     scratch = Scratch(vectors.sparkSession)
-    index = build_index(vectors, scratch, id_col=id_col, vector_col=vector_col, shard_rows=shard_rows)
+    index = build_index(vectors, scratch, id_col=id_col, vector_col=vector_col, k=k, shard_rows=shard_rows)
     asked = one_per_id(queries.filter(usable(vector_col)), id_col, [vector_col]).withColumn("_dim", F.size(vector_col))
     asked = dealt(asked, ["_dim"], queries_per_block).withColumnRenamed("_shard", "_block")
 
@@ -88,7 +107,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     blocks = blocks.join(counts, "_dim").select(
         "_dim", "_query_ids", "_queries", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_shard"))
     # a hashed shard may be empty; the join leaves it out
-    pairs = index.join(blocks, ["_dim", "_shard"]).select("_dim", "_ids", "_graph", "_query_ids", "_queries")
+    pairs = index.join(blocks, ["_dim", "_shard"]).select(
+        "_dim", "_ids", "_graph", "_query_ids", "_queries", "_ends")
     names = ["query_id", id_col, "score"]
 
     def run(batches):
@@ -102,6 +122,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
                 ids = np.frombuffer(batch.column(1)[row].as_buffer(), "<i8")
                 own = np.frombuffer(batch.column(3)[row].as_buffer(), "<i8")
                 asked = np.frombuffer(batch.column(4)[row].as_buffer(), "<f8").reshape(-1, dim)
+                ends = np.frombuffer(batch.column(5)[row].as_buffer(), "<i8")
                 found, _ = hnsw.search(graph, asked.astype(graph.vectors.dtype), max(beam, k + 1))
                 ask, column = np.nonzero(found >= 0)
                 node = found[ask, column]
@@ -109,12 +130,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
                 for lo in range(0, len(node), 65_536):
                     gap = asked[ask[lo:lo + 65_536]] - graph.vectors[node[lo:lo + 65_536]].astype(np.float64)
                     score[lo:lo + 65_536] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                other = ids[node] != own[ask]
-                ask, node, score = ask[other], node[other], score[other]
-                by = np.lexsort((ids[node], score, ask))
-                ask, node, score = ask[by], node[by], score[by]
+                sizes = np.diff(ends, prepend=0)[node]
+                each = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                found_ids = ids[np.repeat(ends[node] - sizes, sizes) + each]
+                ask, score = np.repeat(ask, sizes), np.repeat(score, sizes)
+                other = found_ids != own[ask]
+                ask, found_ids, score = ask[other], found_ids[other], score[other]
+                by = np.lexsort((found_ids, score, ask))
+                ask, found_ids, score = ask[by], found_ids[by], score[by]
                 keep = np.arange(len(ask)) - np.searchsorted(ask, ask) < k
-                yield arrow_rows(names, [pa.array(own[ask[keep]]), pa.array(ids[node[keep]]), pa.array(score[keep])])
+                yield arrow_rows(names, [pa.array(own[ask[keep]]), pa.array(found_ids[keep]), pa.array(score[keep])])
 
     hits = pairs.mapInArrow(run, f"query_id long, `{id_col}` long, score double")
     nearest_first = Window.partitionBy("query_id").orderBy("score", id_col)

@@ -57,6 +57,27 @@ def test_search_recall_and_odd_vectors(spark, vectors):
     assert nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_search_among_many_copies(spark):
+    random = np.random.default_rng(3)
+    x = random.normal(size=(3000, 16)).astype(np.float32)
+    ids = random.permutation(30_000)[:3000]
+    copies = random.permutation(3000)[:1000]
+    x[copies] = x[copies[0]]
+    table = spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<float>")
+    asked = np.append(ids[copies[:30]], ids[:60])
+    got = nearest(table, table.filter(F.col("vec_id").isin(asked.tolist())), shard_rows=1500).toPandas()
+    mine = {q: g.sort_values("rank").vec_id.tolist() for q, g in got.groupby("query_id")}
+    wide, hits = x.astype(np.float64), 0
+    for q in set(asked.tolist()):
+        d = np.sqrt(((wide - wide[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        best = ids[np.lexsort((ids, d))[:10]].tolist()
+        hits += len(set(best) & set(mine[q]))
+        if q in ids[copies]:
+            assert mine[q] == best
+    assert hits / (10 * len(set(asked.tolist()))) >= 0.95
+
+
 def _exact(ids, x, label):
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     link = (unit @ unit.T >= 0.93) & (label[:, None] == label[None])
