@@ -1,11 +1,10 @@
-"""Near-duplicate vectors: navigable graphs per shard, audited beams, verified cosines, united components.
-
-Equal vectors of a label are one class with a number of copies, so a hot group of copies is one node. The classes of a
-label are dealt into shards by the hash of their smallest id; each shard gets one graph. Shards of a label meet in pairs:
-the vectors of one are searched in the graph of the other and the other way round. A beam that is full of links doubles;
-a hashed part of the queries is audited against all vectors of the shard, and beams widen until the audit finds every
-link. What was found is verified in double precision. A task returns per vector its number of links and the smallest id
-it hangs together with there, never pairs.
+"""Near-duplicate vectors: blocked products of shards, verified cosines, united components.
+
+Equal vectors of a label are one class with a number of copies, so a hot group of copies is one row. The classes of a
+label are dealt into shards by the hash of their smallest id. Shards of a label meet in pairs: products in single
+precision, a block of rows at a time, compare every vector of one with every vector of the other, so no link is missed.
+Those nearer to the cosine than the error bound are verified in double precision. A task returns per vector its number of
+links and the smallest id it hangs together with there, never pairs.
 """
 
 from __future__ import annotations
@@ -15,15 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm import hnsw
 from passagework.llm.neighbors import dealt, matrix, one_per_id, usable
-from passagework.llm.shared import Scratch, arrow_rows, components, mix
+from passagework.llm.shared import Scratch, arrow_rows, components
 
 MIN_COSINE = 0.93
 SHARD_ROWS = 8192
-FIRST_BEAM = 32
-AUDIT_ONE_IN = 8
-_SLACK = 1e-5
+_ROWS_AT_ONCE = 256
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -43,7 +39,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     same = ["_label", "_dim", "_h1", "_h2"]
     classes = good.groupBy(*same).agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies"),
                                       F.min("_vector").alias("_vector"))
-    index = scratch.write(_shard_graphs(classes, shard_rows))
+    index = scratch.write(_shards(classes, shard_rows))
     touched = scratch.write(_links(index, min_cosine))
     group = components(touched.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     links = touched.groupBy("node").agg(F.sum("n").alias("_n"))
@@ -60,8 +56,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
-def _shard_graphs(classes: DataFrame, shard_rows: int) -> DataFrame:
-    """A row per label, length and shard: ids, copies, vectors and graph of their directions."""
+def _shards(classes: DataFrame, shard_rows: int) -> DataFrame:
+    """A row per label, length and shard: ids, copies and vectors."""
     rows = classes.withColumnRenamed("_rep", "_id")
     key = F.xxhash64("_label", "_dim").alias("_key")
     rows = dealt(rows.select("_id", "_copies", "_vector", "_dim", F.col("_label").cast("string").alias("_label")),
@@ -70,17 +66,13 @@ def _shard_graphs(classes: DataFrame, shard_rows: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("_id")
         ids, values = table.column("_id").to_numpy(), matrix(table.column("_vector"), table.column("_dim")[0].as_py())
-        unit = values.astype(np.float64)
-        unit = unit / np.abs(unit).max(1)[:, None]
-        unit = (unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.float32)
         one = {c: table.column(c)[:1].combine_chunks() for c in ("_label", "_dim", "_shard", "_shards")}
         return pa.table({**one, "_ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
                          "_copies": pa.array([table.column("_copies").to_numpy().astype("<i8").tobytes()], pa.binary()),
-                         "_values": pa.array([values.astype("<f8").tobytes()], pa.binary()),
-                         "_graph": pa.array([hnsw.build(unit, ids).to_bytes()], pa.binary())})
+                         "_values": pa.array([values.astype("<f8").tobytes()], pa.binary())})
 
     return rows.drop("_key").groupBy("_label", "_dim", "_shard").applyInArrow(
-        run, "_label string, _dim int, _shard int, _shards int, _ids binary, _copies binary, _values binary, _graph binary")
+        run, "_label string, _dim int, _shard int, _shards int, _ids binary, _copies binary, _values binary")
 
 
 def _links(index: DataFrame, min_cosine: float) -> DataFrame:
@@ -89,7 +81,7 @@ def _links(index: DataFrame, min_cosine: float) -> DataFrame:
     pairs = index.groupBy(*key).agg(F.max("_shards").alias("_n")).select(
         *key, F.col("_n"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_a"))
     pairs = pairs.select(*key, "_a", F.explode(F.sequence("_a", F.col("_n") - 1)).alias("_b"))
-    parts = ["_ids", "_copies", "_values", "_graph"]
+    parts = ["_ids", "_copies", "_values"]
 
     def side(name):
         return index.select(*key, F.col("_shard").alias(f"_{name}"), *[F.col(p).alias(f"{p}_{name}") for p in parts])
@@ -101,7 +93,7 @@ def _links(index: DataFrame, min_cosine: float) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 cells = [batch.column(c)[row] for c in range(batch.num_columns)]
-                a, b = (_Shard(cells[0].as_py(), [c.as_buffer() for c in cells[i:i + 4]]) for i in (2, 6))
+                a, b = (_Shard(cells[0].as_py(), [c.as_buffer() for c in cells[i:i + 3]]) for i in (2, 5))
                 node, n, root = link_shards(a, None if cells[1].as_py() else b, min_cosine)
                 yield arrow_rows(["node", "n", "root"], [pa.array(node), pa.array(n), pa.array(root)])
 
@@ -112,30 +104,34 @@ class _Shard:
     def __init__(self, dim, buffers):
         self.ids, self.copies = (np.frombuffer(b, "<i8") for b in buffers[:2])
         self.values = np.frombuffer(buffers[2], "<f8").reshape(-1, dim)
-        self.graph = hnsw.Graph.from_bytes(buffers[3].to_pybytes())
         self.norms = np.linalg.norm(self.values, axis=1)
+        unit = self.values / np.abs(self.values).max(1)[:, None]
+        self.unit = (unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.float32)
 
 
 def link_shards(a, b, min_cosine: float):
     """Links between two shards, or inside ``a`` if ``b`` is None: ids, links in copies, and smallest connected id."""
     inside = b is None
     b = a if inside else b
-    linked = found_links(b.graph, a.graph.vectors, a.ids, min_cosine)
-    linked |= (linked if inside else found_links(a.graph, b.graph.vectors, b.ids, min_cosine)).T
     n_a, n_b = len(a.ids), len(b.ids)
     label = np.arange(n_a if inside else n_a + n_b)
     shift = 0 if inside else n_a
     count_a, count_b = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
-    if inside:
-        np.fill_diagonal(linked, False)
-    for lo in range(0, n_a, 256):
-        rows = slice(lo, lo + 256)
-        r, c = np.nonzero(linked[rows])
+    # bound of the product of two rounded unit vectors
+    slack = (a.values.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    for lo in range(0, n_a, _ROWS_AT_ONCE):
+        near = a.unit[lo:lo + _ROWS_AT_ONCE] @ b.unit.T
+        if inside:
+            near[np.arange(len(near)), lo + np.arange(len(near))] = -2
+        r, c = np.nonzero(near >= min_cosine - slack)
         if not len(r):
             continue
-        dots = np.concatenate([np.einsum("ij,ij->i", a.values[lo + r[at:at + 65_536]], b.values[c[at:at + 65_536]])
-                               for at in range(0, len(r), 65_536)])
-        enough = dots / (a.norms[lo + r] * b.norms[c]) >= min_cosine
+        enough = near[r, c] > min_cosine + slack
+        open_ = np.flatnonzero(~enough)
+        for at in range(0, len(open_), 65_536):
+            some = open_[at:at + 65_536]
+            x, y = lo + r[some], c[some]
+            enough[some] = np.einsum("ij,ij->i", a.values[x], b.values[y]) / (a.norms[x] * b.norms[y]) >= min_cosine
         r, c = lo + r[enough], c[enough]
         np.add.at(count_a, r, b.copies[c])
         np.add.at(count_b, c, a.copies[r])
@@ -150,38 +146,3 @@ def link_shards(a, b, min_cosine: float):
     np.minimum.at(lowest, label, ids)
     hit = count > 0
     return ids[hit], count[hit], lowest[label][hit]
-
-
-def found_links(graph: hnsw.Graph, queries: np.ndarray, query_ids: np.ndarray, min_cosine: float) -> np.ndarray:
-    """Matrix of queries and nodes that beams find within the cosine; beams widen until an audit misses nothing."""
-    n = len(graph.vectors)
-    limit = np.float32(2 - 2 * min_cosine + _SLACK)
-    linked = np.zeros((len(queries), n), bool)
-    audited = np.flatnonzero(mix(query_ids.astype(np.int64).view(np.uint64)) % np.uint64(AUDIT_ONE_IN) == 0)
-    beam = FIRST_BEAM
-    while True:
-        rows, width = np.arange(len(queries)), min(beam, n)
-        while len(rows):
-            full = []
-            step = max(1, (1 << 20) // width)
-            for lo in range(0, len(rows), step):
-                some = rows[lo:lo + step]
-                ids, dist = hnsw.search(graph, queries[some], width)
-                within = (dist <= limit) & (ids >= 0)
-                r, c = np.nonzero(within)
-                linked[some[r], ids[r, c]] = True
-                full.append(some[within[:, -1]])
-            rows = np.concatenate(full) if width < n else rows[:0]
-            width = min(2 * width, n)
-        if beam >= n or _audit_passes(graph.vectors, queries, audited, linked, limit):
-            return linked
-        beam *= 4
-
-
-def _audit_passes(vectors, queries, rows, linked, limit) -> bool:
-    for lo in range(0, len(rows), 256):
-        some = rows[lo:lo + 256]
-        close = 2 - 2 * (queries[some] @ vectors.T) <= limit - 2 * _SLACK
-        if (close & ~linked[some]).any():
-            return False
-    return True

@@ -103,6 +103,21 @@ def test_near_duplicate_vectors(spark, vectors):
     assert near_duplicates(everything.limit(0)).count() == 0
 
 
+def test_tight_groups_of_distinct_vectors(spark):
+    random = np.random.default_rng(5)
+    centers = random.normal(size=(8, 16))
+    spread = np.repeat([1e-4, 1e-2, 1e-4, 1e-2, 1e-3, 1e-3, 0.06, 0.06], 300)[:, None]
+    x = (np.repeat(centers, 300, axis=0) + spread * random.normal(size=(2400, 16))).astype(np.float32)
+    pair = np.repeat(centers[:2], 100, axis=0) + 1e-3 * random.normal(size=(200, 16))
+    x = np.vstack([x, random.normal(size=(400, 16)), pair]).astype(np.float32)
+    ids, label = random.permutation(3000), np.repeat([0, 1], [2800, 200])
+    table = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), label.tolist())),
+                                  "vec_id long, embedding array<float>, label int")
+    n, low = _exact(ids, x.astype(np.float64), label)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(table, shard_rows=5000).collect()}
+    assert got == dict(zip(ids.tolist(), zip(n.tolist(), low.tolist())))
+
+
 def test_pipeline_stages(spark):
     scratch = Scratch(spark)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
