@@ -1,8 +1,9 @@
 """Secret scans by patterns and by two character Markov models, in DataFrame functions only.
 
-Three fixed patterns give the base spans. Further candidates, long unbroken runs of token characters, are scored by the
-log-likelihood ratio of two first-order character models, one of random strings and one of ordinary words and
-identifiers, trained from labelled samples. The ratios are one table of 128 x 128 numbers, a constant of the plan.
+Three fixed patterns give the base spans. Further candidates, unbroken runs of token characters, cut at
+the base spans that they meet, are scored by the log-likelihood ratio of two first-order character models, one of random
+strings and one of ordinary words and identifiers, trained from labelled samples. The ratios are one table of 128 x 128
+numbers, a constant of the plan.
 Positions come from the lengths of the matches and of the texts between them, summed in blocks, so a text with many
 matches stays linear. Everything is map-only; one row per input row.
 """
@@ -134,18 +135,37 @@ def _ratio(value: Column, table: Column) -> Column:
                        F.lit(0.0), lambda a, b: a + b)
 
 
+def _parts(c: Column) -> Column:
+    """What is left of candidate ``c`` outside the spans of ``_base``, which are by start."""
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def part(start, stop):
+        value = c["value"].substr((start - c["start"] + 1).cast("int"), (stop - start).cast("int"))
+        return F.when(start < stop, F.array(F.struct(
+            start.alias("start"), F.lit(3).alias("kind"), stop.alias("stop"), value.alias("value")).cast(_SPAN))
+        ).otherwise(none)
+
+    def step(acc, b):
+        return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"),
+                        F.concat(acc["parts"], part(acc["at"], b["start"])).alias("parts"))
+
+    meets = F.filter("_base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+    return F.aggregate(meets, F.struct(c["start"].alias("at"), none.alias("parts")), step,
+                       lambda acc: F.concat(acc["parts"], part(acc["at"], c["stop"])))
+
+
 def secret_spans(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_row`` (the whole input row), ``_text``, ``_base`` and ``_all``: base spans and those that the models add.
 
-    A candidate is added if it touches no base span, its ratio reaches ``LEAST_RATIO`` and ``LEAST_MEAN_RATIO`` per
-    character pair. Kind 3 marks added spans.
+    Candidates are cut at the base spans that they meet. A part is added if its ratio reaches ``LEAST_RATIO`` and
+    ``LEAST_MEAN_RATIO`` per character pair. Kind 3 marks added spans.
     """
     table = F.split(F.lit(",".join(f"{r:.4f}" for r in ratios)), ",").cast("array<double>")
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(text_col, F.lit("")).alias("_text"))
     rows = _with_spans(base_spans(rows), "_found", CANDIDATE, 3)
-    free = F.filter("_found", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["stop"])
-                                                        & (c["start"] < b["stop"])))
-    added = F.filter(free, lambda c: _ratio(c["value"], table) >= F.greatest(
+    cut = F.flatten(F.transform("_found", _parts))
+    rows = rows.withColumn("_cut", F.when(F.size("_base") == 0, F.col("_found")).otherwise(cut))
+    added = F.filter("_cut", lambda c: _ratio(c["value"], table) >= F.greatest(
         F.lit(LEAST_RATIO), LEAST_MEAN_RATIO * (F.length(c["value"]) - 1)))
     return rows.select("_row", "_text", "_base", F.array_sort(F.concat("_base", added)).alias("_all"))
 

@@ -118,6 +118,19 @@ def test_secret_spans(spark, docs):
     assert masked[2] == "[REDACTED] " * 700
 
 
+def test_random_rest_of_a_token_is_masked(spark, docs):
+    rest = "Zk8QwX3vTn7JpL2sRy9HKbM4cGd6FxA1uNe5WoK0i"
+    access, hexes = "AKIA" + "QZ7X" * 4, "0123456789abcdef1"
+    texts = [hexes + rest, access + rest.lower(), rest[:20] + hexes + rest[20:], "configuration/internationalization"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratios = secret_scan.train_markov(secret_scan.labelled_samples(docs.select("doc_id", "text")))
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(rows, ratios).collect()}
+    assert [masked[i].replace("[REDACTED]", "") for i in range(3)] == ["", "", ""]
+    assert masked[3] == texts[3]
+    spans = {r.doc_id: r.spans for r in secret_scan.scan_secrets(rows, ratios).collect()}
+    assert spans[2] == "markov:0:20,hex:20:37,markov:37:58"
+
+
 def test_secrets_stay_in_the_jvm(docs):
     plan = secret_scan.scan_secrets(docs, [0.0] * 128 * 128)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
