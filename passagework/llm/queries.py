@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passagework.llm import langid, quality, secret_scan
 from passagework.llm.bpe import bpe_round_trip
 from passagework.llm.embed_dedup import near_duplicates
+from passagework.llm.fim import fill_in_middle, with_restored
 from passagework.llm.minhash import near_duplicate_documents
 from passagework.llm.neighbors import nearest
 from passagework.llm.packing import pack
@@ -70,9 +71,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = with_restored(fill_in_middle(read(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_bpe, op3_token_counts, op4_minhash_dedup, op5_secret_scan, op6_packing, op7_nearest,
-    op8_quality, op9_substring_dedup, op10_language)}
+    op8_quality, op9_substring_dedup, op10_language, op13_fill_in_middle)}
 
 _REACH = """
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -127,4 +134,20 @@ kept AS (
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(k.t, '')) AS kept_sha256
 FROM w LEFT JOIN kept k USING (doc_id)""",
+    "op13_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+part AS (SELECT *, left(t, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM part""",
 }
