@@ -9,6 +9,8 @@ from passagework.llm import langid, quality, secret_scan
 from passagework.llm.bpe import bpe_round_trip
 from passagework.llm.embed_dedup import near_duplicates
 from passagework.llm.fim import fill_in_middle, with_restored
+from passagework.llm.hard_negatives import mine_negatives
+from passagework.llm.inner_product import top_products
 from passagework.llm.minhash import near_duplicate_documents
 from passagework.llm.neighbors import nearest
 from passagework.llm.packing import pack
@@ -71,6 +73,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_products(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").withColumn(
+        "label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return mine_negatives(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = with_restored(fill_in_middle(read(spark, sf_dir, "documents")))
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -79,7 +92,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_bpe, op3_token_counts, op4_minhash_dedup, op5_secret_scan, op6_packing, op7_nearest,
-    op8_quality, op9_substring_dedup, op10_language, op13_fill_in_middle)}
+    op8_quality, op9_substring_dedup, op10_language, op11_top_products, op12_hard_negatives, op13_fill_in_middle)}
 
 _REACH = """
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -89,6 +102,11 @@ reach(node, other) AS (
   SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a),
 lowest AS (SELECT node, min(other) AS low FROM reach GROUP BY node)"""
 
+# vectors of whole numbers: floor(256 * x) of every component
+_WHOLE = """
+v AS (SELECT *, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
 _BLANK = r"[\x20\x09-\x0D]+"
 
 ORACLES = {
@@ -134,6 +152,25 @@ kept AS (
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(k.t, '')) AS kept_sha256
 FROM w LEFT JOIN kept k USING (doc_id)""",
+    "op11_top_products": f"""
+WITH {_WHOLE},
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                      vec_id, score FROM s) WHERE rank <= 5""",
+    "op12_hard_negatives": f"""
+WITH {_WHOLE},
+l AS (SELECT vec_id, e, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+      FROM l a JOIN l c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+        row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+      FROM p JOIN s USING (anchor_id)
+      WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n
+WHERE rank <= 3""",
     "op13_fill_in_middle": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 n AS (
