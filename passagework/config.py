@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,30 +34,34 @@ MAX_BROADCAST_BYTES = 128 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; in local mode a scratch one if unset."""
+    """The folder named by ``spark.checkpoint.dir``, which the driver and all executors have to share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and spark.sparkContext.master.startswith("local"):
+        path = _local_folder()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="passagework-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def is_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Whether all rows together fit a broadcast: one aggregate over ``df``."""
-    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
-    return df.select(size.alias("bytes")).first()["bytes"] <= max_bytes
+@functools.cache
+def _local_folder() -> str:
+    """In local mode driver and executors are one process, so a temporary folder is shared; it goes with the process."""
+    path = tempfile.mkdtemp(prefix="passagework-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast after measuring the rows; above the bound Spark shuffles both sides.
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there.
 
-    Meant for dimensions that can be scanned on their own: display names, delete keys, hit keys.
+    Cuts the lineage, and gives Spark the true size of the rows: it broadcasts them in a join only if that is small.
     """
-    return F.broadcast(df) if is_small(df, max_bytes) else df
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, key: str, bytes_per_task: int = 32 << 20) -> DataFrame:
@@ -71,3 +79,27 @@ def stable_id(*parts: Column | str) -> Column:
     """128-bit hex id from its parts; the same on every retry, unlike ``uuid()``."""
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
     return F.substring(F.sha2(F.concat_ws("\u0001", *[c.cast("string") for c in cols]), 256), 1, 32)
+
+
+def with_copies(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``copy``: NULL for the first row of a key, what tells it apart for every further one.
+
+    Rows of a key are ordered by the hash of all their columns, so the same rows always get the same copies; equal rows
+    are counted, and told apart by a number. Only rows whose key comes more than once are shuffled.
+    """
+    twice = written(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key))
+    first = F.lit(None).cast("string")
+    if twice.isEmpty():
+        return rows.withColumn("copy", first)
+    marked = rows.join(twice, key, "left_semi").withColumn("_order", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
+    equal = marked.groupBy(key, "_order").agg(F.first(F.struct(*rows.columns)).alias("_row"), F.count("*").alias("_n"))
+    lowest = marked.groupBy(key).agg(F.min("_order").alias("_low"))
+    each = equal.join(lowest, key).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
+    name = F.when((F.col("_order") != F.col("_low")) | (F.col("_i") > 0), F.concat_ws(":", "_order", "_i"))
+    return rows.join(twice, key, "left_anti").withColumn("copy", first).unionByName(
+        each.select("_row.*", name.alias("copy")))
+
+
+def copy_id(row_id: Column, copy: Column) -> Column:
+    """The id of a row that shares its id with others."""
+    return F.when(copy.isNull(), row_id).otherwise(stable_id(row_id, copy))

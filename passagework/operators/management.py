@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.config import broadcast_if_small
+from passagework.config import written
 
 DOC_KEY = ["type", "doc_id"]
 
@@ -38,11 +38,21 @@ def vector_counts(chunks: DataFrame) -> DataFrame:
 
 
 def list_documents(
-    documents: DataFrame, pages: DataFrame, chunks: DataFrame, collection: str, limit: int | None = None
+    documents: DataFrame, pages: DataFrame, chunks: DataFrame, collection: str, limit: int | None = None,
+    after: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Documents with their page and vector counts; ``limit`` caps the listing in (source, id) order."""
+    """Documents with their page and vector counts.
+
+    ``limit`` gives one page of the listing in (source, id) order, and ``after``, the source and id of the last document
+    seen, the page behind that. The counts of the others are not computed.
+    """
+    if after is not None:
+        source, doc_id = map(F.lit, after)
+        documents = documents.filter((F.col("source") > source) | ((F.col("source") == source) & (F.col("doc_id") > doc_id)))
     if limit is not None:
         documents = documents.orderBy("source", "doc_id").limit(limit)
+        chosen = documents = written(documents)
+        pages, chunks = (t.join(chosen.select(*DOC_KEY), DOC_KEY, "left_semi") for t in (pages, chunks))
     none = F.lit(0).cast("bigint")
     return (
         documents.withColumn("index", F.concat_ws(".", F.lit(collection), "type"))
@@ -66,7 +76,7 @@ def union_rows(*tables: DataFrame) -> DataFrame:
 
 def fetch_binaries(binaries: DataFrame, keys: DataFrame) -> DataFrame:
     """Bytes and media type of the documents in ``keys``, as lower-case hex for export."""
-    return binaries.join(broadcast_if_small(keys.select(*DOC_KEY)), DOC_KEY, "left_semi").select(
+    return binaries.join(written(keys.select(*DOC_KEY).distinct()), DOC_KEY, "left_semi").select(
         *DOC_KEY, F.lower(F.hex("data")).alias("data_hex"), "media_type"
     )
 
@@ -78,14 +88,14 @@ def fetch_binary(binaries: DataFrame, doc_type: str, doc_id: str) -> DataFrame:
 
 def without_documents(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows that do not belong to the documents in ``keys``."""
-    return rows.join(broadcast_if_small(keys.select(*DOC_KEY)), DOC_KEY, "left_anti")
+    return rows.join(written(keys.select(*DOC_KEY).distinct()), DOC_KEY, "left_anti")
 
 
 def removed_counts(
     keys: DataFrame, documents: DataFrame, pages: DataFrame, chunks: DataFrame, binaries: DataFrame
 ) -> DataFrame:
     """Per existing document in ``keys``: its rows in every table, itself included."""
-    keys = broadcast_if_small(keys.select(*DOC_KEY).distinct())
+    keys = written(keys.select(*DOC_KEY).distinct())
     found = documents.select(*DOC_KEY).join(keys, DOC_KEY, "left_semi").withColumn("own", F.lit(1))
     parts = [t.select(*DOC_KEY).join(keys, DOC_KEY, "left_semi") for t in (pages, chunks, binaries)]
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.config import is_small
+from passagework.config import written
 
 
 def prepare_prompt(
@@ -43,14 +43,12 @@ def attach_templates(queries: DataFrame, templates: DataFrame) -> DataFrame:
     kind, name, prompt. Adds task_prompt, persona_prompt, enhancer_prompts and
     ``missing_templates``, the names that were not found.
     """
-
-    small = is_small(templates)
+    templates = written(templates.select("kind", "name", "prompt"))
 
     def kind(of: str, name: str) -> DataFrame:
-        chosen = templates.filter(F.col("kind") == of).select(
+        return templates.filter(F.col("kind") == of).select(
             F.col("name").alias(name), F.col("prompt").alias(f"{of}_prompt"), F.lit(True).alias(f"__{of}")
         )
-        return F.broadcast(chosen) if small else chosen
 
     chosen = queries.select("query_id", F.posexplode("enhancers").alias("at", "enhancer"))
     enhancers = chosen.join(kind("enhancer", "enhancer"), "enhancer", "left").groupBy("query_id").agg(

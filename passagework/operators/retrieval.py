@@ -1,8 +1,8 @@
 """From hits to pages, documents, context and sources.
 
-Hits should be written (checkpointed) before they are looked up: their keys are then measured for
-free and broadcast if small, so that the page and document tables are neither shuffled nor sorted.
-Beyond the bound both sides shuffle. Metadata of any length never travels in a broadcast.
+Hits should be written (``config.written``) before they are looked up: Spark then knows their size and
+broadcasts their keys if they are small, so that the page and document tables are neither shuffled nor
+sorted. Beyond that both sides shuffle. Metadata of any length never travels in a broadcast.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.config import broadcast_if_small
-
 HIT_KEY = ["query_id", "rank"]
 PAGE_FIELDS = ["page", "title", "language", "source"]
 DOC_FIELDS = ["source", "ingest_date", "filename", "media_type", "extension"]
@@ -31,7 +29,7 @@ def hits_with_documents(hits: DataFrame, documents: DataFrame, written_hits: Dat
 
 
 def _look_up(hits: DataFrame, written_hits: DataFrame, wanted: DataFrame, key: list[str], field: str) -> DataFrame:
-    keys = broadcast_if_small(written_hits.select(*HIT_KEY, *key))
+    keys = written_hits.select(*HIT_KEY, *key)
     found = hits.join(wanted.join(keys, key).select(*HIT_KEY, field), HIT_KEY, "left")
     # a hit without its page or document is damage; it must not read as fewer sources
     lost = F.raise_error(F.concat(F.lit(f"{field} is missing for "), F.concat_ws(" ", *key)))

@@ -1,15 +1,15 @@
-"""Top-k similarity join of query vectors against chunk vectors.
-
-Neither input is ever paired row by row in Spark. Both sides are packed into Arrow blocks
-(one row per block, no shuffle of the chunk side), blocks meet by an equi-join on a block key,
-and a matrix product inside the task keeps at most ``k`` rows per query and block above the
-threshold. Only those survivors are shuffled, and a windowed group limit trims them before the
-exchange. A key, source or group of copies that holds most of the chunks only means more
-blocks with little variety; it never gathers in one task.
-
-The query blocks are broadcast because their size is known (rows * dimension * 4 bytes): more
-queries than the bound allows run as several passes over the chunk table, each with its own
-bounded broadcast, and the passes are unioned. No query or chunk is dropped.
+"""Top-k similarity join of query vectors against chunk vectors, exact or through hash buckets.
+
+Queries and chunks meet in the cells of a grid: queries are dealt to lines, chunks to columns by the hash of their key,
+and both are shuffled by cell, one row a vector and cell. A task holds the queries of its line, streams its chunks past
+them in Arrow batches and keeps at most ``k`` rows per query, so only those leave a cell. Nothing is broadcast: more
+queries mean more lines, more chunks more columns. A key, source or group of copies that holds most of the chunks is
+spread like any others. Only keys and vectors travel; texts are looked up for the hits.
+
+The hashed search deals every chunk to one random-hyperplane bucket. A query probes buckets in the order of the margins by
+which its own bucket would have to be missed, until those probed hold a neighbour at the least score with a stated
+probability. Chunks meet only the queries that probe their bucket; a stored index (``bucketed``), partitioned by
+bucket, is read only where some query probes.
 """
 
 from __future__ import annotations
@@ -24,13 +24,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.config import MAX_BROADCAST_BYTES, MIN_SCORE, REFERENCE_LIMIT, SCORE_DIGITS
+from passagework.config import MIN_SCORE, REFERENCE_LIMIT, SCORE_DIGITS, written
 
-_CHUNKS_PER_BLOCK = 2048
-_QUERIES_PER_BLOCK = 1024
+_CHUNKS_AT_ONCE = 2048
+_QUERIES_AT_ONCE = 1024
 _PAIRS_AT_ONCE = 8192
-_ROWS_PER_BUCKETING = 32_768
-_BLOCK_SCHEMA = "keys array<int>, block binary"
+_QUERIES_PER_LINE = 8192
+_MOST_TASKS = 20_000
+
+BITS = 8
+RECALL = 0.95
+# fixed value: slope of the logistic curve that comes closest to the normal distribution function
+_LOGISTIC = 1.702
 
 
 def top_k_similar(
@@ -42,28 +47,21 @@ def top_k_similar(
     chunk_key: list[str],
     chunk_vector: str = "document_vector",
     carry: list[str] | None = None,
+    texts: DataFrame | None = None,
     dim: int,
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    queries_per_line: int = _QUERIES_PER_LINE,
 ) -> DataFrame:
     """Exact search: per query the best ``k`` chunks with ``(1 + cosine) / 2 >= min_score``.
 
-    ``query_id`` is unique; NULL vectors match nothing. Ranked by score, ties by ``chunk_key``.
-    Returns query id, rank, score, key and ``carry``.
+    ``query_id`` is unique; NULL vectors match nothing. Ranked by score, ties by ``chunk_key``. Returns query id, rank,
+    score, key and ``carry``; the latter is looked up in ``texts`` (``chunks`` if not given) for the hits.
     """
-    n_queries, id_bytes = _measure(queries, query_id)
-    passes = _passes(n_queries, id_bytes, dim, 1, max_broadcast_bytes)
-    per_pass = math.ceil(n_queries / passes)
-    n_blocks = max(1, math.ceil(per_pass / _QUERIES_PER_BLOCK))
-    packed = _pack_chunks(chunks, chunk_key, chunk_vector, carry or [], dim, None, n_blocks)
-    found = []
-    for i in range(passes):
-        part = _pass_of(queries, query_id, query_vector, i, passes).select(query_id, query_vector)
-        blocks = part.repartition(n_blocks, query_id).mapInArrow(_pack_queries(query_vector), _BLOCK_SCHEMA)
-        found.append(_score(blocks, packed, queries, chunks, query_id, query_vector, chunk_key, chunk_vector,
-                            carry or [], dim, k, min_score))
-    return _rank(found, query_id, chunk_key, k)
+    rows = chunks.filter(F.col(chunk_vector).isNotNull()).select(*chunk_key, F.col(chunk_vector).alias("_vector"))
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(query_id, F.col(query_vector).alias("_vector"))
+    hits = _search(asked, rows, query_id, chunk_key, dim, k, min_score, queries_per_line, hashed=False)
+    return _with_carried(hits, chunks if texts is None else texts, chunk_key, carry or [])
 
 
 def top_k_similar_lsh(
@@ -75,50 +73,75 @@ def top_k_similar_lsh(
     chunk_key: list[str],
     chunk_vector: str = "document_vector",
     carry: list[str] | None = None,
+    texts: DataFrame | None = None,
     dim: int,
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
-    bits: int = 8,
-    radius: int = 3,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    bits: int = BITS,
+    recall: float = RECALL,
+    queries_per_line: int = _QUERIES_PER_LINE,
 ) -> DataFrame:
-    """Approximate search: random-hyperplane buckets, queries probe all buckets that differ in
-    at most ``radius`` of ``bits`` signs, exact scores inside the buckets they probe.
+    """Approximate search: exact scores inside the buckets that a query probes.
 
-    Each chunk sits in one bucket, so no pair is scored twice and chunks are not replicated.
-    With ``radius == bits`` the result equals the exact search.
+    ``recall`` is the probability that a chunk with exactly ``min_score`` lies in a probed bucket; those with higher scores
+    are found more often. With ``recall=1`` every bucket is probed and the result equals the exact search.
     """
-    planes = _planes(dim, bits)
-    flips = np.array([b for b in range(1 << bits) if b.bit_count() <= radius], dtype=np.int64)
+    rows = bucketed(chunks.filter(F.col(chunk_vector).isNotNull()), chunk_key, chunk_vector, dim, bits)
+    return search_buckets(queries, rows, query_id=query_id, query_vector=query_vector, chunk_key=chunk_key, carry=carry,
+                          texts=chunks if texts is None else texts, dim=dim, k=k, min_score=min_score, bits=bits,
+                          recall=recall, queries_per_line=queries_per_line)
 
-    def bucket(matrix):
-        return (matrix @ planes > 0) @ (1 << np.arange(bits))
 
-    n_queries, id_bytes = _measure(queries, query_id)
-    passes = _passes(n_queries, id_bytes, dim, len(flips), max_broadcast_bytes)
-    packed = _pack_chunks(chunks, chunk_key, chunk_vector, carry or [], dim, bucket, None)
-    probe_schema = T.StructType([queries.schema[query_id], queries.schema[query_vector],
-                                 T.StructField("probe", T.IntegerType(), False)])
+def bucketed(chunks: DataFrame, chunk_key: list[str], chunk_vector: str, dim: int, bits: int = BITS) -> DataFrame:
+    """``(*chunk_key, bucket, packed)``: the bucket of every vector and its components as little-endian 32-bit floats.
+    Written partitioned by bucket this is the index that ``search_buckets`` reads. Nothing is shuffled."""
+    planes = _planes(dim, bits)
+    names = [*chunk_key, "bucket", "packed"]
 
-    def probe(batches):
+    def run(batches):
         for batch in batches:
-            home = bucket(_matrix(batch.column(query_vector), batch.num_rows, dim).astype(np.float64))
-            rows = np.repeat(np.arange(batch.num_rows), len(flips))
-            probes = (home[:, None] ^ flips[None, :]).ravel().astype(np.int32)
-            taken = batch.select([query_id, query_vector]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(probes)], names=probe_schema.names)
-
-    found = []
-    for i in range(passes):
-        part = _pass_of(queries, query_id, query_vector, i, passes).select(query_id, query_vector)
-        probes = part.mapInArrow(probe, probe_schema)
-        blocks = (
-            probes.repartition("probe").sortWithinPartitions("probe", query_id)
-            .mapInArrow(_pack_queries(query_vector, "probe"), _BLOCK_SCHEMA)
-        )
-        found.append(_score(blocks, packed, queries, chunks, query_id, query_vector, chunk_key, chunk_vector,
-                            carry or [], dim, k, min_score))
-    return _rank(found, query_id, chunk_key, k)
+            matrix = _matrix(batch.column(chunk_vector), batch.num_rows, dim)
+            packed = np.ascontiguousarray(matrix, "<f4")
+            offsets = pa.py_buffer(np.arange(0, 4 * packed.size + 1, 4 * dim, dtype=np.int32))
+            values = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in chunk_key], pa.array(_bucket(matrix, planes)), values], names=names)
+
+    schema = T.StructType([*[chunks.schema[c] for c in chunk_key], T.StructField("bucket", T.IntegerType()),
+                           T.StructField("packed", T.BinaryType())])
+    return chunks.select(*chunk_key, chunk_vector).mapInArrow(run, schema)
+
+
+def search_buckets(
+    queries: DataFrame,
+    index: DataFrame,
+    *,
+    query_id: str = "query_id",
+    query_vector: str = "query_vector",
+    chunk_key: list[str],
+    carry: list[str] | None = None,
+    texts: DataFrame | None = None,
+    dim: int,
+    k: int = REFERENCE_LIMIT,
+    min_score: float = MIN_SCORE,
+    bits: int = BITS,
+    recall: float = RECALL,
+    queries_per_line: int = _QUERIES_PER_LINE,
+) -> DataFrame:
+    """The hashed search over rows of ``bucketed``; ``carry`` is looked up in ``texts``.
+
+    The buckets that any query probes, at most ``2 ** bits`` numbers, are gathered first, so that an index partitioned by
+    bucket lists and reads no other files.
+    """
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(query_id, F.col(query_vector).alias("_vector"))
+    asked = written(_with_probes(asked, dim, bits, min_score, recall))
+    probed = [b for b, in asked.select(F.explode(_buckets_of("_probes", bits)).alias("b")).distinct().collect()]
+    rows = index.filter(F.col("bucket").isin(probed)).select(*chunk_key, "bucket", F.col("packed").alias("_vector"))
+    hits = _search(asked, rows, query_id, chunk_key, dim, k, min_score, queries_per_line, hashed=True)
+    return _with_carried(hits, texts, chunk_key, carry or [])
+
+
+# ---- buckets ------------------------------------------------------------------------------
 
 
 def _planes(dim: int, bits: int) -> np.ndarray:
@@ -128,184 +151,251 @@ def _planes(dim: int, bits: int) -> np.ndarray:
     return np.where(np.array(signs), 1.0, -1.0)
 
 
-def _measure(queries: DataFrame, query_id: str) -> tuple[int, int]:
-    """Number of queries and bytes of their ids: with the dimension, the size of their blocks."""
-    length = F.octet_length(F.col(query_id).cast("string"))
-    return tuple(queries.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first())
+def _bucket(matrix: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    return ((matrix.astype(np.float64) @ planes > 0) @ (1 << np.arange(planes.shape[1]))).astype(np.int32)
 
 
-def _passes(n_queries: int, id_bytes: int, dim: int, copies: int, max_bytes: int) -> int:
-    """Passes over the chunks that keep each pass's query blocks within ``max_bytes``."""
-    return max(1, math.ceil(copies * (n_queries * (dim * 4 + 16) + id_bytes) / max_bytes))
+def probed_buckets(matrix: np.ndarray, planes: np.ndarray, min_score: float, recall: float) -> np.ndarray:
+    """Which buckets each query probes, as flags.
 
+    A neighbour at cosine ``c`` lies on the other side of a plane if its random part, of about ``sqrt(1 - c^2)`` over the
+    root of the dimension, outweighs ``c`` times the query's margin. With the normal distribution as a logistic curve, the
+    log-odds of a flip are proportional to that margin; so buckets by the sum of the margins to be flipped are buckets by
+    probability, and the first ones that together reach ``recall`` are taken.
+    """
+    dim, bits = planes.shape
+    codes = np.arange(1 << bits)
+    cosine = min(max(2 * min_score - 1, 0.0), 1 - 1e-9)
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64))
+    side = matrix.astype(np.float64) @ planes
+    margin = np.abs(side) / (np.where(norms > 0, norms, 1.0)[:, None] * math.sqrt(dim))
+    odds = _LOGISTIC * margin * math.sqrt(dim) * cosine / math.sqrt(1 - cosine * cosine)
+    stays = -np.log1p(np.exp(-odds))
+    home = (side > 0) @ (1 << np.arange(bits))
+    flips = ((codes[:, None] >> np.arange(bits)) & 1).astype(np.float64)
+    out = np.zeros((len(matrix), 1 << bits), bool)
+    for lo in range(0, len(matrix), _QUERIES_AT_ONCE):
+        at = slice(lo, lo + _QUERIES_AT_ONCE)
+        chance = np.round(np.exp(stays[at].sum(1)[:, None] - odds[at] @ flips.T), 12)
+        order = np.lexsort((np.broadcast_to(codes, chance.shape), -chance))
+        ranked = np.take_along_axis(chance, order, 1)
+        before = np.cumsum(ranked, axis=1) - ranked
+        taken = np.zeros_like(chance, bool)
+        np.put_along_axis(taken, order, (np.round(before, 9) < recall) | (recall >= 1), 1)
+        np.put_along_axis(out[at], home[at][:, None] ^ codes[None], taken, 1)
+    return out
+
+
+def _with_probes(asked: DataFrame, dim: int, bits: int, min_score: float, recall: float) -> DataFrame:
+    """Add ``_probes``, a bit per bucket."""
+    planes = _planes(dim, bits)
+    schema = T.StructType([*asked.schema.fields, T.StructField("_probes", T.BinaryType())])
 
-def _pass_of(queries: DataFrame, query_id: str, query_vector: str, i: int, passes: int) -> DataFrame:
-    queries = queries.filter(F.col(query_vector).isNotNull())
-    return queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(passes)) == i)
+    def run(batches):
+        for batch in batches:
+            flags = probed_buckets(_matrix(batch.column("_vector"), batch.num_rows, dim), planes, min_score, recall)
+            bits_ = [row.tobytes() for row in np.packbits(flags, axis=1, bitorder="little")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits_, pa.binary())], names=schema.names)
 
+    return asked.mapInArrow(run, schema)
 
-def _matrix(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    if flat.size != rows * dim:
-        raise ValueError(f"vectors must have {dim} dimensions")
-    return flat.reshape(rows, dim)
 
+def _buckets_of(probes: str, bits: int):
+    """Numbers of the bits that are set: of every byte, as hex, and every bit in it."""
+    code = F.sequence(F.lit(0), F.lit((1 << bits) - 1))
 
-def _to_bytes(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    def is_set(b):
+        byte = F.conv(F.substring(F.hex(probes), (F.shiftright(b, 3) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        return F.getbit(byte, b.bitwiseAND(F.lit(7))) == 1
 
+    return F.filter(code, is_set)
 
-def _from_bytes(buffer: pa.Buffer) -> pa.RecordBatch:
-    return pa.ipc.open_stream(buffer).read_next_batch()
 
+# ---- cells --------------------------------------------------------------------------------
 
-def _block_rows(batch: pa.RecordBatch, keys: list[list[int]], slices) -> pa.RecordBatch:
-    blocks = [_to_bytes(batch.slice(at, n)) for at, n in slices]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.list_(pa.int32())), pa.array(blocks, pa.binary())], names=["keys", "block"]
-    )
 
+def _search(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[str], dim: int, k: int, min_score: float,
+            queries_per_line: int, hashed: bool) -> DataFrame:
+    """Ranked ``(query_id, score, *chunk_key)``. ``asked`` has ``_vector``, with ``hashed`` also ``_probes``, and ``rows``
+    has ``_vector``, with ``hashed`` also ``bucket``."""
+    spark = asked.sparkSession
+    lines = max(1, math.ceil(asked.count() / queries_per_line))
+    columns = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / lines))
+    tasks = min(lines * columns, _MOST_TASKS)
 
-def _gathered(batches):
-    """Larger batches, so that the blocks of a bucket are worth a matrix product."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= _ROWS_PER_BUCKETING:
-            yield _concat(held)
-            held, rows = [], 0
-    if held:
-        yield _concat(held)
+    def cell(line, column):
+        return (line * F.lit(columns) + column).cast("int")
 
+    def null(field):
+        return F.lit(None).cast(field.dataType).alias(field.name)
 
-def _concat(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    table = pa.Table.from_batches(batches).combine_chunks()
-    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns],
-                                      schema=table.schema)
+    # every row goes by its own hash, so that a task that runs again deals alike
+    line = F.pmod(F.xxhash64(query_id), F.lit(lines))
+    column = F.pmod(F.xxhash64(*chunk_key), F.lit(columns))
+    keys = [rows.schema[c] for c in chunk_key]
+    extra = [T.StructField("bucket", T.IntegerType()), T.StructField("_probes", T.BinaryType())] if hashed else []
+    held = asked.select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: cell(line, c))).alias("_cell"),
+        F.lit(0).alias("_side"), F.col(query_id).alias("_query"), *[null(f) for f in keys],
+        *[F.col(f.name) if f.name == "_probes" else null(f) for f in extra], _as_packed(asked).alias("_vector"))
+    every_line = F.explode(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda x: cell(x, column)))
+    streamed = rows.select(
+        (every_line if lines > 1 else cell(F.lit(0), column)).alias("_cell"), F.lit(1).alias("_side"),
+        F.lit(None).cast(asked.schema[query_id].dataType).alias("_query"), *chunk_key,
+        *[F.col(f.name) if f.name == "bucket" else null(f) for f in extra], _as_packed(rows).alias("_vector"))
+    order = ["_cell", "_side", *(["bucket"] if hashed else [])]
+    dealt = held.unionAll(streamed).repartitionById(tasks, F.pmod("_cell", F.lit(tasks)).cast("int"))
+    schema = T.StructType([T.StructField(query_id, asked.schema[query_id].dataType), T.StructField("score", T.DoubleType()), *keys])
 
+    def run(batches):
+        here, task = None, None
+        for batch in batches:
+            cells = batch.column("_cell").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if cells[lo] != here:
+                    if task is not None:
+                        yield from task.finish()
+                    here, task = cells[lo], _Cell(schema, chunk_key, dim, k, min_score, hashed)
+                task.add(batch.slice(lo, hi - lo))
+        if task is not None:
+            yield from task.finish()
+
+    hits = dealt.sortWithinPartitions(*order).mapInArrow(run, schema)
+    by_score = Window.partitionBy(query_id).orderBy(F.col("score").desc(), *[F.col(c) for c in chunk_key])
+    return hits.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
 
-def _pack_chunks(chunks, chunk_key, chunk_vector, carry, dim, bucket, n_blocks) -> DataFrame:
-    """Blocks of chunks ordered by key; join key = every query block, or the block's own bucket."""
-    columns = list(dict.fromkeys([*chunk_key, *carry]))
 
-    def run(batches):
-        for batch in batches if bucket is None else _gathered(batches):
-            if not batch.num_rows:
-                continue
-            found = bucket and bucket(_matrix(batch.column(chunk_vector), batch.num_rows, dim).astype(np.float64))
-            order = pa.table({c: batch.column(c) for c in chunk_key})
-            sort = [(c, "ascending") for c in chunk_key]
-            if found is not None:
-                order = order.append_column("__bucket", pa.array(found, pa.int64()))
-                sort.insert(0, ("__bucket", "ascending"))
-            index = pc.sort_indices(order, sort_keys=sort)
-            batch = batch.take(index)
-            if found is None:
-                edges = [0, batch.num_rows]
-                keys = [list(range(n_blocks))]
-            else:
-                found = found[index.to_numpy()]
-                edges = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), batch.num_rows]
-                keys = [[int(found[e])] for e in edges[:-1]]
-            for key, lo, hi in zip(keys, edges, edges[1:]):
-                for at in range(lo, hi, _CHUNKS_PER_BLOCK):
-                    yield _block_rows(batch, [key], [(at, min(_CHUNKS_PER_BLOCK, hi - at))])
-
-    return (
-        chunks.filter(F.col(chunk_vector).isNotNull()).select(*columns, chunk_vector)
-        .mapInArrow(run, _BLOCK_SCHEMA)
-        .select(F.explode("keys").alias("key"), F.col("block").alias("chunk_block"))
-    )
-
-
-def _pack_queries(query_vector: str, bucket: str | None = None):
-    """Blocks of queries; join key = the partition of the queries, or their shared bucket."""
+def _as_packed(rows: DataFrame):
+    """Both sides of the union have one type: vectors of an index are bytes, others arrays of floats or doubles."""
+    if isinstance(rows.schema["_vector"].dataType, T.BinaryType):
+        return F.struct(F.lit(None).cast("array<double>").alias("wide"), F.lit(None).cast("array<float>").alias("list"),
+                        F.col("_vector").alias("packed"))
+    single = isinstance(rows.schema["_vector"].dataType.elementType, T.FloatType)
+    none = F.lit(None)
+    return F.struct(
+        (none if single else F.col("_vector")).cast("array<double>").alias("wide"),
+        (F.col("_vector") if single else none).cast("array<float>").alias("list"), none.cast("binary").alias("packed"))
+
+
+class _Cell:
+    """The queries of one cell, and the best ``k`` chunks of each among those that have passed."""
+
+    def __init__(self, schema: T.StructType, chunk_key: list[str], dim: int, k: int, min_score: float, hashed: bool):
+        self.names, self.chunk_key, self.dim, self.k = schema.names, chunk_key, dim, k
+        self.min_score, self.hashed = min_score, hashed
+        self.held, self.queries, self.found, self.rows = [], None, [], 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        sides = batch.column("_side").to_numpy()
+        n = int(np.searchsorted(sides, 1))
+        if n:
+            self.held.append(batch.slice(0, n))
+        if n == batch.num_rows:
+            return
+        if self.queries is None:
+            if not self.held:
+                return
+            self._start()
+        batch = batch.slice(n)
+        chunk = _vectors(batch.column("_vector"), batch.num_rows, self.dim)
+        edges = [0, batch.num_rows]
+        if self.hashed:
+            bucket = batch.column("bucket").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            which = np.flatnonzero(self.probes[:, bucket[lo]]) if self.hashed else np.arange(len(self.queries))
+            for at in range(lo, hi, _CHUNKS_AT_ONCE):
+                part = slice(at, min(hi, at + _CHUNKS_AT_ONCE))
+                for q in range(0, len(which), _QUERIES_AT_ONCE):
+                    self._score(batch, chunk[part], at, which[q:q + _QUERIES_AT_ONCE])
+
+    def _start(self) -> None:
+        held = pa.Table.from_batches(self.held).combine_chunks()
+        self.ids = held.column("_query").combine_chunks()
+        vectors = held.column("_vector").combine_chunks()
+        self.queries = _vectors(vectors, len(held), self.dim)
+        self.norms = _squared_norms(self.queries)
+        self.unit = _unit(self.queries, self.norms)
+        self.least = np.full(len(held), -np.inf)
+        if self.hashed:
+            raw = np.stack([np.frombuffer(p.as_buffer(), np.uint8) for p in held.column("_probes")])
+            self.probes = np.unpackbits(raw, axis=1, bitorder="little").astype(bool)
+        self.held = []
+
+    def _score(self, batch: pa.RecordBatch, chunk: np.ndarray, at: int, which: np.ndarray) -> None:
+        """Keep what a slice of chunks has for the queries ``which``.
+
+        A single-precision product of unit vectors finds the pairs that can reach the threshold or the best scores so far:
+        its error is below dim * 2^-24 per pair, and twice that is allowed for. Only those pairs are scored in double
+        precision, so the result is that of a double-precision product over all pairs.
+        """
+        norms = _squared_norms(chunk)
+        slack = (self.dim + 16) * 2.0**-23 + 10.0**-SCORE_DIGITS
+        near = _unit(chunk, norms) @ self.unit[which].T
+        floor = 2 * np.maximum(self.min_score, self.least[which]) - 1 - slack
+        ci, qi = np.nonzero(near >= floor.astype(np.float32)[None])
+        if not len(ci):
+            return
+        ci, qi = _contenders(ci, qi, near[ci, qi], self.k, 2 * slack)
+        own = which[qi]
+        dots = np.concatenate([
+            np.einsum("ij,ij->i", chunk[ci[p:p + _PAIRS_AT_ONCE]].astype(np.float64),
+                      self.queries[own[p:p + _PAIRS_AT_ONCE]].astype(np.float64))
+            for p in range(0, len(ci), _PAIRS_AT_ONCE)])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round((1.0 + dots / np.sqrt(norms[ci] * self.norms[own])) / 2.0, SCORE_DIGITS)
+        enough = score >= self.min_score
+        if enough.any():
+            rows = pa.array(at + ci[enough])
+            keys = [batch.column(c).take(rows) for c in self.chunk_key]
+            self.found.append(pa.table([pa.array(own[enough]), pa.array(score[enough]), *keys], names=["_q", *self.names[1:]]))
+            self.rows += int(enough.sum())
+            if self.rows > 4 * self.k * len(self.queries) + 4096:
+                self._compact()
+
+    def _compact(self) -> None:
+        """The best ``k`` per query of all that was kept; the k-th is what later chunks have to reach."""
+        if not self.found:
+            return
+        table = pa.concat_tables(self.found)
+        by = [("_q", "ascending"), ("score", "descending"), *[(c, "ascending") for c in self.chunk_key]]
+        table = table.take(pc.sort_indices(table, sort_keys=by))
+        q = table.column("_q").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        score = table.column("score").to_numpy()
+        self.least[q[place == self.k - 1]] = score[place == self.k - 1]
+        table = table.filter(pa.array(place < self.k)).combine_chunks()
+        self.found, self.rows = [table], len(table)
+
+    def finish(self):
+        self._compact()
+        for table in self.found:
+            ids = self.ids.take(table.column("_q").combine_chunks())
+            for batch in table.drop_columns("_q").add_column(0, self.names[0], ids).to_batches():
+                yield batch
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        partition = TaskContext.get().partitionId()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if bucket is None:
-                edges, keys = [0, batch.num_rows], [[partition]]
-            else:
-                found = batch.column(bucket).to_numpy()
-                edges = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), batch.num_rows]
-                keys = [[int(found[e])] for e in edges[:-1]]
-                batch = batch.drop_columns([bucket])
-            for key, lo, hi in zip(keys, edges, edges[1:]):
-                for at in range(lo, hi, _QUERIES_PER_BLOCK):
-                    yield _block_rows(batch, [key], [(at, min(_QUERIES_PER_BLOCK, hi - at))])
-
-    return run
-
-
-def _score(query_blocks, chunk_blocks, queries, chunks, query_id, query_vector, chunk_key, chunk_vector,
-           carry, dim, k, min_score) -> DataFrame:
-    columns = list(dict.fromkeys([*chunk_key, *carry]))
-    schema = T.StructType([
-        queries.schema[query_id], T.StructField("score", T.DoubleType(), False),
-        *[chunks.schema[c] for c in columns],
-    ])
+def _matrix(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    if flat.size != rows * dim:
+        raise ValueError(f"vectors must have {dim} dimensions")
+    return flat.reshape(rows, dim)
 
-    def run(batches):
-        for batch in batches:
-            chunk_col, query_col = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                chunk = _from_bytes(chunk_col[i].as_buffer())
-                query = _from_bytes(query_col[i].as_buffer())
-                ci, qi, score = _best(
-                    _matrix(chunk.column(chunk_vector), chunk.num_rows, dim),
-                    _matrix(query.column(query_vector), query.num_rows, dim), k, min_score)
-                if len(ci):
-                    chunk = chunk.select(columns).take(pa.array(ci))
-                    ids = query.column(query_id).take(pa.array(qi))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(score), *chunk.columns], names=schema.names)
-
-    query_blocks = query_blocks.select(F.explode("keys").alias("key"), F.col("block").alias("query_block"))
-    return (
-        chunk_blocks.join(F.broadcast(query_blocks), "key")
-        .select("chunk_block", "query_block")
-        .mapInArrow(run, schema)
-    )
-
-
-def _best(chunk: np.ndarray, query: np.ndarray, k: int, min_score: float):
-    """(chunk row, query row, score) of the best ``k`` per query; ties keep the block's key order.
-
-    A single-precision product of unit vectors finds the pairs that can reach the threshold: its
-    error is below dim * 2^-24 per pair, and twice that is allowed for. Only those pairs are scored
-    in double precision, so the result is that of a double-precision product over all pairs.
-    """
-    norm_c, norm_q = _squared_norms(chunk), _squared_norms(query)
-    slack = (chunk.shape[1] + 16) * 2.0**-23 + 10.0**-SCORE_DIGITS
-    near = _unit(chunk, norm_c) @ _unit(query, norm_q).T
-    ci, qi = np.nonzero(near >= np.float32(2 * min_score - 1 - slack))
-    if not len(ci):
-        return ci, qi, np.empty(0)
-    ci, qi = _contenders(ci, qi, near[ci, qi], k, 2 * slack)
-    if len(ci) * 16 > near.size:
-        dots = (chunk.astype(np.float64) @ query.astype(np.float64).T)[ci, qi]
-    else:
-        dots = np.concatenate([
-            np.einsum("ij,ij->i", chunk[ci[at:at + _PAIRS_AT_ONCE]].astype(np.float64),
-                      query[qi[at:at + _PAIRS_AT_ONCE]].astype(np.float64))
-            for at in range(0, len(ci), _PAIRS_AT_ONCE)
-        ])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.round((1.0 + dots / np.sqrt(norm_c[ci] * norm_q[qi])) / 2.0, SCORE_DIGITS)
-    enough = score >= min_score
-    ci, qi, score = ci[enough], qi[enough], score[enough]
-    order = np.lexsort((ci, -score, qi))
-    ci, qi, score = ci[order], qi[order], score[order]
-    keep = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
-    return ci[keep], qi[keep], score[keep]
+
+def _vectors(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
+    """The vectors of ``_as_packed``, whichever form they have."""
+    wide, listed, packed = vectors.flatten()
+    if listed.null_count == 0:
+        return _matrix(listed, rows, dim)
+    if wide.null_count == 0:
+        return _matrix(wide, rows, dim)
+    flat = np.frombuffer(b"".join(packed.to_pylist()), "<f4")
+    if flat.size != rows * dim:
+        raise ValueError(f"vectors must have {dim} dimensions")
+    return flat.reshape(rows, dim)
 
 
 def _contenders(ci, qi, near, k: int, margin: float):
@@ -328,9 +418,10 @@ def _unit(rows: np.ndarray, squared_norms: np.ndarray) -> np.ndarray:
     return (rows / scale[:, None]).astype(np.float32)
 
 
-def _rank(found: list[DataFrame], query_id: str, chunk_key: list[str], k: int) -> DataFrame:
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    by_score = Window.partitionBy(query_id).orderBy(F.col("score").desc(), *[F.col(c) for c in chunk_key])
-    return hits.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+def _with_carried(hits: DataFrame, texts: DataFrame, chunk_key: list[str], carry: list[str]) -> DataFrame:
+    """The further columns of the hits. They are written first, so that their size is known: Spark broadcasts a small
+    table of hits to the scan of ``texts`` and shuffles both sides otherwise."""
+    missing = [c for c in carry if c not in chunk_key]
+    if not missing:
+        return hits
+    return written(hits).join(texts.select(*chunk_key, *missing), chunk_key)

@@ -1,15 +1,16 @@
 """Collections: named sets of Parquet tables under one root folder.
 
-    <root>/<name>/<table>/batch=<id>/attempt=<id>/type=<type>/*.parquet
-    <root>/<name>/commits/<batch>@<number>@<attempt>
-
-Every write of a batch is an attempt in folders of its own. The empty file under ``commits`` makes
-it visible, all tables at once; of several the highest number counts. Writing a batch again
-replaces it, which makes retries and streaming replays harmless: until the new attempt is committed
-readers see the old one, whose folders go afterwards. A plan made before a replacement has to be
-made again. Deleted documents are recorded as keys and anti-joined on read, so a delete costs a
-small append however large the tables are, and a deleted id stays deleted; ``copy_to`` writes the
-live rows of a collection into a new one.
+    <root>/<name>/<table>/batch=<id>/attempt=<id>/type=<type>/part=<first digits of the document id>/*.parquet
+    <root>/<name>/vectors/batch=<id>/attempt=<id>/bucket=<number>/*.parquet
+    <root>/<name>/commits/*.parquet        (batch, attempt, number)
+
+Batch and attempt are columns. Every write of a batch is a new attempt; one row in ``commits`` makes all its tables visible
+at once, and of several rows of a batch the highest number counts: readers join the tables with it. So writing a batch again
+replaces it, which makes retries and streaming replays harmless. Folders of replaced attempts are removed afterwards; a plan
+made before a replacement has to be made again.
+
+Deleting documents rewrites the partitions that hold them, found by the first digits of their ids, and no others; reads need
+no list of what is gone. ``vectors`` is the search index: packed vectors by hash bucket, written at ingest.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework import schemas
-from passagework.config import ensure_checkpoint_dir, spread
+from passagework.config import copy_id, spread, with_copies, written
 from passagework.functions.paths import check_batch_name, check_collection_name
 from passagework.operators import management as M
+from passagework.operators.vector_search import BITS, bucketed, search_buckets
 from passagework.plans import ingest as I
 from passagework.plans import search as S
 from passagework.sources import files as files_source
@@ -35,6 +37,10 @@ _DOC_ID_FILTERS = {
     "parquet.bloom.filter.enabled#doc_id": "true",
     "parquet.bloom.filter.adaptive.enabled": "true",
 }
+_COMMITS = "batch string, attempt string, number bigint"
+_TIMES = "batch string, time bigint"
+# first hex digits of a document id that name its partition: 16 partitions a type and batch for one digit
+PART_DIGITS = 1
 
 
 def _path(spark: SparkSession, path: str):
@@ -54,13 +60,6 @@ def _glob(spark: SparkSession, pattern: str) -> list[str]:
     return [s.getPath().toString() for s in found] if found else []
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    """Names directly inside a folder, none if it is absent."""
-    if not _exists(spark, folder):
-        return []
-    return [s.getPath().getName() for s in _fs(spark, folder).listStatus(_path(spark, folder))]
-
-
 def _delete(spark: SparkSession, path: str) -> bool:
     return bool(_fs(spark, path).delete(_path(spark, path), True))
 
@@ -79,10 +78,13 @@ class Collection:
 
     def __init__(
         self, spark: SparkSession, root: str, name: str, encoder=I.DEFAULT_ENCODER,
-        document_fields: T.StructType | None = None, page_fields: T.StructType | None = None,
+        document_fields: T.StructType | None = None, page_fields: T.StructType | None = None, bits: int = BITS,
+        part_digits: int = PART_DIGITS,
     ):
+        """``bits`` and ``part_digits`` set the number of index buckets and of partitions by id; like the encoder they stay
+        the same for the life of a collection."""
         self.spark, self.root, self.name = spark, root.rstrip("/"), check_collection_name(name)
-        self.encoder = encoder
+        self.encoder, self.bits, self.part_digits = encoder, bits, part_digits
         # fields that the collection's loaders add; NULL for rows of other loaders
         self.schemas = {
             **schemas.TABLES,
@@ -99,6 +101,8 @@ class Collection:
             row = [(self.name, "document_vector", self.encoder.dim)]
             df = self.spark.createDataFrame(row, "collection string, vector_column string, dim int")
             df.coalesce(1).write.mode("ignore").parquet(f"{self.path}/{_MARKER}")
+            for table, schema in (("commits", _COMMITS), ("times", _TIMES)):
+                self.spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}")
         return self
 
     def exists(self) -> bool:
@@ -114,19 +118,11 @@ class Collection:
 
     def batches(self) -> list[str]:
         """Committed batches."""
-        return sorted(self._commits())
+        return sorted(r["batch"] for r in self._live().select("batch").collect())
 
     def table(self, name: str) -> DataFrame:
-        """Live rows of documents, pages, chunks, binaries or rejected: committed batches without
-        deleted documents."""
-        schema = self.schemas[name]
-        base = f"{self.path}/{name}"
-        paths = [f"{base}/batch={b}/attempt={a}" for b, (_, a) in sorted(self._commits().items())]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.names)
-        gone = self._deleted() if "doc_id" in schema.names else None
-        return rows if gone is None else M.without_documents(rows, gone).select(*schema.names)
+        """Rows of documents, pages, chunks, vectors, binaries or rejected in committed batches."""
+        return self._rows(name).select(*self.schemas[name].names)
 
     def documents(self) -> DataFrame:
         return self.table("documents")
@@ -137,6 +133,10 @@ class Collection:
     def chunks(self) -> DataFrame:
         return self.table("chunks")
 
+    def vectors(self) -> DataFrame:
+        """Packed vectors of the chunks with their key and bucket; the column ``document_vector`` holds the bytes."""
+        return self.table("vectors").withColumnRenamed("packed", "document_vector")
+
     def binaries(self) -> DataFrame:
         return self.table("binaries")
 
@@ -148,17 +148,28 @@ class Collection:
         """Rows of all tables together."""
         return M.union_rows(self.documents(), self.pages(), self.chunks(), self.binaries())
 
-    def list_documents(self, limit: int | None = None) -> DataFrame:
-        return M.list_documents(self.documents(), self.pages(), self.chunks(), self.name, limit)
+    def list_documents(self, limit: int | None = None, after: tuple[str, str] | None = None) -> DataFrame:
+        """Documents with their counts; ``limit`` of them in (source, id) order, those behind the key ``after``."""
+        return M.list_documents(self.documents(), self.pages(), self.chunks(), self.name, limit, after)
 
     def fetch_binary(self, doc_type: str, doc_id: str) -> DataFrame:
-        return M.fetch_binary(self.binaries(), doc_type, doc_id)
+        rows = self._rows("binaries").filter(F.col("part") == doc_id[:self.part_digits])
+        return M.fetch_binary(rows, doc_type, doc_id)
 
     # ---- searching
 
-    def search(self, queries: DataFrame, **options) -> DataFrame:
-        """Context and sources of every query that has hits."""
-        return S.retrieve(queries, self.chunks(), self.pages(), self.documents(), self.encoder, **options)
+    def search(self, queries: DataFrame, hashed: bool = False, **options) -> DataFrame:
+        """Context and sources of every query that has hits, over the packed vectors of the index.
+
+        Exact, or with ``hashed`` among the buckets that the queries probe (``recall``), reading only their files.
+        """
+        if hashed:
+            def search(vectors, index, **how):
+                return search_buckets(vectors, index, bits=self.bits, **how)
+
+            options = {**options, "search": search}
+        index = self.table("vectors") if hashed else self.vectors()
+        return S.retrieve(queries, index, self.pages(), self.documents(), self.encoder, texts=self.chunks(), **options)
 
     def prompts(self, queries: DataFrame, templates: DataFrame, on_empty: str = "message", **options) -> DataFrame:
         """Citations and prompt of every query; ``queries`` as for ``rag_prompts``."""
@@ -172,14 +183,14 @@ class Collection:
         """Load, chunk, encode and store (path, content[, name]) rows as one batch.
 
         Returns the rows written per table, counted while writing; ``rejected`` are the files no
-        loader took. A source that comes twice in a batch is an error: both would share their id.
+        loader took. A source that comes twice in a batch is two documents.
         """
         date = files_source.current_millis() if ingest_date is None else ingest_date
         parsed = files_source.load_files(files, loaders, self.name, date)
 
         def tables(staged: DataFrame) -> dict[str, DataFrame]:
-            kept = files_source.loaded(staged)
-            _refuse_repeats(kept, "doc_id", "source")
+            kept = with_copies(files_source.loaded(staged), "doc_id")
+            kept = kept.withColumn("doc_id", copy_id(F.col("doc_id"), F.col("copy"))).drop("copy")
             pages = I.pages_of(spread(kept, "doc_id"))
             return {"chunks": I.chunks_of(pages, self.encoder), "pages": pages, "binaries": I.binaries_of(kept),
                     "documents": I.documents_of(kept), "rejected": files_source.rejected(staged)}
@@ -196,18 +207,19 @@ class Collection:
         max_depth: int | None = None, ingest_date: int | None = None,
     ) -> dict[str, int]:
         """Ingest stored pages (url, html). With ``roots(url)`` a document is a root URL and all
-        pages reached from it, none if the root is not stored; without, every stored page is a
-        document. A URL that comes twice in ``stored`` is an error."""
+        pages reached from it, none if the root is not stored, and ``stored`` holds a URL once; without,
+        every stored page is a document, and a URL that comes twice is two."""
         date = files_source.current_millis() if ingest_date is None else ingest_date
         if roots is None:
-            urls, reached = stored.select("url"), None
+            stored = with_copies(stored.select("url", "html"), "url")
+            urls, reached = stored.select("url", "copy"), None
         else:
-            urls = web_source.url_list(roots).select("url").distinct()
-            reached = web_source.crawl(stored, urls, max_depth)
-        documents = urls.select(*web_source.web_documents(F.col("url"), self.name, date))
+            urls = web_source.url_list(roots).select("url").distinct().withColumn("copy", F.lit(None).cast("string"))
+            reached = web_source.crawl(stored, urls.select("url"), max_depth)
+        documents = urls.select(*web_source.web_documents(F.col("url"), self.name, date), "copy")
+        documents = documents.withColumn("doc_id", copy_id(F.col("doc_id"), F.col("copy"))).drop("copy")
 
         def tables(staged: DataFrame) -> dict[str, DataFrame]:
-            _refuse_repeats(staged, "page_id", "source")
             pages = spread(staged, "page_id")
             return {"chunks": I.chunks_of(pages, self.encoder), "pages": pages, "documents": documents}
 
@@ -215,45 +227,81 @@ class Collection:
 
     def batch_time(self, batch: str) -> int:
         """Ingest time of a batch, chosen when it is first asked for and kept for all retries."""
-        folder = f"{self.path}/times/{check_batch_name(batch)}"
-        if not (kept := _names(self.spark, folder)):
-            mark = f"{folder}/{files_source.current_millis()}"
-            _fs(self.spark, mark).createNewFile(_path(self.spark, mark))
-            kept = _names(self.spark, folder)
-        return min(int(n) for n in kept if n.isdigit())
+        self.create()
+        times = self.spark.read.schema(_TIMES).parquet(f"{self.path}/times")
+        kept = times.filter(F.col("batch") == check_batch_name(batch)).agg(F.min("time")).first()[0]
+        if kept is None:
+            kept = files_source.current_millis()
+            self.spark.createDataFrame([(batch, kept)], _TIMES).coalesce(1).write.mode("append").parquet(f"{self.path}/times")
+        return kept
 
     def delete_documents(self, keys: DataFrame) -> DataFrame:
-        """Delete the documents in ``keys(type, doc_id)``; returns how many rows went with each."""
-        ensure_checkpoint_dir(self.spark)
-        removed = M.removed_counts(
-            keys, self.documents(), self.pages(), self.chunks(), self.binaries()).checkpoint()
-        removed.select(*schemas.DELETIONS.names).write.mode("append").parquet(f"{self.path}/deletions")
+        """Delete the documents in ``keys(type, doc_id)``; returns how many rows went with each.
+
+        Only partitions that hold such rows are written again, by dynamic partition overwrite; files of the others stay as
+        they are. The documents themselves go last, so a delete that was interrupted can be run again with the same keys.
+        A batch that is ingested again brings its documents back.
+        """
+        removed = written(M.removed_counts(keys, self.documents(), self.pages(), self.chunks(), self.binaries()))
+        gone = removed.select(*M.DOC_KEY)
+        parts = [r[0] for r in gone.select(self._part()).distinct().collect()]
+        for table in ("vectors", "chunks", "pages", "binaries", "documents"):
+            self._delete_rows(table, gone, parts)
         return removed
 
     def copy_to(self, name: str, batch: str = "copy") -> Collection:
         """Write the live rows into another collection as one batch."""
-        other = Collection(self.spark, self.root, name, self.encoder)
+        other = Collection(self.spark, self.root, name, self.encoder, bits=self.bits, part_digits=self.part_digits)
         other.schemas = self.schemas
         other._store(check_batch_name(batch), uuid.uuid4().hex, {t: self.table(t) for t in self.schemas})
         return other
 
     # ---- parts
 
-    def _deleted(self) -> DataFrame | None:
-        path = f"{self.path}/deletions"
-        if not _exists(self.spark, path):
-            return None
-        return self.spark.read.schema(schemas.DELETIONS).parquet(path)
-
-    def _commits(self) -> dict[str, tuple[int, str]]:
-        """Number and attempt that count, by batch: one listing of small names."""
-        latest: dict[str, tuple[int, str]] = {}
-        for name in _names(self.spark, f"{self.path}/commits"):
-            # file systems may keep checksums of the marks beside them
-            if name.count("@") == 2 and not name.startswith("."):
-                batch, number, attempt = name.split("@")
-                latest[batch] = max(latest.get(batch, (-1, "")), (int(number), attempt))
-        return latest
+    def _part(self, doc_id: str = "doc_id") -> Column:
+        return F.substring(doc_id, 1, self.part_digits).alias("part")
+
+    def _layout(self, table: str) -> list[str]:
+        """Partition columns below the attempt."""
+        if table == "vectors":
+            return ["bucket"]
+        return ["type", "part"] if "type" in self.schemas[table].names else []
+
+    def _live(self) -> DataFrame:
+        """(batch, attempt) that count."""
+        self.create()
+        commits = self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits")
+        # the condition lets Spark prune the folders of other attempts
+        return commits.filter("number >= 0").groupBy("batch").agg(F.max_by("attempt", "number").alias("attempt"))
+
+    def _rows(self, name: str) -> DataFrame:
+        """Live rows of a table with the columns of its partitions."""
+        schema, base = self.schemas[name], f"{self.path}/{name}"
+        further = [c for c in ("batch", "attempt", *self._layout(name)) if c not in schema.names]
+        full = T.StructType([*schema.fields, *[T.StructField(c, T.StringType()) for c in further]])
+        if not _exists(self.spark, base):
+            return self.spark.createDataFrame([], full)
+        rows = self.spark.read.schema(full).parquet(base)
+        return rows.join(F.broadcast(self._live()), ["batch", "attempt"], "left_semi")
+
+    def _delete_rows(self, table: str, gone: DataFrame, parts: list[str]) -> None:
+        """Write the partitions of ``table`` again that hold rows of ``gone``, and drop those left without rows."""
+        place = ["batch", "attempt", *self._layout(table)]
+        rows = self._rows(table)
+        if "part" in place:
+            rows = rows.filter(F.col("part").isin(parts))
+        counts = (
+            rows.select(*dict.fromkeys([*place, *M.DOC_KEY]))
+            .join(gone.withColumn("gone", F.lit(1)), M.DOC_KEY, "left")
+            .groupBy(*place).agg(F.count("*").alias("rows"), F.count("gone").alias("gone")).filter("gone > 0"))
+        counts = written(counts)
+        kept = rows.join(counts.filter("gone < rows").select(*place), place, "left_semi").join(gone, M.DOC_KEY, "left_anti")
+        columns = list(dict.fromkeys([*self.schemas[table].names, *place]))
+        (kept.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**_DOC_ID_FILTERS)
+         .partitionBy(*place).parquet(f"{self.path}/{table}"))
+        for r in counts.filter("gone = rows").collect():
+            folder = "/".join(f"{c}={r[c]}" for c in place)
+            _delete(self.spark, f"{self.path}/{table}/{folder}")
 
     def _ingest(self, batch: str, parsed: DataFrame, tables) -> dict[str, int]:
         """Write ``parsed`` once, derive the tables from that with column pruning and commit them."""
@@ -266,42 +314,36 @@ class Collection:
             _delete(self.spark, staging)
 
     def _store(self, batch: str, attempt: str, tables: dict[str, DataFrame]) -> dict[str, int]:
-        """Write all tables of a batch, commit them together, then remove other attempts."""
-        none = {t: self.spark.createDataFrame([], self.schemas[t]) for t in self.schemas if t not in tables}
-        counts = {name: self._save(rows, name, batch, attempt) for name, rows in {**tables, **none}.items()}
-        number = self._commits().get(batch, (-1, ""))[0] + 1
-        mark = f"{self.path}/commits/{batch}@{number}@{attempt}"
-        if not _fs(self.spark, mark).createNewFile(_path(self.spark, mark)):
-            raise RuntimeError(f"cannot commit batch {batch!r}")
-        self._clean(batch)
-        return counts
-
-    def _clean(self, batch: str) -> None:
-        """Remove what is not committed or was replaced; the marks go last, so that nothing is forgotten."""
-        number, attempt = self._commits()[batch]
-        for table in self.schemas:
-            folder = f"{self.path}/{table}/batch={batch}"
-            for name in _names(self.spark, folder):
-                if name != f"attempt={attempt}":
-                    _delete(self.spark, f"{folder}/{name}")
-        for name in _names(self.spark, f"{self.path}/commits"):
-            if name.startswith(f"{batch}@") and name != f"{batch}@{number}@{attempt}":
-                _delete(self.spark, f"{self.path}/commits/{name}")
+        """Write all tables of a batch, commit them with one row, then remove replaced attempts."""
+        self.create()
+        counts = {name: self._save(tables[name], name, batch, attempt) for name in self.schemas if name in tables}
+        if "vectors" not in tables and "chunks" in tables:
+            chunks = self.spark.read.schema(self.schemas["chunks"]).parquet(f"{self.path}/chunks/batch={batch}/attempt={attempt}")
+            self._save(self._index_of(chunks), "vectors", batch, attempt)
+        commits = self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits").filter(F.col("batch") == batch)
+        before = commits.select("attempt", "number").collect()
+        number = max((r["number"] for r in before), default=-1) + 1
+        self.spark.createDataFrame([(batch, attempt, number)], _COMMITS).coalesce(1).write.mode("append").parquet(
+            f"{self.path}/commits")
+        for old in before:
+            for table in self.schemas:
+                _delete(self.spark, f"{self.path}/{table}/batch={batch}/attempt={old['attempt']}")
+        return {name: counts.get(name, 0) for name in self.schemas if name != "vectors"}
+
+    def _index_of(self, chunks: DataFrame) -> DataFrame:
+        held = chunks.filter(F.col("document_vector").isNotNull())
+        return bucketed(held, schemas.CHUNK_KEY, "document_vector", self.encoder.dim, self.bits)
 
     def _save(self, rows: DataFrame, table: str, batch: str, attempt: str) -> int:
-        self.create()
         seen = Observation()
-        fields = self.schemas[table]
+        fields, layout = self.schemas[table], self._layout(table)
         rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in fields if f.name not in rows.columns})
-        out = rows.select(*fields.names).observe(seen, F.count(F.lit(1)).alias("rows")).write
-        if "type" in fields.names:
-            out = out.partitionBy("type").options(**_DOC_ID_FILTERS)
-        out.parquet(f"{self.path}/{table}/batch={batch}/attempt={attempt}")
+        out = rows.select(*fields.names).observe(seen, F.count(F.lit(1)).alias("rows"))
+        if "part" in layout:
+            out = out.withColumn("part", self._part())
+        if layout:
+            # one shuffle puts the rows of a partition together; adaptive execution splits the large ones
+            out = out.hint("rebalance", *layout)
+        writer = out.write.options(**_DOC_ID_FILTERS) if layout else out.write
+        (writer.partitionBy(*layout) if layout else writer).parquet(f"{self.path}/{table}/batch={batch}/attempt={attempt}")
         return seen.get.get("rows", 0)
-
-
-def _refuse_repeats(staged: DataFrame, key: str, shown: str) -> None:
-    """Raise if a key comes twice: rows that share an id would multiply in every later join."""
-    twice = staged.groupBy(key).agg(F.count("*").alias("n"), F.min(shown).alias("shown")).filter("n > 1")
-    if found := [r["shown"] for r in twice.limit(5).collect()]:
-        raise ValueError(f"sources that come more than once in a batch: {', '.join(map(str, found))}")

@@ -53,16 +53,12 @@ def binaries_of(parsed: DataFrame) -> DataFrame:
     )
 
 
-def progress_of(pages: DataFrame, salts: int = 32) -> DataFrame:
+def progress_of(pages: DataFrame) -> DataFrame:
     """Per page: how many of its document's pages are done with it, and how many there are.
 
-    Totals are pre-aggregated and copied once per salt, so the pages of a document that holds
-    most of them meet their total in many tasks.
+    Totals are aggregated map-side; adaptive execution splits the join of a document that holds most of the pages.
     """
-    totals = pages.groupBy("doc_id").agg(F.count("*").alias("total")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    salted = pages.select("doc_id", "page_no", F.pmod("page_no", F.lit(salts)).cast("int").alias("salt"))
-    return salted.join(totals, ["doc_id", "salt"]).select(
+    totals = pages.groupBy("doc_id").agg(F.count("*").alias("total"))
+    return pages.select("doc_id", "page_no").join(totals, "doc_id").select(
         "doc_id", (F.col("page_no") + 1).alias("done"), "total"
     )

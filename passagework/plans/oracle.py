@@ -5,6 +5,7 @@ from __future__ import annotations
 from passagework.config import (
     CHUNK_OVERLAP, CHUNK_SIZE, MIN_SCORE, PAGE_OVERLAP, PAGE_SIZE, REFERENCE_LIMIT, VECTOR_DIM,
 )
+from passagework.operators.vector_search import BITS, RECALL
 
 # fixed value: code points that strip() removes
 WHITESPACE = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -221,7 +222,31 @@ counted AS (
 )"""
 _LISTING_BASE = f"{_ALL_BASE}, {_TEXT_CHUNK.lstrip()}, {_WEB_CHUNK.lstrip()}, {_LISTED}"
 
-_ALL_HITS = f"""
+def _all_hits(hashed: bool) -> str:
+    """CTEs that end in ``hit`` over the chunks of files and web pages; hashed: in the buckets a query probes."""
+    probing = f"""
+sign AS (SELECT d AS bin, b, CASE WHEN substr(md5(d || ':' || b), 1, 1) < '8' THEN 1 ELSE -1 END AS s
+         FROM range({VECTOR_DIM}) t(d), range({BITS}) u(b)),
+ccode AS (
+  SELECT doc_id, page_no, chunk_no, sum(CASE WHEN side > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM (
+    SELECT doc_id, page_no, chunk_no, b, sum(n * s) AS side FROM cbin JOIN sign USING (bin) GROUP BY ALL) GROUP BY ALL
+),
+qside AS (SELECT query_id, b, sum(n * s) AS side FROM qbin JOIN sign USING (bin) GROUP BY ALL),
+qcode AS (SELECT query_id, sum(CASE WHEN side > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM qside GROUP BY ALL),
+odds AS (SELECT query_id, b, 1.702::DOUBLE * abs(side) / sqrt(q2::DOUBLE) * cosine / sqrt(1 - cosine * cosine) AS o
+         FROM qside JOIN qnorm USING (query_id), (SELECT 2 * {MIN_SCORE}::DOUBLE - 1 AS cosine)),
+chance AS (
+  SELECT query_id, f, round(exp(sum(-ln(1 + exp(-o)) - CASE WHEN (f >> b) & 1 = 1 THEN o ELSE 0 END)), 12) AS p
+  FROM odds, range({1 << BITS}) t(f) GROUP BY query_id, f
+),
+probe AS (
+  SELECT query_id, xor(code, f) AS code FROM (
+    SELECT query_id, f, coalesce(sum(p) OVER (PARTITION BY query_id ORDER BY p DESC, f
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chance
+  ) JOIN qcode USING (query_id) WHERE round(before, 9) < {RECALL}
+),""" if hashed else ""
+    within = "JOIN ccode USING (doc_id, page_no, chunk_no) JOIN probe USING (query_id, code)" if hashed else ""
+    return f"""
 {_ALL_BASE}, {_TEXT_CHUNK.lstrip()}, {_WEB_CHUNK.lstrip()},
 every_chunk AS (
   SELECT 'plaintext' AS type, key AS doc_id, 0 AS page_no, no AS chunk_no, part FROM chunk
@@ -233,9 +258,10 @@ query AS ({_INPUTS}),
 qnorm AS (SELECT query_id, sum(n * n) AS q2 FROM qbin GROUP BY query_id),
 cnorm AS (SELECT doc_id, page_no, chunk_no, sum(n * n) AS c2 FROM cbin GROUP BY ALL),
 dot AS (SELECT query_id, doc_id, page_no, chunk_no, sum(q.n * c.n) AS d FROM qbin q JOIN cbin c USING (bin) GROUP BY ALL),
+{probing}
 scored AS (
   SELECT query_id, doc_id, page_no, chunk_no, round((1 + d::DOUBLE / sqrt((c2 * q2)::DOUBLE)) / 2, 9) AS score
-  FROM dot JOIN qnorm USING (query_id) JOIN cnorm USING (doc_id, page_no, chunk_no)
+  FROM dot JOIN qnorm USING (query_id) JOIN cnorm USING (doc_id, page_no, chunk_no) {within}
 ),
 hit AS (
   SELECT * FROM (
@@ -244,10 +270,8 @@ hit AS (
   ) WHERE rank <= {REFERENCE_LIMIT}
 )"""
 
-ORACLES = {
-    "collection_listing": f"""WITH {_LISTING_BASE}
-SELECT doc_id, index, source, page_count, vector_count FROM counted WHERE doc_id NOT IN ({_keys('toxic')})""",
-    "stored_search": f"""WITH {_ALL_HITS},
+
+_CITED = f"""
 cited AS (
   SELECT query_id, count(*) AS n, string_agg(CASE WHEN hit.type = 'web' THEN 'Web page: <' || hit.source
       || '>{{target="_blank"}} scraped {DATE} from parent URL <' || hit.source || '>{{target="_blank"}}'
@@ -256,7 +280,27 @@ cited AS (
 )
 SELECT query_id, coalesce(n, 0) AS source_count,
   CASE WHEN n > 0 THEN '{SOURCES_HEADING}' || {_NL2} || links ELSE '{NO_SOURCES}' END AS answer
-FROM query LEFT JOIN cited USING (query_id)""",
+FROM query LEFT JOIN cited USING (query_id)"""
+
+ORACLES = {
+    "collection_listing": f"""WITH {_LISTING_BASE}
+SELECT doc_id, index, source, page_count, vector_count FROM counted WHERE doc_id NOT IN ({_keys('toxic')})""",
+    "stored_search": f"WITH {_all_hits(False)}, {_CITED}",
+    "stored_search_hashed": f"WITH {_all_hits(True)}, {_CITED}",
+    "list_documents_page": f"""WITH {_LISTING_BASE}
+SELECT doc_id, source, page_count, vector_count FROM counted ORDER BY source, doc_id LIMIT 100 OFFSET 100""",
+    "ingest_duplicates": f"""WITH {_CORPUS}, {_WEB}, {_WEB_CHUNK.lstrip()},
+doubled AS (SELECT 'a' || n AS k, source, content FROM doc
+  UNION ALL SELECT 'b' || n, source, CASE WHEN lang = 'de' THEN 'again' || chr(10) ELSE '' END || content FROM doc),
+{chunk_ctes("twin", "doubled", "k", "content").lstrip()}
+SELECT 'plaintext' AS type, source, 2 AS documents, 2 AS pages, count(twin.key) AS vectors
+FROM doubled LEFT JOIN twin ON twin.key = doubled.k GROUP BY source
+UNION ALL
+SELECT 'web', url, 2, 2 * p.n, 2 * c.n FROM site
+JOIN (SELECT doc_id, count(*) AS n FROM web_page GROUP BY 1) p USING (doc_id)
+JOIN (SELECT split_part(key, '/', 1) AS doc_id, count(*) AS n FROM web_chunk GROUP BY 1) c USING (doc_id)""",
+    "drop_collection": f"""
+SELECT 'kept' AS collection, 'document_vector' AS vector_column, {VECTOR_DIM} AS dim, count(*) AS documents FROM pages""",
     "list_collections": f"""
 SELECT 'texts' AS collection, 'document_vector' AS vector_column, {VECTOR_DIM} AS dim, count(*) AS documents FROM documents
 UNION ALL SELECT 'sites', 'document_vector', {VECTOR_DIM}, count(*) FROM pages""",
@@ -365,18 +409,30 @@ scored AS (
 )
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
                FROM scored WHERE score >= 0.65) WHERE rank <= 5""",
-    "knn_lsh": """
+    "knn_lsh": f"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, list_inner_product(e, e) AS s FROM v),
 entry AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS d FROM v),
 side AS (
-  SELECT vec_id, b, sum(CASE WHEN substr(md5(d || ':' || b), 1, 1) < '8' THEN x ELSE -x END) > 0 AS up
-  FROM entry, range(8) t(b) GROUP BY vec_id, b
+  SELECT vec_id, b, sum(CASE WHEN substr(md5(d || ':' || b), 1, 1) < '8' THEN x ELSE -x END) AS side
+  FROM entry, range({BITS}) t(b) GROUP BY vec_id, b
+),
+bucket AS (SELECT vec_id, sum(CASE WHEN side > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM side GROUP BY vec_id),
+odds AS (SELECT vec_id, b, 1.702::DOUBLE * abs(side) / sqrt(s) * cosine / sqrt(1 - cosine * cosine) AS o
+         FROM side JOIN n USING (vec_id), (SELECT 2 * 0.65::DOUBLE - 1 AS cosine)),
+chance AS (
+  SELECT vec_id, f, round(exp(sum(-ln(1 + exp(-o)) - CASE WHEN (f >> b) & 1 = 1 THEN o ELSE 0 END)), 12) AS p
+  FROM odds, range({1 << BITS}) t(f) GROUP BY vec_id, f
+),
+probe AS (
+  SELECT query_id, xor(home.code, f) AS code FROM (
+    SELECT vec_id AS query_id, f, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, f
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chance
+  ) JOIN bucket home ON home.vec_id = query_id WHERE round(before, 9) < {RECALL}
 ),
-bucket AS (SELECT vec_id, sum(CASE WHEN up THEN 1 << b ELSE 0 END)::BIGINT AS code FROM side GROUP BY vec_id),
-n AS (SELECT vec_id, e, code, list_inner_product(e, e) AS s FROM v JOIN bucket USING (vec_id)),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, round((1 + list_inner_product(q.e, c.e) / sqrt(c.s * q.s)) / 2, 9) AS score
-  FROM n q, n c WHERE bit_count(xor(q.code, c.code)) <= 3
+  FROM probe JOIN bucket b USING (code) JOIN n c ON c.vec_id = b.vec_id JOIN n q ON q.vec_id = query_id
 )
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
                FROM scored WHERE score >= 0.65) WHERE rank <= 5""",

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.config import NO_SOURCES_MESSAGE, PAGE_OVERLAP, PAGE_SIZE, ensure_checkpoint_dir, stable_id
+from passagework.config import NO_SOURCES_MESSAGE, PAGE_OVERLAP, PAGE_SIZE, ensure_checkpoint_dir, stable_id, written
 from passagework.functions import citations as C
 from passagework.functions.chunking import explode_chunks
 from passagework.functions.embedding import add_vectors
@@ -70,6 +70,11 @@ def corpus_chunks(spark, sf) -> DataFrame:
     return I.chunks_of(corpus_pages(spark, sf))
 
 
+def corpus_texts(spark, sf) -> DataFrame:
+    """The chunks without vectors."""
+    return I.chunks_of(corpus_pages(spark, sf), encoder=None)
+
+
 def stored_pages(spark, sf) -> DataFrame:
     return read_for_compute(spark, sf, "pages", ["url", "html"])
 
@@ -139,17 +144,16 @@ def labelled_keys(spark, sf, label: str) -> DataFrame:
 
 
 def hits(spark, sf) -> DataFrame:
-    return S.semantic_search(user_inputs(spark, sf), corpus_chunks(spark, sf))
+    return S.semantic_search(user_inputs(spark, sf), corpus_chunks(spark, sf), texts=corpus_texts(spark, sf))
 
 
 def written_hits(spark, sf) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    return hits(spark, sf).checkpoint()
+    return written(hits(spark, sf))
 
 
 def retrieved(spark, sf) -> DataFrame:
     return S.retrieve(user_inputs(spark, sf), corpus_chunks(spark, sf), corpus_pages(spark, sf),
-                      I.documents_of(corpus(spark, sf)))
+                      I.documents_of(corpus(spark, sf)), texts=corpus_texts(spark, sf))
 
 
 # ---- sources ------------------------------------------------------------------------------
@@ -318,7 +322,7 @@ def page_links(spark, sf):
 
 
 def semantic_search(spark, sf):
-    return S.semantic_search(user_turns(spark, sf), corpus_chunks(spark, sf)).select(
+    return S.semantic_search(user_turns(spark, sf), corpus_chunks(spark, sf), texts=corpus_texts(spark, sf)).select(
         "query_id", "rank", "score", "doc_id", "page_no", "chunk_no", "text")
 
 
@@ -484,6 +488,50 @@ def stored_search(spark, sf):
     return S.search_task(user_inputs(spark, sf), found, COLLECTION).select("query_id", "source_count", "answer")
 
 
+def stored_search_hashed(spark, sf):
+    """The same search in the hash buckets of the stored index."""
+    collection = stored_corpus(spark, sf, scratch(spark))
+    found = collection.search(user_inputs(spark, sf), hashed=True)
+    return S.search_task(user_inputs(spark, sf), found, COLLECTION).select("query_id", "source_count", "answer")
+
+
+def list_documents_page(spark, sf):
+    """The listing of a stored collection, the page behind the first 100 documents."""
+    collection = Collection(spark, scratch(spark), COLLECTION).create()
+    collection.ingest_web(stored_pages(spark, sf), "web", ingest_date=INGEST_DATE)
+    collection.ingest_files(corpus_files(spark, sf), [files_source.text_loader()], "files", INGEST_DATE)
+    first = collection.list_documents(limit=100).orderBy(F.col("source").desc(), F.col("doc_id").desc()).first()
+    page = collection.list_documents(limit=100, after=(first["source"], first["doc_id"]))
+    return page.select("doc_id", "source", "page_count", "vector_count")
+
+
+def ingest_duplicates(spark, sf):
+    """Every document twice in a batch, German ones with another text, and every web page twice: two documents each."""
+    docs = read_for_compute(spark, sf, "documents", ["doc_id", "source", "lang", "text"])
+    other = (F.col("lang") == "de") & (F.col("time") == 2)
+    files = docs.withColumn("time", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        corpus_path().alias("path"),
+        F.when(other, F.concat(F.lit("again\n"), "text")).otherwise(F.col("text")).cast("binary").alias("content"))
+    twice = stored_pages(spark, sf).withColumn("time", F.explode(F.array(F.lit(1), F.lit(2)))).drop("time")
+    collection = Collection(spark, scratch(spark), COLLECTION).create()
+    collection.ingest_files(files, [files_source.text_loader()], "files", INGEST_DATE)
+    collection.ingest_web(twice, "web", ingest_date=INGEST_DATE)
+    listed = collection.list_documents()
+    return listed.groupBy("type", "source").agg(
+        F.count_distinct("doc_id").alias("documents"), F.sum("page_count").alias("pages"), F.sum("vector_count").alias("vectors"))
+
+
+def drop_collection(spark, sf):
+    """Two collections, one of which is dropped, as the catalog lists what is left."""
+    root = scratch(spark)
+    kept, dropped = Collection(spark, root, "kept").create(), Collection(spark, root, "dropped").create()
+    for collection in (kept, dropped):
+        collection.ingest_web(stored_pages(spark, sf), "web", ingest_date=INGEST_DATE)
+    dropped.drop()
+    left = M.union_rows(*[c.documents().withColumn("collection", F.lit(c.name)) for c in (kept, dropped)])
+    return list_collections(spark, root).join(M.collection_sizes(left, "collection"), "collection", "left")
+
+
 def list_collections_query(spark, sf):
     """A collection of text files and one of web pages, as the catalog lists them."""
     root = scratch(spark)
@@ -596,6 +644,10 @@ QUERIES = {
     "delete_count": delete_count,
     "collection_listing": collection_listing,
     "stored_search": stored_search,
+    "stored_search_hashed": stored_search_hashed,
+    "list_documents_page": list_documents_page,
+    "ingest_duplicates": ingest_duplicates,
+    "drop_collection": drop_collection,
     "list_collections": list_collections_query,
     "batch_replace": batch_replace,
     "rejected_files": rejected_files,

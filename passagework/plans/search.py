@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.config import MIN_SCORE, NO_SOURCES_MESSAGE, REFERENCE_LIMIT, ensure_checkpoint_dir
+from passagework.config import MIN_SCORE, NO_SOURCES_MESSAGE, REFERENCE_LIMIT, written
 from passagework.functions.citations import page_link
 from passagework.functions.embedding import add_vectors
 from passagework.operators.generate import generate
@@ -28,19 +28,20 @@ def semantic_search(
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
     search: Callable[..., DataFrame] = top_k_similar,
+    texts: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """Ranked hits of every query: query_id, rank, score, chunk key, page_id, text.
 
-    ``queries`` has query_id and user_input; ``search`` may be the exact or the hashed search.
-    The query vectors are written once: a slow encoder runs neither inside a broadcast nor again
-    for every pass over the chunks.
+    ``queries`` has query_id and user_input; ``search`` may be the exact or the hashed search, or that
+    of a stored index. ``texts`` are the chunks without their vectors, where these are computed. The
+    query vectors are written once, so that a slow encoder runs once; so are the hits, whose texts are
+    looked up.
     """
-    ensure_checkpoint_dir(queries.sparkSession)
     vectors = add_vectors(queries.select("query_id", "user_input"), "user_input", encoder, "query_vector")
-    vectors = vectors.select("query_id", "query_vector").checkpoint()
+    vectors = written(vectors.select("query_id", "query_vector"))
     return search(
-        vectors, chunks, chunk_key=CHUNK_KEY, carry=["page_id", "text"], dim=encoder.dim,
+        vectors, chunks, chunk_key=CHUNK_KEY, carry=["page_id", "text"], texts=texts, dim=encoder.dim,
         k=k, min_score=min_score, **options,
     )
 
@@ -51,11 +52,10 @@ def retrieve(
 ) -> DataFrame:
     """Context and sources per query; only queries with hits.
 
-    The hits (at most queries * k rows, found at great cost) are written once; both lookups and
-    the texts read them from there.
+    The hits (at most queries * k rows, found at great cost) are written once with their texts; both
+    lookups read them from there.
     """
-    ensure_checkpoint_dir(queries.sparkSession)
-    hits = semantic_search(queries, chunks, encoder, k, min_score, **options).checkpoint()
+    hits = written(semantic_search(queries, chunks, encoder, k, min_score, **options))
     return retrieval_sources(hits_with_documents(hits_with_pages(hits, pages), documents, hits))
 
 

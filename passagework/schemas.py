@@ -26,9 +26,11 @@ CHUNKS = _struct(
 )
 BINARIES = _struct(doc_id=_S, type=_S, data=T.BinaryType(), media_type=_S)
 REJECTED = _struct(source=_S, reason=_S)
-DELETIONS = _struct(doc_id=_S, type=_S)
+# the search index: vectors as little-endian 32-bit floats, by hash bucket
+VECTORS = _struct(type=_S, doc_id=_S, page_no=_L, chunk_no=_L, bucket=T.IntegerType(), packed=T.BinaryType())
 
-TABLES = {"documents": DOCUMENTS, "pages": PAGES, "chunks": CHUNKS, "binaries": BINARIES, "rejected": REJECTED}
+TABLES = {"chunks": CHUNKS, "vectors": VECTORS, "pages": PAGES, "binaries": BINARIES, "documents": DOCUMENTS,
+          "rejected": REJECTED}
 
 # what identifies a chunk, and breaks ties between equal scores
 CHUNK_KEY = ["type", "doc_id", "page_no", "chunk_no"]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework import schemas
-from passagework.config import PAGE_OVERLAP, PAGE_SIZE, broadcast_if_small, stable_id
+from passagework.config import PAGE_OVERLAP, PAGE_SIZE, stable_id, written
 from passagework.functions.chunking import split_text
 from passagework.functions.paths import base_name, extension, local_path
 
@@ -120,7 +120,7 @@ def scan_files(spark: SparkSession, *paths: str, include_empty: bool = False) ->
 
 def with_display_names(files: DataFrame, names: DataFrame) -> DataFrame:
     """Attach the name shown to users where an uploaded file has another one; ``names(path, name)``."""
-    return files.join(broadcast_if_small(names.select("path", "name")), "path", "left")
+    return files.join(written(names.select("path", "name")), "path", "left")
 
 
 def _common_pages(pages: Column, loader: Loader, fields: T.StructType) -> Column:

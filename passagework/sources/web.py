@@ -7,9 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.config import (
-    PAGE_OVERLAP, PAGE_SIZE, broadcast_if_small, ensure_checkpoint_dir, stable_id,
-)
+from passagework.config import PAGE_OVERLAP, PAGE_SIZE, copy_id, ensure_checkpoint_dir, stable_id, written
 from passagework.functions import html as H
 from passagework.functions.chunking import explode_chunks
 from passagework.operators.positions import dense_positions
@@ -17,18 +15,20 @@ from passagework.operators.positions import dense_positions
 
 def load_web(stored: DataFrame, collection: str, ingest_date: int, reached: DataFrame | None = None) -> DataFrame:
     """Page rows of web documents: doc_id, type, doc_source, ingest_date, page_no, title, language,
-    source, content. ``stored`` has url and html.
+    source, content. ``stored`` has url and html, and ``copy`` where URLs come more than once (``with_copies``).
 
     Without ``reached`` every stored page is a document of its own. With it (root, url, depth from
     ``crawl``) a document is a root and its pages are all pages reached from it. Raw HTML is the
     content, long pages are split in parts.
     """
+    copy = F.col("copy") if "copy" in stored.columns and reached is None else F.lit(None).cast("string")
     if reached is None:
-        rows = stored.select(F.col("url").alias("root"), F.lit(0).alias("depth"), "url", "html")
+        rows = stored.select(F.col("url").alias("root"), F.lit(0).alias("depth"), "url", "html", copy.alias("copy"))
     else:
-        rows = stored.select("url", "html").join(broadcast_if_small(reached), "url").select("root", "depth", "url", "html")
+        rows = stored.select("url", "html").join(written(reached), "url").select(
+            "root", "depth", "url", "html", copy.alias("copy"))
     described = rows.select(
-        "root", "depth", F.col("url").alias("source"),
+        "root", "depth", "copy", F.col("url").alias("source"),
         H.title(F.col("html")).alias("title"), H.language(F.col("html")).alias("language"), "html",
     )
     parts = explode_chunks(described, "html", size=PAGE_SIZE, overlap=PAGE_OVERLAP, out_col="content", pos_col="part")
@@ -38,7 +38,7 @@ def load_web(stored: DataFrame, collection: str, ingest_date: int, reached: Data
         parts = dense_positions(parts, ["root"], ["depth", "source", "part"], "page_no")
     date = F.lit(ingest_date).cast("bigint")
     return parts.select(
-        _web_id(collection, F.col("root"), date).alias("doc_id"),
+        copy_id(_web_id(collection, F.col("root"), date), F.col("copy")).alias("doc_id"),
         F.lit("web").alias("type"), F.col("root").alias("doc_source"), date.alias("ingest_date"),
         "page_no", "title", "language", "source", "content",
     )

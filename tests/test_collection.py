@@ -1,12 +1,17 @@
 import os
+import re
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagework.functions.embedding import add_vectors
+from passagework.operators.vector_search import _planes, probed_buckets, search_buckets
 from passagework.plans import ingest as I
 from passagework.plans.collection import Collection, list_collections
+from passagework.schemas import CHUNK_KEY
 from passagework.sources import files as S
 from passagework.streaming.ingest import file_stream, progress, start_ingest
 from passagework.streaming.prompts import start_prompts
@@ -98,22 +103,105 @@ def test_a_failed_rewrite_leaves_the_batch_as_it_was(spark, tmp_path, folder):
     (folder / "a.txt").write_text("other words")
     c.ingest_folder(str(folder), LOADERS, "1", DATE)
     assert c.batches() == ["1"] and [r.text for r in c.chunks().filter("type = 'plaintext'").collect()] == ["other words"]
-    for table in ("documents", "pages", "chunks", "binaries", "rejected"):
-        assert len(os.listdir(f"{c.path}/{table}/batch=1")) == 1
+    assert {r.attempt for r in c._live().collect()} <= set(os.listdir(f"{c.path}/documents/batch=1")[0].split("=")[1:])
 
 
-def test_equal_sources_in_a_batch_are_refused(spark, tmp_path, folder):
+def test_equal_sources_in_a_batch_are_documents_of_their_own(spark, tmp_path, folder):
     c = Collection(spark, str(tmp_path / "root"), "c")
-    files = S.scan_files(spark, str(folder))
-    with pytest.raises(ValueError, match="a.txt"):
-        c.ingest_files(files.unionAll(files), LOADERS, "1", DATE)
-    with pytest.raises(ValueError, match="s.example"):
-        c.ingest_web(site(spark).unionAll(site(spark)), "w", ingest_date=DATE)
-    assert c.batches() == [] and c.rows().count() == 0
+    files = S.scan_files(spark, str(folder)).withColumn("time", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    files = files.withColumn("content", F.when((F.col("time") == 3) & F.col("path").endswith("a.txt"), F.lit("else").cast("binary"))
+                             .otherwise(F.col("content"))).drop("time")
+    c.ingest_files(files, LOADERS, "1", DATE)
+    ids = {r.doc_id for r in c.documents().collect()}
+    assert c.documents().count() == 9 == len(ids) and c.pages().count() == 9
+    assert c.chunks().filter("text = 'else'").count() == 1
+    # the same batch again gives the same ids
+    c.ingest_files(files.orderBy(F.rand()), LOADERS, "1", DATE)
+    assert {r.doc_id for r in c.documents().collect()} == ids
+    alone = Collection(spark, str(tmp_path / "root"), "c2")
+    alone.name = "c"
+    alone.ingest_folder(str(folder), LOADERS, "1", DATE)
+    assert {r.doc_id for r in alone.documents().collect()} <= ids
+    c.ingest_web(site(spark).withColumn("time", F.explode(F.array(F.lit(1), F.lit(2)))).drop("time"), "w", ingest_date=DATE)
+    web = c.list_documents().filter("type = 'web'")
+    assert web.count() == 14 and web.select("doc_id").distinct().count() == 14 and web.select("source").distinct().count() == 7
     with pytest.raises(ValueError):
         c.ingest_files(files, LOADERS, "a/b", DATE)
 
 
+def _files(path):
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names
+            if f.endswith(".parquet")}
+
+
+def test_a_delete_rewrites_only_the_partitions_it_touches(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "root"), "c")
+    texts = spark.createDataFrame([(f"/d/{i}.txt", bytearray(f"word{i} and more words".encode())) for i in range(120)],
+                                  "path string, content binary")
+    c.ingest_files(texts, [S.text_loader()], "1", DATE)
+    docs = {r.source: r.doc_id for r in c.documents().collect()}
+    gone = docs["/d/7.txt"]
+    before = {t: _files(f"{c.path}/{t}") for t in ("documents", "pages", "chunks", "binaries", "vectors")}
+    keys = spark.createDataFrame([("plaintext", gone)], "type string, doc_id string")
+    assert rows(c.delete_documents(keys).select("doc_id", "removed")) == [(gone, 4)]
+    for table, files in before.items():
+        after = _files(f"{c.path}/{table}")
+        kept = {f for f in files if table == "vectors" or f"part={gone[0]}" not in f}
+        touched = {os.path.dirname(f) for f in files.keys() ^ after.keys()}
+        assert len(touched) == 1, table
+        assert all(after.get(f) == files[f] for f in kept if os.path.dirname(f) not in touched)
+        assert c.table(table).filter(F.col("doc_id") == gone).count() == 0 and c.table(table).count() == 119
+    for table in (c.chunks(), c.documents(), c.vectors()):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" not in plan and "Exchange hashpartitioning(doc_id" not in plan
+    # everything of a partition goes
+    rest = c.documents().filter(F.col("doc_id").startswith(gone[0])).select("type", "doc_id")
+    n = rest.count()
+    assert c.delete_documents(rest).count() == n and c.documents().count() == 119 - n
+    assert not any(f"part={gone[0]}" in f for f in _files(f"{c.path}/documents"))
+    assert c.delete_documents(keys).count() == 0
+
+
+def test_pages_of_the_listing_make_the_whole(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "root"), "c")
+    texts = spark.createDataFrame([(f"/d/{i % 7}.txt", bytearray(f"text {i}".encode())) for i in range(23)], "path string, content binary")
+    c.ingest_files(texts, [S.text_loader()], "1", DATE)
+    whole = sorted((r.source, r.doc_id, r.page_count, r.vector_count) for r in c.list_documents().collect())
+    seen, after = [], None
+    while page := sorted((r.source, r.doc_id, r.page_count, r.vector_count) for r in c.list_documents(limit=5, after=after).collect()):
+        seen, after = seen + page, page[-1][:2]
+    assert seen == whole and len(whole) == 23
+
+
+def test_hashed_search_of_a_stored_index(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "root"), "c")
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(
+        F.concat(F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    c.ingest_files(texts, [S.text_loader()], "1", DATE)
+    asked = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("user_input"))
+
+    def hits(found):
+        return {(r.query_id, s.page_metadata.doc_id) for r in found.collect() for s in r.sources}
+
+    exact = hits(c.search(asked))
+    assert len(exact & hits(c.search(asked, hashed=True))) >= 0.95 * len(exact)
+    assert hits(c.search(asked, hashed=True, recall=1)) == exact
+    one = asked.filter("query_id = 3")
+    vectors = add_vectors(one, "user_input", c.encoder, "query_vector")
+    found = search_buckets(vectors, c.table("vectors"), chunk_key=CHUNK_KEY, dim=c.encoder.dim, bits=c.bits)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ (IN|INSET)", plan)
+    probed = {r["bucket"] for r in c.table("vectors").filter(F.col("bucket").isin(_probed(c, one))).select("bucket").distinct().collect()}
+    held = {r["bucket"] for r in c.table("vectors").select("bucket").distinct().collect()}
+    assert probed < held and len(probed) < 0.8 * len(held)
+
+
+def _probed(c, asked):
+    vector = c.encoder([asked.first().user_input])
+    return np.flatnonzero(probed_buckets(vector, _planes(c.encoder.dim, c.bits), 0.8, 0.95)[0]).tolist()
+
+
 def test_a_batch_keeps_its_time(spark, tmp_path):
     c = Collection(spark, str(tmp_path / "root"), "c")
     assert c.batch_time("files-0") == c.batch_time("files-0") > DATE

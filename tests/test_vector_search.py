@@ -1,8 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from passagework.functions.embedding import HashingEncoder, add_vectors
-from passagework.operators.vector_search import top_k_similar, top_k_similar_lsh
+from passagework.operators.vector_search import (
+    RECALL, _bucket, _planes, probed_buckets, top_k_similar, top_k_similar_lsh,
+)
+from passagework.plans.queries import QUERIES
 
 DIM = 16
 
@@ -45,14 +49,39 @@ def same(got, want):
         assert np.allclose([s for _, s in got[i]], [s for _, s in want[i]], atol=1e-8)
 
 
-@pytest.mark.parametrize("max_bytes", [128 << 20, 2000])
-def test_exact_equals_brute_force_in_one_or_many_passes(spark, max_bytes):
+@pytest.mark.parametrize("per_line", [8192, 7])
+def test_exact_equals_brute_force_in_one_or_many_lines(spark, per_line):
     qv, q = make(spark, 60, 1)
     cv, c = make(spark, 3000, 2)
-    got = search(top_k_similar, q, c, k=5, min_score=0.7, max_broadcast_bytes=max_bytes)
+    got = search(top_k_similar, q, c, k=5, min_score=0.7, queries_per_line=per_line)
     same(collect(got), brute(qv, cv, 5, 0.7))
 
 
+def test_more_queries_than_a_broadcast_holds_are_shuffled(spark):
+    """Ten times the automatic broadcast threshold: queries and chunks meet by one shuffle of both, keys only."""
+    bound = 100_000
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(bound))
+    try:
+        n = 10 * bound // (4 * DIM)
+        qv, q = make(spark, n, 11)
+        cv, c = make(spark, 400, 12)
+        c = c.withColumn("text", F.concat(F.lit("text "), "id"))
+        found = search(top_k_similar, q, c, k=2, min_score=0.8, carry=["text"], queries_per_line=2000)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # the hits are written before their texts are looked up, so that plan holds the lookup alone
+        assert "MapInArrow" not in plan
+        hits = search(top_k_similar, q, c, k=2, min_score=0.8, queries_per_line=2000)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Join" not in plan and "text" not in plan
+        got = found.collect()
+        assert all(r.text == f"text {r.id}" for r in got)
+        same(collect(hits), brute(qv, cv, 2, 0.8))
+        assert len(got) == hits.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_hot_copies_tie_by_key(spark):
     qv, q = make(spark, 10, 3)
     cv, c = make(spark, 3000, 4, copies=2500)
@@ -81,33 +110,50 @@ def test_empty_sides(spark):
     assert search(top_k_similar, q, q.limit(0)).count() == 0
 
 
-def test_lsh_with_full_radius_is_exact_and_recall_grows(spark):
+def test_hashed_search_of_all_buckets_is_exact(spark):
     qv, q = make(spark, 50, 5)
     cv, c = make(spark, 4000, 6, copies=1500)
-    want = brute(qv, cv, 5, 0.75)
-    full = collect(search(top_k_similar_lsh, q, c, k=5, min_score=0.75, bits=6, radius=6))
-    same(full, want)
-    pairs = {(i, j) for i, w in want.items() for j, _ in w}
-
-    def recall(radius):
-        found = collect(search(top_k_similar_lsh, q, c, k=5, min_score=0.75, bits=6, radius=radius))
-        return len(pairs & {(i, j) for i, w in found.items() for j, _ in w}) / len(pairs)
-
-    one, three = recall(1), recall(3)
-    assert one <= three and three > 0.9
-
-
-def test_lsh_in_many_passes(spark):
-    qv, q = make(spark, 40, 7)
-    cv, c = make(spark, 1000, 8)
-    got = search(top_k_similar_lsh, q, c, k=5, min_score=0.7, bits=4, radius=4, max_broadcast_bytes=20_000)
-    same(collect(got), brute(qv, cv, 5, 0.7))
+    full = collect(search(top_k_similar_lsh, q, c, k=5, min_score=0.75, bits=6, recall=1, queries_per_line=20))
+    same(full, brute(qv, cv, 5, 0.75))
+
+
+def test_fewer_buckets_for_less_recall():
+    vectors = np.random.default_rng(7).standard_normal((200, 64))
+    planes = _planes(64, 8)
+    counts = [probed_buckets(vectors, planes, score, recall).sum(1).mean() for score, recall in
+              ((0.8, 0.5), (0.8, 0.95), (0.95, 0.95), (0.8, 1))]
+    assert counts[0] < counts[1] < counts[3] == 256 and counts[2] < counts[1] < 200
+    home = _bucket(vectors, planes)
+    assert probed_buckets(vectors, planes, 0.8, 0.01)[np.arange(200), home].all()
+    assert probed_buckets(np.zeros((1, 64)), planes, 0.8, 0.95).sum() >= 0.95 * 256
+
+
+def test_a_neighbour_at_the_least_score_is_found_as_often_as_stated():
+    random = np.random.default_rng(8)
+    planes, n = _planes(64, 8), 4000
+    q = random.standard_normal((n, 64))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    other = random.standard_normal((n, 64))
+    other -= (other * q).sum(1)[:, None] * q
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    for score in (0.65, 0.8, 0.9):
+        cosine = 2 * score - 1
+        near = cosine * q + np.sqrt(1 - cosine**2) * other
+        found = probed_buckets(q, planes, score, RECALL)[np.arange(n), _bucket(near, planes)].mean()
+        assert found > RECALL - 0.02
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_hashed_search(spark, sf):
+    exact, hashed = (
+        {(r.query_id, r.vec_id) for r in QUERIES[name](spark, f"/root/testdata/{sf}").collect()} for name in ("knn_dense", "knn_lsh"))
+    assert len(exact & hashed) >= 0.95 * len(exact)
 
 
 def test_hashing_encoder(spark):
     encoder = HashingEncoder()
-    one, two, none = encoder(["Red red, RED blue", "blue red red red", "éé"])
-    assert (one == two).all() and one.sum() == 4 and none.sum() == 0
+    one, two, word, none = encoder(["Red red, RED blue", "blue red red red", "éé", "-- !"])
+    assert (one == two).all() and one.sum() == 4 and word.sum() == 1 and none.sum() == 0
     df = spark.createDataFrame([("Red red",), (None,)], "t string")
     rows = add_vectors(df, "t", encoder, "v").collect()
     assert sorted(sum(r.v) for r in rows) == [0, 2] and len(rows[0].v) == 384
