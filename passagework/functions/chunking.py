@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +31,20 @@ def split_text(
     separators: tuple[str, ...] = SEPARATORS,
 ) -> list[str]:
     """Chunks of at most ``size`` characters that share at most ``overlap`` with the one before."""
+    return list(iter_text(text, size, overlap, separators))
+
+
+def iter_text(
+    text: str,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    separators: tuple[str, ...] = SEPARATORS,
+) -> Iterator[str]:
+    """The same chunks, one at a time."""
     if not text:
-        return []
+        return iter(())
     slices = (text[a:b].strip() for a, b in _spans(text, 0, len(text), size, overlap, separators))
-    return [s for s in slices if s]
+    return filter(None, slices)
 
 
 def _spans(text, lo, hi, size, overlap, separators) -> Iterator[tuple[int, int]]:
@@ -105,12 +116,12 @@ def explode_chunks(
         for batch in batches:
             rows, pos, chunks = [], [], []
             for i, text in enumerate(batch.column(text_col)):
-                found = split_text(text.as_py(), size, overlap)
-                for at in range(0, len(found), _ROWS_PER_OUTPUT):
-                    part = found[at : at + _ROWS_PER_OUTPUT]
+                found, at = iter_text(text.as_py(), size, overlap), 0
+                while part := list(islice(found, _ROWS_PER_OUTPUT)):
                     rows += [i] * len(part)
                     pos += range(at, at + len(part))
                     chunks += part
+                    at += len(part)
                     if len(chunks) >= _ROWS_PER_OUTPUT:
                         yield emit(batch, rows, pos, chunks)
                         rows, pos, chunks = [], [], []

@@ -33,6 +33,8 @@ _QUERIES_PER_LINE = 8192
 _MOST_TASKS = 20_000
 
 BITS = 8
+# of a stored index: 64 folders a batch; more for large collections
+INDEX_BITS = 6
 RECALL = 0.95
 # fixed value: slope of the logistic curve that comes closest to the normal distribution function
 _LOGISTIC = 1.702

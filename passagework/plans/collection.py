@@ -25,11 +25,13 @@ from passagework import schemas
 from passagework.config import copy_id, spread, with_copies, written
 from passagework.functions.paths import check_batch_name, check_collection_name
 from passagework.operators import management as M
-from passagework.operators.vector_search import BITS, bucketed, search_buckets
+from passagework.operators.vector_search import INDEX_BITS, bucketed, search_buckets
 from passagework.plans import ingest as I
 from passagework.plans import search as S
 from passagework.sources import files as files_source
+from passagework.sources import paged
 from passagework.sources import web as web_source
+from passagework.sources.folders import scan_folder
 
 _MARKER = "catalog"
 # ids are hashes, so row groups have no useful ranges: lookups of one document skip by Bloom filter
@@ -39,6 +41,8 @@ _DOC_ID_FILTERS = {
 }
 _COMMITS = "batch string, attempt string, number bigint"
 _TIMES = "batch string, time bigint"
+_COUNTED = ("documents", "pages", "chunks", "rejected")
+_PROGRESS = "stream string, batch_id bigint, " + ", ".join(f"{t} bigint" for t in _COUNTED)
 # first hex digits of a document id that name its partition: 16 partitions a type and batch for one digit
 PART_DIGITS = 1
 
@@ -78,7 +82,7 @@ class Collection:
 
     def __init__(
         self, spark: SparkSession, root: str, name: str, encoder=I.DEFAULT_ENCODER,
-        document_fields: T.StructType | None = None, page_fields: T.StructType | None = None, bits: int = BITS,
+        document_fields: T.StructType | None = None, page_fields: T.StructType | None = None, bits: int = INDEX_BITS,
         part_digits: int = PART_DIGITS,
     ):
         """``bits`` and ``part_digits`` set the number of index buckets and of partitions by id; like the encoder they stay
@@ -199,8 +203,24 @@ class Collection:
 
     def ingest_folder(self, folder: str, loaders: list[files_source.Loader], batch: str,
                       ingest_date: int | None = None) -> dict[str, int]:
-        """Ingest the files directly inside a folder."""
-        return self.ingest_files(files_source.scan_files(self.spark, folder), loaders, batch, ingest_date)
+        """Ingest every file directly inside a folder, empty and hidden ones too (``scan_folder``)."""
+        return self.ingest_files(scan_folder(self.spark, folder), loaders, batch, ingest_date)
+
+    def ingest_paged(self, files: DataFrame, readers: list[paged.PageReader], batch: str,
+                     ingest_date: int | Column | None = None) -> dict[str, int]:
+        """Like ``ingest_files``, with readers that yield page by page; ``files`` holds a path once."""
+        date = files_source.current_millis() if ingest_date is None else ingest_date
+        scanned = paged.scan_pages(files, readers, self.name, date)
+
+        def tables(staged: DataFrame) -> dict[str, DataFrame]:
+            pages, documents = paged.pages_of_scan(staged), paged.documents_of_pages(staged)
+            refused = staged.filter(F.col("type").isNull())
+            with_pages = documents.join(pages.select("doc_id").distinct(), "doc_id", "left_semi")
+            stored = with_pages.select("doc_id", "type", "media_type", F.col("source").alias("path")).join(files, "path")
+            return {"chunks": I.chunks_of(pages, self.encoder), "pages": pages, "documents": documents,
+                    "binaries": I.binaries_of_files(stored), "rejected": refused.select("source", files_source.reason_of("failed"))}
+
+        return self._ingest(batch, scanned, tables)
 
     def ingest_web(
         self, stored: DataFrame, batch: str, roots: DataFrame | None = None,
@@ -235,6 +255,18 @@ class Collection:
             self.spark.createDataFrame([(batch, kept)], _TIMES).coalesce(1).write.mode("append").parquet(f"{self.path}/times")
         return kept
 
+    def log_progress(self, stream: str, batch_id: int, counts: dict[str, int]) -> None:
+        """Keep what a micro-batch wrote, as observed while writing."""
+        row = [(stream, batch_id, *(counts.get(t, 0) for t in _COUNTED))]
+        self.spark.createDataFrame(row, _PROGRESS).coalesce(1).write.mode("append").parquet(f"{self.path}/progress")
+
+    def progress(self) -> DataFrame:
+        """(stream, batch_id, documents, pages, chunks, rejected) of every micro-batch; one that was replayed counts once."""
+        if not _exists(self.spark, f"{self.path}/progress"):
+            return self.spark.createDataFrame([], _PROGRESS)
+        rows = self.spark.read.schema(_PROGRESS).parquet(f"{self.path}/progress")
+        return rows.groupBy("stream", "batch_id").agg(*[F.max(c).alias(c) for c in _COUNTED])
+
     def delete_documents(self, keys: DataFrame) -> DataFrame:
         """Delete the documents in ``keys(type, doc_id)``; returns how many rows went with each.
 

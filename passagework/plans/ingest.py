@@ -47,7 +47,12 @@ def chunks_of(pages: DataFrame, encoder=DEFAULT_ENCODER) -> DataFrame:
 
 def binaries_of(parsed: DataFrame) -> DataFrame:
     """Original bytes of documents that have pages."""
-    return parsed.filter((F.octet_length("content") > 0) & (F.size("pages") > 0)).select(
+    return binaries_of_files(parsed.filter(F.size("pages") > 0))
+
+
+def binaries_of_files(files: DataFrame) -> DataFrame:
+    """Rows of ``files(doc_id, type, media_type, content)`` that hold bytes."""
+    return files.filter(F.octet_length("content") > 0).select(
         "doc_id", "type", F.col("content").alias("data"),
         F.coalesce("media_type", F.lit(DEFAULT_MEDIA_TYPE)).alias("media_type"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from passagework.config import (
     CHUNK_OVERLAP, CHUNK_SIZE, MIN_SCORE, PAGE_OVERLAP, PAGE_SIZE, REFERENCE_LIMIT, VECTOR_DIM,
 )
-from passagework.operators.vector_search import BITS, RECALL
+from passagework.operators.vector_search import BITS, INDEX_BITS, RECALL
 
 # fixed value: code points that strip() removes
 WHITESPACE = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -226,7 +226,7 @@ def _all_hits(hashed: bool) -> str:
     """CTEs that end in ``hit`` over the chunks of files and web pages; hashed: in the buckets a query probes."""
     probing = f"""
 sign AS (SELECT d AS bin, b, CASE WHEN substr(md5(d || ':' || b), 1, 1) < '8' THEN 1 ELSE -1 END AS s
-         FROM range({VECTOR_DIM}) t(d), range({BITS}) u(b)),
+         FROM range({VECTOR_DIM}) t(d), range({INDEX_BITS}) u(b)),
 ccode AS (
   SELECT doc_id, page_no, chunk_no, sum(CASE WHEN side > 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM (
     SELECT doc_id, page_no, chunk_no, b, sum(n * s) AS side FROM cbin JOIN sign USING (bin) GROUP BY ALL) GROUP BY ALL
@@ -237,7 +237,7 @@ odds AS (SELECT query_id, b, 1.702::DOUBLE * abs(side) / sqrt(q2::DOUBLE) * cosi
          FROM qside JOIN qnorm USING (query_id), (SELECT 2 * {MIN_SCORE}::DOUBLE - 1 AS cosine)),
 chance AS (
   SELECT query_id, f, round(exp(sum(-ln(1 + exp(-o)) - CASE WHEN (f >> b) & 1 = 1 THEN o ELSE 0 END)), 12) AS p
-  FROM odds, range({1 << BITS}) t(f) GROUP BY query_id, f
+  FROM odds, range({1 << INDEX_BITS}) t(f) GROUP BY query_id, f
 ),
 probe AS (
   SELECT query_id, xor(code, f) AS code FROM (
@@ -299,6 +299,53 @@ UNION ALL
 SELECT 'web', url, 2, 2 * p.n, 2 * c.n FROM site
 JOIN (SELECT doc_id, count(*) AS n FROM web_page GROUP BY 1) p USING (doc_id)
 JOIN (SELECT split_part(key, '/', 1) AS doc_id, count(*) AS n FROM web_chunk GROUP BY 1) c USING (doc_id)""",
+    "scan_folder": """
+SELECT CASE doc_id % 7 WHEN 1 THEN '.' WHEN 2 THEN '_' ELSE '' END || doc_id || '.txt' AS name,
+  CASE WHEN doc_id % 10 = 0 THEN 0 ELSE octet_length(encode(text)) END AS bytes,
+  sha256(CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END) AS content_sha256 FROM documents""",
+    "paged_scan": f"""
+WITH file AS (
+  SELECT *, lang = 'fr' AND contains(text, chr(10)) AS paged,
+    '/corpus/' || source || '/' || doc_id || CASE WHEN lang = 'fr' THEN '.pdf' ELSE '.txt' END AS path FROM documents
+),
+french AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x,
+  generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM file WHERE paged),
+keyed AS (SELECT doc_id || ':' || line_no AS k, x FROM french),
+{page_ctes("part", "keyed", "k", "x").lstrip()},
+placed AS (
+  SELECT split_part(key, ':', 1)::BIGINT AS doc_id, split_part(key, ':', 2)::BIGINT AS page, part,
+         row_number() OVER (PARTITION BY split_part(key, ':', 1) ORDER BY split_part(key, ':', 2)::BIGINT, no) - 1 AS page_no
+  FROM part)
+SELECT path AS source, 'pdf' AS type, page_no, page, part AS content FROM file LEFT JOIN placed USING (doc_id) WHERE paged
+UNION ALL
+SELECT path, 'plaintext', 0, NULL, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) FROM file WHERE NOT paged""",
+    "zero_page_documents": """
+SELECT '/corpus/' || source || '/' || doc_id || '.scan' AS source, 0::BIGINT AS page_count, 0::BIGINT AS vector_count
+FROM documents WHERE lang = 'es'""",
+    "display_names": """
+SELECT '/corpus/' || source || '/' || doc_id || '.txt' AS source,
+  CASE WHEN doc_id % 2 = 0 THEN 'Upload ' || doc_id ELSE doc_id || '.txt' END AS filename FROM documents""",
+    "template_files": """
+SELECT CASE WHEN item_id % 2 = 0 THEN 'task' ELSE 'persona' END AS kind, 'item-' || item_id AS name,
+  'Item ' || item_id AS greeting, CASE WHEN item_id % 3 > 0 THEN text END AS prompt FROM benchmark""",
+    "source_files": """
+SELECT conv_id || '-' || turn AS query_id, CASE WHEN turn % 3 > 0 THEN text END AS source_file
+FROM conversations WHERE role = 'user'""",
+    "stream_progress": f"""WITH {_CORPUS}, {_TEXT_CHUNK}
+SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) AS pages, count(key) AS chunks, 0 AS rejected
+FROM doc LEFT JOIN chunk ON key = doc_id GROUP BY n % 4""",
+    "strip_html": """
+WITH t AS (SELECT url, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'),
+  '<[^>]*>', '', 'g') AS t FROM pages)
+SELECT url, regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS text
+FROM t""",
+    "rag_answers_resumed": f"""WITH {_HITS}, {_ANSWER}, {_REQUEST},
+asked AS (SELECT query_id, CASE WHEN source_count > 0 THEN {_prompt("context", "task_prompt")} END AS prompt
+          FROM answer a JOIN request r USING (query_id)),
+early AS (SELECT DISTINCT prompt FROM asked WHERE query_id % 2 = 0)
+SELECT query_id, CASE WHEN prompt IS NOT NULL THEN 200 END AS status,
+  length(prompt) || ' characters in job ' || CASE WHEN prompt IN (SELECT prompt FROM early WHERE prompt IS NOT NULL) THEN 1 ELSE 2 END AS response
+FROM asked""",
     "drop_collection": f"""
 SELECT 'kept' AS collection, 'document_vector' AS vector_column, {VECTOR_DIM} AS dim, count(*) AS documents FROM pages""",
     "list_collections": f"""
@@ -344,12 +391,14 @@ FROM web_page""",
   {DATE}::BIGINT AS ingest_date, NULL::VARCHAR AS filename, NULL::VARCHAR AS media_type, NULL::VARCHAR AS extension
 FROM pages WHERE url <> ''""",
     "extract_links": """
-WITH l AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, 'href=["'']([^"''#]*)["''#]', 1)) AS link FROM pages)
-SELECT DISTINCT url, CASE WHEN regexp_matches(link, '^https?:') THEN link
+WITH w AS (SELECT DISTINCT url, regexp_replace(unnest(regexp_extract_all(html,
+    '(?i)\\bhref\\s*=\\s*(?:"[^"]*|''[^'']*|[^"''\\s>]+)')), '(?i)^href\\s*=\\s*["'']?\\s*', '') AS link FROM pages),
+l AS (SELECT DISTINCT url, rtrim(split_part(replace(link, '&amp;', '&'), '#', 1)) AS link FROM w)
+SELECT DISTINCT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link
   WHEN starts_with(link, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || link
   WHEN starts_with(link, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || link
   ELSE regexp_extract(url, '^([^?#]*/)', 1) || link END AS target
-FROM l WHERE link <> '' AND NOT regexp_matches(link, '^(javascript:|mailto:)')
+FROM l WHERE link <> '' AND (regexp_matches(link, '(?i)^https?:') OR NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:'))
   AND NOT regexp_matches(link, '[.](css|js|ico|png|jpg|jpeg|gif|svg|csv|bz2|zip|epub)$')""",
     "crawl_reachable": """
 WITH RECURSIVE site AS (SELECT page_id FROM pages),

@@ -16,6 +16,7 @@ from passagework.config import NO_SOURCES_MESSAGE, PAGE_OVERLAP, PAGE_SIZE, ensu
 from passagework.functions import citations as C
 from passagework.functions.chunking import explode_chunks
 from passagework.functions.embedding import add_vectors
+from passagework.functions.html import strip_html
 from passagework.functions.paths import base_name, extension, is_valid_collection_name
 from passagework.operators import management as M
 from passagework.operators import retrieval as R
@@ -25,8 +26,11 @@ from passagework.plans import ingest as I
 from passagework.plans import search as S
 from passagework.plans.collection import Collection, list_collections
 from passagework.sources import files as files_source
+from passagework.sources import paged
 from passagework.sources import web as web_source
+from passagework.sources.folders import scan_folder, write_files
 from passagework.sources.tables import read_for_compute, read_table
+from passagework.sources.templates import attach_source_files, scan_source_files, scan_templates
 from passagework.streaming.ingest import start_ingest
 from passagework.streaming.prompts import start_prompts
 
@@ -179,6 +183,79 @@ def loader_dispatch(spark, sf):
                          F.size("pages").cast("bigint").alias("pages"))
 
 
+def scan_folder_query(spark, sf):
+    """The documents as files of a folder, a tenth of them empty, some with names that start with a dot or a line."""
+    n = F.col("doc_id")
+    files = read_for_compute(spark, sf, "documents", ["doc_id", "text"]).select(
+        F.concat(F.when(n % 7 == 1, ".").when(n % 7 == 2, "_").otherwise(""), n.cast("string"), F.lit(".txt")).alias("name"),
+        F.when(n % 10 == 0, "").otherwise(F.col("text")).alias("content"))
+    folder = scratch(spark)
+    write_files(files, folder)
+    return scan_folder(spark, folder).select(
+        base_name(F.col("path")).alias("name"), F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("content_sha256"))
+
+
+def paged_scan(spark, sf):
+    """French files are offered to a reader first that yields their pages one by one and fails without a page break."""
+
+    def read_pages(data: bytes):
+        pages = data.decode("utf-8").split("\f")
+        yield from pages
+        if len(pages) == 1:
+            raise ValueError("no page break")
+
+    french = F.col("lang") == "fr"
+    docs = read_for_compute(spark, sf, "documents", ["doc_id", "source", "lang", "text"])
+    files = docs.select(
+        F.when(french, F.regexp_replace(corpus_path(), "[.]txt$", ".pdf")).otherwise(corpus_path()).alias("path"),
+        F.when(french, F.replace("text", F.lit("\n"), F.lit("\f"))).otherwise(F.col("text")).cast("binary").alias("content"))
+    readers = [paged.PageReader("pdf", lambda path, data: path.endswith(".pdf"), read_pages, "application/pdf"), paged.text_reader()]
+    return paged.scan_pages(files, readers, COLLECTION, INGEST_DATE).select("source", "type", "page_no", "page", "content")
+
+
+def zero_page_documents(spark, sf):
+    """Spanish files go to a reader that finds no pages; the collection keeps the documents."""
+    docs = read_for_compute(spark, sf, "documents", ["doc_id", "source", "lang", "text"])
+    files = docs.select(
+        F.when(F.col("lang") == "es", F.regexp_replace(corpus_path(), "[.]txt$", ".scan")).otherwise(corpus_path()).alias("path"),
+        F.col("text").cast("binary").alias("content"))
+    readers = [paged.PageReader("scan", lambda path, data: path.endswith(".scan"), lambda data: iter(())), paged.text_reader()]
+    collection = Collection(spark, scratch(spark), COLLECTION).create()
+    collection.ingest_paged(files, readers, "files", INGEST_DATE)
+    return collection.list_documents().filter("page_count = 0").select("source", "page_count", "vector_count")
+
+
+def display_names(spark, sf):
+    """Every other file was uploaded under another name."""
+    named = read_table(spark, sf, "documents").filter("doc_id % 2 = 0").select(
+        corpus_path().alias("path"), F.concat(F.lit("Upload "), "doc_id").alias("name"))
+    files = files_source.with_display_names(corpus_files(spark, sf), named)
+    return files_source.load_files(files, [files_source.text_loader()], COLLECTION, INGEST_DATE).select("source", "filename")
+
+
+def template_files(spark, sf):
+    """A template file for every benchmark item, a third of them without a prompt."""
+    n = F.col("item_id")
+    files = read_table(spark, sf, "benchmark").select(
+        F.when(n % 2 == 0, "task").otherwise("persona").alias("kind"), F.concat(F.lit("item-"), n, F.lit(".prompt")).alias("name"),
+        F.concat(F.lit("greeting = Item "), n, F.lit("\n"), F.when(n % 3 > 0, F.concat(F.lit("prompt = '''"), "text", F.lit("'''"))).otherwise("")).alias("content"))
+    folder = scratch(spark)
+    kinds = {kind: f"{folder}/{kind}" for kind in ("task", "persona")}
+    for kind, path in kinds.items():
+        write_files(files.filter(F.col("kind") == kind), path)
+    return scan_templates(spark, kinds, ".prompt")
+
+
+def source_files(spark, sf):
+    """User turns that name a file with their text, and others that name none."""
+    turns = read_table(spark, sf, "conversations").filter("role = 'user'").select(
+        F.concat_ws("-", "conv_id", "turn").alias("query_id"), "turn", "text")
+    folder = scratch(spark)
+    write_files(turns.filter("turn % 3 > 0").select(F.concat("query_id", F.lit(".txt")).alias("name"), F.col("text").alias("content")), folder)
+    asked = turns.select("query_id", F.when(F.col("turn") % 3 > 0, F.concat(F.lit(f"{folder}/"), "query_id", F.lit(".txt"))).alias("source_file_path"))
+    return attach_source_files(asked, scan_source_files(spark, folder)).select("query_id", "source_file")
+
+
 def load_plaintext(spark, sf):
     return corpus(spark, sf).select(*I.schemas.DOCUMENTS.names, F.col("pages")[0]["content"].alias("content"))
 
@@ -587,6 +664,35 @@ def stream_prompts(spark, sf):
     return spark.read.parquet(f"{root}/answers").select("query_id", "source_count", "prompt")
 
 
+def stream_progress(spark, sf):
+    """The documents as a stream of four files, a micro-batch each, and what every batch wrote."""
+    root = scratch(spark)
+    rows = read_table(spark, sf, "documents").select(
+        F.pmod("doc_id", F.lit(4)).alias("part"), corpus_path().alias("path"), F.col("text").cast("binary").alias("content"))
+    rows.repartition("part").write.partitionBy("part").parquet(f"{root}/files")
+    stream = spark.readStream.schema("path string, content binary").option("maxFilesPerTrigger", 1).parquet(f"{root}/files/part=*")
+    collection = Collection(spark, root, COLLECTION).create()
+    start_ingest(stream, collection, [files_source.text_loader()], f"{root}/_checkpoint", ingest_date=INGEST_DATE).awaitTermination()
+    return collection.progress().select("documents", "pages", "chunks", "rejected")
+
+
+def strip_html_query(spark, sf):
+    """Text of the stored pages."""
+    return stored_pages(spark, sf).select("url", strip_html("html").alias("text"))
+
+
+def rag_answers_resumed(spark, sf):
+    """A first job answers the even inputs, a second one all; prompts answered before are not sent again."""
+
+    def make_client(status):
+        return lambda: lambda prompt: (200, f"{len(prompt)} characters in job {status}")
+
+    store = f"{scratch(spark)}/answers"
+    prompts = written(S.rag_prompts(requests(spark, sf), retrieved(spark, sf), templates(spark), COLLECTION))
+    S.answers(prompts.filter("query_id % 2 = 0"), make_client(1), store=store).count()
+    return S.answers(prompts, make_client(2), store=store).select("query_id", "status", "response")
+
+
 def rag_answers(spark, sf):
     """Prompts sent to a stand-in generator that refuses long ones."""
 
@@ -648,6 +754,15 @@ QUERIES = {
     "list_documents_page": list_documents_page,
     "ingest_duplicates": ingest_duplicates,
     "drop_collection": drop_collection,
+    "stream_progress": stream_progress,
+    "strip_html": strip_html_query,
+    "rag_answers_resumed": rag_answers_resumed,
+    "scan_folder": scan_folder_query,
+    "paged_scan": paged_scan,
+    "zero_page_documents": zero_page_documents,
+    "display_names": display_names,
+    "template_files": template_files,
+    "source_files": source_files,
     "list_collections": list_collections_query,
     "batch_replace": batch_replace,
     "rejected_files": rejected_files,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from passagework.config import MIN_SCORE, NO_SOURCES_MESSAGE, REFERENCE_LIMIT, written
 from passagework.functions.citations import page_link
 from passagework.functions.embedding import add_vectors
-from passagework.operators.generate import generate
+from passagework.operators.generate import generate, generate_once
 from passagework.operators.prompts import attach_templates, prepare_prompt
 from passagework.operators.retrieval import hits_with_documents, hits_with_pages, retrieval_sources
 from passagework.operators.vector_search import top_k_similar
@@ -94,7 +94,11 @@ def rag_prompts(
     )
 
 
-def answers(prompts: DataFrame, make_client, concurrency: int = 4) -> DataFrame:
-    """Citations followed by the generated response, where there is a prompt."""
-    done = generate(prompts, make_client, concurrency=concurrency)
+def answers(prompts: DataFrame, make_client, concurrency: int = 4, store: str | None = None) -> DataFrame:
+    """Citations followed by the generated response, where there is a prompt. With the folder ``store``
+    responses are kept there, and no prompt is sent twice."""
+    if store is None:
+        done = generate(prompts, make_client, concurrency=concurrency)
+    else:
+        done = generate_once(prompts, make_client, store, concurrency=concurrency)
     return done.withColumn("answer", F.concat("answer", F.coalesce("response", F.lit(""))))

@@ -103,8 +103,8 @@ def pdf_loader(read_pages: Callable[[bytes], list[str]]) -> Loader:
 def scan_files(spark: SparkSession, *paths: str, include_empty: bool = False) -> DataFrame:
     """(path, content) of the files directly inside each folder, or of the files themselves.
 
-    Spark's file index skips files of zero bytes and names that start with "." or "_".
-    ``include_empty`` lists the folders once more on the driver to add the former.
+    Spark's file index skips files of zero bytes and names that start with "." or "_"; ``scan_folder``
+    has them all. ``include_empty`` lists the folders once more on the driver to add the former.
     """
     files = spark.read.format("binaryFile").load(list(paths)).select(local_path(F.col("path")).alias("path"), "content")
     if not include_empty:
@@ -181,8 +181,13 @@ def loaded(parsed: DataFrame) -> DataFrame:
 
 def rejected(parsed: DataFrame) -> DataFrame:
     """(source, reason) of the files that no loader took."""
-    reason = F.when(F.col("failed") == "", "no loader takes such a file").otherwise(F.concat(F.lit("cannot be read as "), "failed"))
-    return parsed.filter(F.col("type").isNull()).select("source", reason.alias("reason"))
+    return parsed.filter(F.col("type").isNull()).select("source", reason_of("failed"))
+
+
+def reason_of(failed: str) -> Column:
+    """Why a file was refused: what could not read it, and what that said if it is known."""
+    return F.when(F.col(failed) == "", "no loader takes such a file").otherwise(
+        F.concat(F.lit("cannot be read as "), failed)).alias("reason")
 
 
 def current_millis() -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,30 +74,43 @@ def crawl(stored: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     """(root, url, depth): stored pages reachable from each root by links that stay under it.
     Rounds go on until one finds nothing new, or up to ``max_depth`` if the caller sets it.
 
-    A breadth-first frontier: each round joins the pages found last to the edges, keeps targets
-    that start with the root, and anti-joins what was seen. The pages a round finds are written
-    to the checkpoint folder; what was seen is the union of these, so no round is computed twice.
+    A breadth-first frontier. Edges are written once as a table bucketed by URL, visited pages as one bucketed by root and
+    URL to which every round adds, so a round shuffles its frontier and what that leads to, never edges or visited pages.
     """
     spark = stored.sparkSession
-    ensure_checkpoint_dir(spark)
+    folder = f"{ensure_checkpoint_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges, seen = (f"crawl_{kind}_{uuid.uuid4().hex}" for kind in ("edges", "seen"))
     known = stored.select("url")
-    edges = page_links(stored).join(known.withColumnRenamed("url", "target"), "target", "left_semi").checkpoint()
-    frontier = (
-        roots.select(F.col("url").alias("root")).distinct()
-        .join(known.withColumnRenamed("url", "root"), "root", "left_semi")
-        .select("root", F.col("root").alias("url"), F.lit(0).alias("depth")).checkpoint()
-    )
-    seen = frontier
-    for depth in itertools.count(1) if max_depth is None else range(1, max_depth):
-        found = (
-            frontier.join(edges, "url")
-            .filter(F.col("target").startswith(F.col("root")))
-            .select("root", F.col("target").alias("url")).distinct()
-            .join(seen.select("root", "url"), ["root", "url"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        frontier = found.checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    inside = page_links(stored).join(known.withColumnRenamed("url", "target"), "target", "left_semi").select("url", "target")
+    try:
+        _add_bucketed(inside, edges, f"{folder}/edges", ["url"], n)
+        frontier = written(
+            roots.select(F.col("url").alias("root")).distinct()
+            .join(known.withColumnRenamed("url", "root"), "root", "left_semi")
+            .select("root", F.col("root").alias("url"), F.lit(0).alias("depth")))
+        _add_bucketed(frontier, seen, f"{folder}/seen", ["root", "url"], n)
+        for depth in itertools.count(1) if max_depth is None else range(1, max_depth):
+            found = written(crawl_round(frontier, spark.table(edges), spark.table(seen), n).withColumn("depth", F.lit(depth)))
+            if found.isEmpty():
+                break
+            _add_bucketed(found, seen, f"{folder}/seen", ["root", "url"], n)
+            frontier = found
+        return spark.read.schema("root string, url string, depth int").parquet(f"{folder}/seen")
+    finally:
+        # the files stay, only the names go
+        for name in (edges, seen):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def crawl_round(frontier: DataFrame, edges: DataFrame, seen: DataFrame, buckets: int) -> DataFrame:
+    """(root, url) that the frontier links to and that was not seen."""
+    led_to = frontier.join(edges, "url").filter(F.col("target").startswith(F.col("root"))).select(
+        "root", F.col("target").alias("url"))
+    return led_to.repartition(buckets, "root", "url").distinct().join(seen.select("root", "url"), ["root", "url"], "left_anti")
+
+
+def _add_bucketed(rows: DataFrame, table: str, path: str, by: list[str], buckets: int) -> None:
+    """One file per bucket and call."""
+    (rows.repartition(buckets, *by).write.mode("append").format("parquet").option("path", path)
+     .bucketBy(buckets, *by).sortBy(*by).saveAsTable(table))

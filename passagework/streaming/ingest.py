@@ -43,6 +43,7 @@ def start_ingest(
     def store(batch: DataFrame, batch_id: int) -> None:
         name = f"{stream_name}-{batch_id}"
         counts = collection.ingest_files(batch, loaders, name, collection.batch_time(name) if ingest_date is None else ingest_date)
+        collection.log_progress(stream_name, batch_id, counts)
         if on_batch is not None:
             on_batch(name, counts)
 

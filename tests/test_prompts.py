@@ -1,3 +1,6 @@
+import os
+import uuid
+
 import itertools
 
 from pyspark.sql import functions as F
@@ -111,11 +114,69 @@ def test_search_kinds_agree(spark):
         return sorted((r.query_id, r["rank"], r.doc_id, r.chunk_no, r.score) for r in S.semantic_search(q, chunks, min_score=0.6, **options).collect())
 
     exact = run()
-    assert exact and exact == run(search=top_k_similar_lsh, bits=4, radius=4)
-    assert exact == run(max_broadcast_bytes=4000)
+    assert exact and exact == run(search=top_k_similar_lsh, bits=4, recall=1)
+    assert exact == run(queries_per_line=1)
 
 
 def test_generate_calls_each_prompt_once_in_order(spark):
     df = spark.range(500).select(F.col("id"), F.when(F.col("id") % 10 != 0, F.concat(F.lit("p"), "id")).alias("prompt"))
     got = generate(df, lambda: lambda p: (200, p.upper()), rows_per_call=7).collect()
     assert all(r.response == (None if r.id % 10 == 0 else f"P{r.id}") for r in got) and len(got) == 500
+
+
+def test_answers_are_kept_and_no_prompt_is_sent_twice(spark, tmp_path):
+    from passagework.operators.generate import CLIENT_ERROR, generate_once
+
+    log, store = str(tmp_path / "log"), str(tmp_path / "store")
+    os.mkdir(log)
+
+    def client_that(fails):
+        def make():
+            def call(prompt):
+                with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(prompt)
+                if fails(prompt):
+                    raise ConnectionError("gone")
+                return (413, "long") if prompt == "p3" else (200, prompt.upper())
+
+            return call
+
+        return make
+
+    def calls():
+        return sorted(open(f"{log}/{name}").read() for name in os.listdir(log))
+
+    rows = spark.createDataFrame([(i, f"p{i % 8}") for i in range(24)] + [(99, None)], "query_id long, prompt string")
+    first = {r.query_id: (r.status, r.response) for r in generate_once(
+        rows, client_that(lambda p: p in ("p5", "p6")), store, calls_per_commit=2).collect()}
+    assert calls() == [f"p{i}" for i in range(8)] and len(first) == 25
+    assert first[0] == (200, "P0") and first[99] == (None, None) and first[3] == (413, "ollama status: 413")
+    assert first[5] == (CLIENT_ERROR, "ollama status: 599: ConnectionError: gone")
+    # the next job sends only what failed
+    again = {r.query_id: r.status for r in generate_once(rows, client_that(lambda p: False), store).collect()}
+    assert calls() == sorted([f"p{i}" for i in range(8)] + ["p3", "p5", "p6"])
+    assert again[5] == again[13] == 200 and again[3] == 413
+
+
+def test_a_job_that_fails_midway_pays_only_for_its_last_group(spark, tmp_path, monkeypatch):
+    from passagework.operators import generate as G
+
+    store, sent = str(tmp_path / "store"), []
+    real = G.generate
+
+    def failing(prompts, *args, **kw):
+        sent.append([r._prompt for r in prompts.collect()])
+        if len(sent) == 3:
+            raise RuntimeError("executor lost")
+        return real(prompts, *args, **kw)
+
+    monkeypatch.setattr(G, "generate", failing)
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "query_id long, prompt string")
+    try:
+        G.generate_once(rows, lambda: lambda p: (200, p), store, calls_per_commit=10)
+    except RuntimeError:
+        pass
+    done = {p for group in sent[:2] for p in group}
+    assert len(sent) == 3 and done
+    G.generate_once(rows, lambda: lambda p: (200, p), store, calls_per_commit=10).count()
+    assert not done & {p for group in sent[3:] for p in group}

@@ -1,7 +1,11 @@
 import os
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from passagework.config import written
 from passagework.functions import citations as C
 from passagework.functions import html as H
 from passagework.functions.paths import (
@@ -9,8 +13,10 @@ from passagework.functions.paths import (
     page_table_name,
 )
 from passagework.sources import files as S
+from passagework.sources import paged as P
+from passagework.sources.folders import FolderReader, scan_folder, write_files
 from passagework.sources.templates import attach_source_files, scan_source_files, scan_templates
-from passagework.sources.web import crawl, load_web, page_links, url_list
+from passagework.sources.web import _add_bucketed, crawl, crawl_round, load_web, page_links, url_list
 
 DATE = 1_700_000_000_000
 
@@ -233,3 +239,179 @@ def test_a_crawl_ends_where_nothing_new_is_found(spark):
     stored = spark.createDataFrame([("http://s.ex/", '<a href="/0">in</a>'), *rows], "url string, html string")
     found = crawl(stored, spark.createDataFrame([("http://s.ex/",)], "url string"))
     assert found.count() == 7 and found.agg({"depth": "max"}).first()[0] == 6
+
+
+def test_a_long_chain_is_crawled_to_its_end(spark):
+    rows = [(f"http://s.ex/{i}", f'<a href="/{i + 1}">next</a>') for i in range(54)]
+    stored = spark.createDataFrame(rows, "url string, html string").coalesce(1)
+    found = crawl(stored, spark.createDataFrame([("http://s.ex/0",), ("http://s.ex/",)], "url string"))
+    assert found.count() == 1
+    chain = spark.createDataFrame([(u.replace("ex/", "ex/0/"), h.replace('"/', '"/0/')) for u, h in rows], "url string, html string")
+    chain = chain.unionByName(spark.createDataFrame([("http://s.ex/0/", '<a href="0">in</a>')], "url string, html string"))
+    found = crawl(chain.coalesce(1), spark.createDataFrame([("http://s.ex/0/",)], "url string"))
+    assert found.count() == 55 and found.agg({"depth": "max"}).first()[0] == 54
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("crawl_")]
+
+
+def test_a_round_shuffles_neither_edges_nor_visited_pages(spark, tmp_path):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    edges = spark.range(500).select(F.concat(F.lit("r/"), "id").alias("url"), F.concat(F.lit("r/"), F.col("id") * 2).alias("target"))
+    seen = spark.range(100).select(F.lit("r").alias("root"), F.concat(F.lit("r/"), "id").alias("url"), F.lit(0).alias("depth"))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        _add_bucketed(edges, "round_edges", str(tmp_path / "e"), ["url"], 8)
+        for _ in range(2):
+            _add_bucketed(seen, "round_seen", str(tmp_path / "s"), ["root", "url"], 8)
+        found = crawl_round(written(seen.limit(90)), spark.table("round_edges"), spark.table("round_seen"), 8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        depth = {i: len(x) - len(x.lstrip(" +:-")) for i, x in enumerate(lines)}
+        for i, line in enumerate(lines):
+            if "spark_catalog.default.round_" in line:
+                above, at = [], depth[i]
+                for j in range(i - 1, -1, -1):
+                    if depth[j] < at:
+                        above.append(lines[j].strip(" +:-"))
+                        at = depth[j]
+                joined = next(k for k, x in enumerate(above) if "Join" in x)
+                assert not any(x.startswith("Exchange") for x in above[:joined]), plan
+        assert {r.url for r in found.collect()} == {f"r/{2 * i}" for i in range(90)} - {f"r/{i}" for i in range(100)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        for t in ("round_edges", "round_seen"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_link_rules(spark):
+    html = ("<a href=tel:123><a HREF='/q'><a href=\"ftp://x/y\"><a href=HTTP://z/><a href=plain.html><A hReF = \"/a?b=1&amp;c=&#50;#top\">"
+            "<a href='mailto:x@y'><a href=' /spaced '><a href='data:text/plain,x'><a href=Script:x><a href='x.css'><a href='#here'>")
+    stored = spark.createDataFrame([("http://s.ex/d/p", html)], "url string, html string")
+    assert {r.target for r in page_links(stored).collect()} == {
+        "http://s.ex/q", "HTTP://z/", "http://s.ex/d/plain.html", "http://s.ex/a?b=1&c=2", "http://s.ex/spaced"}
+
+
+ODD_HTML = [
+    "a<b>c</b>d", "x < y && y > z", "<a title='1>2' href=\"a>b\">in</a>", "<!-- a > b --> c <!-- x -- y --> d", "<script>if (a</b>) '<p>'</script>t",
+    "<SCRIPT type=x>1</ScRiPt >u", "<style>a>b{}</style>v", "&lt;b&gt; &#65;&#x42;&eacute;&notin;&amp;amp; &amp &unknown; &#0;",
+    "<?php x ?>y", "<!DOCTYPE html>z", "</ x>1", "</>2", "a<br/>b<br />c", "<p\nclass=a\n>d", "<a b=c'd>e", "3<4", "<", "</", "a<1>b", "", "<x y='a\nb'>c",
+]
+
+
+@pytest.mark.parametrize("markup", ODD_HTML)
+def test_text_of_odd_markup_equals_the_parser(markup):
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.raw = [], None
+
+        def handle_starttag(self, tag, attrs):
+            self.raw = tag if tag in ("script", "style") else None
+
+        def handle_endtag(self, tag):
+            self.raw = None
+
+        def handle_data(self, data):
+            if self.raw is None:
+                self.out.append(data)
+
+    parser = Text()
+    parser.feed(markup)
+    parser.close()
+    assert H.text_of(markup) == "".join(parser.out)
+
+
+def test_where_the_standard_is_stricter_than_the_parser():
+    assert H.text_of("<!---->e<!-->f<!--->g") == "efg" and H.text_of("<style/>no</style>w") == "w"
+    assert H.text_of("a<title>b<c>&amp;</title>d<textarea><p></textarea>") == "ab<c>&d<p>"
+    assert H.text_of("a<b c='no end>d") == "a" and H.text_of("a<!-- no end") == "a"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="<>/!-='\"ab &;#s\n", max_size=60))
+def test_text_of_any_markup_ends_and_holds_no_whole_tag(markup):
+    text = H.text_of(markup)
+    assert len(text) <= len(markup) and "<a>" not in text and "<!--" not in text
+
+
+def test_unclosed_markup_takes_linear_time():
+    import time
+
+    start = time.time()
+    for piece in ("<a b=\"", "<!--", "<a ", "<script>", "<", "<a =' ", "&", "</"):
+        H.text_of(piece * 200_000)
+    assert time.time() - start < 20
+
+
+def test_strip_html_of_rows(spark):
+    df = spark.createDataFrame([("<p>a&nbsp;b",), (None,), ("",)], "h string")
+    assert [r.t for r in df.select(H.strip_html("h").alias("t")).collect()] == ["a\xa0b", None, ""]
+    assert df.select(H.unescape(F.lit("&copy;&#x2014;&amp;lt;")).alias("t")).first().t == "\xa9\u2014&lt;"
+
+
+def test_every_file_of_a_folder(spark, tmp_path):
+    folder = tmp_path / "in"
+    content = {".hidden": b"h", "_part": b"p", "empty.txt": b"", "a.txt": b"text", "odd name%20 é.bin": b"\x00\xff"}
+    for name, data in content.items():
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_bytes(data)
+    (folder / "sub").mkdir()
+    (folder / "sub" / "deep.txt").write_bytes(b"not read")
+    got = {r.path: bytes(r.content) for r in scan_folder(spark, str(folder)).collect()}
+    assert got == {str(folder / n): d for n, d in content.items()}
+    assert {r.path for r in scan_folder(spark, f"file://{folder}", f"file:{folder}").collect()} == set(got)
+    assert scan_folder(spark, str(folder / "sub")).count() == 1
+    (tmp_path / "none").mkdir()
+    assert scan_folder(spark, str(tmp_path / "none")).count() == 0
+    parsed = S.loaded(S.load_files(scan_folder(spark, str(folder)), LOADERS, "c", DATE))
+    assert {r.filename for r in parsed.collect()} == {".hidden", "_part", "empty.txt", "a.txt"}
+
+
+def test_files_are_dealt_by_size_and_read_in_bounded_batches(spark, tmp_path, monkeypatch):
+    from passagework.sources import folders
+
+    monkeypatch.setattr(folders, "_PARTITION_BYTES", 1000)
+    monkeypatch.setattr(folders, "_BATCH_BYTES", 250)
+    files = spark.range(40).select(F.concat(F.lit("f"), "id").alias("name"), F.repeat(F.lit("x"), 100).alias("content"))
+    assert write_files(files, str(tmp_path / "in")) == 40
+    reader = FolderReader([str(tmp_path / "in")])
+    parts = reader.partitions()
+    assert len(parts) == 4 and all(len(p.paths) == 10 for p in parts)
+    assert [b.num_rows for b in reader.read(parts[0])] == [3, 3, 3, 1]
+
+
+def test_a_book_is_read_page_by_page(spark):
+    held = []
+
+    def book(data):
+        for i in range(10_000):
+            held.append(i)
+            yield f"page {i} " * 20
+
+    files = [("/a/book.pdf", b"x"), ("/a/bad.pdf", b"plain"), ("/a/none.pdf", b"none"), ("/a/nul.bin", b"\x00")]
+
+    def pages(data):
+        if data == b"plain":
+            yield "first"
+            raise ValueError("broken on page 2")
+        if data == b"x":
+            yield from book(data)
+
+    readers = [P.PageReader("pdf", lambda path, data: path.endswith(".pdf"), pages, "application/pdf"), P.text_reader()]
+    names = ["source", "type", "media_type", "failed", "page_no", "page", "content"]
+    sizes = []
+    for rows in P.read_batches(files, readers, names, 4000, 200):
+        sizes.append(len(rows))
+        assert len(rows) <= P.ROWS_PER_BATCH
+    assert len(held) == 20_000 and sum(sizes) == 10_000 + 3
+    table = spark.createDataFrame(files, "path string, content binary")
+    got = P.scan_pages(table, readers, "c", DATE)
+    rows = {r.source: r for r in got.filter("page_no is null or page_no = 0").collect()}
+    assert rows["/a/bad.pdf"].type == "plaintext" and rows["/a/bad.pdf"].failed == "pdf: ValueError: broken on page 2"
+    assert rows["/a/bad.pdf"].content == "plain" and rows["/a/bad.pdf"].extension == ".pdf"
+    assert rows["/a/none.pdf"].page_no is None and rows["/a/none.pdf"].type == "pdf" and rows["/a/nul.bin"].type is None
+    assert got.filter("type = 'pdf' and page_no is not null").agg(F.max("page_no"), F.max("page")).first()[:] == (9999, 10_000)
+    assert P.documents_of_pages(got).count() == 3 and P.pages_of_scan(got).count() == 10_001
+    want = {r.source: r.doc_id for r in S.load_files(table, [S.text_loader()], "c", DATE).collect()}
+    assert rows["/a/bad.pdf"].doc_id == want["/a/bad.pdf"]
