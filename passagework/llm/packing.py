@@ -9,9 +9,11 @@ size of the input, and no group depends on a document, source or key.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,84 +25,103 @@ from passagework.llm.shared import Scratch, arrow_rows, file_bytes, text_slices
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 GROUP_PIECES = 32_768
-CACHED_WORDS = 600_000
+CACHED_PIECES = 600_000
 CACHED_LENGTH = 64
-# letters whose lower case and composed form are one Latin-1 letter each, then marks that no contraction starts with
-_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|]*)").fullmatch
-# characters that Python splits at, but that are not white space to the tokenizer
-_CONTROL_BREAKS = ("\x1c", "\x1d", "\x1e", "\x1f")
+# fixed value: the pre-tokens of the vocabulary that the fast path knows, in lower case
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# the same for texts of printable ASCII, white space and the letters and signs from U+00C0 to U+00FF, as Latin-1 bytes
+_FIND = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+").findall
+_KNOWN = bytes([*range(9, 14), *range(32, 127), *range(192, 256)])
+# composed letters of that range are already in normal form, and each has one lower-case letter there
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or (192 <= b <= 222 and b != 215) else b for b in range(256))
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, each distinct word of a task encoded once.
+    """Ids of whole texts by the tokenizers library, each distinct pre-token of a task encoded once.
 
-    The vocabulary's rules (composition, lower case, pre-tokens) never reach across white space, so the ids of a text
-    are those of its words in turn; a text with control characters that split words differently is encoded as a whole.
+    The vocabulary has to normalize (composition, white space, lower case), split and end its words in the one way that
+    ``_known_rules`` states; then the ids of a text are those of its pre-tokens in turn. Any other vocabulary, and any text
+    with characters beyond those of ``_KNOWN`` or with an added token, goes through the library as it is.
     """
 
     def __init__(self, raw: bytes):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
-
+        rules = json.loads(raw)
+        self.fast = _known_rules(rules)
+        self.added = [t["content"] for t in rules.get("added_tokens") or []]
+        # the same model for pre-tokens, which are normal and split already
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.cores: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [array("I", f.ids).tobytes() for f in found]
 
-    def _pieces(self, pieces: list[str]) -> None:
-        """Ids of letter runs and of punctuation runs, many in one text; each ends with the one id that ends a word."""
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Ids of pre-tokens, many in one text; each ends with the one id that ends a word."""
         for lo in range(0, len(pieces), 4096):
             some = pieces[lo:lo + 4096]
-            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            ids = np.array(ids, "<u4")
+            lines = [b" ".join(some[at:at + 64]).decode("latin-1") for at in range(0, len(some), 64)]
+            found = self.model.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(f.ids for f in found), "<u4")
             cuts = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
             raw = ids.tobytes()
-            if len(cuts) == len(some) and (not len(cuts) or cuts[-1] == len(raw)):
-                found = [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
-            else:
-                found = self._library(some)
-            self.cores.update(zip(some, found))
-
-    def _learn(self, words: list[str]) -> None:
-        """Put words into the cache. A word of Latin-1 letters and then punctuation has the ids of its lower-case letters
-        and of its punctuation; every other word goes through the library as it is."""
-        simple, other = [], []
-        for word in words:
-            m = _SIMPLE(word)
-            if m:
-                simple.append((word, m[1].lower(), m[2]))
+            if len(cuts) == len(some) and cuts[-1] == len(raw):
+                cuts = cuts.tolist()
+                self.cache.update((p, raw[a:b]) for p, a, b in zip(some, [0, *cuts], cuts))
             else:
-                other.append(word)
-        known = self.cores
-        self._pieces([p for p in {p for _, core, tail in simple for p in (core, tail)} if p and p not in known])
-        known[""] = b""
-        self.cache.update((word, known[core] + known[tail]) for word, core, tail in simple)
-        self.cache.update(zip(other, self._library(other)))
+                self.cache.update(zip(some, self._library([p.decode("latin-1") for p in some])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(c in t for c in _CONTROL_BREAKS) for t in texts]
-        parts = [t.split() if ok else [] for t, ok in zip(texts, plain)]
-        known = self.cache
-        new = set().union(*parts).difference(known)
-        if len(known) + len(new) > CACHED_WORDS:
+        fast = [self.fast and not any(token in t for token in self.added) for t in texts]
+        parts = [_pieces(t) if ok else None for t, ok in zip(texts, fast)]
+        rest = [i for i, p in enumerate(parts) if p is None]
+        out = dict(zip(rest, self._library([texts[i] for i in rest])))
+        known, split = self.cache, [p for p in parts if p is not None]
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) > CACHED_PIECES:
             known.clear()
-            self.cores.clear()
-            new = set().union(*parts)
+            new = set().union(*split)
         self._learn(list(new))
-        out = [b"".join(map(known.__getitem__, p)) if ok else self._library([t])[0]
-               for t, p, ok in zip(texts, parts, plain)]
-        for word in new:
-            if len(word) > CACHED_LENGTH:
-                del known[word]
-        return out
+        done = [out[i] if p is None else b"".join(map(known.__getitem__, p)) for i, p in enumerate(parts)]
+        for piece in new:
+            if len(piece) > CACHED_LENGTH:
+                del known[piece]
+        return done
+
+
+def _pieces(text: str) -> list[bytes] | None:
+    """Pre-tokens of a text in lower case, None if it holds other characters than the fast path knows."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if raw.translate(None, _KNOWN) else _FIND(raw.translate(_LOWER))
+
+
+def _known_rules(vocabulary: dict) -> bool:
+    """Whether a vocabulary file has the rules that the fast path builds on."""
+    normal, split, model = (vocabulary.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    white = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    steps = split.get("pretokenizers") or [{}]
+    return (
+        normal.get("normalizers") == [{"type": "NFC"}, white, {"type": "Lowercase"}]
+        and len(steps) == 2 and steps[0].get("pattern") == {"Regex": _SPLIT}
+        and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+        and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False)
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        and not any(model.get(k) for k in ("continuing_subword_prefix", "unk_token", "byte_fallback"))
+        and not [t for t in vocabulary.get("added_tokens") or [] if not t.get("special")]
+    )
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text",
