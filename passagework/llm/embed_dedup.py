@@ -1,10 +1,13 @@
-"""Near-duplicate vectors: blocked products of shards, verified cosines, united components.
+"""Near-duplicate vectors: navigable graphs per shard, audited beams, verified cosines, united components.
 
-Equal vectors of a label are one class with a number of copies, so a hot group of copies is one row. The classes of a
-label are dealt into shards by the hash of their smallest id. Shards of a label meet in pairs: products in single
-precision, a block of rows at a time, compare every vector of one with every vector of the other, so no link is missed.
-Those nearer to the cosine than the error bound are verified in double precision. A task returns per vector its number of
-links and the smallest id it hangs together with there, never pairs.
+Equal vectors of a label are one class with a number of copies, so a hot group of copies is one node. The classes of a
+label are dealt into shards by the hash of their smallest id; each shard gets one graph. The shards of a label meet in the
+cells of a grid: the vectors of one are searched in the graph of the other and the other way round. A beam that is full of
+links doubles. A hashed part of the queries is audited against all vectors of the shard, and beams widen until the audit
+finds every link; where it still fails at the widest beam, its failing queries are compared with the shard exactly, and so
+are all that link with what these link with. Shards of up to 256 vectors are compared at once. What was found is verified in
+double precision. A task returns per vector its number of links and the smallest id it hangs together with there, never
+pairs.
 """
 
 from __future__ import annotations
@@ -14,12 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.neighbors import dealt, matrix, one_per_id, usable
-from passagework.llm.shared import Scratch, arrow_rows, components
+from passagework.llm import hnsw
+from passagework.llm.neighbors import dealt, matrix, number_of_shards, one_per_id, usable
+from passagework.llm.products import dealt_to_cells
+from passagework.llm.shared import Scratch, arrow_rows, components, mix
+from passagework.operators import grid
 
 MIN_COSINE = 0.93
-SHARD_ROWS = 8192
-_ROWS_AT_ONCE = 256
+SHARD_ROWS = 4096
+FIRST_BEAM = 32
+WIDEST_BEAM = 512
+AUDIT_ONE_IN = 8
+HELD_SHARDS = 4
+# a shard of so few vectors needs no graph to be searched in
+_SMALL = 256
+_SLACK = 1e-5
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -29,7 +41,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     A null label, or a vector that is null, empty, zero or holds a null or non-finite component, links with nothing;
     vectors of different length never link. Repeated ids count once (the smallest row), null ids are left out, other
-    columns are ignored, an empty table gives no rows.
+    columns are ignored, an empty table gives no rows. Directions are taken after scaling, so components of any finite size
+    count.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = one_per_id(vectors, id_col, [label_col, vector_col]).select(
@@ -57,81 +70,132 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
 
 def _shards(classes: DataFrame, shard_rows: int) -> DataFrame:
-    """A row per label, length and shard: ids, copies and vectors."""
-    rows = classes.withColumnRenamed("_rep", "_id")
-    key = F.xxhash64("_label", "_dim").alias("_key")
-    rows = dealt(rows.select("_id", "_copies", "_vector", "_dim", F.col("_label").cast("string").alias("_label")),
-                 ["_label", "_dim"], shard_rows).select("*", key)
+    """A row per label, length and shard: ids, copies, directions and their graph. Each shard is built in its own task."""
+    key = ["_label", "_dim"]
+    rows = classes.withColumnRenamed("_rep", "_id").select(
+        "_id", "_copies", "_vector", "_dim", F.col("_label").cast("string").alias("_label"))
+    rows = dealt(rows, key, shard_rows).repartition(number_of_shards(rows, key, shard_rows), *key, "_shard")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("_id")
         ids, values = table.column("_id").to_numpy(), matrix(table.column("_vector"), table.column("_dim")[0].as_py())
-        one = {c: table.column(c)[:1].combine_chunks() for c in ("_label", "_dim", "_shard", "_shards")}
+        unit = directions(values)
+        one = {c: table.column(c)[:1].combine_chunks() for c in ("_label", "_dim", "_shard")}
         return pa.table({**one, "_ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
                          "_copies": pa.array([table.column("_copies").to_numpy().astype("<i8").tobytes()], pa.binary()),
-                         "_values": pa.array([values.astype("<f8").tobytes()], pa.binary())})
+                         "_unit": pa.array([unit.astype("<f8").tobytes()], pa.binary()),
+                         "_graph": pa.array([shard_graph(unit, ids).to_bytes()], pa.binary())})
+
+    return rows.groupBy(*key, "_shard").applyInArrow(
+        run, "_label string, _dim int, _shard int, _ids binary, _copies binary, _unit binary, _graph binary")
+
+
+def directions(values: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision, scaled first so that no square overflows or vanishes."""
+    values = values.astype(np.float64)
+    values = np.ldexp(values, -np.frexp(np.abs(values).max(1))[1][:, None])
+    return values / np.linalg.norm(values, axis=1)[:, None]
+
+
+def shard_graph(unit: np.ndarray, ids: np.ndarray) -> hnsw.Graph:
+    """The graph of a shard, its lowest level connected: from every part that hangs together a node is linked both ways
+    with the nearest one outside, until there is one part."""
+    graph = hnsw.build(unit.astype(np.float32), ids)
+    if len(unit) <= _SMALL:
+        return graph
+    while True:
+        part = parts(graph.levels[0])
+        roots, sizes = np.unique(part, return_counts=True)
+        if len(roots) == 1:
+            return graph
+        bridges = np.full((len(part), 1), -1, np.int32)
+        for root in roots[np.argsort(sizes)][:-1].tolist():
+            outside = np.flatnonzero((part != root) & (bridges[:, 0] < 0))
+            if bridges[root, 0] >= 0 or not len(outside):
+                continue
+            near = outside[np.argmax(graph.vectors[outside] @ graph.vectors[root])]
+            bridges[root, 0], bridges[near, 0] = near, root
+        graph.levels[0] = np.hstack([graph.levels[0], bridges])
+
 
-    return rows.drop("_key").groupBy("_label", "_dim", "_shard").applyInArrow(
-        run, "_label string, _dim int, _shard int, _shards int, _ids binary, _copies binary, _values binary")
+def parts(lists: np.ndarray) -> np.ndarray:
+    """Smallest node that each node hangs together with, links taken both ways."""
+    n = len(lists)
+    a = np.repeat(np.arange(n), lists.shape[1])
+    b = lists.ravel()
+    a, b = a[b >= 0], b[b >= 0]
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, new[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
 
 
 def _links(index: DataFrame, min_cosine: float) -> DataFrame:
     """``(node, n, root)``: links of a vector in one pair of shards and the smallest id it hangs together with there."""
     key = ["_label", "_dim"]
-    pairs = index.groupBy(*key).agg(F.max("_shards").alias("_n")).select(
-        *key, F.col("_n"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_a"))
-    pairs = pairs.select(*key, "_a", F.explode(F.sequence("_a", F.col("_n") - 1)).alias("_b"))
-    parts = ["_ids", "_copies", "_values"]
+    blocks = grid.packed(index.select(*key, "_shard", F.col("_shard").alias("number"), F.col("_dim").alias("dim"),
+                                      "_ids", "_copies", "_unit", "_graph"), [*key, "_shard"], 1)
+    held = blocks.withColumn("_line", F.expr(f"_shard div {HELD_SHARDS}").cast("int")).drop("_shard")
+    streamed = blocks.withColumn("_place", F.col("_shard")).withColumn("at", F.col("_shard")).drop("_shard")
+    held, streamed, tasks = dealt_to_cells(held, streamed, key)
+    return grid.meet(held, streamed, lambda shards: Meeting(shards, min_cosine), "node long, n long, root long", tasks=tasks)
 
-    def side(name):
-        return index.select(*key, F.col("_shard").alias(f"_{name}"), *[F.col(p).alias(f"{p}_{name}") for p in parts])
 
-    met = pairs.join(side("a"), [*key, "_a"]).join(side("b"), [*key, "_b"])
-    met = met.select("_dim", F.expr("_a = _b").alias("_same"), *[f"{p}_{n}" for n in "ab" for p in parts])
+class Meeting:
+    """Shards held in a cell; each meets the streamed ones of the same or a higher number."""
 
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                cells = [batch.column(c)[row] for c in range(batch.num_columns)]
-                a, b = (_Shard(cells[0].as_py(), [c.as_buffer() for c in cells[i:i + 3]]) for i in (2, 5))
-                node, n, root = link_shards(a, None if cells[1].as_py() else b, min_cosine)
-                yield arrow_rows(["node", "n", "root"], [pa.array(node), pa.array(n), pa.array(root)])
+    def __init__(self, blocks: list[pa.RecordBatch], min_cosine: float):
+        self.held, self.min_cosine = [Shard.of(b) for b in blocks], min_cosine
 
-    return met.mapInArrow(run, "node long, n long, root long")
+    def add(self, block: pa.RecordBatch):
+        other = Shard.of(block)
+        for shard in self.held:
+            if shard.number <= other.number:
+                found = link_shards(shard, None if shard.number == other.number else other, self.min_cosine)
+                yield arrow_rows(["node", "n", "root"], [pa.array(c) for c in found])
 
+    def finish(self):
+        return None
 
-class _Shard:
-    def __init__(self, dim, buffers):
-        self.ids, self.copies = (np.frombuffer(b, "<i8") for b in buffers[:2])
-        self.values = np.frombuffer(buffers[2], "<f8").reshape(-1, dim)
-        self.norms = np.linalg.norm(self.values, axis=1)
-        unit = self.values / np.abs(self.values).max(1)[:, None]
-        self.unit = (unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.float32)
 
+class Shard:
+    def __init__(self, ids, copies, unit, graph, number=0):
+        self.ids, self.copies, self.unit, self.graph, self.number = ids, copies, unit, graph, number
+        # pairs that were compared, for tests
+        self.compared = 0
 
-def link_shards(a, b, min_cosine: float):
+    @staticmethod
+    def of(block: pa.RecordBatch) -> Shard:
+        ids, copies = (np.frombuffer(block.column(c)[0].as_buffer(), "<i8") for c in ("_ids", "_copies"))
+        unit = np.frombuffer(block.column("_unit")[0].as_buffer(), "<f8").reshape(-1, block.column("dim")[0].as_py())
+        graph = hnsw.Graph.from_bytes(block.column("_graph")[0].as_buffer().to_pybytes())
+        return Shard(ids, copies, unit, graph, block.column("number")[0].as_py())
+
+
+def link_shards(a: Shard, b: Shard | None, min_cosine: float):
     """Links between two shards, or inside ``a`` if ``b`` is None: ids, links in copies, and smallest connected id."""
     inside = b is None
     b = a if inside else b
+    linked = found_links(b, a, min_cosine)
+    linked |= (linked if inside else found_links(a, b, min_cosine)).T
+    if inside:
+        np.fill_diagonal(linked, False)
     n_a, n_b = len(a.ids), len(b.ids)
     label = np.arange(n_a if inside else n_a + n_b)
     shift = 0 if inside else n_a
     count_a, count_b = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
-    # bound of the product of two rounded unit vectors
-    slack = (a.values.shape[1] + 8) * float(np.finfo(np.float32).eps)
-    for lo in range(0, n_a, _ROWS_AT_ONCE):
-        near = a.unit[lo:lo + _ROWS_AT_ONCE] @ b.unit.T
-        if inside:
-            near[np.arange(len(near)), lo + np.arange(len(near))] = -2
-        r, c = np.nonzero(near >= min_cosine - slack)
+    for lo in range(0, n_a, 256):
+        r, c = np.nonzero(linked[lo:lo + 256])
         if not len(r):
             continue
-        enough = near[r, c] > min_cosine + slack
-        open_ = np.flatnonzero(~enough)
-        for at in range(0, len(open_), 65_536):
-            some = open_[at:at + 65_536]
-            x, y = lo + r[some], c[some]
-            enough[some] = np.einsum("ij,ij->i", a.values[x], b.values[y]) / (a.norms[x] * b.norms[y]) >= min_cosine
+        cosines = np.concatenate([np.einsum("ij,ij->i", a.unit[lo + r[at:at + 65_536]], b.unit[c[at:at + 65_536]])
+                                  for at in range(0, len(r), 65_536)])
+        enough = cosines >= min_cosine
         r, c = lo + r[enough], c[enough]
         np.add.at(count_a, r, b.copies[c])
         np.add.at(count_b, c, a.copies[r])
@@ -146,3 +210,59 @@ def link_shards(a, b, min_cosine: float):
     np.minimum.at(lowest, label, ids)
     hit = count > 0
     return ids[hit], count[hit], lowest[label][hit]
+
+
+def found_links(shard: Shard, asking: Shard, min_cosine: float) -> np.ndarray:
+    """Matrix of the vectors of ``asking`` and the nodes of ``shard`` within the cosine, as beams and audits find them."""
+    graph, queries = shard.graph, asking.graph.vectors
+    n = len(graph.vectors)
+    limit = np.float32(2 - 2 * min_cosine + _SLACK)
+    linked = np.zeros((len(queries), n), bool)
+    everyone = np.arange(len(queries))
+    if n <= _SMALL:
+        _compare(shard, queries, everyone, linked, limit)
+        return linked
+    audited = np.flatnonzero(mix(asking.ids.astype(np.int64).view(np.uint64)) % np.uint64(AUDIT_ONE_IN) == 0)
+    exact = np.zeros((len(audited), n), bool)
+    _compare(shard, queries[audited], np.arange(len(audited)), exact, limit - np.float32(2 * _SLACK))
+    beam = FIRST_BEAM
+    while True:
+        rows, width = everyone, beam
+        while len(rows) and width <= n:
+            full = []
+            step = max(1, (1 << 20) // width)
+            for lo in range(0, len(rows), step):
+                some = rows[lo:lo + step]
+                ids, dist = hnsw.search(graph, queries[some], width)
+                shard.compared += ids.size
+                within = (dist <= limit) & (ids >= 0)
+                r, c = np.nonzero(within)
+                linked[some[r], ids[r, c]] = True
+                full.append(some[within[:, -1]])
+            rows, width = np.concatenate(full), 2 * width
+        # beams as wide as the shard that are full of links: such a vector is compared with all
+        _compare(shard, queries, rows, linked, limit)
+        missed = (exact & ~linked[audited]).any(1)
+        if not missed.any():
+            return linked
+        if 4 * beam > min(n, WIDEST_BEAM):
+            break
+        beam *= 4
+    # the audit still fails: its queries, and those that the failing ones are near to, are compared with the whole shard
+    linked[audited] |= exact
+    wrong = audited[missed]
+    near = np.zeros(len(queries), bool)
+    reached = linked[wrong].any(0)
+    for lo in range(0, len(queries), 1024):
+        near[lo:lo + 1024] = linked[lo:lo + 1024][:, reached].any(1)
+    near[wrong] = True
+    _compare(shard, queries, np.flatnonzero(near), linked, limit)
+    return linked
+
+
+def _compare(shard: Shard, queries: np.ndarray, rows: np.ndarray, linked: np.ndarray, limit) -> None:
+    """Compare some queries with every vector of a shard, a block at a time."""
+    for lo in range(0, len(rows), 256):
+        some = rows[lo:lo + 256]
+        shard.compared += len(some) * len(shard.graph.vectors)
+        linked[some] |= 2 - 2 * (queries[some] @ shard.graph.vectors.T) <= limit

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from passagework.llm import embed_dedup as E
 from passagework.llm import hnsw
 from passagework.llm.embed_dedup import near_duplicates
 from passagework.llm.neighbors import nearest
@@ -145,3 +146,53 @@ def test_pipeline_on_empty_and_null_rows(spark):
             n = stage(spark, rows, "/root/testdata/sf0.01").count()
             assert n == rows.count()
         assert corpus_pipeline.good_documents(spark, rows, "/root/testdata/sf0.01").count() <= rows.count()
+
+
+@pytest.mark.parametrize("size", [1e25, 1e-25, 1e200, 1e-200])
+def test_components_of_any_size(spark, size):
+    random = np.random.default_rng(9)
+    x = random.normal(size=(60, 8)) * size
+    x[30:] = x[:30] * 1.5 + 1e-3 * size * random.normal(size=(30, 8))
+    kind = "float" if 1e-38 < size < 1e38 else "double"
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>, label int")
+    x = np.array(table.toPandas().embedding.tolist(), np.float64)
+    got = nearest(table, table.filter("vec_id < 5"), k=10).toPandas()
+    unit = x / size
+    for q in range(5):
+        d = np.linalg.norm(unit - unit[q], axis=1)
+        d[q] = np.inf
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == np.lexsort((np.arange(60), d))[:10].tolist()
+        assert np.allclose(mine.score / size, np.sort(d)[:10])
+    links, low = _exact(np.arange(60), unit, np.ones(60))
+    assert links.sum() > 0
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(table).collect()} == {
+        i: (links[i], low[i]) for i in range(60)}
+
+
+def test_beams_and_audits_compare_far_fewer_pairs_than_all():
+    random = np.random.default_rng(10)
+    n, size, dim = 20_000, 4096, 24
+    centers = random.normal(size=(n // 4, dim))
+    x = np.repeat(centers, 4, axis=0) + 0.1 * random.normal(size=(n, dim))
+    x = x[random.permutation(n)]
+    unit = E.directions(x)
+    shards = []
+    for lo in range(0, n, size):
+        part, ids = unit[lo:lo + size], np.arange(lo, min(n, lo + size))
+        shards.append(E.Shard(ids, np.ones(len(ids), np.int64), part, E.shard_graph(part, ids)))
+    found = np.zeros(n, np.int64)
+    for i, a in enumerate(shards):
+        for j, b in enumerate(shards[i:], i):
+            ids, count, _ = E.link_shards(a, None if i == j else b, 0.93)
+            np.add.at(found, ids, count)
+    want = np.concatenate([(unit[lo:lo + 1000] @ unit.T >= 0.93).sum(1) - 1 for lo in range(0, n, 1000)])
+    assert want.sum() > n and (found == want).mean() > 0.999 and (found <= want).all()
+    assert sum(s.compared for s in shards) < n * n / 4
+
+
+def test_a_graph_is_one_part():
+    random = np.random.default_rng(11)
+    unit = E.directions(np.repeat(random.normal(size=(8, 16)), 100, axis=0) + 1e-4 * random.normal(size=(800, 16)))
+    graph = E.shard_graph(unit, np.arange(800))
+    assert len(np.unique(E.parts(graph.levels[0]))) == 1
