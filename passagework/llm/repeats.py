@@ -1,9 +1,9 @@
 """Substring dedup by repeated-phrase automata.
 
 1. Every window of words names its smallest 5-word hash (its minimizer), so equal windows of two documents name the same
-   one. Minimizers that occur in more than one document are found by one aggregate over (hash, document) rows, a fifth of
-   the words; a bitmap of fixed size keeps them for the next scan. That scan does the same with the hashes of the windows
-   that name them. A wrong bit only costs work.
+   one. Tasks note minimizers in two bitmaps of fixed size, met in one text and met in two; merged, they tell which occur in
+   more than one document. The next scan does the same with the hashes of the windows that name such a minimizer. A wrong
+   bit only costs work.
 2. The next scan writes fragments: runs of marked windows with one minimizer, with the words they cover. Fragments are
    dealt by that minimizer; equal fragments are one row with the first and last document that hold them.
 3. Each shard of fragments confirms the windows that occur in two documents, joins those that always occur in one row to
@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import ahocorasick
 import numpy as np
@@ -27,9 +28,9 @@ from passagework.llm.shared import Scratch, arrow_rows, column_hashes, mix, ngra
 
 WINDOW = 13
 PHRASE = 5
-BITMAP_BITS = 1 << 27
+BITMAP_BITS = 1 << 28
 SHARD_FRAGMENTS = 20_000
-_BLOCK_CELLS = 4096
+_BLOCK_BYTES = 16_384
 
 
 def _sliding(values: np.ndarray, width: int, smaller=np.minimum) -> np.ndarray:
@@ -60,49 +61,98 @@ def window_keys(hashes: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.
 
 
 def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(BITMAP_BITS - 1)
-    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    at = (hashes & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return Seen._of(bitmap, at)
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def recurring_bitmap(rows: DataFrame, window: int, marked: np.ndarray | None = None) -> np.ndarray:
-    """Bits of the minimizers that more than one document holds, or of the windows whose minimizer is ``marked``. Its size
-    is fixed, whatever the input."""
+class Seen:
+    """Bits of the hashes that a task has met in one text, and of those it has met in two."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+
+    def add(self, hashes: np.ndarray, owner: np.ndarray) -> None:
+        """Hashes of a slice of whole texts, with the text of each."""
+        at = (hashes & np.uint64(self.bits - 1)).astype(np.int64)
+        pairs = np.unique(at * (int(owner.max(initial=0)) + 1) + owner) // (int(owner.max(initial=0)) + 1)
+        at, texts = np.unique(pairs, return_counts=True)
+        again = at[(texts > 1) | (self._of(self.once, at))]
+        self._set(self.once, at)
+        self._set(self.twice, again)
+
+    @staticmethod
+    def _of(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    @staticmethod
+    def _set(bitmap: np.ndarray, at: np.ndarray) -> None:
+        # positions are sorted, so those of one byte are neighbours
+        if len(at):
+            byte = at >> 3
+            first = np.flatnonzero(np.diff(byte, prepend=-1))
+            bitmap[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), first)
+
+    def blocks(self):
+        """(block, packed once and twice) of the blocks that hold a bit."""
+        for lo in range(0, len(self.once), _BLOCK_BYTES):
+            once = self.once[lo:lo + _BLOCK_BYTES]
+            if once.any():
+                yield lo // _BLOCK_BYTES, zlib.compress(once.tobytes() + self.twice[lo:lo + _BLOCK_BYTES].tobytes(), 1)
+
+
+def recurring_bitmap(rows: DataFrame, window: int, marked: np.ndarray | None = None, bits: int = BITMAP_BITS) -> np.ndarray:
+    """Bits of the minimizers that more than one document holds, or of the windows whose minimizer is ``marked``.
+
+    A task keeps two bitmaps of a fixed size, met once and met twice, and sends their blocks, packed; merging blocks keeps
+    what was met twice, or once in two tasks. No row is shuffled for a hash. A bit that two hashes share only costs work.
+    """
     marked = None if marked is None else rows.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches):
-        for batch in text_slices(batches):
-            words, owner = split_words(batch.column(1))
+        seen = Seen(bits)
+        for batch in text_slices(batches, at=0):
+            words, owner = split_words(batch.column(0))
             place, low, whole = window_keys(column_hashes(words), owner, window)
             if marked is None:
                 # neighbours mostly name the same minimizer
                 keep = np.flatnonzero((np.diff(low, prepend=~low[:1]) != 0) | (np.diff(owner[place], prepend=-1) != 0))
-                found = low[keep]
+                seen.add(low[keep], owner[place[keep]])
             else:
                 keep = np.flatnonzero(_marked(marked.value, low))
-                found = whole[keep]
-            yield arrow_rows(["h", "doc"], [pa.array(found.view(np.int64)),
-                                            batch.column(0).take(pa.array(owner[place[keep]]))])
-
-    met = rows.select("doc", "text").mapInArrow(run, "h long, doc long").groupBy("h").agg(
-        F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    bit = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    cells = met.groupBy(F.shiftright(bit, 6).alias("cell")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
-
-    def pack(table: pa.Table) -> pa.Table:
-        block = np.zeros(_BLOCK_CELLS, np.uint64)
-        cell = table.column("cell").to_numpy()
-        block[cell % _BLOCK_CELLS] = table.column("bits").to_numpy().view(np.uint64)
-        return pa.table({"block": pa.array(cell[:1] // _BLOCK_CELLS), "bits": pa.array([block.tobytes()], pa.binary())})
-
-    blocks = cells.groupBy(F.expr(f"cell div {_BLOCK_CELLS}").alias("b")).applyInArrow(pack, "block long, bits binary")
-    bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
+                seen.add(whole[keep], owner[place[keep]])
+        for block, packed in seen.blocks():
+            yield arrow_rows(["block", "packed"], [pa.array([block], pa.int32()), pa.array([packed], pa.binary())])
+
+    def merge(batches):
+        block, once, twice = None, None, None
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                both = np.frombuffer(zlib.decompress(packed.as_buffer()), np.uint8)
+                own, again = both[:len(both) // 2], both[len(both) // 2:]
+                if number != block:
+                    if block is not None:
+                        yield block_row(block, twice)
+                    block, once, twice = number, own.copy(), again.copy()
+                else:
+                    twice |= again | (once & own)
+                    once |= own
+        if block is not None:
+            yield block_row(block, twice)
+
+    def block_row(block, twice):
+        return arrow_rows(["block", "packed"], [pa.array([block], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())])
+
+    met = rows.select("text").mapInArrow(run, "block int, packed binary")
+    blocks = met.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, packed binary")
+    bitmap = np.zeros(bits // 8, np.uint8)
     for row in blocks.collect():
-        bitmap[row["block"] * _BLOCK_CELLS:(row["block"] + 1) * _BLOCK_CELLS] = np.frombuffer(row["bits"], np.uint64)
+        found = np.frombuffer(zlib.decompress(row["packed"]), np.uint8)
+        bitmap[row["block"] * _BLOCK_BYTES:row["block"] * _BLOCK_BYTES + len(found)] = found
     return bitmap
 
 
@@ -212,10 +262,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     """``(doc, text_hash, starts)``: starts of windows that also start in a document with a smaller id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("text_hash")).filter("doc is not null")
-    windows = recurring_bitmap(rows, window)
-    scratch.release()
-    windows = recurring_bitmap(rows, window, windows)
-    scratch.release()
+    windows = recurring_bitmap(rows, window, recurring_bitmap(rows, window))
     found = scratch.write(fragments(rows, windows, window))
     scratch.release()
     named = [F.xxhash64("fragment").alias("f1"), F.xxhash64(F.lit("second"), "fragment").alias("f2")]
