@@ -282,6 +282,25 @@ SELECT query_id, coalesce(n, 0) AS source_count,
   CASE WHEN n > 0 THEN '{SOURCES_HEADING}' || {_NL2} || links ELSE '{NO_SOURCES}' END AS answer
 FROM query LEFT JOIN cited USING (query_id)"""
 
+_PAGED = f"""
+WITH file AS (
+  SELECT *, lang = 'fr' AND contains(text, chr(10)) AS paged,
+    '/corpus/' || source || '/' || doc_id || CASE WHEN lang = 'fr' THEN '.pdf' ELSE '.txt' END AS path FROM documents
+),
+french AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x,
+  generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM file WHERE paged),
+keyed AS (SELECT doc_id || ':' || line_no AS k, x FROM french),
+{page_ctes("part", "keyed", "k", "x").lstrip()},
+placed AS (
+  SELECT split_part(key, ':', 1)::BIGINT AS doc_id, split_part(key, ':', 2)::BIGINT AS page, part,
+         row_number() OVER (PARTITION BY split_part(key, ':', 1) ORDER BY split_part(key, ':', 2)::BIGINT, no) - 1 AS page_no
+  FROM part),
+paged_row AS (
+  SELECT path, 'pdf' AS type, page_no, page, part AS content FROM file LEFT JOIN placed USING (doc_id) WHERE paged
+  UNION ALL
+  SELECT path, 'plaintext', 0, NULL, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) FROM file WHERE NOT paged
+)"""
+
 ORACLES = {
     "collection_listing": f"""WITH {_LISTING_BASE}
 SELECT doc_id, index, source, page_count, vector_count FROM counted WHERE doc_id NOT IN ({_keys('toxic')})""",
@@ -303,22 +322,20 @@ JOIN (SELECT split_part(key, '/', 1) AS doc_id, count(*) AS n FROM web_chunk GRO
 SELECT CASE doc_id % 7 WHEN 1 THEN '.' WHEN 2 THEN '_' ELSE '' END || doc_id || '.txt' AS name,
   CASE WHEN doc_id % 10 = 0 THEN 0 ELSE octet_length(encode(text)) END AS bytes,
   sha256(CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END) AS content_sha256 FROM documents""",
-    "paged_scan": f"""
-WITH file AS (
-  SELECT *, lang = 'fr' AND contains(text, chr(10)) AS paged,
-    '/corpus/' || source || '/' || doc_id || CASE WHEN lang = 'fr' THEN '.pdf' ELSE '.txt' END AS path FROM documents
-),
-french AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x,
-  generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM file WHERE paged),
-keyed AS (SELECT doc_id || ':' || line_no AS k, x FROM french),
-{page_ctes("part", "keyed", "k", "x").lstrip()},
-placed AS (
-  SELECT split_part(key, ':', 1)::BIGINT AS doc_id, split_part(key, ':', 2)::BIGINT AS page, part,
-         row_number() OVER (PARTITION BY split_part(key, ':', 1) ORDER BY split_part(key, ':', 2)::BIGINT, no) - 1 AS page_no
-  FROM part)
-SELECT path AS source, 'pdf' AS type, page_no, page, part AS content FROM file LEFT JOIN placed USING (doc_id) WHERE paged
-UNION ALL
-SELECT path, 'plaintext', 0, NULL, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) FROM file WHERE NOT paged""",
+    "paged_scan": f"""{_PAGED}
+SELECT path AS source, type, page_no, page, content FROM paged_row""",
+    "page_citations": f"""{_PAGED},
+known AS (SELECT *, {stable_id("'corpus'", "type", "path", DATE)} AS id, regexp_extract(path, '([^/]+)$', 1) AS fname,
+            length(path) % 5 = 0 AS feed FROM paged_row WHERE page_no IS NOT NULL)
+SELECT path AS source, page_no,
+  CASE WHEN feed THEN 'feed type document from ' || path
+    WHEN type = 'pdf' THEN 'PDF File: [page ' || page || ' of ' || fname || '](</files/corpus/pdf/' || id || '#page=' || page || '>){{target="_blank"}}'
+    ELSE regexp_extract(fname, '([.][a-z]+)$', 1) || ' file [' || fname || '](</files/corpus/plaintext/' || id || '>){{target="_blank"}}' END AS link,
+  CASE WHEN feed THEN 'feed type document from ' || path
+    WHEN type = 'pdf' THEN 'PDF File: [' || fname || '](</files/corpus/pdf/' || id || '>){{target="_blank"}}'
+    ELSE regexp_extract(fname, '([.][a-z]+)$', 1) || ' file [' || fname || '](</files/corpus/plaintext/' || id || '>){{target="_blank"}}' END AS document,
+  CASE WHEN type = 'pdf' AND NOT feed THEN '   PDF File: page ' || page || ' of ' || path END AS plain
+FROM known""",
     "zero_page_documents": """
 SELECT '/corpus/' || source || '/' || doc_id || '.scan' AS source, 0::BIGINT AS page_count, 0::BIGINT AS vector_count
 FROM documents WHERE lang = 'es'""",

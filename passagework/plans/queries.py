@@ -195,7 +195,7 @@ def scan_folder_query(spark, sf):
         base_name(F.col("path")).alias("name"), F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("content_sha256"))
 
 
-def paged_scan(spark, sf):
+def scanned_pages(spark, sf) -> DataFrame:
     """French files are offered to a reader first that yields their pages one by one and fails without a page break."""
 
     def read_pages(data: bytes):
@@ -210,7 +210,24 @@ def paged_scan(spark, sf):
         F.when(french, F.regexp_replace(corpus_path(), "[.]txt$", ".pdf")).otherwise(corpus_path()).alias("path"),
         F.when(french, F.replace("text", F.lit("\n"), F.lit("\f"))).otherwise(F.col("text")).cast("binary").alias("content"))
     readers = [paged.PageReader("pdf", lambda path, data: path.endswith(".pdf"), read_pages, "application/pdf"), paged.text_reader()]
-    return paged.scan_pages(files, readers, COLLECTION, INGEST_DATE).select("source", "type", "page_no", "page", "content")
+    return paged.scan_pages(files, readers, COLLECTION, INGEST_DATE)
+
+
+def paged_scan(spark, sf):
+    return scanned_pages(spark, sf).select("source", "type", "page_no", "page", "content")
+
+
+def page_citations(spark, sf):
+    """Citations of PDF pages and of text files; documents with paths of some lengths
+    have a type without a format and no file name."""
+    scanned = scanned_pages(spark, sf)
+    feed = F.length("source") % 5 == 0
+    documents = paged.documents_of_pages(scanned).withColumns({
+        "type": F.when(feed, "feed").otherwise(F.col("type")), "filename": F.when(~feed, F.col("filename"))})
+    pages = paged.pages_of_scan(scanned).select("doc_id", "page_no", F.struct("page", "source").alias("p"))
+    return pages.join(documents, "doc_id").select(
+        "source", "page_no", C.page_link(F.lit(COLLECTION), F.col, lambda f: F.col(f"p.{f}")).alias("link"),
+        C.doc_link(F.lit(COLLECTION), F.col).alias("document"), C.plain_page_citation(F.col, lambda f: F.col(f"p.{f}")).alias("plain"))
 
 
 def zero_page_documents(spark, sf):
@@ -652,12 +669,15 @@ def stream_ingest(spark, sf):
 
 
 def stream_prompts(spark, sf):
-    """User inputs as a stream against a stored collection."""
+    """User inputs as a stream of three files, a micro-batch each, against the vectors of a stored collection."""
     root = scratch(spark)
+    third = F.pmod("item_id", F.lit(3)).alias("part")
+    read_table(spark, sf, "benchmark").select("*", third).repartition("part").write.partitionBy("part").parquet(f"{root}/asked")
     collection = Collection(spark, root, COLLECTION).create()
     collection.ingest_files(corpus_files(spark, sf), [files_source.text_loader()], "files", INGEST_DATE)
     schema = read_table(spark, sf, "benchmark").schema
-    asked = with_requests(spark.readStream.schema(schema).parquet(f"{sf}/benchmark*.parquet").select(
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/asked/part=*")
+    asked = with_requests(stream.select(
         F.col("item_id").alias("query_id"), F.col("text").alias("user_input")))
     query = start_prompts(asked, collection, templates(spark), f"{root}/answers", f"{root}/_checkpoint")
     query.awaitTermination()
@@ -759,6 +779,7 @@ QUERIES = {
     "rag_answers_resumed": rag_answers_resumed,
     "scan_folder": scan_folder_query,
     "paged_scan": paged_scan,
+    "page_citations": page_citations,
     "zero_page_documents": zero_page_documents,
     "display_names": display_names,
     "template_files": template_files,
