@@ -225,8 +225,11 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     def locate(batches):
         yield from _locate(batches, window)
 
-    located = distinct.select("*", *named).repartition(shards, "route").mapInArrow(
-        locate, "f1 long, f2 long, offsets array<long>, earliest array<long>")
+    # written before the join, so that the shuffles of distinct fragments and of places never lie on disk together
+    located = scratch.write(distinct.select("*", *named).repartition(shards, "route").mapInArrow(
+        locate, "f1 long, f2 long, offsets array<long>, earliest array<long>"))
+    del distinct
+    scratch.release()
     # one place of a fragment has all its windows, so it is enough to join by the fragment
     held = found.select("doc", "text_hash", "start", *named).join(located, ["f1", "f2"])
     earlier = F.filter(F.arrays_zip("offsets", "earliest"), lambda o: o["earliest"] < F.col("doc"))
@@ -234,7 +237,8 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     repeated = scratch.write(held.select("doc", "text_hash", starts.alias("starts")).filter(F.size("starts") > 0)
                              .groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts")))
     scratch.drop(found)
-    del distinct, located, held
+    scratch.drop(located)
+    del located, held
     scratch.release()
     return repeated
 
