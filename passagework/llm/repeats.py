@@ -29,6 +29,7 @@ WINDOW = 13
 PHRASE = 5
 BITMAP_BITS = 1 << 27
 SHARD_FRAGMENTS = 20_000
+STRETCH_BYTES = 16 << 20
 _BLOCK_CELLS = 4096
 
 
@@ -137,6 +138,28 @@ def fragments(rows: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
         run, "doc long, text_hash long, start long, route long, fragment binary")
 
 
+def _combined(batches):
+    """Equal fragments of a stretch of ``(route, fragment, doc)`` as one row with their first and last document, so that a
+    passage that most documents share reaches its shard as one row a stretch."""
+    held, size = [], 0
+
+    def rows():
+        met = pa.Table.from_batches(held).group_by(["route", "fragment"], use_threads=False).aggregate(
+            [("doc", "min"), ("doc", "max")]).combine_chunks()
+        return [arrow_rows(["route", "fragment", "low", "high"],
+                           [b.column(c) for c in ("route", "fragment", "doc_min", "doc_max")])
+                for b in met.to_batches(max_chunksize=10_000)]
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > STRETCH_BYTES:
+            yield from rows()
+            held, size = [], 0
+    if held:
+        yield from rows()
+
+
 def _inner(kind: np.ndarray, owner: np.ndarray, kinds: int) -> np.ndarray:
     """Windows that follow one and the same window wherever they occur, which nothing else follows."""
     same = owner[1:] == owner[:-1]
@@ -220,15 +243,18 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     scratch.release()
     named = [F.xxhash64("fragment").alias("f1"), F.xxhash64(F.lit("second"), "fragment").alias("f2")]
     shards = max(1, -(-found.count() // SHARD_FRAGMENTS))
-    distinct = found.groupBy("route", "fragment").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    # rows are dealt by the minimizer alone, so equal fragments meet without a second shuffle of their words
+    dealt = found.select("route", "fragment", "doc").mapInArrow(
+        _combined, "route long, fragment binary, low long, high long").repartition(shards, "route")
+    distinct = dealt.groupBy("route", "fragment").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
     def locate(batches):
         yield from _locate(batches, window)
 
-    # written before the join, so that the shuffles of distinct fragments and of places never lie on disk together
-    located = scratch.write(distinct.select("*", *named).repartition(shards, "route").mapInArrow(
+    # written before the join, so that the shuffles of fragments and of places never lie on disk together
+    located = scratch.write(distinct.select("*", *named).mapInArrow(
         locate, "f1 long, f2 long, offsets array<long>, earliest array<long>"))
-    del distinct
+    del dealt, distinct
     scratch.release()
     # one place of a fragment has all its windows, so it is enough to join by the fragment
     held = found.select("doc", "text_hash", "start", *named).join(located, ["f1", "f2"])
