@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.shared import Scratch, arrow_rows, column_hashes, mix, ngram_hashes, split_words, text_slices
+from passagework.llm.shared import (Scratch, arrow_rows, column_hashes, mix, ngram_hashes, shuffles_freed, split_words,
+                                    text_slices)
 
 WINDOW = 13
 PHRASE = 5
@@ -235,37 +236,31 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     """``(doc, text_hash, starts)``: starts of windows that also start in a document with a smaller id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("text_hash")).filter("doc is not null")
-    windows = recurring_bitmap(rows, window)
-    scratch.release()
-    windows = recurring_bitmap(rows, window, windows)
-    scratch.release()
-    found = scratch.write(fragments(rows, windows, window))
-    scratch.release()
-    named = [F.xxhash64("fragment").alias("f1"), F.xxhash64(F.lit("second"), "fragment").alias("f2")]
-    shards = max(1, -(-found.count() // SHARD_FRAGMENTS))
-    # rows are dealt by the minimizer alone, so equal fragments meet without a second shuffle of their words
-    dealt = found.select("route", "fragment", "doc").mapInArrow(
-        _combined, "route long, fragment binary, low long, high long").repartition(shards, "route")
-    distinct = dealt.groupBy("route", "fragment").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-
-    def locate(batches):
-        yield from _locate(batches, window)
-
-    # written before the join, so that the shuffles of fragments and of places never lie on disk together
-    located = scratch.write(distinct.select("*", *named).mapInArrow(
-        locate, "f1 long, f2 long, offsets array<long>, earliest array<long>"))
-    del dealt, distinct
-    scratch.release()
-    # one place of a fragment has all its windows, so it is enough to join by the fragment
-    held = found.select("doc", "text_hash", "start", *named).join(located, ["f1", "f2"])
-    earlier = F.filter(F.arrays_zip("offsets", "earliest"), lambda o: o["earliest"] < F.col("doc"))
-    starts = F.transform(earlier, lambda o: o["offsets"] + F.col("start"))
-    repeated = scratch.write(held.select("doc", "text_hash", starts.alias("starts")).filter(F.size("starts") > 0)
-                             .groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-    scratch.drop(found)
-    scratch.drop(located)
-    del located, held
-    scratch.release()
+    with shuffles_freed(docs.sparkSession):
+        windows = recurring_bitmap(rows, window)
+        windows = recurring_bitmap(rows, window, windows)
+        found = scratch.write(fragments(rows, windows, window))
+        named = [F.xxhash64("fragment").alias("f1"), F.xxhash64(F.lit("second"), "fragment").alias("f2")]
+        shards = max(1, -(-found.count() // SHARD_FRAGMENTS))
+        # rows are dealt by the minimizer alone, so equal fragments meet without a second shuffle of their words
+        dealt = found.select("route", "fragment", "doc").mapInArrow(
+            _combined, "route long, fragment binary, low long, high long").repartition(shards, "route")
+        distinct = dealt.groupBy("route", "fragment").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+        def locate(batches):
+            yield from _locate(batches, window)
+
+        # written before the join: the shuffle of fragments is gone when that of places begins
+        located = scratch.write(distinct.select("*", *named).mapInArrow(
+            locate, "f1 long, f2 long, offsets array<long>, earliest array<long>"))
+        # one place of a fragment has all its windows, so it is enough to join by the fragment
+        held = found.select("doc", "text_hash", "start", *named).join(located, ["f1", "f2"])
+        earlier = F.filter(F.arrays_zip("offsets", "earliest"), lambda o: o["earliest"] < F.col("doc"))
+        starts = F.transform(earlier, lambda o: o["offsets"] + F.col("start"))
+        repeated = scratch.write(held.select("doc", "text_hash", starts.alias("starts")).filter(F.size("starts") > 0)
+                                 .groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+        scratch.drop(found)
+        scratch.drop(located)
     return repeated
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -60,16 +60,24 @@ class Scratch:
         table.scratch_path = path
         return table
 
-    def release(self) -> None:
-        """Let the cluster delete shuffle files of finished plans now: it does so once the driver forgets the plans."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, table: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries inside delete their shuffle files as they end (a setting of Spark 4.1), where each ends in a written table or
+    a collected summary and no later one reads its shuffles."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def word_hashes(words: list) -> np.ndarray:
     """64-bit hashes of words given as bytes or text."""
     if not words:
