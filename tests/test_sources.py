@@ -415,3 +415,10 @@ def test_a_book_is_read_page_by_page(spark):
     assert P.documents_of_pages(got).count() == 3 and P.pages_of_scan(got).count() == 10_001
     want = {r.source: r.doc_id for r in S.load_files(table, [S.text_loader()], "c", DATE).collect()}
     assert rows["/a/bad.pdf"].doc_id == want["/a/bad.pdf"]
+
+
+def test_links_of_a_url_that_is_stored_twice_are_one_edge(spark):
+    rows = [("http://a.example/x", '<a href="/y">1</a><a href="/z">2</a>'), ("http://a.example/x", '<a href="/y">again</a>')]
+    found = page_links(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted((r.url, r.target) for r in found) == [
+        ("http://a.example/x", "http://a.example/y"), ("http://a.example/x", "http://a.example/z")]
