@@ -95,21 +95,23 @@ def explode_chunks(
     keep: list[str] | None = None,
     encoder: Callable[[list[str]], "object"] | None = None,
     vector_col: str = "document_vector",
+    pack: Callable[["object"], pa.Array] | None = None,
 ) -> DataFrame:
     """One row per chunk of ``text_col``: the ``keep`` columns, position, chunk and, with an
-    ``encoder``, its vector. Narrow: one Arrow pass over each partition, no shuffle."""
+    ``encoder``, its vector, as bytes with ``pack``. Narrow: one Arrow pass over each partition, no shuffle."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
     fields = [df.schema[c] for c in keep]
     fields += [T.StructField(pos_col, T.LongType(), False), T.StructField(out_col, T.StringType(), False)]
     if encoder is not None:
-        fields.append(T.StructField(vector_col, T.ArrayType(T.FloatType(), False), False))
+        kind = T.ArrayType(T.FloatType(), False) if pack is None else T.BinaryType()
+        fields.append(T.StructField(vector_col, kind, False))
     names = [f.name for f in fields]
 
     def emit(batch, rows, pos, chunks):
         cols = [batch.column(c).take(pa.array(rows, pa.int64())) for c in keep]
         cols += [pa.array(pos, pa.int64()), pa.array(chunks, pa.string())]
         if encoder is not None:
-            cols.append(vectors_to_arrow(encoder(chunks)))
+            cols.append((pack or vectors_to_arrow)(encoder(chunks)))
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches):

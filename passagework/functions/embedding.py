@@ -24,6 +24,7 @@ _TOKENS = re.compile(r"[^\W_]+").findall
 
 _ROWS_PER_CALL = 4096
 _CACHE_LIMIT = 1_000_000
+_ENTRY = np.dtype([("place", "<u2"), ("x", "<f4")])
 
 
 def tokens_of(text: str) -> list[str]:
@@ -73,15 +74,57 @@ class HashingEncoder:
         return out
 
 
-def add_vectors(df: DataFrame, text_col: str, encoder, vector_col: str = "document_vector") -> DataFrame:
-    """Append the vector of ``text_col``; Arrow batches, no shuffle."""
-    schema = T.StructType([*df.schema.fields, T.StructField(vector_col, T.ArrayType(T.FloatType(), False), False)])
+def packed_vectors(matrix) -> pa.Array:
+    """Rows of a float matrix as bytes, little-endian: the places and 32-bit components that are not zero, where that is
+    shorter, else all components."""
+    matrix = np.ascontiguousarray(matrix, "<f4")
+    n, dim = matrix.shape
+    filled = matrix.view("<u4") != 0
+    lengths = _ENTRY.itemsize * filled.sum(1)
+    sparse = (lengths < 4 * dim) & (dim <= 1 << 16)
+    rows, places = np.nonzero(filled & sparse[:, None])
+    entries = np.empty(len(rows), _ENTRY)
+    entries["place"], entries["x"] = places, matrix[rows, places]
+    lengths = np.where(sparse, lengths, 4 * dim)
+    offsets = np.zeros(n + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    out, of_sparse = np.empty(int(offsets[-1]), np.uint8), np.repeat(sparse, lengths)
+    out[of_sparse] = entries.view(np.uint8)
+    out[~of_sparse] = matrix[~sparse].reshape(-1).view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def unpacked_vectors(vectors: pa.Array, dim: int) -> np.ndarray:
+    """The matrix behind ``packed_vectors``."""
+    n, (_, offsets, data) = len(vectors), vectors.cast(pa.binary()).buffers()
+    offsets = np.frombuffer(offsets, np.int32)[vectors.offset:vectors.offset + n + 1] if n else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    lengths = np.diff(offsets)
+    full = lengths == 4 * dim
+    of_full = np.repeat(full, lengths)
+    entries = data[~of_full]
+    if (lengths > 4 * dim).any() or (lengths[~full] % _ENTRY.itemsize).any():
+        raise ValueError(f"vectors must have {dim} dimensions")
+    entries = entries.view(_ENTRY)
+    if len(entries) and entries["place"].max() >= dim:
+        raise ValueError(f"vectors must have {dim} dimensions")
+    out = np.zeros((n, dim), "<f4")
+    out[np.repeat(np.arange(n), np.where(full, 0, lengths // _ENTRY.itemsize)), entries["place"]] = entries["x"]
+    out[full] = data[of_full].view("<f4").reshape(-1, dim)
+    return out
+
+
+def add_vectors(df: DataFrame, text_col: str, encoder, vector_col: str = "document_vector", packed: bool = False) -> DataFrame:
+    """Append the vector of ``text_col``, ``packed`` as bytes; Arrow batches, no shuffle."""
+    kind = T.BinaryType() if packed else T.ArrayType(T.FloatType(), False)
+    schema = T.StructType([*df.schema.fields, T.StructField(vector_col, kind, False)])
+    to_arrow = packed_vectors if packed else vectors_to_arrow
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS_PER_CALL):
                 part = batch.slice(at, _ROWS_PER_CALL)
-                vectors = vectors_to_arrow(encoder(part.column(text_col).to_pylist()))
+                vectors = to_arrow(encoder(part.column(text_col).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -2,10 +2,13 @@
 
 Queries and chunks meet in the cells of a grid: queries are dealt to lines, chunks to columns by the hash of their key,
 and both are shuffled by cell, one row a vector and cell. A task holds the queries of its line, streams its chunks past
-them in Arrow batches and keeps at most ``k`` rows per query, so only those leave a cell. Nothing is broadcast: more
+them in Arrow batches and keeps at most ``k`` rows per query, so only those leave a cell. No table is broadcast: more
 queries mean more lines, more chunks more columns. A key, source or group of copies that holds most of the chunks is
 spread like any others. Only keys and vectors travel; texts are looked up for the hits.
 
+Queries whose vectors are smaller than what the session broadcasts in a join are sent to the tasks instead, and nothing is
+shuffled but the hits: chunks are scored where they lie.
+
 The hashed search deals every chunk to one random-hyperplane bucket. A query probes buckets in the order of the margins by
 which its own bucket would have to be missed, until those probed hold a neighbour at the least score with a stated
 probability. Chunks meet only the queries that probe their bucket; a stored index (``bucketed``), partitioned by
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.config import MIN_SCORE, REFERENCE_LIMIT, SCORE_DIGITS, written
+from passagework.config import MAX_BROADCAST_BYTES, MIN_SCORE, REFERENCE_LIMIT, SCORE_DIGITS, written
+from passagework.functions.embedding import packed_vectors, unpacked_vectors
 
 _CHUNKS_AT_ONCE = 2048
 _QUERIES_AT_ONCE = 1024
 _PAIRS_AT_ONCE = 8192
-_QUERIES_PER_LINE = 8192
+# a task holds their vectors twice, at 384 dimensions 200 MB; chunks are shuffled once a line
+_QUERIES_PER_LINE = 65_536
+_NORMS_AT_ONCE = 8192
 _MOST_TASKS = 20_000
 
 BITS = 8
@@ -49,7 +56,7 @@ def top_k_similar(
     chunk_key: list[str],
     chunk_vector: str = "document_vector",
     carry: list[str] | None = None,
-    texts: DataFrame | None = None,
+    texts: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     dim: int,
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
@@ -58,7 +65,8 @@ def top_k_similar(
     """Exact search: per query the best ``k`` chunks with ``(1 + cosine) / 2 >= min_score``.
 
     ``query_id`` is unique; NULL vectors match nothing. Ranked by score, ties by ``chunk_key``. Returns query id, rank,
-    score, key and ``carry``; the latter is looked up in ``texts`` (``chunks`` if not given) for the hits.
+    score, key and ``carry``; the latter is looked up for the hits in ``texts`` (``chunks`` if not given), or in what ``texts``
+    gives for their keys.
     """
     rows = chunks.filter(F.col(chunk_vector).isNotNull()).select(*chunk_key, F.col(chunk_vector).alias("_vector"))
     asked = queries.filter(F.col(query_vector).isNotNull()).select(query_id, F.col(query_vector).alias("_vector"))
@@ -75,7 +83,7 @@ def top_k_similar_lsh(
     chunk_key: list[str],
     chunk_vector: str = "document_vector",
     carry: list[str] | None = None,
-    texts: DataFrame | None = None,
+    texts: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     dim: int,
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
@@ -95,19 +103,17 @@ def top_k_similar_lsh(
 
 
 def bucketed(chunks: DataFrame, chunk_key: list[str], chunk_vector: str, dim: int, bits: int = BITS) -> DataFrame:
-    """``(*chunk_key, bucket, packed)``: the bucket of every vector and its components as little-endian 32-bit floats.
-    Written partitioned by bucket this is the index that ``search_buckets`` reads. Nothing is shuffled."""
+    """``(*chunk_key, bucket, packed)``: the bucket of every vector and its components as of ``packed_vectors``. Written partitioned by bucket this is the index that ``search_buckets`` reads. Nothing is shuffled."""
     planes = _planes(dim, bits)
     names = [*chunk_key, "bucket", "packed"]
 
     def run(batches):
         for batch in batches:
-            matrix = _matrix(batch.column(chunk_vector), batch.num_rows, dim)
-            packed = np.ascontiguousarray(matrix, "<f4")
-            offsets = pa.py_buffer(np.arange(0, 4 * packed.size + 1, 4 * dim, dtype=np.int32))
-            values = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer(packed)])
+            column = batch.column(chunk_vector)
+            held, matrix = pa.types.is_binary(column.type), _matrix(column, batch.num_rows, dim)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in chunk_key], pa.array(_bucket(matrix, planes)), values], names=names)
+                [*[batch.column(c) for c in chunk_key], pa.array(_bucket(matrix, planes)),
+                 column if held else packed_vectors(matrix)], names=names)
 
     schema = T.StructType([*[chunks.schema[c] for c in chunk_key], T.StructField("bucket", T.IntegerType()),
                            T.StructField("packed", T.BinaryType())])
@@ -122,7 +128,7 @@ def search_buckets(
     query_vector: str = "query_vector",
     chunk_key: list[str],
     carry: list[str] | None = None,
-    texts: DataFrame | None = None,
+    texts: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     dim: int,
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
@@ -221,7 +227,14 @@ def _search(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[st
     """Ranked ``(query_id, score, *chunk_key)``. ``asked`` has ``_vector``, with ``hashed`` also ``_probes``, and ``rows``
     has ``_vector``, with ``hashed`` also ``bucket``."""
     spark = asked.sparkSession
-    lines = max(1, math.ceil(asked.count() / queries_per_line))
+    keys = [rows.schema[c] for c in chunk_key]
+    schema = T.StructType([T.StructField(query_id, asked.schema[query_id].dataType), T.StructField("score", T.DoubleType()), *keys])
+    n, size = _size_of(asked, hashed)
+    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if size <= min(most, MAX_BROADCAST_BYTES):
+        hits = _in_place(asked, rows, query_id, chunk_key, schema, dim, k, min_score, hashed)
+        return _best(hits, query_id, chunk_key, k)
+    lines = max(1, math.ceil(n / queries_per_line))
     columns = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / lines))
     tasks = min(lines * columns, _MOST_TASKS)
 
@@ -234,7 +247,6 @@ def _search(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[st
     # every row goes by its own hash, so that a task that runs again deals alike
     line = F.pmod(F.xxhash64(query_id), F.lit(lines))
     column = F.pmod(F.xxhash64(*chunk_key), F.lit(columns))
-    keys = [rows.schema[c] for c in chunk_key]
     extra = [T.StructField("bucket", T.IntegerType()), T.StructField("_probes", T.BinaryType())] if hashed else []
     held = asked.select(
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: cell(line, c))).alias("_cell"),
@@ -247,7 +259,6 @@ def _search(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[st
         *[F.col(f.name) if f.name == "bucket" else null(f) for f in extra], _as_packed(rows).alias("_vector"))
     order = ["_cell", "_side", *(["bucket"] if hashed else [])]
     dealt = held.unionAll(streamed).repartitionById(tasks, F.pmod("_cell", F.lit(tasks)).cast("int"))
-    schema = T.StructType([T.StructField(query_id, asked.schema[query_id].dataType), T.StructField("score", T.DoubleType()), *keys])
 
     def run(batches):
         here, task = None, None
@@ -265,7 +276,43 @@ def _search(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[st
         if task is not None:
             yield from task.finish()
 
-    hits = dealt.sortWithinPartitions(*order).mapInArrow(run, schema)
+    return _best(dealt.sortWithinPartitions(*order).mapInArrow(run, schema), query_id, chunk_key, k)
+
+
+def _size_of(asked: DataFrame, hashed: bool) -> tuple[int, int]:
+    """Number of queries and bytes of their vectors and probes."""
+    kind = asked.schema["_vector"].dataType
+    if isinstance(kind, T.BinaryType):
+        of_vector = F.octet_length("_vector")
+    else:
+        of_vector = F.size("_vector") * (4 if isinstance(kind.elementType, T.FloatType) else 8)
+    of_all = of_vector + F.octet_length("_probes") if hashed else of_vector
+    n, size = asked.agg(F.count("*"), F.sum(of_all.cast("bigint"))).first()
+    return n, size or 0
+
+
+def _in_place(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[str], schema: T.StructType, dim: int, k: int,
+              min_score: float, hashed: bool) -> DataFrame:
+    """The best ``k`` chunks a query of every task, for queries that fit a broadcast."""
+    extra = ["_probes"] if hashed else []
+    held = asked.select(F.col(query_id).alias("_query"), _as_packed(asked).alias("_vector"), *extra).toArrow()
+    sent = asked.sparkSession.sparkContext.broadcast(held.combine_chunks())
+
+    def run(batches):
+        task = _Cell(schema, chunk_key, dim, k, min_score, hashed)
+        task.held = sent.value.to_batches()
+        for batch in batches:
+            if hashed and batch.num_rows:
+                batch = batch.take(pc.sort_indices(batch.column("bucket")))
+            task.stream(batch)
+        yield from task.finish()
+
+    more = ["bucket"] if hashed else []
+    return rows.select(*chunk_key, *more, _as_packed(rows).alias("_vector")).mapInArrow(run, schema)
+
+
+def _best(hits: DataFrame, query_id: str, chunk_key: list[str], k: int) -> DataFrame:
+    """The best ``k`` of the hits of all tasks, with their ranks."""
     by_score = Window.partitionBy(query_id).orderBy(F.col("score").desc(), *[F.col(c) for c in chunk_key])
     return hits.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
 
@@ -295,13 +342,15 @@ class _Cell:
         n = int(np.searchsorted(sides, 1))
         if n:
             self.held.append(batch.slice(0, n))
-        if n == batch.num_rows:
+        self.stream(batch.slice(n))
+
+    def stream(self, batch: pa.RecordBatch) -> None:
+        if not batch.num_rows:
             return
         if self.queries is None:
             if not self.held:
                 return
             self._start()
-        batch = batch.slice(n)
         chunk = _vectors(batch.column("_vector"), batch.num_rows, self.dim)
         edges = [0, batch.num_rows]
         if self.hashed:
@@ -319,8 +368,9 @@ class _Cell:
         self.ids = held.column("_query").combine_chunks()
         vectors = held.column("_vector").combine_chunks()
         self.queries = _vectors(vectors, len(held), self.dim)
-        self.norms = _squared_norms(self.queries)
-        self.unit = _unit(self.queries, self.norms)
+        slices = [slice(at, at + _NORMS_AT_ONCE) for at in range(0, len(held), _NORMS_AT_ONCE)]
+        self.norms = np.concatenate([_squared_norms(self.queries[at]) for at in slices])
+        self.unit = np.concatenate([_unit(self.queries[at], self.norms[at]) for at in slices])
         self.least = np.full(len(held), -np.inf)
         if self.hashed:
             raw = np.stack([np.frombuffer(p.as_buffer(), np.uint8) for p in held.column("_probes")])
@@ -381,6 +431,8 @@ class _Cell:
 
 
 def _matrix(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
+    if pa.types.is_binary(vectors.type):
+        return unpacked_vectors(vectors, dim)
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if flat.size != rows * dim:
         raise ValueError(f"vectors must have {dim} dimensions")
@@ -394,10 +446,7 @@ def _vectors(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
         return _matrix(listed, rows, dim)
     if wide.null_count == 0:
         return _matrix(wide, rows, dim)
-    flat = np.frombuffer(b"".join(packed.to_pylist()), "<f4")
-    if flat.size != rows * dim:
-        raise ValueError(f"vectors must have {dim} dimensions")
-    return flat.reshape(rows, dim)
+    return _matrix(packed, rows, dim)
 
 
 def _contenders(ci, qi, near, k: int, margin: float):
@@ -420,10 +469,12 @@ def _unit(rows: np.ndarray, squared_norms: np.ndarray) -> np.ndarray:
     return (rows / scale[:, None]).astype(np.float32)
 
 
-def _with_carried(hits: DataFrame, texts: DataFrame, chunk_key: list[str], carry: list[str]) -> DataFrame:
+def _with_carried(hits: DataFrame, texts, chunk_key: list[str], carry: list[str]) -> DataFrame:
     """The further columns of the hits. They are written first, so that their size is known: Spark broadcasts a small
     table of hits to the scan of ``texts`` and shuffles both sides otherwise."""
     missing = [c for c in carry if c not in chunk_key]
     if not missing:
         return hits
-    return written(hits).join(texts.select(*chunk_key, *missing), chunk_key)
+    hits = written(hits)
+    texts = texts(hits.select(*chunk_key)) if callable(texts) else texts
+    return hits.join(texts.select(*chunk_key, *missing), chunk_key)

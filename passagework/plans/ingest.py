@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from passagework import schemas
 from passagework.config import DEFAULT_MEDIA_TYPE
 from passagework.functions.chunking import explode_chunks
-from passagework.functions.embedding import HashingEncoder
+from passagework.functions.embedding import HashingEncoder, packed_vectors
 
 DEFAULT_ENCODER = HashingEncoder()
 
@@ -39,9 +39,10 @@ def web_pages_of(web: DataFrame) -> DataFrame:
     )
 
 
-def chunks_of(pages: DataFrame, encoder=DEFAULT_ENCODER) -> DataFrame:
-    """Chunks of 200 characters with their vectors; chunked and encoded in one Arrow pass."""
-    chunks = explode_chunks(pages, "content", keep=["page_id", "doc_id", "type", "page_no"], encoder=encoder)
+def chunks_of(pages: DataFrame, encoder=DEFAULT_ENCODER, packed: bool = False) -> DataFrame:
+    """Chunks of 200 characters with their vectors, ``packed`` as bytes; chunked and encoded in one Arrow pass."""
+    chunks = explode_chunks(pages, "content", keep=["page_id", "doc_id", "type", "page_no"], encoder=encoder,
+                            pack=packed_vectors if packed else None)
     return chunks.select(*[c for c in schemas.CHUNKS.names if c in chunks.columns])
 
 

@@ -28,17 +28,17 @@ def semantic_search(
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
     search: Callable[..., DataFrame] = top_k_similar,
-    texts: DataFrame | None = None,
+    texts: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     **options,
 ) -> DataFrame:
     """Ranked hits of every query: query_id, rank, score, chunk key, page_id, text.
 
     ``queries`` has query_id and user_input; ``search`` may be the exact or the hashed search, or that
-    of a stored index. ``texts`` are the chunks without their vectors, where these are computed. The
-    query vectors are written once, so that a slow encoder runs once; so are the hits, whose texts are
+    of a stored index. ``texts`` are the chunks without their vectors, where these are computed, or a
+    function of the hits' keys that gives them. The query vectors are written once, so that a slow encoder runs once; so are the hits, whose texts are
     looked up.
     """
-    vectors = add_vectors(queries.select("query_id", "user_input"), "user_input", encoder, "query_vector")
+    vectors = add_vectors(queries.select("query_id", "user_input"), "user_input", encoder, "query_vector", packed=True)
     vectors = written(vectors.select("query_id", "query_vector"))
     return search(
         vectors, chunks, chunk_key=CHUNK_KEY, carry=["page_id", "text"], texts=texts, dim=encoder.dim,

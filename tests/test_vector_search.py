@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagework.functions.embedding import HashingEncoder, add_vectors
+from passagework.functions.embedding import HashingEncoder, add_vectors, packed_vectors, unpacked_vectors
 from passagework.operators.vector_search import (
     RECALL, _bucket, _planes, probed_buckets, top_k_similar, top_k_similar_lsh,
 )
@@ -157,3 +157,30 @@ def test_hashing_encoder(spark):
     df = spark.createDataFrame([("Red red",), (None,)], "t string")
     rows = add_vectors(df, "t", encoder, "v").collect()
     assert sorted(sum(r.v) for r in rows) == [0, 2] and len(rows[0].v) == 384
+
+
+@pytest.mark.parametrize("dim", [5, 384])
+def test_packed_vectors_are_the_vectors(dim):
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((40, dim)).astype(np.float32)
+    rows[::2] *= rng.random((20, dim)) < 0.05
+    rows[4], rows[6, 0] = 0, -0.0
+    packed = packed_vectors(rows)
+    assert unpacked_vectors(packed, dim).tobytes() == rows.tobytes()
+    assert unpacked_vectors(packed.slice(3, 9), dim).tobytes() == rows[3:12].tobytes()
+    assert unpacked_vectors(packed.slice(0, 0), dim).shape == (0, dim)
+    assert all(len(p) <= 4 * dim for p in packed.to_pylist())
+    with pytest.raises(ValueError):
+        unpacked_vectors(packed, dim - 1)
+
+
+def test_few_queries_shuffle_no_chunk(spark):
+    qv, q = make(spark, 60, 1)
+    cv, c = make(spark, 3000, 2)
+    hits = search(top_k_similar, q, c, k=5, min_score=0.7)
+    # the only exchange is that of the hits, above the search
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("MapInArrow"):]
+    same(collect(hits), brute(qv, cv, 5, 0.7))
+    hashed = search(top_k_similar_lsh, q, c, k=5, min_score=0.7, bits=6, recall=1)
+    same(collect(hashed), brute(qv, cv, 5, 0.7))
