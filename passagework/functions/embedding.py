@@ -13,7 +13,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.config import VECTOR_DIM
@@ -22,7 +23,8 @@ from passagework.functions.chunking import vectors_to_arrow
 # fixed value: tokens are runs of letters and digits of any script, in lower case
 _TOKENS = re.compile(r"[^\W_]+").findall
 
-_ROWS_PER_CALL = 4096
+# rows whose dense matrix stays in a cache of the processor
+_ROWS_PER_CALL = 1024
 _CACHE_LIMIT = 1_000_000
 _ENTRY = np.dtype([("place", "<u2"), ("x", "<f4")])
 
@@ -38,8 +40,8 @@ class _Bins(dict):
         self.dim = dim
 
     def __missing__(self, token: str) -> int:
-        digest = hashlib.md5(token.encode(), usedforsecurity=False)
-        found = self[token] = int(digest.hexdigest()[:8], 16) % self.dim
+        digest = hashlib.md5(token.encode(), usedforsecurity=False).digest()
+        found = self[token] = int.from_bytes(digest[:4], "big") % self.dim
         return found
 
 
@@ -114,6 +116,18 @@ def unpacked_vectors(vectors: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def unpacked_column(vectors: Column, dim: int) -> Column:
+    """Arrays of floats out of a column of ``packed_vectors``, NULL where that is."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def unpack(packed: pa.Array) -> pa.Array:
+        flat = pa.array(unpacked_vectors(packed.fill_null(b""), dim).ravel())
+        offsets = pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, flat, mask=packed.is_null())
+
+    return unpack(vectors)
+
+
 def add_vectors(df: DataFrame, text_col: str, encoder, vector_col: str = "document_vector", packed: bool = False) -> DataFrame:
     """Append the vector of ``text_col``, ``packed`` as bytes; Arrow batches, no shuffle."""
     kind = T.BinaryType() if packed else T.ArrayType(T.FloatType(), False)

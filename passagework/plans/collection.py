@@ -10,7 +10,8 @@ replaces it, which makes retries and streaming replays harmless. Folders of repl
 made before a replacement has to be made again.
 
 Deleting documents rewrites the partitions that hold them, found by the first digits of their ids, and no others; reads need
-no list of what is gone. ``vectors`` is the search index: packed vectors by hash bucket, written at ingest.
+no list of what is gone. Vectors are stored packed (``packed_vectors``) and made arrays where they are read; ``vectors`` is the
+search index: packed vectors by hash bucket, written at ingest.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 from passagework import schemas
 from passagework.config import copy_id, spread, with_copies, written
+from passagework.functions.embedding import unpacked_column
 from passagework.functions.paths import check_batch_name, check_collection_name
 from passagework.operators import management as M
 from passagework.operators.vector_search import INDEX_BITS, bucketed, search_buckets
@@ -126,7 +128,10 @@ class Collection:
 
     def table(self, name: str) -> DataFrame:
         """Rows of documents, pages, chunks, vectors, binaries or rejected in committed batches."""
-        return self._rows(name).select(*self.schemas[name].names)
+        rows = self._stored(name)
+        if name == "chunks":
+            rows = rows.withColumn("document_vector", unpacked_column(F.col("document_vector"), self.encoder.dim))
+        return rows
 
     def documents(self) -> DataFrame:
         return self.table("documents")
@@ -196,7 +201,7 @@ class Collection:
             kept = with_copies(files_source.loaded(staged), "doc_id")
             kept = kept.withColumn("doc_id", copy_id(F.col("doc_id"), F.col("copy"))).drop("copy")
             pages = I.pages_of(spread(kept, "doc_id"))
-            return {"chunks": I.chunks_of(pages, self.encoder), "pages": pages, "binaries": I.binaries_of(kept),
+            return {"chunks": I.chunks_of(pages, self.encoder, packed=True), "pages": pages, "binaries": I.binaries_of(kept),
                     "documents": I.documents_of(kept), "rejected": files_source.rejected(staged)}
 
         return self._ingest(batch, parsed, tables)
@@ -217,7 +222,7 @@ class Collection:
             refused = staged.filter(F.col("type").isNull())
             with_pages = documents.join(pages.select("doc_id").distinct(), "doc_id", "left_semi")
             stored = with_pages.select("doc_id", "type", "media_type", F.col("source").alias("path")).join(files, "path")
-            return {"chunks": I.chunks_of(pages, self.encoder), "pages": pages, "documents": documents,
+            return {"chunks": I.chunks_of(pages, self.encoder, packed=True), "pages": pages, "documents": documents,
                     "binaries": I.binaries_of_files(stored), "rejected": refused.select("source", files_source.reason_of("failed"))}
 
         return self._ingest(batch, scanned, tables)
@@ -241,7 +246,7 @@ class Collection:
 
         def tables(staged: DataFrame) -> dict[str, DataFrame]:
             pages = spread(staged, "page_id")
-            return {"chunks": I.chunks_of(pages, self.encoder), "pages": pages, "documents": documents}
+            return {"chunks": I.chunks_of(pages, self.encoder, packed=True), "pages": pages, "documents": documents}
 
         return self._ingest(batch, I.web_pages_of(web_source.load_web(stored, self.name, date, reached)), tables)
 
@@ -285,7 +290,7 @@ class Collection:
         """Write the live rows into another collection as one batch."""
         other = Collection(self.spark, self.root, name, self.encoder, bits=self.bits, part_digits=self.part_digits)
         other.schemas = self.schemas
-        other._store(check_batch_name(batch), uuid.uuid4().hex, {t: self.table(t) for t in self.schemas})
+        other._store(check_batch_name(batch), uuid.uuid4().hex, {t: self._stored(t) for t in self.schemas})
         return other
 
     # ---- parts
@@ -306,6 +311,10 @@ class Collection:
         # the condition lets Spark prune the folders of other attempts
         return commits.filter("number >= 0").groupBy("batch").agg(F.max_by("attempt", "number").alias("attempt"))
 
+    def _stored(self, name: str) -> DataFrame:
+        """Live rows of a table as they are stored."""
+        return self._rows(name).select(*self.schemas[name].names)
+
     def _rows(self, name: str) -> DataFrame:
         """Live rows of a table with the columns of its partitions."""
         schema, base = self.schemas[name], f"{self.path}/{name}"

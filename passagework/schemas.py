@@ -29,7 +29,11 @@ REJECTED = _struct(source=_S, reason=_S)
 # the search index: vectors as little-endian 32-bit floats, by hash bucket
 VECTORS = _struct(type=_S, doc_id=_S, page_no=_L, chunk_no=_L, bucket=T.IntegerType(), packed=T.BinaryType())
 
-TABLES = {"chunks": CHUNKS, "vectors": VECTORS, "pages": PAGES, "binaries": BINARIES, "documents": DOCUMENTS,
+# chunks as they are stored: an array of mostly zeros would be ten times the text
+STORED_CHUNKS = T.StructType([
+    T.StructField(f.name, T.BinaryType()) if f.name == "document_vector" else f for f in CHUNKS.fields])
+
+TABLES = {"chunks": STORED_CHUNKS, "vectors": VECTORS, "pages": PAGES, "binaries": BINARIES, "documents": DOCUMENTS,
           "rejected": REJECTED}
 
 # what identifies a chunk, and breaks ties between equal scores

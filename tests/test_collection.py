@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.functions.embedding import add_vectors
+from passagework.functions.embedding import add_vectors, packed_vectors, unpacked_column
 from passagework.operators.vector_search import _planes, probed_buckets, search_buckets
 from passagework.plans import ingest as I
 from passagework.plans.collection import Collection, list_collections
@@ -202,6 +202,24 @@ def _probed(c, asked):
     return np.flatnonzero(probed_buckets(vector, _planes(c.encoder.dim, c.bits), 0.8, 0.95)[0]).tolist()
 
 
+def test_vectors_are_stored_packed_and_read_as_arrays(spark, tmp_path, folder):
+    c = Collection(spark, str(tmp_path / "root"), "c")
+    c.ingest_folder(str(folder), LOADERS, "1", DATE)
+    stored = spark.read.parquet(f"{c.path}/chunks").select("text", "document_vector")
+    assert stored.schema["document_vector"].dataType == T.BinaryType()
+    assert all(len(r.document_vector) < 4 * c.encoder.dim for r in stored.collect())
+    for chunks in (c.chunks(), c.copy_to("copied").chunks()):
+        assert chunks.schema["document_vector"].dataType == T.ArrayType(T.FloatType())
+        got = chunks.select("text", "document_vector").collect()
+        assert len(got) > 3 and all(r.document_vector == c.encoder([r.text])[0].tolist() for r in got)
+        # counting reads no vectors and starts no Python
+        plan = chunks.groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and "document_vector" not in plan
+    some = spark.createDataFrame([(1, None), (2, bytearray(packed_vectors(np.eye(2, 384))[1].as_py()))], "n int, v binary")
+    read = {r.n: r.v for r in some.select("n", unpacked_column(F.col("v"), 384).alias("v")).collect()}
+    assert read[1] is None and read[2] == np.eye(2, 384)[1].tolist()
+
+
 def test_a_batch_keeps_its_time(spark, tmp_path):
     c = Collection(spark, str(tmp_path / "root"), "c")
     assert c.batch_time("files-0") == c.batch_time("files-0") > DATE
