@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import pyarrow as pa
@@ -84,7 +85,27 @@ def _pack(cuts, size, overlap) -> Iterator[tuple[int, int]]:
         start = bisect_left(cuts, max(cuts[end] - overlap, cuts[end + 1] - size), start, end)
 
 
-def explode_chunks(
+@dataclass(frozen=True)
+class ChunkPass:
+    """How chunks are made of texts: the rows with these, what a task does with its Arrow batches, and what that gives.
+
+    A search may go on in the same task instead of having Spark move every vector between two Python processes.
+    """
+
+    source: DataFrame
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    schema: T.StructType
+
+    def rows(self) -> DataFrame:
+        return self.source.mapInArrow(self.run, self.schema)
+
+
+def explode_chunks(df: DataFrame, text_col: str, **options) -> DataFrame:
+    """The rows of ``chunk_pass``, which takes the ``options``."""
+    return chunk_pass(df, text_col, **options).rows()
+
+
+def chunk_pass(
     df: DataFrame,
     text_col: str,
     *,
@@ -96,7 +117,7 @@ def explode_chunks(
     encoder: Callable[[list[str]], "object"] | None = None,
     vector_col: str = "document_vector",
     pack: Callable[["object"], pa.Array] | None = None,
-) -> DataFrame:
+) -> ChunkPass:
     """One row per chunk of ``text_col``: the ``keep`` columns, position, chunk and, with an
     ``encoder``, its vector, as bytes with ``pack``. Narrow: one Arrow pass over each partition, no shuffle."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
@@ -130,7 +151,7 @@ def explode_chunks(
             if chunks:
                 yield emit(batch, rows, pos, chunks)
 
-    return df.select(*keep, text_col).mapInArrow(run, T.StructType(fields))
+    return ChunkPass(df.select(*keep, text_col), run, T.StructType(fields))
 
 
 def vectors_to_arrow(matrix) -> pa.Array:

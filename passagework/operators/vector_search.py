@@ -7,7 +7,7 @@ queries mean more lines, more chunks more columns. A key, source or group of cop
 spread like any others. Only keys and vectors travel; texts are looked up for the hits.
 
 Queries whose vectors are smaller than what the session broadcasts in a join are sent to the tasks instead, and nothing is
-shuffled but the hits: chunks are scored where they lie.
+shuffled but the hits: chunks are scored where they lie, those of a ``ChunkPass`` in the task that makes them.
 
 The hashed search deals every chunk to one random-hyperplane bucket. A query probes buckets in the order of the margins by
 which its own bucket would have to be missed, until those probed hold a neighbour at the least score with a stated
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.config import MAX_BROADCAST_BYTES, MIN_SCORE, REFERENCE_LIMIT, SCORE_DIGITS, written
+from passagework.functions.chunking import ChunkPass
 from passagework.functions.embedding import packed_vectors, unpacked_vectors
 
 _CHUNKS_AT_ONCE = 2048
@@ -49,7 +50,7 @@ _LOGISTIC = 1.702
 
 def top_k_similar(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | ChunkPass,
     *,
     query_id: str = "query_id",
     query_vector: str = "query_vector",
@@ -68,9 +69,11 @@ def top_k_similar(
     score, key and ``carry``; the latter is looked up for the hits in ``texts`` (``chunks`` if not given), or in what ``texts``
     gives for their keys.
     """
+    made, chunks = (chunks, chunks.rows()) if isinstance(chunks, ChunkPass) else (None, chunks)
     rows = chunks.filter(F.col(chunk_vector).isNotNull()).select(*chunk_key, F.col(chunk_vector).alias("_vector"))
     asked = queries.filter(F.col(query_vector).isNotNull()).select(query_id, F.col(query_vector).alias("_vector"))
-    hits = _search(asked, rows, query_id, chunk_key, dim, k, min_score, queries_per_line, hashed=False)
+    hits = _search(asked, rows, query_id, chunk_key, dim, k, min_score, queries_per_line, hashed=False,
+                   made=made and (made, chunk_vector))
     return _with_carried(hits, chunks if texts is None else texts, chunk_key, carry or [])
 
 
@@ -223,16 +226,16 @@ def _buckets_of(probes: str, bits: int):
 
 
 def _search(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[str], dim: int, k: int, min_score: float,
-            queries_per_line: int, hashed: bool) -> DataFrame:
+            queries_per_line: int, hashed: bool, made: tuple[ChunkPass, str] | None = None) -> DataFrame:
     """Ranked ``(query_id, score, *chunk_key)``. ``asked`` has ``_vector``, with ``hashed`` also ``_probes``, and ``rows``
-    has ``_vector``, with ``hashed`` also ``bucket``."""
+    has ``_vector``, with ``hashed`` also ``bucket``. ``made`` is the pass that gives ``rows`` and its vector column."""
     spark = asked.sparkSession
     keys = [rows.schema[c] for c in chunk_key]
     schema = T.StructType([T.StructField(query_id, asked.schema[query_id].dataType), T.StructField("score", T.DoubleType()), *keys])
     n, size = _size_of(asked, hashed)
     most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     if size <= min(most, MAX_BROADCAST_BYTES):
-        hits = _in_place(asked, rows, query_id, chunk_key, schema, dim, k, min_score, hashed)
+        hits = _in_place(asked, rows, query_id, chunk_key, schema, dim, k, min_score, hashed, made)
         return _best(hits, query_id, chunk_key, k)
     lines = max(1, math.ceil(n / queries_per_line))
     columns = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / lines))
@@ -292,7 +295,7 @@ def _size_of(asked: DataFrame, hashed: bool) -> tuple[int, int]:
 
 
 def _in_place(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[str], schema: T.StructType, dim: int, k: int,
-              min_score: float, hashed: bool) -> DataFrame:
+              min_score: float, hashed: bool, made: tuple[ChunkPass, str] | None) -> DataFrame:
     """The best ``k`` chunks a query of every task, for queries that fit a broadcast."""
     extra = ["_probes"] if hashed else []
     held = asked.select(F.col(query_id).alias("_query"), _as_packed(asked).alias("_vector"), *extra).toArrow()
@@ -307,6 +310,13 @@ def _in_place(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[
             task.stream(batch)
         yield from task.finish()
 
+    if made is not None:
+        chunks_of, vector = made[0].run, made[1]
+
+        def make_and_run(batches):
+            return run(b.select([*chunk_key, vector]).rename_columns([*chunk_key, "_vector"]) for b in chunks_of(batches))
+
+        return made[0].source.mapInArrow(make_and_run, schema)
     more = ["bucket"] if hashed else []
     return rows.select(*chunk_key, *more, _as_packed(rows).alias("_vector")).mapInArrow(run, schema)
 
@@ -440,7 +450,9 @@ def _matrix(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
 
 
 def _vectors(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
-    """The vectors of ``_as_packed``, whichever form they have."""
+    """The vectors of ``_as_packed``, whichever form they have, or of a ``ChunkPass``."""
+    if not pa.types.is_struct(vectors.type):
+        return _matrix(vectors, rows, dim)
     wide, listed, packed = vectors.flatten()
     if listed.null_count == 0:
         return _matrix(listed, rows, dim)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from passagework import schemas
 from passagework.config import DEFAULT_MEDIA_TYPE
-from passagework.functions.chunking import explode_chunks
+from passagework.functions.chunking import ChunkPass, chunk_pass
 from passagework.functions.embedding import HashingEncoder, packed_vectors
 
 DEFAULT_ENCODER = HashingEncoder()
@@ -41,11 +41,16 @@ def web_pages_of(web: DataFrame) -> DataFrame:
 
 def chunks_of(pages: DataFrame, encoder=DEFAULT_ENCODER, packed: bool = False) -> DataFrame:
     """Chunks of 200 characters with their vectors, ``packed`` as bytes; chunked and encoded in one Arrow pass."""
-    chunks = explode_chunks(pages, "content", keep=["page_id", "doc_id", "type", "page_no"], encoder=encoder,
-                            pack=packed_vectors if packed else None)
+    chunks = chunk_pass_of(pages, encoder, packed).rows()
     return chunks.select(*[c for c in schemas.CHUNKS.names if c in chunks.columns])
 
 
+def chunk_pass_of(pages: DataFrame, encoder=DEFAULT_ENCODER, packed: bool = True) -> ChunkPass:
+    """The same before it is run, for a search that goes on where chunks are made."""
+    return chunk_pass(pages, "content", keep=["page_id", "doc_id", "type", "page_no"], encoder=encoder,
+                      pack=packed_vectors if packed else None)
+
+
 def binaries_of(parsed: DataFrame) -> DataFrame:
     """Original bytes of documents that have pages."""
     return binaries_of_files(parsed.filter(F.size("pages") > 0))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.config import MIN_SCORE, NO_SOURCES_MESSAGE, REFERENCE_LIMIT, written
+from passagework.functions.chunking import ChunkPass
 from passagework.functions.citations import page_link
 from passagework.functions.embedding import add_vectors
 from passagework.operators.generate import generate, generate_once
@@ -23,7 +24,7 @@ SOURCES_HEADING = "Responding based on the following sources:\n\n"
 
 def semantic_search(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | ChunkPass,
     encoder=DEFAULT_ENCODER,
     k: int = REFERENCE_LIMIT,
     min_score: float = MIN_SCORE,
@@ -47,7 +48,7 @@ def semantic_search(
 
 
 def retrieve(
-    queries: DataFrame, chunks: DataFrame, pages: DataFrame, documents: DataFrame, encoder=DEFAULT_ENCODER,
+    queries: DataFrame, chunks: DataFrame | ChunkPass, pages: DataFrame, documents: DataFrame, encoder=DEFAULT_ENCODER,
     k: int = REFERENCE_LIMIT, min_score: float = MIN_SCORE, **options,
 ) -> DataFrame:
     """Context and sources per query; only queries with hits.

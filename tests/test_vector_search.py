@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passagework.functions.chunking import chunk_pass
 from passagework.functions.embedding import HashingEncoder, add_vectors, packed_vectors, unpacked_vectors
 from passagework.operators.vector_search import (
     RECALL, _bucket, _planes, probed_buckets, top_k_similar, top_k_similar_lsh,
@@ -184,3 +185,30 @@ def test_few_queries_shuffle_no_chunk(spark):
     same(collect(hits), brute(qv, cv, 5, 0.7))
     hashed = search(top_k_similar_lsh, q, c, k=5, min_score=0.7, bits=6, recall=1)
     same(collect(hashed), brute(qv, cv, 5, 0.7))
+
+
+def test_chunks_are_scored_in_the_task_that_makes_them(spark):
+    encoder = HashingEncoder()
+    words = "red blue green white black grey".split()
+    texts = [" ".join(words[(i * j) % 6] for j in range(1, 4 + i % 90)) for i in range(200)] + ["", None, "!?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = spark.createDataFrame([(0, "red blue"), (1, "green grey black"), (2, "none of them"), (3, "...")], "query_id long, text string")
+    asked = add_vectors(asked, "text", encoder, "query_vector", packed=True)
+    made = chunk_pass(docs, "text", out_col="part", keep=["id"], encoder=encoder, pack=packed_vectors)
+
+    def found(chunks):
+        return top_k_similar(asked, chunks, chunk_key=["id", "chunk_no"], carry=["part"], dim=encoder.dim)
+
+    def all_of(df):
+        return sorted(tuple(r) for r in df.select("query_id", "rank", "score", "id", "chunk_no", "part").collect())
+
+    want = all_of(found(made.rows()))
+    assert len(want) > 8 and all_of(found(made)) == want
+    hits = top_k_similar(asked, made, chunk_key=["id", "chunk_no"], dim=encoder.dim)
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("MapInArrow") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert all_of(found(made)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
