@@ -2,10 +2,11 @@
 
 1. Every window of words names its smallest 5-word hash (its minimizer), so equal windows of two documents name the same
    one. Minimizers that occur in more than one document are found by one aggregate over (hash, document) rows, a fifth of
-   the words; a bitmap of fixed size keeps them for the next scan. That scan does the same with the hashes of the windows
-   that name them. A wrong bit only costs work.
-2. The next scan writes fragments: runs of marked windows with one minimizer, with the words they cover. Fragments are
-   dealt by that minimizer; equal fragments are one row with the first and last document that hold them.
+   the words; a bitmap sized by the text, of 128 MB at most, keeps them for the next scans. The second scan does the same
+   with the hashes of the windows that name them. A wrong bit only costs work.
+2. The third scan writes fragments: runs of windows marked in both bitmaps that share a minimizer, with the words they
+   cover. Fragments are dealt by that minimizer; equal fragments are one row with the first and last document that hold
+   them.
 3. Each shard of fragments confirms the windows that occur in two documents, joins those that always occur in one row to
    passages, compiles the passages into an Aho-Corasick automaton over words and streams its fragments through it to
    locate every occurrence.
@@ -28,7 +29,7 @@ from passagework.llm.shared import (Scratch, arrow_rows, column_hashes, mix, ngr
 
 WINDOW = 13
 PHRASE = 5
-BITMAP_BITS = 1 << 27
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 SHARD_FRAGMENTS = 20_000
 STRETCH_BYTES = 16 << 20
 _BLOCK_CELLS = 4096
@@ -62,7 +63,7 @@ def window_keys(hashes: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.
 
 
 def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(BITMAP_BITS - 1)
+    at = hashes & np.uint64(len(bitmap) * 64 - 1)
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -70,9 +71,14 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def recurring_bitmap(rows: DataFrame, window: int, marked: np.ndarray | None = None) -> np.ndarray:
-    """Bits of the minimizers that more than one document holds, or of the windows whose minimizer is ``marked``. Its size
-    is fixed, whatever the input."""
+def bitmap_bits(rows: DataFrame) -> int:
+    """One to two bits for eight bytes of text, so that few are set by chance; 2^30 bits at most."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(1 << max(size // 8, 1).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def recurring_bitmap(rows: DataFrame, window: int, bits: int, marked: np.ndarray | None = None) -> np.ndarray:
+    """Bits of the minimizers that more than one document holds, or of the windows whose minimizer is ``marked``."""
     marked = None if marked is None else rows.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches):
@@ -91,7 +97,7 @@ def recurring_bitmap(rows: DataFrame, window: int, marked: np.ndarray | None = N
 
     met = rows.select("doc", "text").mapInArrow(run, "h long, doc long").groupBy("h").agg(
         F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    bit = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
     cells = met.groupBy(F.shiftright(bit, 6).alias("cell")).agg(
         F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
 
@@ -102,23 +108,25 @@ def recurring_bitmap(rows: DataFrame, window: int, marked: np.ndarray | None = N
         return pa.table({"block": pa.array(cell[:1] // _BLOCK_CELLS), "bits": pa.array([block.tobytes()], pa.binary())})
 
     blocks = cells.groupBy(F.expr(f"cell div {_BLOCK_CELLS}").alias("b")).applyInArrow(pack, "block long, bits binary")
-    bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
+    bitmap = np.zeros(bits // 64, np.uint64)
     for row in blocks.collect():
         bitmap[row["block"] * _BLOCK_CELLS:(row["block"] + 1) * _BLOCK_CELLS] = np.frombuffer(row["bits"], np.uint64)
     return bitmap
 
 
-def fragments(rows: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
-    """``(doc, text_hash, start, route, fragment)``: runs of marked windows that share a minimizer."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+def fragments(rows: DataFrame, minimizers: np.ndarray, windows: np.ndarray, window: int) -> DataFrame:
+    """``(doc, text_hash, start, route, fragment)``: runs of windows that share a minimizer, both marked."""
+    shared = rows.sparkSession.sparkContext.broadcast((minimizers, windows))
     names = ["doc", "text_hash", "start", "route", "fragment"]
 
     def run(batches):
-        bits = shared.value
+        minimizers, windows = shared.value
         for batch in text_slices(batches):
             words, owner = split_words(batch.column(1))
             place, low, whole = window_keys(column_hashes(words), owner, window)
-            keep = np.flatnonzero(_marked(bits, whole))
+            # a window that is marked by chance mostly names a minimizer that is not
+            keep = np.flatnonzero(_marked(minimizers, low))
+            keep = keep[_marked(windows, whole[keep])]
             if not len(keep):
                 continue
             place, low = place[keep], low[keep]
@@ -237,9 +245,10 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("text_hash")).filter("doc is not null")
     with shuffles_freed(docs.sparkSession):
-        windows = recurring_bitmap(rows, window)
-        windows = recurring_bitmap(rows, window, windows)
-        found = scratch.write(fragments(rows, windows, window))
+        bits = bitmap_bits(rows)
+        minimizers = recurring_bitmap(rows, window, bits)
+        windows = recurring_bitmap(rows, window, bits, minimizers)
+        found = scratch.write(fragments(rows, minimizers, windows, window))
         named = [F.xxhash64("fragment").alias("f1"), F.xxhash64(F.lit("second"), "fragment").alias("f2")]
         shards = max(1, -(-found.count() // SHARD_FRAGMENTS))
         # rows are dealt by the minimizer alone, so equal fragments meet without a second shuffle of their words

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from passagework.config import ensure_checkpoint_dir
 
 SLICE_BYTES = 4 << 20
+LONG_WORD = 256
 _POLY = np.uint64(0x9E3779B97F4A7C15)
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -118,9 +120,24 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def column_hashes(words: pa.Array) -> np.ndarray:
-    """``word_hashes`` of a column of words, each distinct word hashed once."""
-    coded = words.dictionary_encode()
-    return word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    """64-bit hashes of a column of words without nulls, eight bytes of every word at a time; equal words have equal ones."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int64)[words.offset:words.offset + len(words) + 1]
+    text = np.zeros(ends[-1] - ends[0] + 8, np.uint8)
+    text[:-8] = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]]
+    eight = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    start, size = ends[:-1] - ends[0], np.diff(ends)
+    out = mix(mix(size.view(np.uint64)) ^ (eight[start] & _LOW_BYTES[np.minimum(size, 8)]))
+    for done in range(8, LONG_WORD, 8):
+        left = np.flatnonzero(size > done)
+        if not len(left):
+            return out
+        out[left] = mix(out[left] ^ (eight[start[left] + done] & _LOW_BYTES[np.minimum(size[left] - done, 8)]))
+    left = np.flatnonzero(size > LONG_WORD)
+    out[left] = word_hashes(words.take(pa.array(left)).to_pylist())
+    return out
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

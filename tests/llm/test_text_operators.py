@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -16,8 +17,9 @@ from passagework.llm import langid, quality, secret_scan
 from passagework.llm.bpe import bpe_round_trip
 from passagework.llm.minhash import estimate, near_duplicate_documents, shingle_set, sketch
 from passagework.llm.packing import fill_bins, pack
+from passagework.llm import repeats
 from passagework.llm.repeats import remove_repeats, repeated_passages
-from passagework.llm.shared import Scratch, components
+from passagework.llm.shared import LONG_WORD, Scratch, column_hashes, components
 from passagework.llm.unigram import MARK, read_pieces, unigram_counts
 
 SF = "/root/testdata/sf0.01"
@@ -245,6 +247,39 @@ def test_repeated_passages(spark):
     assert repeated_passages(table.limit(0)).count() == 0
 
 
+def test_column_hashes():
+    odd = [b"a", b"a\0", b"\0", b"\0\0", b"12345678", b"123456789", b"12345678\0", b"x" * LONG_WORD, b"x" * (LONG_WORD + 1),
+           b"x" * LONG_WORD + b"y", "日本語".encode()]
+    words = odd + [f"w{i}".encode() for i in range(5000)]
+    column = pa.array([b"before", *words, *words], pa.large_binary())[1:]
+    hashes = column_hashes(column)
+    assert len(np.unique(hashes[:len(words)])) == len(words) and (hashes[:len(words)] == hashes[len(words):]).all()
+    assert len(column_hashes(column[:0])) == 0
+
+
+def test_windows_marked_by_chance_make_no_fragments(spark):
+    random = np.random.default_rng(5)
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, " ".join(f"u{x}" for x in random.integers(0, 10**9, 200))) for i in range(40)]
+    rows = [(i, f"{t} {shared}" if i in (7, 9) else t, i) for i, t in rows]
+    table = spark.createDataFrame(rows, "doc long, text string, text_hash long")
+    bits = repeats.bitmap_bits(table)
+    assert bits == repeats.LEAST_BITS
+    minimizers = repeats.recurring_bitmap(table, 13, bits)
+    windows = repeats.recurring_bitmap(table, 13, bits, minimizers)
+    every = np.full(bits // 64, np.iinfo(np.uint64).max, np.uint64)
+    for marks in (windows, every):
+        found = repeats.fragments(table, minimizers, marks, 13).collect()
+        assert {r.doc for r in found} == {7, 9}
+        assert all(shared.encode().find(r.fragment) >= 0 or marks is every for r in found)
+
+
+def test_bitmap_bits_grow_with_the_text(spark):
+    table = spark.range(64).selectExpr("id AS doc", "repeat('x', 1000000) AS text")
+    assert repeats.bitmap_bits(table) == 1 << 23
+    assert repeats.bitmap_bits(table.limit(0)) == repeats.LEAST_BITS
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150), (7, 7), (500, 500)]
     found = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()
