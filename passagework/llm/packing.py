@@ -10,6 +10,7 @@ size of the input, and no group depends on a document, source or key.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -51,6 +52,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # the library keeps such caches of every thread as long as the process lives, and a worker serves many tasks
+        self.tokenizer.model._resize_cache(0)
         rules = json.loads(raw)
         self.fast = _known_rules(rules)
         self.added = [t["content"] for t in rules.get("added_tokens") or []]
@@ -136,6 +139,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # every core runs its own task
         encoder = WordEncoder(raw)
         for batch in text_slices(batches):
             row, piece, start, length, crc = [], [], [], [], []

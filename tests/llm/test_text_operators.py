@@ -1,5 +1,7 @@
 """Text operators against brute force, exact round trips and held-out accuracy."""
 
+import ctypes
+import gc
 import hashlib
 import re
 import zlib
@@ -16,7 +18,7 @@ from tokenizers.models import Unigram
 from passagework.llm import langid, quality, secret_scan
 from passagework.llm.bpe import bpe_round_trip
 from passagework.llm.minhash import estimate, near_duplicate_documents, shingle_set, sketch
-from passagework.llm.packing import fill_bins, pack
+from passagework.llm.packing import WordEncoder, fill_bins, pack
 from passagework.llm import repeats
 from passagework.llm.repeats import remove_repeats, repeated_passages
 from passagework.llm.shared import LONG_WORD, Scratch, column_hashes, components
@@ -247,6 +249,23 @@ def test_repeated_passages(spark):
     assert repeated_passages(table.limit(0)).count() == 0
 
 
+def test_encoders_leave_no_memory(monkeypatch):
+    """A Python worker makes an encoder for every task that it serves."""
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        raw = f.read()
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    held = []
+    for task in range(6):
+        words = letters[np.random.default_rng(task).integers(0, 26, (30_000, 9))]
+        WordEncoder(raw).encode([" ".join(map("".join, words))])
+        gc.collect()
+        ctypes.CDLL(None).malloc_trim(0)
+        with open("/proc/self/smaps_rollup") as f:
+            held.append(int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024)
+    assert held[-1] - held[1] < 16, held
+
+
 def test_column_hashes():
     odd = [b"a", b"a\0", b"\0", b"\0\0", b"12345678", b"123456789", b"12345678\0", b"x" * LONG_WORD, b"x" * (LONG_WORD + 1),
            b"x" * LONG_WORD + b"y", "日本語".encode()]
