@@ -6,6 +6,13 @@ them in Arrow batches and keeps at most ``k`` rows per query, so only those leav
 queries mean more lines, more chunks more columns. A key, source or group of copies that holds most of the chunks is
 spread like any others. Only keys and vectors travel; texts are looked up for the hits.
 
+Scoring compares every chunk of a cell with every query of it, so it is the cost of a large search. Most pairs are told to
+be too far apart by a product of shorter vectors: components are put into groups, and a vector's norms in the groups have a
+product that is never below that of the vectors (Cauchy-Schwarz in every group). Vectors with few components that are not
+zero lose little by that. Queries and chunks are dealt to a few directions; how short the vectors of two directions are, or
+whether these are used at all, is estimated from some of their pairs. The pairs that are left are scored in double
+precision, so the result does not depend on any of this.
+
 Queries whose vectors are smaller than what the session broadcasts in a join are sent to the tasks instead, and nothing is
 shuffled but the hits: chunks are scored where they lie, those of a ``ChunkPass`` in the task that makes them.
 
@@ -32,13 +39,24 @@ from passagework.config import MAX_BROADCAST_BYTES, MIN_SCORE, REFERENCE_LIMIT,
 from passagework.functions.chunking import ChunkPass
 from passagework.functions.embedding import packed_vectors, unpacked_vectors
 
-_CHUNKS_AT_ONCE = 2048
+_CHUNKS_AT_ONCE = 8192
 _QUERIES_AT_ONCE = 1024
 _PAIRS_AT_ONCE = 8192
+# chunks by queries whose products stay in a cache of the processor
+_ROWS_AT_ONCE = 256
+# components of the vectors for one of the short ones
+_FOLDS = (8, 5, 4, 3, 2)
+_DIRECTIONS, _QUERIES_PER_DIRECTION = 4, 1024
+_SAMPLED_CHUNKS, _SAMPLED_QUERIES = 192, 512
+# what scoring a pair and preparing a chunk take, measured in products of two components within a matrix product
+_PAIR_COST, _SPARSE_PAIR_COST, _CHUNK_COST = 30_000, 10_000, 250_000
+# hits that wait for their keys
+_WAITING = 65_536
 # a task holds their vectors twice, at 384 dimensions 200 MB; chunks are shuffled once a line
 _QUERIES_PER_LINE = 65_536
 _NORMS_AT_ONCE = 8192
 _MOST_TASKS = 20_000
+_TASKS_PER_CORE = 3
 
 BITS = 8
 # of a stored index: 64 folders a batch; more for large collections
@@ -238,7 +256,9 @@ def _search(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[st
         hits = _in_place(asked, rows, query_id, chunk_key, schema, dim, k, min_score, hashed, made)
         return _best(hits, query_id, chunk_key, k)
     lines = max(1, math.ceil(n / queries_per_line))
-    columns = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / lines))
+    # a few tasks a core at least, since the last ones to run leave cores without work
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    columns = max(1, math.ceil(wanted / lines))
     tasks = min(lines * columns, _MOST_TASKS)
 
     def cell(line, column):
@@ -251,15 +271,17 @@ def _search(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[st
     line = F.pmod(F.xxhash64(query_id), F.lit(lines))
     column = F.pmod(F.xxhash64(*chunk_key), F.lit(columns))
     extra = [T.StructField("bucket", T.IntegerType()), T.StructField("_probes", T.BinaryType())] if hashed else []
+    alike = asked.schema["_vector"].dataType.simpleString() == rows.schema["_vector"].dataType.simpleString()
+    vector_of = (lambda side: F.col("_vector")) if alike else _as_packed
     held = asked.select(
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: cell(line, c))).alias("_cell"),
         F.lit(0).alias("_side"), F.col(query_id).alias("_query"), *[null(f) for f in keys],
-        *[F.col(f.name) if f.name == "_probes" else null(f) for f in extra], _as_packed(asked).alias("_vector"))
+        *[F.col(f.name) if f.name == "_probes" else null(f) for f in extra], vector_of(asked).alias("_vector"))
     every_line = F.explode(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda x: cell(x, column)))
     streamed = rows.select(
         (every_line if lines > 1 else cell(F.lit(0), column)).alias("_cell"), F.lit(1).alias("_side"),
         F.lit(None).cast(asked.schema[query_id].dataType).alias("_query"), *chunk_key,
-        *[F.col(f.name) if f.name == "bucket" else null(f) for f in extra], _as_packed(rows).alias("_vector"))
+        *[F.col(f.name) if f.name == "bucket" else null(f) for f in extra], vector_of(rows).alias("_vector"))
     order = ["_cell", "_side", *(["bucket"] if hashed else [])]
     dealt = held.unionAll(streamed).repartitionById(tasks, F.pmod("_cell", F.lit(tasks)).cast("int"))
 
@@ -298,7 +320,7 @@ def _in_place(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[
               min_score: float, hashed: bool, made: tuple[ChunkPass, str] | None) -> DataFrame:
     """The best ``k`` chunks a query of every task, for queries that fit a broadcast."""
     extra = ["_probes"] if hashed else []
-    held = asked.select(F.col(query_id).alias("_query"), _as_packed(asked).alias("_vector"), *extra).toArrow()
+    held = asked.select(F.col(query_id).alias("_query"), "_vector", *extra).toArrow()
     sent = asked.sparkSession.sparkContext.broadcast(held.combine_chunks())
 
     def run(batches):
@@ -318,7 +340,7 @@ def _in_place(asked: DataFrame, rows: DataFrame, query_id: str, chunk_key: list[
 
         return made[0].source.mapInArrow(make_and_run, schema)
     more = ["bucket"] if hashed else []
-    return rows.select(*chunk_key, *more, _as_packed(rows).alias("_vector")).mapInArrow(run, schema)
+    return rows.select(*chunk_key, *more, "_vector").mapInArrow(run, schema)
 
 
 def _best(hits: DataFrame, query_id: str, chunk_key: list[str], k: int) -> DataFrame:
@@ -328,7 +350,7 @@ def _best(hits: DataFrame, query_id: str, chunk_key: list[str], k: int) -> DataF
 
 
 def _as_packed(rows: DataFrame):
-    """Both sides of the union have one type: vectors of an index are bytes, others arrays of floats or doubles."""
+    """One type for both sides of the union, where they differ: vectors of an index are bytes, others arrays of floats or doubles."""
     if isinstance(rows.schema["_vector"].dataType, T.BinaryType):
         return F.struct(F.lit(None).cast("array<double>").alias("wide"), F.lit(None).cast("array<float>").alias("list"),
                         F.col("_vector").alias("packed"))
@@ -345,6 +367,8 @@ class _Cell:
     def __init__(self, schema: T.StructType, chunk_key: list[str], dim: int, k: int, min_score: float, hashed: bool):
         self.names, self.chunk_key, self.dim, self.k = schema.names, chunk_key, dim, k
         self.min_score, self.hashed = min_score, hashed
+        # the error of a product of single-precision unit vectors is below dim * 2^-24, and twice that is allowed for
+        self.slack = (dim + 16) * 2.0**-23 + 10.0**-SCORE_DIGITS
         self.held, self.queries, self.found, self.rows = [], None, [], 0
 
     def add(self, batch: pa.RecordBatch) -> None:
@@ -367,59 +391,154 @@ class _Cell:
             bucket = batch.column("bucket").to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(edges, edges[1:]):
-            which = np.flatnonzero(self.probes[:, bucket[lo]]) if self.hashed else np.arange(len(self.queries))
+            which = np.flatnonzero(self.probes[:, bucket[lo]]) if self.hashed else None
+            if which is not None and not len(which):
+                continue
             for at in range(lo, hi, _CHUNKS_AT_ONCE):
-                part = slice(at, min(hi, at + _CHUNKS_AT_ONCE))
-                for q in range(0, len(which), _QUERIES_AT_ONCE):
-                    self._score(batch, chunk[part], at, which[q:q + _QUERIES_AT_ONCE])
+                self._score(batch, chunk[at:min(hi, at + _CHUNKS_AT_ONCE)], at, which)
 
     def _start(self) -> None:
         held = pa.Table.from_batches(self.held).combine_chunks()
         self.ids = held.column("_query").combine_chunks()
         vectors = held.column("_vector").combine_chunks()
         self.queries = _vectors(vectors, len(held), self.dim)
-        slices = [slice(at, at + _NORMS_AT_ONCE) for at in range(0, len(held), _NORMS_AT_ONCE)]
-        self.norms = np.concatenate([_squared_norms(self.queries[at]) for at in slices])
-        self.unit = np.concatenate([_unit(self.queries[at], self.norms[at]) for at in slices])
+        self.norms = np.concatenate([_squared_norms(self.queries[at]) for at in _slices(len(held))])
+        self.directions, order = None, np.arange(len(held))
+        self.edges = [0, len(held)]
+        some = np.arange(0, len(held), max(1, len(held) // (_DIRECTIONS * _QUERIES_PER_DIRECTION)))
+        if len(some) >= _DIRECTIONS * _QUERIES_PER_DIRECTION and 4 * np.count_nonzero(self.queries[some]) <= len(some) * self.dim:
+            self.directions = _directions(_unit(self.queries[some], self.norms[some]))
+            nearest = np.concatenate([_nearest(self._units(at), self.directions) for at in _slices(len(held))])
+            order = np.argsort(nearest, kind="stable")
+            self.edges = np.searchsorted(nearest[order], np.arange(_DIRECTIONS + 1)).tolist()
+        self.ids, self.queries, self.norms = self.ids.take(pa.array(order)), self.queries[order], self.norms[order]
+        self.best = np.full((len(held), self.k), -np.inf)
         self.least = np.full(len(held), -np.inf)
+        self.seen, self.chosen_until = 0, 0
+        # by directions of queries and chunks: how these are compared, and the queries' vectors for that
+        self.groups, self.theirs = {}, {}
+        self.room = _Room(_ROWS_AT_ONCE, _QUERIES_AT_ONCE)
         if self.hashed:
             raw = np.stack([np.frombuffer(p.as_buffer(), np.uint8) for p in held.column("_probes")])
-            self.probes = np.unpackbits(raw, axis=1, bitorder="little").astype(bool)
+            self.probes = np.unpackbits(raw, axis=1, bitorder="little").astype(bool)[order]
         self.held = []
 
-    def _score(self, batch: pa.RecordBatch, chunk: np.ndarray, at: int, which: np.ndarray) -> None:
-        """Keep what a slice of chunks has for the queries ``which``.
-
-        A single-precision product of unit vectors finds the pairs that can reach the threshold or the best scores so far:
-        its error is below dim * 2^-24 per pair, and twice that is allowed for. Only those pairs are scored in double
+    def _floor(self, which) -> np.ndarray:
+        """The cosines that the queries ``which`` are after: the threshold, or the ``k``-th best so far."""
+        return 2 * np.maximum(self.min_score, self.least[which]) - 1 - self.slack
+
+    def _units(self, which) -> np.ndarray:
+        return _unit(self.queries[which], self.norms[which])
+
+    def _choose(self, of_queries: int, of_chunks: int, unit: np.ndarray, cost_of_pair: int, queries: int) -> None:
+        """How these directions are compared: what would be cheapest for some of their chunks ``unit`` and queries.
+        ``queries`` is how many a chunk meets."""
+        lo, hi = self.edges[of_queries:of_queries + 2]
+        cost, chosen, prepare = math.inf, None, _CHUNK_COST / queries
+        if prepare < self.dim:
+            ours = unit[::max(1, len(unit) // _SAMPLED_CHUNKS)]
+            which = np.arange(lo, hi, max(1, (hi - lo) // _SAMPLED_QUERIES))
+            theirs, floor = self._units(which), self._floor(which)[None]
+            load, cost = (np.abs(ours).mean(0), np.abs(theirs).mean(0)), self.dim + _PAIR_COST * (ours @ theirs.T >= floor).mean()
+            last = math.inf
+            for parts in sorted({self.dim // f for f in _FOLDS if self.dim >= 4 * f}):
+                groups = _groups(*load, parts)
+                near = _folded(ours, groups) @ _folded(theirs, groups).T >= floor - self.slack
+                each = parts + prepare + self.dim * parts / (hi - lo) + cost_of_pair * near.mean()
+                if each < cost:
+                    cost, chosen = each, groups
+                if each > last:
+                    break
+                last = each
+        key = of_queries, of_chunks
+        before = self.groups.get(key)
+        if chosen is None:
+            self.groups[key] = None
+            self.theirs.pop(key, None)
+            if (of_queries, None) not in self.theirs:
+                self.theirs[of_queries, None] = self._units(slice(lo, hi))
+        elif before is None or before.shape != chosen.shape:
+            self.groups[key] = chosen
+            self.theirs[key] = np.concatenate([_folded(self._units(slice(lo + at.start, min(hi, lo + at.stop))), chosen)
+                                               for at in _slices(hi - lo)])
+
+    def _score(self, batch: pa.RecordBatch, chunk: np.ndarray, at: int, which: np.ndarray | None) -> None:
+        """Keep what a slice of chunks has for the queries ``which``, all without it.
+
+        A single-precision product of unit vectors, or of the short ones that is never below it, finds the pairs that can
+        reach the threshold or the best scores so far, with its error allowed for. Only those pairs are scored in double
         precision, so the result is that of a double-precision product over all pairs.
         """
         norms = _squared_norms(chunk)
-        slack = (self.dim + 16) * 2.0**-23 + 10.0**-SCORE_DIGITS
-        near = _unit(chunk, norms) @ self.unit[which].T
-        floor = 2 * np.maximum(self.min_score, self.least[which]) - 1 - slack
-        ci, qi = np.nonzero(near >= floor.astype(np.float32)[None])
-        if not len(ci):
+        unit, scorer = _unit(chunk, norms), _Pairs(chunk, self.queries)
+        nearest = np.zeros(len(chunk), np.int64) if self.directions is None else _nearest(unit, self.directions)
+        if self.seen >= self.chosen_until:
+            self.stale, self.chosen_until = {*self.groups}, 4 * max(self.seen, _CHUNKS_AT_ONCE)
+        self.seen += len(chunk)
+        waiting, n = [], 0
+        for of_chunks in np.unique(nearest).tolist():
+            rows = np.flatnonzero(nearest == of_chunks)
+            mine = unit[rows]
+            for of_queries, (lo, hi) in enumerate(zip(self.edges, self.edges[1:])):
+                asked = slice(lo, hi) if which is None else which[slice(*np.searchsorted(which, (lo, hi)))]
+                if lo == hi or which is not None and not len(asked):
+                    continue
+                key = of_queries, of_chunks
+                if key not in self.groups or key in self.stale:
+                    self._choose(*key, mine, scorer.cost, len(self.queries) if which is None else len(which))
+                    self.stale.discard(key)
+                folded = self.groups[key] is not None
+                ours, theirs = (_folded(mine, self.groups[key]), self.theirs[key]) if folded else (mine, self.theirs[of_queries, None])
+                for q in range(lo, hi, _QUERIES_AT_ONCE) if which is None else range(0, len(asked), _QUERIES_AT_ONCE):
+                    some = slice(q, min(hi, q + _QUERIES_AT_ONCE)) if which is None else asked[q:q + _QUERIES_AT_ONCE]
+                    there = theirs[q - lo:q - lo + _QUERIES_AT_ONCE] if which is None else theirs[some - lo]
+                    floor = self._floor(some) - self.slack * folded
+                    ci, qi, near = self.room.reaching(ours, there, floor.astype(np.float32))
+                    if not len(ci):
+                        continue
+                    if not folded:
+                        ci, qi = _contenders(ci, qi, near, self.k, 2 * self.slack)
+                    ci, own = rows[ci], qi + q if which is None else some[qi]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        cosine = scorer.products(ci, own) / np.sqrt(norms[ci] * self.norms[own])
+                        score = np.round((1.0 + cosine) / 2.0, SCORE_DIGITS)
+                    enough = score >= np.maximum(self.min_score, self.least[own])
+                    if enough.any():
+                        ci, own, score = ci[enough], own[enough], score[enough]
+                        self._raise(own, score)
+                        enough = score >= self.least[own]
+                        waiting.append((ci[enough], own[enough], score[enough]))
+                        n += len(waiting[-1][0])
+                        if n > _WAITING:
+                            self._keep(batch, at, waiting)
+                            waiting, n = [], 0
+        self._keep(batch, at, waiting)
+
+    def _raise(self, own: np.ndarray, score: np.ndarray) -> None:
+        """Take scores among the best of their queries; the ``k``-th is what later chunks have to reach."""
+        order = np.lexsort((-score, own))
+        own, score = own[order], score[order]
+        asked, first, of = np.unique(own, return_index=True, return_inverse=True)
+        place = np.arange(len(own)) - first[of]
+        top = place < self.k
+        new = np.full((len(asked), self.k), -np.inf)
+        new[of[top], place[top]] = score[top]
+        self.best[asked] = -np.partition(-np.concatenate([self.best[asked], new], 1), self.k - 1, axis=1)[:, :self.k]
+        self.least[asked] = self.best[asked].min(1)
+
+    def _keep(self, batch: pa.RecordBatch, at: int, waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        if not waiting:
             return
-        ci, qi = _contenders(ci, qi, near[ci, qi], self.k, 2 * slack)
-        own = which[qi]
-        dots = np.concatenate([
-            np.einsum("ij,ij->i", chunk[ci[p:p + _PAIRS_AT_ONCE]].astype(np.float64),
-                      self.queries[own[p:p + _PAIRS_AT_ONCE]].astype(np.float64))
-            for p in range(0, len(ci), _PAIRS_AT_ONCE)])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.round((1.0 + dots / np.sqrt(norms[ci] * self.norms[own])) / 2.0, SCORE_DIGITS)
-        enough = score >= self.min_score
-        if enough.any():
-            rows = pa.array(at + ci[enough])
-            keys = [batch.column(c).take(rows) for c in self.chunk_key]
-            self.found.append(pa.table([pa.array(own[enough]), pa.array(score[enough]), *keys], names=["_q", *self.names[1:]]))
-            self.rows += int(enough.sum())
-            if self.rows > 4 * self.k * len(self.queries) + 4096:
-                self._compact()
+        ci, own, score = map(np.concatenate, zip(*waiting))
+        rows = pa.array(at + ci)
+        keys = [batch.column(c).take(rows) for c in self.chunk_key]
+        self.found.append(pa.table([pa.array(own), pa.array(score), *keys], names=["_q", *self.names[1:]]))
+        self.rows += len(own)
+        if self.rows > 4 * self.k * len(self.queries) + 4096:
+            self._compact()
 
     def _compact(self) -> None:
-        """The best ``k`` per query of all that was kept; the k-th is what later chunks have to reach."""
+        """The best ``k`` per query of all that was kept."""
         if not self.found:
             return
         table = pa.concat_tables(self.found)
@@ -427,8 +546,6 @@ class _Cell:
         table = table.take(pc.sort_indices(table, sort_keys=by))
         q = table.column("_q").to_numpy()
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-        score = table.column("score").to_numpy()
-        self.least[q[place == self.k - 1]] = score[place == self.k - 1]
         table = table.filter(pa.array(place < self.k)).combine_chunks()
         self.found, self.rows = [table], len(table)
 
@@ -440,6 +557,97 @@ class _Cell:
                 yield batch
 
 
+class _Room:
+    """Where the products of some rows with others go, used again for the next ones."""
+
+    def __init__(self, rows: int, others: int):
+        self.rows = rows
+        self.near = np.empty(rows * others, np.float32)
+        self.flags = np.empty(rows * -(-others // 8) * 8, bool)
+
+    def reaching(self, left: np.ndarray, right: np.ndarray, floor: np.ndarray):
+        """Places and products of the pairs that reach the floor of their row of ``right``."""
+        wide, found = -(-len(right) // 8) * 8, []
+        for lo in range(0, len(left), self.rows):
+            some = left[lo:lo + self.rows]
+            near = self.near[:len(some) * len(right)].reshape(len(some), len(right))
+            flags = self.flags[:len(some) * wide].reshape(len(some), wide)
+            flags[:, len(right):] = False
+            np.matmul(some, right.T, out=near)
+            np.greater_equal(near, floor[None], out=flags[:, :len(right)])
+            # few are set: eight at a time are looked at
+            eight = np.flatnonzero(flags.view(np.uint64) != 0)
+            if len(eight):
+                which, bit = np.nonzero(flags.reshape(-1, 8)[eight])
+                ci, qi = np.divmod(8 * eight[which] + bit, wide)
+                found.append((ci + lo, qi, near[ci, qi]))
+        if not found:
+            return (np.empty(0, np.int64),) * 3
+        return tuple(map(np.concatenate, zip(*found)))
+
+
+class _Pairs:
+    """Double-precision products of chunks with queries, from the chunks' components that are not zero where these are few."""
+
+    def __init__(self, chunk: np.ndarray, queries: np.ndarray):
+        self.chunk, self.queries, self.cost, self.places = chunk, queries, _PAIR_COST, None
+        rows, places = np.nonzero(chunk)
+        counts = np.bincount(rows, minlength=len(chunk))
+        most = int(counts.max(initial=0))
+        if 0 < 4 * most <= chunk.shape[1]:
+            column = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            self.cost = _SPARSE_PAIR_COST
+            self.places, self.values = np.zeros((len(chunk), most), np.int64), np.zeros((len(chunk), most))
+            self.places[rows, column], self.values[rows, column] = places, chunk[rows, places]
+
+    def products(self, ci: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._some(ci[p:p + _PAIRS_AT_ONCE], own[p:p + _PAIRS_AT_ONCE])
+                               for p in range(0, len(ci), _PAIRS_AT_ONCE)])
+
+    def _some(self, ci: np.ndarray, own: np.ndarray) -> np.ndarray:
+        if self.places is None:
+            return np.einsum("ij,ij->i", self.chunk[ci].astype(np.float64), self.queries[own].astype(np.float64))
+        at = self.places[ci]
+        at += own[:, None] * self.queries.shape[1]
+        return np.einsum("ij,ij->i", self.queries.reshape(-1).take(at).astype(np.float64), self.values[ci])
+
+
+def _directions(units: np.ndarray) -> np.ndarray:
+    """Directions around which the vectors lie, by a few rounds of spherical k-means."""
+    found = units[:: len(units) // _DIRECTIONS][:_DIRECTIONS]
+    for _ in range(6):
+        nearest = _nearest(units, found)
+        sums = np.stack([units[nearest == i].sum(0) for i in range(len(found))])
+        found = _unit(sums, _squared_norms(sums))
+    return found
+
+
+def _nearest(units: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    return (units @ directions.T).argmax(1)
+
+
+def _groups(ours: np.ndarray, theirs: np.ndarray, parts: int) -> np.ndarray:
+    """A column for each of ``parts`` groups of components, with ones for its members. With the mean components of both
+    sides, the largest are dealt first, each to the group where it least often meets another one of the other side."""
+    ours, theirs = ours + 1e-4, theirs + 1e-4
+    out, of_ours, of_theirs = np.zeros((len(ours), parts), np.float32), np.zeros(parts), np.zeros(parts)
+    for i in np.argsort(-ours * theirs, kind="stable"):
+        group = (ours[i] * of_theirs + theirs[i] * of_ours).argmin()
+        out[i, group] = 1
+        of_ours[group] += ours[i]
+        of_theirs[group] += theirs[i]
+    return out
+
+
+def _folded(unit: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Norms of the vectors within the groups."""
+    return np.sqrt((unit * unit) @ groups)
+
+
+def _slices(rows: int) -> list[slice]:
+    return [slice(at, at + _NORMS_AT_ONCE) for at in range(0, rows, _NORMS_AT_ONCE)]
+
+
 def _matrix(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
     if pa.types.is_binary(vectors.type):
         return unpacked_vectors(vectors, dim)
@@ -450,7 +658,7 @@ def _matrix(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
 
 
 def _vectors(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
-    """The vectors of ``_as_packed``, whichever form they have, or of a ``ChunkPass``."""
+    """The vectors, as they are or of ``_as_packed``, whichever form they have."""
     if not pa.types.is_struct(vectors.type):
         return _matrix(vectors, rows, dim)
     wide, listed, packed = vectors.flatten()

@@ -1,11 +1,13 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagework.functions.chunking import chunk_pass
 from passagework.functions.embedding import HashingEncoder, add_vectors, packed_vectors, unpacked_vectors
 from passagework.operators.vector_search import (
-    RECALL, _bucket, _planes, probed_buckets, top_k_similar, top_k_similar_lsh,
+    RECALL, _bucket, _Cell, _folded, _groups, _planes, probed_buckets, top_k_similar, top_k_similar_lsh,
 )
 from passagework.plans.queries import QUERIES
 
@@ -212,3 +214,94 @@ def test_chunks_are_scored_in_the_task_that_makes_them(spark):
         assert all_of(found(made)) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def sparse(n, seed, dim=384, words=20, signs=False, kinds=3):
+    """Counts of words as texts of some languages have them; a few rows are zero, and some are copies."""
+    rng = np.random.default_rng(seed)
+    common = np.random.default_rng(0).permutation(dim).reshape(kinds, -1)
+    v, kind = np.zeros((n, dim), np.float32), rng.integers(kinds, size=n)
+    for i in range(n):
+        at = np.minimum(rng.zipf(1.3, words), 4 * common.shape[1]) - 1
+        places = np.where(at < common.shape[1], common[kind[i], at % common.shape[1]], at % dim)
+        np.add.at(v[i], places, rng.choice([1, -1], words) if signs else 1)
+    v[::97] = 0
+    v[1:n:50] = v[1]
+    return v
+
+
+def stored(spark, v):
+    rows = [(i, bytes(x)) for i, x in enumerate(packed_vectors(v).to_pylist())]
+    return spark.createDataFrame(rows, "id long, v binary")
+
+
+def cell_of(q, c, k, min_score, at_once=1000):
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("id", T.LongType())])
+    cell = _Cell(schema, ["id"], q.shape[1], k, min_score, hashed=False)
+    cell.held = [pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), packed_vectors(q)], names=["_query", "_vector"])]
+    for lo in range(0, len(c), at_once):
+        part = c[lo:lo + at_once]
+        cell.stream(pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), packed_vectors(part)], names=["id", "_vector"]))
+    found = {}
+    for batch in cell.finish():
+        for row in sorted(batch.to_pylist(), key=lambda r: (r["query_id"], -r["score"], r["id"])):
+            found.setdefault(row["query_id"], []).append((row["id"], row["score"]))
+    return cell, found
+
+
+def nearest(q, c, k, min_score):
+    """``brute`` for many queries: products of whole numbers are exact."""
+    q, c, out = q.astype(np.float64), c.astype(np.float64), {}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        scores = np.round((1 + q @ c.T / np.sqrt(np.outer((q * q).sum(1), (c * c).sum(1)))) / 2, 9)
+    for i, s in enumerate(scores):
+        at = np.flatnonzero(s >= min_score)
+        out[i] = [(int(j), s[j]) for j in at[np.lexsort((at, -s[at]))][:k]]
+    return out
+
+
+@pytest.mark.parametrize("signs, min_score", [(False, 0.8), (True, 0.8), (False, 0.45)])
+def test_vectors_with_few_components_are_compared_by_shorter_ones(signs, min_score):
+    """Most pairs are left out by products of fewer components, of counts by fewer than half, and no hit is lost."""
+    q, c = sparse(4500, 1, signs=signs), sparse(2500, 2, signs=signs)
+    cell, found = cell_of(q, c, 5, min_score)
+    if min_score == 0.8:
+        products = [384 if g is None else g.shape[1] for g in cell.groups.values()]
+        assert len(products) > 1 and np.mean(products) < (384 if signs else 384 / 2)
+    same(found, nearest(q, c, 5, min_score))
+
+
+def test_dense_vectors_are_compared_in_full():
+    rng = np.random.default_rng(3)
+    q, c = rng.standard_normal((4500, 64)).astype(np.float32), rng.standard_normal((2500, 64)).astype(np.float32)
+    cell, found = cell_of(q, c, 5, 0.65)
+    assert {*cell.groups.values()} == {None}
+    same(found, brute(q, c, 5, 0.65))
+
+
+def test_products_of_shorter_vectors_are_never_below():
+    rng = np.random.default_rng(4)
+    q, c = ((x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32) for x in rng.standard_normal((2, 300, 96)))
+    for parts in (8, 24, 48):
+        groups = _groups(np.abs(q).mean(0), np.abs(c).mean(0), parts)
+        assert (groups.sum(1) == 1).all() and (groups.sum(0) > 0).all()
+        assert (_folded(q, groups) @ _folded(c, groups).T >= q @ c.T - 1e-5).all()
+
+
+@pytest.mark.parametrize("bound", ["1k", "64m"])
+def test_sparse_search_in_cells_and_in_place_equals_brute_force(spark, bound):
+    """More queries than one direction takes, with copies on both sides, zero vectors and a hashed search of all buckets."""
+    q, c = sparse(4200, 5, words=12), sparse(1500, 6, words=12)
+    want = nearest(q, c, 3, 0.8)
+    queries, chunks = stored(spark, q).withColumnsRenamed({"id": "query_id", "v": "query_vector"}), stored(spark, c)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    try:
+        options = dict(chunk_key=["id"], chunk_vector="v", dim=384, k=3, min_score=0.8)
+        found = top_k_similar(queries, chunks, **options)
+        # packed vectors travel as they are, not in a struct with the other forms
+        assert "wide" not in found._jdf.queryExecution().optimizedPlan().toString()
+        same(collect(found), want)
+        same(collect(top_k_similar_lsh(queries, chunks, bits=2, recall=1, **options)), want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
