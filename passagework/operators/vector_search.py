@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -40,10 +41,10 @@ from passagework.functions.chunking import ChunkPass
 from passagework.functions.embedding import packed_vectors, unpacked_vectors
 
 _CHUNKS_AT_ONCE = 8192
-_QUERIES_AT_ONCE = 1024
+_QUERIES_AT_ONCE = 2048
 _PAIRS_AT_ONCE = 8192
 # chunks by queries whose products stay in a cache of the processor
-_ROWS_AT_ONCE = 256
+_ROWS_AT_ONCE = 128
 # components of the vectors for one of the short ones
 _FOLDS = (8, 5, 4, 3, 2)
 _DIRECTIONS, _QUERIES_PER_DIRECTION = 4, 1024
@@ -415,8 +416,8 @@ class _Cell:
         self.best = np.full((len(held), self.k), -np.inf)
         self.least = np.full(len(held), -np.inf)
         self.seen, self.chosen_until = 0, 0
-        # by directions of queries and chunks: how these are compared, and the queries' vectors for that
-        self.groups, self.theirs = {}, {}
+        # by directions of queries and chunks: how these are compared, the queries' vectors for that, and how many chunks came
+        self.groups, self.theirs, self.met = {}, {}, Counter()
         self.room = _Room(_ROWS_AT_ONCE, _QUERIES_AT_ONCE)
         if self.hashed:
             raw = np.stack([np.frombuffer(p.as_buffer(), np.uint8) for p in held.column("_probes")])
@@ -432,7 +433,7 @@ class _Cell:
 
     def _choose(self, of_queries: int, of_chunks: int, unit: np.ndarray, cost_of_pair: int, queries: int) -> None:
         """How these directions are compared: what would be cheapest for some of their chunks ``unit`` and queries.
-        ``queries`` is how many a chunk meets."""
+        ``queries`` is how many a chunk meets; as many chunks as came so far are expected to come."""
         lo, hi = self.edges[of_queries:of_queries + 2]
         cost, chosen, prepare = math.inf, None, _CHUNK_COST / queries
         if prepare < self.dim:
@@ -444,7 +445,8 @@ class _Cell:
             for parts in sorted({self.dim // f for f in _FOLDS if self.dim >= 4 * f}):
                 groups = _groups(*load, parts)
                 near = _folded(ours, groups) @ _folded(theirs, groups).T >= floor - self.slack
-                each = parts + prepare + self.dim * parts / (hi - lo) + cost_of_pair * near.mean()
+                each = parts + prepare + cost_of_pair * near.mean()
+                each += self.dim * parts * (1 / (hi - lo) + 1 / self.met[of_queries, of_chunks])
                 if each < cost:
                     cost, chosen = each, groups
                 if each > last:
@@ -473,7 +475,7 @@ class _Cell:
         unit, scorer = _unit(chunk, norms), _Pairs(chunk, self.queries)
         nearest = np.zeros(len(chunk), np.int64) if self.directions is None else _nearest(unit, self.directions)
         if self.seen >= self.chosen_until:
-            self.stale, self.chosen_until = {*self.groups}, 4 * max(self.seen, _CHUNKS_AT_ONCE)
+            self.stale, self.chosen_until = {*self.groups}, 4 * max(self.seen + len(chunk), 512)
         self.seen += len(chunk)
         waiting, n = [], 0
         for of_chunks in np.unique(nearest).tolist():
@@ -484,6 +486,7 @@ class _Cell:
                 if lo == hi or which is not None and not len(asked):
                     continue
                 key = of_queries, of_chunks
+                self.met[key] += len(rows)
                 if key not in self.groups or key in self.stale:
                     self._choose(*key, mine, scorer.cost, len(self.queries) if which is None else len(which))
                     self.stale.discard(key)
@@ -492,8 +495,11 @@ class _Cell:
                 for q in range(lo, hi, _QUERIES_AT_ONCE) if which is None else range(0, len(asked), _QUERIES_AT_ONCE):
                     some = slice(q, min(hi, q + _QUERIES_AT_ONCE)) if which is None else asked[q:q + _QUERIES_AT_ONCE]
                     there = theirs[q - lo:q - lo + _QUERIES_AT_ONCE] if which is None else theirs[some - lo]
-                    floor = self._floor(some) - self.slack * folded
-                    ci, qi, near = self.room.reaching(ours, there, floor.astype(np.float32))
+                    floor = (self._floor(some) - self.slack * folded).astype(np.float32)
+                    if folded and floor.min() > 0.1:
+                        # to compare with one number is faster; the rounding is far below the slack
+                        there, floor = there / floor[:, None], np.float32(1)
+                    ci, qi, near = self.room.reaching(ours, there, floor)
                     if not len(ci):
                         continue
                     if not folded:
@@ -565,8 +571,8 @@ class _Room:
         self.near = np.empty(rows * others, np.float32)
         self.flags = np.empty(rows * -(-others // 8) * 8, bool)
 
-    def reaching(self, left: np.ndarray, right: np.ndarray, floor: np.ndarray):
-        """Places and products of the pairs that reach the floor of their row of ``right``."""
+    def reaching(self, left: np.ndarray, right: np.ndarray, floor: np.ndarray | np.float32):
+        """Places and products of the pairs that reach the floor, or that of their row of ``right``."""
         wide, found = -(-len(right) // 8) * 8, []
         for lo in range(0, len(left), self.rows):
             some = left[lo:lo + self.rows]
@@ -574,7 +580,7 @@ class _Room:
             flags = self.flags[:len(some) * wide].reshape(len(some), wide)
             flags[:, len(right):] = False
             np.matmul(some, right.T, out=near)
-            np.greater_equal(near, floor[None], out=flags[:, :len(right)])
+            np.greater_equal(near, floor, out=flags[:, :len(right)])
             # few are set: eight at a time are looked at
             eight = np.flatnonzero(flags.view(np.uint64) != 0)
             if len(eight):

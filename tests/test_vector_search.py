@@ -235,7 +235,7 @@ def stored(spark, v):
     return spark.createDataFrame(rows, "id long, v binary")
 
 
-def cell_of(q, c, k, min_score, at_once=1000):
+def cell_of(q, c, k, min_score, at_once=2500):
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("id", T.LongType())])
     cell = _Cell(schema, ["id"], q.shape[1], k, min_score, hashed=False)
     cell.held = [pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), packed_vectors(q)], names=["_query", "_vector"])]
@@ -263,7 +263,7 @@ def nearest(q, c, k, min_score):
 @pytest.mark.parametrize("signs, min_score", [(False, 0.8), (True, 0.8), (False, 0.45)])
 def test_vectors_with_few_components_are_compared_by_shorter_ones(signs, min_score):
     """Most pairs are left out by products of fewer components, of counts by fewer than half, and no hit is lost."""
-    q, c = sparse(4500, 1, signs=signs), sparse(2500, 2, signs=signs)
+    q, c = sparse(4500, 1, signs=signs), sparse(3200, 2, signs=signs)
     cell, found = cell_of(q, c, 5, min_score)
     if min_score == 0.8:
         products = [384 if g is None else g.shape[1] for g in cell.groups.values()]
